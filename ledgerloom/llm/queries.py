@@ -11,6 +11,7 @@ from .common import read_table
 from .exact_dedup import exact_dedup
 from .mixing import plan
 from .quality import assess
+from .sentencepiece_codec import digest
 from .sharding import assign
 from .url_filter import judge
 
@@ -106,3 +107,12 @@ m AS (SELECT h.*, r.rule_host || r.rule_path AS rule, r.verdict, row_number() OV
       FROM h LEFT JOIN r ON (h.host = r.rule_host OR ends_with(h.host, '.' || r.rule_host)) AND starts_with(h.path, r.rule_path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1""",
 }
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op5_sentencepiece"] = op5_sentencepiece
