@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .mixing import plan
+from .ngram_join import ngram_join
 from .quality import assess
 from .sentencepiece_codec import digest
 from .sharding import assign
@@ -116,3 +117,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_sentencepiece"] = op5_sentencepiece
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_ngram_join"] = op7_ngram_join
