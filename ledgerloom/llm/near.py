@@ -1,9 +1,9 @@
 """What the near-duplicate operators share: shingles, buckets, verification, components.
 
 Nodes are distinct shingle sets, named by a 64-bit digest, so exact copies are one node.
-Buckets hold nodes that share a signature. Links inside a bucket are found in two rounds:
-each node against the bucket's centre first; then, only where a bucket still spans several
-components, the pairs between different components. A group of near copies of any size so
+Buckets hold nodes that share a signature. Links inside a bucket are found in rounds: each
+node against the bucket's centre first; then, only where a bucket still spans several
+components, one pair for each two components, and last all other pairs between components. A group of near copies of any size so
 costs a link for each member, not a pair for each two, and no link that joins different
 components is left out.
 """
@@ -80,33 +80,54 @@ def digest(shingles: np.ndarray) -> int:
 
 
 def crowded(rows: DataFrame, parts: int) -> DataFrame:
-    """The distinct (sig, node, center) of signatures that two or more nodes share; materialized.
+    """(sig, node, center, many) of signatures that two or more nodes share, from (sig, node); materialized.
 
-    One exchange of the rows; the centre is the bucket's smallest node.
+    One exchange of the rows. The centre is the bucket's smallest node; many tells buckets
+    that may have more than two nodes.
     """
     dealt = rows.repartition(parts, "sig")
     bucket = Window.partitionBy("sig")
-    seen = dealt.withColumn("center", F.min("node").over(bucket)).withColumn("_last", F.max("node").over(bucket))
-    return materialize(seen.where("center <> _last").select("sig", "node", "center").distinct())
+    seen = dealt.withColumn("center", F.min("node").over(bucket)).withColumn("_last", F.max("node").over(bucket)).withColumn("many", F.count("*").over(bucket) > 2)
+    return materialize(seen.where("center <> _last").select("sig", "node", "center", "many"))
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
-    """(node, component) of all nodes with links, from members (sig, node, center).
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it is counted to have a million narrow rows at most; else joined as the planner will."""
+    return F.broadcast(df) if df.count() <= rows else df
 
-    verify(pairs (a, b)) gives the pairs that link. info has node and what plausible, a
-    condition without false negatives on columns of two sides' prefixes, needs.
+
+def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], info: DataFrame, plausible: Callable[[str, str], Column], percent: int) -> DataFrame:
+    """(node, component) of all nodes with links, from members (sig, node, center, many).
+
+    fetch(nodes) gives (node, shingles) of these nodes. info has node and what plausible, a
+    condition without false negatives on the columns of two sides, needs.
     """
-    spokes = members.where("node <> center").groupBy("node", "center").agg(F.count("*").alias("n"))
-    first = spokes.groupBy("node").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
-    edges = materialize(verify(first.select(F.col("center").alias("a"), F.col("node").alias("b"))))
+    side = lambda df, s: df.select([F.col(c).alias(f"{s}{c}") for c in df.columns])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return materialize(alike(pairs, materialize(fetch(nodes)), percent))
+
+    spokes = members.where("node <> center").groupBy(F.col("center").alias("x_node"), F.col("node").alias("y_node")).agg(F.count("*").alias("n"))
+    spokes = spokes.join(side(info, "x_"), "x_node").join(side(info, "y_"), "y_node").where(plausible("x_", "y_"))
+    spokes = materialize(spokes.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "n"))
+    first = materialize(spokes.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
+    edges = verify(first)
+    part = connected_components(edges)
+    named = lambda df, node, name: df.join(side(part, "_"), F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", node)).drop("_node", "_component")
+    apart = lambda pairs: named(named(pairs, "a", "pa"), "b", "pb").where("pa <> pb")
+    rest = apart(spokes.select("a", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    placed = named(members.where("many"), "node", "part")
+    mixed = placed.groupBy("sig").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low <> _high").select("sig")
+    open_ = placed.where("node <> center").distinct().join(mixed, "sig").join(info, "node").drop("many", "center")
+    across = side(open_, "x_").join(side(open_, "y_"), (F.col("x_sig") == F.col("y_sig")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & plausible("x_", "y_"))
+    late = materialize(rest.unionByName(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))).distinct())
+    # one pair for each two components, then what these have not joined
+    one = materialize(apart(late).groupBy("pa", "pb").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*"))
+    edges = edges.unionByName(verify(one))
     part = connected_components(edges)
-    placed = members.select("sig", "node").join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    bounds = placed.groupBy("sig").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low <> _high").select("sig")
-    split = materialize(placed.join(bounds, "sig").join(info, "node"))
-    left, right = (split.select([F.col(c).alias(f"{side}_{c}") for c in split.columns]) for side in "xy")
-    across = left.join(right, (F.col("x_sig") == F.col("y_sig")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & plausible("x_", "y_"))
-    more = materialize(verify(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()))
-    return connected_components(edges.unionByName(more))
+    last = apart(late).select("a", "b").join(one, ["a", "b"], "left_anti")
+    return connected_components(edges.unionByName(verify(materialize(last))))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -6,7 +6,7 @@ block, so the number of blocks that differ is at most the symmetric difference,
 Jaccard similarity bounds by the sizes. Blocks are fixed for each band of sizes; two
 documents that link then agree in one of the first bound + 1 filled blocks of each, in any
 order that is the same for all. Those are the rows that are joined. Agreeing pairs are
-screened by 2,048-bit parity sketches, whose Hamming distance bounds the symmetric
+screened by parity sketches of a few bits for each shingle, whose Hamming distance bounds the symmetric
 difference from below too, and verified by their shingles.
 
 The order puts blocks made of very common shingles last. Which ones are common is read
@@ -31,11 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
-from .near import Shingler, alike, crowded, digest, link, mix
+from .near import Shingler, bounded, crowded, digest, link, mix
 
-SKETCH_WORDS = 32
 #: Documents of the sample that tells common shingles, how often one is common, how many are listed.
-SAMPLE_ROWS, COMMON_IN, COMMON_MOST = 20_000, 8, 100_000
+SAMPLE_ROWS, COMMON_IN, COMMON_MOST = 4_000, 6, 100_000
 
 
 def most_apart(n: int, other: int, percent: int) -> int:
@@ -63,7 +62,9 @@ def n_blocks(band: int) -> int:
 def signatures(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     """The blocks by which a set is joined, as 64-bit numbers."""
     out = []
-    rare = ~np.isin(shingles, common) if len(common) else np.ones(len(shingles), dtype=bool)
+    rare = np.ones(len(shingles), dtype=bool)
+    if len(common):  # sorted
+        rare = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] != shingles
     for band, bound in bands(len(shingles), percent):
         block = (shingles >> np.uint64(16)) & np.uint64(n_blocks(band) - 1)
         order = np.argsort(block, kind="stable")
@@ -72,13 +73,15 @@ def signatures(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.nda
         value = np.bitwise_xor.reduceat(shingles[order], starts)
         late = ~np.logical_or.reduceat(rare[order], starts)
         chosen = np.argsort(late, kind="stable")[: bound + 1]
-        out.append(mix(value[chosen] + block[starts][chosen] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band) * np.uint64(0xD6E8FEB86659FD93)))
+        out.append(mix(value[chosen] + block[starts][chosen] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)))
     return np.concatenate(out)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    bits = np.bincount((shingles & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """The parities of 2 to 4 times as many bits as the set has shingles, 128 at least."""
+    bits = 2 << max(len(shingles).bit_length(), 6)
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -92,15 +95,16 @@ def features(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "t
         shingler = Shingler(k)
         for batch in batches:
             sets = [shingler.shingles(t.as_py()) for t in batch["text"]]
-            flat = np.concatenate([sketch(s) for s in sets]) if sets else np.zeros(0, dtype=np.int64)
-            at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH_WORDS)
+            sketches = [sketch(s) for s in sets]
+            flat = np.concatenate(sketches) if sets else np.zeros(0, dtype=np.int64)
+            at = pa.array(np.cumsum([0, *map(len, sketches)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat))], ["doc_id", "n_shingles", "node", "sketch"])
 
     return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>")
 
 
 def common_shingles(docs: DataFrame, k: int, text: str = "text", rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Shingles that stand in 8 or more of about 20,000 sampled documents: 100,000 at most, an order's hint."""
+    """Shingles that stand in 6 or more of about 4,000 sampled documents: 100,000 at most, an order's hint."""
     total = docs.select(F.count("*")).first()[0]
     sample = docs.select(F.col(text).alias("text")).sample(min(1.0, rows / max(1, total)), seed=11)
 
@@ -163,10 +167,14 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str = "doc_
     return rows.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def _plausible(percent: int):
+def plausible(percent: int):
+    """Whether two sides' n_shingles and sketch allow percent; the wider sketch folds to the narrower."""
+
     def condition(x: str, y: str) -> Column:
-        n, m = F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles")
-        apart = sum((F.bit_count(F.get(f"{x}sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}sketch", F.lit(i)))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.get(f"{x}sketch", F.lit(0)).bitwiseXOR(F.get(f"{y}sketch", F.lit(0)))))
+        n, m, s, t = F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles"), F.col(f"{x}sketch"), F.col(f"{y}sketch")
+        xor = lambda p, q: p.bitwiseXOR(q)
+        fold = lambda u, v: F.when(F.size(u) > F.size(v), F.zip_with(F.slice(u, F.lit(1), F.size(v)), F.slice(u, F.size(v) + 1, F.size(v)), xor)).otherwise(u)
+        apart = F.aggregate(F.zip_with(fold(s, t), fold(t, s), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
         return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
     return condition
@@ -177,10 +185,9 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "do
     rows = materialize(features(docs, k, doc_id, text))
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"))
     members = crowded(signature_rows(docs, k, percent, common_shingles(docs, k, text), doc_id, text), 2 * partitions(docs.sparkSession))
-    asked = members.select("node").distinct()
-    sets = materialize(shingle_sets(docs, nodes.join(asked, "node").select(F.col("first_id").alias("doc_id"), "node"), k, doc_id, text))
-    info = rows.join(asked, "node", "left_semi").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
-    parts = link(members, lambda pairs: alike(pairs, sets, percent), info, _plausible(percent))
+    info = materialize(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    fetch = lambda asked: shingle_sets(docs, bounded(nodes.join(asked, "node").select(F.col("first_id").alias("doc_id"), "node")), k, doc_id, text)
+    parts = link(members, fetch, info, plausible(percent), percent)
     named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     placed = materialize(named.join(first, "component").select("node", "component_id"))
