@@ -134,3 +134,16 @@ def training_order(planned: DataFrame) -> DataFrame:
     """(doc_id, source, pass, words, position), range-sorted by training position."""
     each = planned.select("doc_id", "source", F.explode("passes").alias("p")).select("doc_id", "source", "p.*")
     return each.orderBy("position", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "pass")
+
+
+def mix(docs: DataFrame, budget: float = 1.5, cap: float = 2.0, schedules=SCHEDULES, source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of docs that the mix takes, once for each pass, range-sorted by training position.
+
+    Takes whole documents. Rows are told apart by doc_id, source and text, and should be
+    distinct in these; the plan is joined by a hash of the three.
+    """
+    key = F.xxhash64("doc_id", source, text)
+    marked = docs.withColumn("_row", key)
+    planned = plan(marked.drop("doc_id"), budget, cap, schedules, True, "_row", source, text)
+    each = materialize(training_order(planned).select(F.col("doc_id").alias("_row"), "pass", "position"))
+    return marked.join(each, "_row").orderBy("position", "_row", "pass").select(*docs.columns)

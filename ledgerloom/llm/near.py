@@ -2,8 +2,9 @@
 
 Nodes are distinct shingle sets, named by a 64-bit digest, so exact copies are one node.
 Buckets hold nodes that share a signature. Links inside a bucket are found in rounds: each
-node against the bucket's centre first; then, only where a bucket still spans several
-components, one pair for each two components, and last all other pairs between components. A group of near copies of any size so
+node against a centre of its bucket first; then, only where a bucket still spans several
+components, one pair for each two of them, with further centres, and last all other pairs
+between different components. A group of near copies of any size so
 costs a link for each member, not a pair for each two, and no link that joins different
 components is left out.
 """
@@ -22,6 +23,8 @@ from .common import materialize
 
 #: Distinct words whose hashes a task remembers. Bounds memory only.
 REMEMBERED = 400_000
+#: How many centres of a bucket are held against its other nodes before all pairs are.
+CENTRES = 2
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -116,17 +119,28 @@ def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], info: Data
     part = connected_components(edges)
     named = lambda df, node, name: df.join(side(part, "_"), F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", node)).drop("_node", "_component")
     apart = lambda pairs: named(named(pairs, "a", "pa"), "b", "pb").where("pa <> pb")
-    rest = apart(spokes.select("a", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    placed = named(members.where("many"), "node", "part")
-    mixed = placed.groupBy("sig").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low <> _high").select("sig")
-    open_ = placed.where("node <> center").distinct().join(mixed, "sig").join(info, "node").drop("many", "center")
+    one = lambda pairs: materialize(apart(pairs).groupBy("pa", "pb").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*"))
+    done, waiting, rest = first, spokes.select("a", "b"), members.where("many").select("sig", "node", "center").distinct()
+    for _ in range(CENTRES):
+        # the centre has been held against all others of its bucket; the next one follows, where parts are left
+        chosen = one(waiting.join(done, ["a", "b"], "left_anti"))
+        done, edges = done.unionByName(chosen), edges.unionByName(verify(chosen))
+        part = connected_components(edges)
+        rest = rest.where("node <> center").drop("center")
+        placed = named(rest, "node", "part")
+        mixed = placed.groupBy("sig").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.min("node").alias("center"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_all")).where("_low <> _high")
+        # buckets of the same nodes are one
+        rest = materialize(rest.join(mixed.dropDuplicates(["_n", "_all"]).select("sig", "center"), "sig"))
+        more = rest.where("node <> center").select(F.col("center").alias("x_node"), F.col("node").alias("y_node")).distinct()
+        more = more.join(side(info, "x_"), "x_node").join(side(info, "y_"), "y_node").where(plausible("x_", "y_")).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+        waiting = materialize(apart(waiting.unionByName(more).distinct()).select("a", "b").join(done, ["a", "b"], "left_anti"))
+    open_ = named(rest.where("node <> center"), "node", "part").drop("center").join(info, "node")
     across = side(open_, "x_").join(side(open_, "y_"), (F.col("x_sig") == F.col("y_sig")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & plausible("x_", "y_"))
-    late = materialize(rest.unionByName(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))).distinct())
-    # one pair for each two components, then what these have not joined
-    one = materialize(apart(late).groupBy("pa", "pb").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*"))
-    edges = edges.unionByName(verify(one))
+    late = materialize(waiting.unionByName(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))).distinct().join(done, ["a", "b"], "left_anti"))
+    chosen = one(late)
+    edges = edges.unionByName(verify(chosen))
     part = connected_components(edges)
-    last = apart(late).select("a", "b").join(one, ["a", "b"], "left_anti")
+    last = apart(late).select("a", "b").join(chosen, ["a", "b"], "left_anti")
     return connected_components(edges.unionByName(verify(materialize(last))))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .mixing import plan
 from .ngram_join import ngram_join
 from .quality import assess
@@ -124,3 +125,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_ngram_join"] = op7_ngram_join
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_language_id"] = op6_language_id
