@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .html_extract import main_text
 from .language_id import identify
 from .mixing import plan
 from .ngram_join import ngram_join
 from .quality import assess
 from .sentencepiece_codec import digest
 from .sharding import assign
+from .substring_dedup import repeats
 from .url_filter import judge
 
 URL_RULES = (
@@ -132,3 +134,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_language_id"] = op6_language_id
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {"op4_substring_dedup": op4_substring_dedup, "op9_html_extract": op9_html_extract}
