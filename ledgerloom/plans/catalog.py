@@ -5,6 +5,304 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import scalar
+from ledgerloom.operators import latency, ledger, limits, pricing, rollups
+from ledgerloom.sources.carriers import BLOCKS_SQL, QUOTES_SQL, USAGE_SQL, blocks, quotes, table, usage
+from ledgerloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, of: str = ""):
+    """Registers a query and its SQL; of names the views that the SQL starts from."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = f"WITH {of}{', ' if of and sql.startswith('WITH ') else ''}{sql.removeprefix('WITH ') if sql.startswith('WITH ') else ' ' + sql}" if of else sql
+        return f
+
+    return add
+
+
+_SUMS = "count(*) AS responses, sum(input)::BIGINT AS input, sum(cached)::BIGINT AS cached, sum(output)::BIGINT AS output, sum(reasoning)::BIGINT AS reasoning, sum(cached)::BIGINT / nullif(sum(input)::BIGINT, 0)::DOUBLE AS cache_hit"
+
+
+@query("totals", "SELECT count(*) AS responses, count(DISTINCT stream) AS streams, sum(input)::BIGINT AS input, sum(cached)::BIGINT AS cached, sum(output)::BIGINT AS output, sum(reasoning)::BIGINT AS reasoning, sum(input - cached)::BIGINT AS uncached FROM u", USAGE_SQL)
+def _(spark, d):
+    return rollups.totals(usage(spark, d))
+
+
+for _name, _keys in {"daily_by_model": ("day", "model"), "by_model": ("model",), "by_effort": ("effort",), "tier_partition": ("day", "tier"), "cache_hit": ("stream",)}.items():
+    query(_name, f"SELECT {', '.join(_keys)}, {_SUMS} FROM u GROUP BY {', '.join(_keys)}", USAGE_SQL)(lambda spark, d, keys=_keys: rollups.rollup(usage(spark, d), *keys))
+
+
+@query("by_session", "WITH m AS (SELECT stream, model, sum(input) AS i FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY i DESC, model) AS n FROM m), s AS (SELECT stream, count(*) AS responses, sum(input)::BIGINT AS input, min(t) AS first_t, max(t) AS last_t FROM u GROUP BY stream) SELECT s.*, r.model FROM s JOIN r USING (stream) WHERE n = 1", USAGE_SQL)
+def _(spark, d):
+    return rollups.sessions(usage(spark, d))
+
+
+for _name, _from in {"active_seconds_r": "u", "active_seconds_t": "(SELECT DISTINCT stream, t FROM u)"}.items():
+    query(_name, f"WITH g AS (SELECT stream, t - lag(t) OVER (PARTITION BY stream ORDER BY t) AS gap FROM {_from}) SELECT stream, coalesce(sum(gap) FILTER (gap BETWEEN 0 AND 1800), 0)::BIGINT AS active_s FROM g GROUP BY stream", USAGE_SQL)(lambda spark, d, distinct=_name.endswith("t"): rollups.active_seconds(usage(spark, d), distinct))
+
+
+_HOURLY = "SELECT (t // 3600) * 3600 AS bucket, model AS category, count(*) AS items, sum(output)::BIGINT AS tokens FROM u GROUP BY ALL"
+
+
+@query("hourly_category_series", _HOURLY, USAGE_SQL)
+def _(spark, d):
+    return rollups.hourly(usage(spark, d), "model")
+
+
+@query("viewport_pie", f"WITH h AS ({_HOURLY}), lim AS (SELECT min(bucket) + 5000 AS lo, max(bucket) - 5000 AS hi FROM h) SELECT category, sum(tokens)::BIGINT AS tokens FROM h, lim WHERE bucket < hi AND bucket + 3600 > lo GROUP BY category", USAGE_SQL)
+def _(spark, d):
+    series = rollups.hourly(usage(spark, d), "model")
+    low, high = usage(spark, d).agg(F.expr("(min(t) div 3600) * 3600 + 5000"), F.expr("(max(t) div 3600) * 3600 - 5000")).first()
+    return rollups.in_view(series, low, high)
+
+
+@query("category_bytes", "SELECT role AS category, count(*) AS items, sum(strlen(text))::BIGINT AS bytes, count(DISTINCT sha256(text)) AS distinct_texts FROM conversations GROUP BY role")
+def _(spark, d):
+    return table(spark, d, "conversations").groupBy(F.col("role").alias("category")).agg(F.count("*").alias("items"), F.sum(F.octet_length("text")).alias("bytes"), F.countDistinct(F.sha2("text", 256)).alias("distinct_texts"))
+
+
+@query("content_dedup", "WITH r AS (SELECT *, sha256(text) AS digest, row_number() OVER (PARTITION BY role, sha256(text) ORDER BY conv_id, turn) AS n, count(*) OVER (PARTITION BY role, sha256(text)) AS copies FROM conversations) SELECT conv_id, turn, role, digest, copies FROM r WHERE n = 1", "z AS (SELECT 1)")
+def _(spark, d):
+    rows = table(spark, d, "conversations").withColumn("digest", F.sha2("text", 256))
+    copies = rows.groupBy("role", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("conv_id", "turn")).alias("first"))
+    return copies.select("first.conv_id", "first.turn", "role", "digest", "copies")
+
+
+@query("dedup_first_response", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY stream, k ORDER BY t, response_id) AS n FROM u) SELECT response_id, stream, k, t FROM r WHERE n = 1", USAGE_SQL)
+def _(spark, d):
+    return ledger.first_response(usage(spark, d), "stream", "k", ["t", "response_id"]).select("response_id", "stream", "k", "t")
+
+
+@query("repeat_collapse", "WITH r AS (SELECT *, lag({'model': model, 'tier': tier}) OVER (PARTITION BY stream ORDER BY t, response_id) AS b FROM u) SELECT response_id, stream, model, tier FROM r WHERE b IS NULL OR b.model IS DISTINCT FROM model OR b.tier IS DISTINCT FROM tier", USAGE_SQL)
+def _(spark, d):
+    return ledger.collapse_repeats(usage(spark, d), "stream", ["t", "response_id"], ["model", "tier"]).select("response_id", "stream", "model", "tier")
+
+
+@query("context_snapshot_filter", "SELECT stream, count(*) FILTER (k % 7 = 0) AS snapshots, count(*) FILTER (k % 7 <> 0) AS responses FROM u GROUP BY stream", USAGE_SQL)
+def _(spark, d):
+    zeroed = usage(spark, d).select("stream", F.expr("IF(k % 7 = 0, 0, 1)").alias("input"), F.lit(0).alias("output"), F.lit(1).alias("total"))
+    snapshot = ledger.is_context_snapshot()
+    return zeroed.groupBy("stream").agg(F.count_if(snapshot).alias("snapshots"), F.count_if(~snapshot).alias("responses"))
+
+
+@query("terminal_block", "SELECT response, copy, arg_max(output, {'b': block, 'o': output}) AS output, max(block) AS block, count(DISTINCT prompt) > 1 AS conflict FROM b GROUP BY response, copy", BLOCKS_SQL)
+def _(spark, d):
+    return ledger.terminal_blocks(blocks(spark, d))
+
+
+@query("owner_choice", "WITH c AS (SELECT response, copy, arg_max(output, {'b': block, 'o': output}) AS output, max(block) AS block FROM b GROUP BY response, copy), r AS (SELECT *, count(*) OVER (PARTITION BY response) AS copies, row_number() OVER (PARTITION BY response ORDER BY output DESC, copy) AS n FROM c) SELECT response, copy, output, copies FROM r WHERE n = 1", BLOCKS_SQL)
+def _(spark, d):
+    return ledger.owners(ledger.terminal_blocks(blocks(spark, d)), [F.desc("output"), "copy"]).select("response", "copy", "output", "copies")
+
+
+@query("ancestor_chain", "WITH RECURSIVE n AS (SELECT DISTINCT user_id AS node, CASE WHEN user_id > 0 THEN user_id // 2 END AS parent FROM events UNION SELECT DISTINCT user_id // 2, CASE WHEN user_id // 2 > 0 THEN user_id // 4 END FROM events UNION SELECT 0, NULL), c AS (SELECT node, parent AS ancestor, 1::BIGINT AS distance FROM n WHERE parent IS NOT NULL AND parent <> node UNION ALL SELECT c.node, n.parent, c.distance + 1 FROM c JOIN n ON n.node = c.ancestor WHERE n.parent IS NOT NULL AND n.parent <> n.node) SELECT * FROM c")
+def _(spark, d):
+    users = table(spark, d, "events").select(F.col("user_id").alias("node"))
+    nodes = users.union(users.selectExpr("node div 2")).union(users.limit(1).selectExpr("0L")).distinct()
+    return ledger.ancestors(nodes.withColumn("parent", F.expr("IF(node > 0, node div 2, NULL)")), "node", "parent")
+
+
+_CHILD = "s AS (SELECT stream, model, row_number() OVER (PARTITION BY stream ORDER BY t, response_id) AS pos FROM u), p AS (SELECT a.stream AS child, a.pos, a.model AS state FROM s a), h AS (SELECT c.child, b.stream AS ancestor, b.pos, b.model AS state FROM (SELECT DISTINCT child FROM p WHERE child > 0) c JOIN s b ON b.stream = c.child // 2), j AS (SELECT p.child, h.ancestor, h.pos - p.pos AS off, p.pos FROM p JOIN h ON p.child = h.child AND p.state = h.state), k AS (SELECT *, row_number() OVER (PARTITION BY child, ancestor, off ORDER BY pos) AS nth FROM j)"
+
+
+@query("leading_replay", f"WITH {_CHILD} SELECT child, max(pos) AS n FROM k WHERE nth = pos GROUP BY child", USAGE_SQL)
+def _(spark, d):
+    from pyspark.sql import Window
+
+    rows = usage(spark, d).select("stream", F.col("model").alias("state"), F.row_number().over(Window.partitionBy("stream").orderBy("t", "response_id")).cast("long").alias("pos"))
+    children = rows.where("stream > 0").withColumnRenamed("stream", "child")
+    links = children.select("child").distinct().withColumn("ancestor", F.expr("child div 2"))
+    return ledger.leading_replay(children, links.join(rows.withColumnRenamed("stream", "ancestor"), "ancestor"))
+
+
+@query("tier_carry_forward", "SELECT response_id, coalesce(last_value(tier IGNORE NULLS) OVER w, first_value(tier IGNORE NULLS) OVER v) AS tier, last_value(tier IGNORE NULLS) OVER w IS NULL AND first_value(tier IGNORE NULLS) OVER v IS NOT NULL AS inferred FROM u WINDOW w AS (PARTITION BY stream ORDER BY t, response_id ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY stream ORDER BY t, response_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", USAGE_SQL)
+def _(spark, d):
+    return ledger.carry_forward(usage(spark, d), "stream", ["t", "response_id"], "tier").select("response_id", F.col("tier_carried").alias("tier"), F.col("tier_inferred").alias("inferred"))
+
+
+@query("opening_burst", "WITH m AS (SELECT *, max(t) OVER (PARTITION BY stream ORDER BY t, response_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM u), b AS (SELECT response_id, sum(CASE WHEN t - m > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY t, response_id ROWS UNBOUNDED PRECEDING) = 0 AS in_burst FROM m) SELECT * FROM b", USAGE_SQL)
+def _(spark, d):
+    return ledger.opening_burst(usage(spark, d), "stream", "t", ["t", "response_id"], 3600).select("response_id", "in_burst")
+
+
+_MERGED = "g AS (SELECT resets_at, count(*) AS n, min(t) AS first_t, max(t) AS last_t, min(percent) AS low, max(percent) AS high, arg_min(percent, {'t': t, 'r': response_id}) AS first_percent, arg_max(percent, {'t': t, 'r': response_id}) AS last_percent FROM q GROUP BY resets_at)"
+_CLUSTERS = _MERGED + ", c1 AS (SELECT *, CASE WHEN resets_at - lag(resets_at) OVER (ORDER BY resets_at) > 3600 THEN 1 ELSE 0 END AS nw FROM g), c2 AS (SELECT *, sum(nw) OVER (ORDER BY resets_at)::BIGINT AS cluster FROM c1), c AS (SELECT cluster, min(resets_at) AS reset_low, max(resets_at) AS reset_at, min(first_t) AS first_t, max(last_t) AS last_t, max(high) AS peak, sum(n)::BIGINT AS n FROM c2 GROUP BY cluster)"
+_BOUNDS = _CLUSTERS + ", w AS (SELECT cluster, first_t AS start_t, lead(first_t) OVER (ORDER BY first_t, cluster) AS end_t, reset_at, peak, lead(first_t) OVER (ORDER BY first_t, cluster) > reset_at AS gap_after FROM c WHERE peak > 0)"
+_Q = f"{USAGE_SQL}, {QUOTES_SQL}"
+
+
+def _clusters(spark, d):
+    return limits.chain_clusters(limits.merge_quotes(quotes(spark, d)))
+
+
+@query("quote_merge", f"WITH {_MERGED} SELECT * FROM g", _Q)
+def _(spark, d):
+    return limits.merge_quotes(quotes(spark, d))
+
+
+@query("reset_cluster_chain", f"WITH {_CLUSTERS} SELECT * FROM c", _Q)
+def _(spark, d):
+    return _clusters(spark, d)
+
+
+@query("window_boundaries", f"WITH {_BOUNDS} SELECT * FROM w", _Q)
+def _(spark, d):
+    return limits.boundaries(_clusters(spark, d))
+
+
+@query("asof_window", f"WITH {_BOUNDS} SELECT response_id, cluster FROM u ASOF LEFT JOIN w ON u.t >= w.start_t", _Q)
+def _(spark, d):
+    marks = limits.boundaries(_clusters(spark, d))
+    days = usage(spark, d).select("response_id", "t")
+    # windows are few: each one's interval is cut into days, so that no key holds all rows
+    spans = marks.select("cluster", "start_t", F.coalesce("end_t", F.lit(4_102_444_800)).alias("end_t"))
+    inside = limits.in_intervals(days, spans, "t", "start_t", "end_t", 86_400).select("response_id", "cluster")
+    return days.select("response_id").join(inside, "response_id", "left")
+
+
+@query("asof_tier", "WITH m AS (SELECT stream, t, arg_max(tier, response_id) AS tier FROM u WHERE tier IS NOT NULL GROUP BY stream, t) SELECT u.response_id, m.tier FROM u ASOF LEFT JOIN m ON u.stream = m.stream AND u.t >= m.t", USAGE_SQL)
+def _(spark, d):
+    rows = usage(spark, d)
+    marks = rows.where("tier is not null").groupBy("stream", "t").agg(F.max_by("tier", "response_id").alias("tier"))
+    return limits.as_of(rows.select("response_id", "stream", "t"), marks, ["stream"], "t", "t", "tier").select("response_id", "tier")
+
+
+@query("interval_window_join", f"WITH {_CLUSTERS} SELECT c.cluster, count(*) AS responses, sum(u.input)::BIGINT AS input FROM u JOIN c ON u.t >= c.reset_at - 604800 AND u.t < c.reset_at GROUP BY c.cluster", _Q)
+def _(spark, d):
+    spans = _clusters(spark, d).select("cluster", F.expr("reset_at - 604800").alias("start_t"), F.col("reset_at").alias("end_t"))
+    return limits.in_intervals(usage(spark, d), spans, "t", "start_t", "end_t", 86_400).groupBy("cluster").agg(F.count("*").alias("responses"), F.sum("input").alias("input"))
+
+
+@query("curve_cumulative", "SELECT response_id, sum(input + output) OVER (PARTITION BY stream, t // 604800 ORDER BY t, response_id ROWS UNBOUNDED PRECEDING)::BIGINT AS tokens FROM u", USAGE_SQL)
+def _(spark, d):
+    rows = usage(spark, d).withColumn("week", F.expr("t div 604800")).withColumn("total", F.col("input") + F.col("output"))
+    return rows.select("response_id", limits.running(rows, ["stream", "week"], ["t", "response_id"], "total").alias("tokens"))
+
+
+@query("bucket_last", "SELECT stream, (t // 900) * 900 AS bucket, arg_max(percent, {'t': t, 'r': response_id}) AS percent FROM q GROUP BY ALL", _Q)
+def _(spark, d):
+    return limits.bucket_last(quotes(spark, d), ["stream"], "t", ["t", "response_id"], "percent")
+
+
+@query("downsample_120", "WITH n AS (SELECT response_id, model, row_number() OVER (PARTITION BY model ORDER BY t, response_id) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM u), s AS (SELECT DISTINCT n.model, (j * n.n) // 119 AS i FROM (SELECT DISTINCT model, n FROM n) n, range(119) r(j) UNION SELECT DISTINCT model, n - 1 FROM n) SELECT n.model, n.response_id, n.i FROM n LEFT JOIN s USING (model, i) WHERE n.n <= 120 OR s.model IS NOT NULL", USAGE_SQL)
+def _(spark, d):
+    return limits.downsample(usage(spark, d), ["model"], ["t", "response_id"]).select("model", "response_id", "i")
+
+
+@query("observation_span", "WITH l AS (SELECT *, max(percent) OVER (PARTITION BY stream) AS pk, lag(percent) OVER w AS bp, lag(t) OVER w AS bt FROM q WINDOW w AS (PARTITION BY stream ORDER BY t, percent, response_id)) SELECT stream, min(t) AS first_t, max(percent) AS peak, min(t) FILTER (percent = pk) AS peak_t, max(t) AS last_t, count(*) FILTER (percent < bp AND t > bt) AS falls, count(*) FILTER (percent <> bp AND t = bt) AS conflicts FROM l GROUP BY stream", _Q)
+def _(spark, d):
+    return limits.observation_span(quotes(spark, d), "stream")
+
+
+@query("limit_events_daily", "SELECT day, count(*) AS n FROM u WHERE model = 'error' GROUP BY day", USAGE_SQL)
+def _(spark, d):
+    return usage(spark, d).where("model = 'error'").groupBy("day").agg(F.count("*").alias("n"))
+
+
+_TIMED = "l0 AS (SELECT *, t - max(t) OVER (PARTITION BY stream ORDER BY t, response_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seconds FROM u), l AS (SELECT *, CASE WHEN seconds IS NULL THEN 'no_start' WHEN seconds <= 0 THEN 'not_positive' WHEN seconds > 3600 THEN 'too_long' END AS reason FROM l0)"
+_STATS = "count(*) AS n, sum(seconds)::BIGINT AS total, quantile_cont(seconds, 0.5) AS median, quantile_cont(seconds, 0.9) AS p90"
+
+
+@query("latency_samples", f"WITH {_TIMED} SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM l GROUP BY 1", USAGE_SQL)
+def _(spark, d):
+    return latency.samples(usage(spark, d)).groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+for _name, _keys in {"latency_by_group": ("model", "effort"), "latency_daily": ("day",), "latency_by_tier": ("model", "effort", "tier")}.items():
+    query(_name, f"WITH {_TIMED} SELECT {', '.join(_keys)}, {_STATS} FROM l WHERE reason IS NULL GROUP BY {', '.join(_keys)}", USAGE_SQL)(lambda spark, d, keys=_keys: latency.summary(latency.samples(usage(spark, d)), *keys))
+
+
+@query("latency_hourly", f"WITH {_TIMED} SELECT ((t - seconds) // 3600) % 24 AS hour, {_STATS} FROM l WHERE reason IS NULL GROUP BY 1", USAGE_SQL)
+def _(spark, d):
+    return latency.summary(latency.samples(usage(spark, d)).withColumn("hour", F.expr("((t - seconds) div 3600) % 24")), "hour")
+
+
+@query("pace_lines")
+def _(spark, d):
+    return latency.pace_lines(latency.samples(usage(spark, d)), "model")
+
+
+_PRICES = "pr(model, tier, rate_in, rate_cached, rate_out, rate_long) AS (VALUES " + ", ".join(f"('{m}', '{t}', {a}, {b}, {c}, {'NULL' if x is None else x})" for m, t, a, b, c, x in pricing.PRICES) + ")"
+_PRICED = f"{_PRICES}, lg AS (SELECT DISTINCT model FROM pr WHERE rate_long IS NOT NULL), v0 AS (SELECT u.*, pr.rate_in, pr.rate_cached, pr.rate_out, pr.rate_long, u.model IN (SELECT model FROM lg) AND u.input > {pricing.LONG_FROM} AS is_long, u.model IN (SELECT model FROM pr) AS known FROM u LEFT JOIN pr ON pr.model = u.model AND pr.tier = coalesce(u.tier, 'standard')), v1 AS (SELECT *, CASE WHEN NOT known THEN 'model' WHEN rate_in IS NULL THEN 'tier' WHEN is_long AND rate_long IS NULL THEN 'long_context' END AS reason FROM v0), v AS (SELECT *, CASE WHEN reason IS NULL THEN (input - cached) * (CASE WHEN is_long THEN rate_long ELSE rate_in END) + cached * rate_cached + output * rate_out END AS micros FROM v1)"
+
+
+@query("price_rows", f"WITH {_PRICED} SELECT response_id, reason, micros::BIGINT AS micros FROM v", USAGE_SQL)
+def _(spark, d):
+    return pricing.price(usage(spark, d), pricing.prices(spark)).select("response_id", "reason", "micros")
+
+
+@query("price_by_model", f"WITH {_PRICED} SELECT model, count(*) AS responses, count(micros) AS priced, sum(micros)::BIGINT AS micros FROM v GROUP BY model", USAGE_SQL)
+def _(spark, d):
+    return pricing.price(usage(spark, d), pricing.prices(spark)).groupBy("model").agg(F.count("*").alias("responses"), F.count("micros").alias("priced"), F.sum("micros").alias("micros"))
+
+
+@query("unpriced_reasons", f"WITH {_PRICED} SELECT reason, model, count(*) AS n FROM v WHERE reason IS NOT NULL GROUP BY ALL ORDER BY n DESC, reason, model LIMIT 20", USAGE_SQL)
+def _(spark, d):
+    return pricing.price(usage(spark, d), pricing.prices(spark)).where("reason is not null").groupBy("reason", "model").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason", "model").limit(20)
+
+
+@query("topk_sessions_month", "WITH g AS (SELECT strftime(day, '%Y-%m') AS month, stream, input, t - lag(t) OVER (PARTITION BY strftime(day, '%Y-%m'), stream ORDER BY t) AS gap FROM u), s AS (SELECT month, stream, coalesce(sum(gap) FILTER (gap BETWEEN 0 AND 1800), 0)::BIGINT AS active_s, sum(input)::BIGINT AS input FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY active_s DESC, stream) AS a, row_number() OVER (PARTITION BY month ORDER BY input DESC, stream) AS b FROM s) SELECT month, stream, active_s, input FROM r WHERE a <= 10 OR b <= 10", USAGE_SQL)
+def _(spark, d):
+    return rollups.monthly_sessions(usage(spark, d))
+
+
+@query("hot_items_topk", "WITH r AS (SELECT response_id, model, input, row_number() OVER (PARTITION BY model ORDER BY input DESC, response_id) AS rank FROM u) SELECT response_id, model, input, rank::INT AS rank FROM r WHERE rank <= 10", USAGE_SQL)
+def _(spark, d):
+    return rollups.top_per_group(usage(spark, d), "model", [F.desc("input"), F.col("response_id")], 10).select("response_id", "model", "input", "rank")
+
+
+@query("models_top_other", "WITH m AS (SELECT model, count(*) AS c, sum(input) AS i FROM u GROUP BY model), r AS (SELECT *, row_number() OVER (ORDER BY i DESC, model) AS n FROM m) SELECT CASE WHEN n <= 3 THEN model ELSE 'other' END AS model, sum(c)::BIGINT AS responses, sum(i)::BIGINT AS input FROM r GROUP BY 1", USAGE_SQL)
+def _(spark, d):
+    return rollups.top_or_other(usage(spark, d), 3)
+
+
+@query("session_hash", "SELECT c_custkey, substr(sha256('demo:' || c_custkey::VARCHAR), 1, 16) AS hash FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer").select("c_custkey", scalar.session_hash("demo:", F.col("c_custkey")).alias("hash"))
+
+
+@query("image_patch_tokens", "SELECT p_partkey, least(ceil(p_partkey % 2000 / 32.0) * ceil(p_size * 37 / 32.0), 1536)::BIGINT AS tokens FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", scalar.patch_tokens(F.col("p_partkey") % 2000, F.col("p_size") * 37).alias("tokens"))
+
+
+@query("image_tile_tokens", "SELECT p_partkey, (85 + 170 * ceil(p_partkey % 2000 / 512.0) * ceil(p_size * 37 / 512.0))::BIGINT AS tokens FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", scalar.tile_tokens(F.col("p_partkey") % 2000, F.col("p_size") * 37).alias("tokens"))
+
+
+_RULES = {"zero_responses": "responses <= 0", "cached_over_input": "cached > input", "reasoning_over_output": "reasoning > output", "input_bound": "input > 20000000000", "before_start": "day < DATE '2025-04-01'"}
+
+
+@query("validate_days", f"WITH d AS (SELECT day, {_SUMS} FROM u GROUP BY day) " + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER ({v}) AS n FROM d" for k, v in _RULES.items()), USAGE_SQL)
+def _(spark, d):
+    return rollups.violations(rollups.rollup(usage(spark, d), "day"))
+
+
+@query("residual", "SELECT day, sum(input)::BIGINT AS reported, sum(cached + reasoning)::BIGINT AS rebuilt, (sum(input) - sum(cached + reasoning))::BIGINT AS difference, sum(cached + reasoning)::DOUBLE / nullif(sum(input), 0) AS coverage FROM u GROUP BY day", USAGE_SQL)
+def _(spark, d):
+    return usage(spark, d).groupBy("day").agg(F.sum("input").alias("reported"), F.sum(F.col("cached") + F.col("reasoning")).alias("rebuilt")).withColumn("difference", F.col("reported") - F.col("rebuilt")).withColumn("coverage", rollups.ratio("rebuilt", "reported"))
+
+
+@query("damage_counters", "SELECT count(*) AS records, count(*) FILTER (k IS NULL) AS damaged, count(*) FILTER (k % 5 = 0) AS suspect FROM u", USAGE_SQL)
+def _(spark, d):
+    parsed = table(spark, d, "events").select(F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+    return parsed.agg(F.count("*").alias("records"), F.count_if(F.col("k").isNull()).alias("damaged"), F.count_if(F.col("k") % 5 == 0).alias("suspect"))
+
+
+@query("stream_hourly", "SELECT (t // 3600) * 3600 AS bucket, model AS event_type, count(*) AS n FROM u GROUP BY ALL", USAGE_SQL)
+def _(spark, d):
+    return streams.hourly_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query("stream_sessions", "WITH x AS (SELECT user_id, ts, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 1800 THEN 0 ELSE 1 END AS nw FROM events), y AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start_t, floor(epoch(max(ts)))::BIGINT + 1800 AS end_t, count(*) AS n FROM y GROUP BY user_id, s", "z AS (SELECT 1)")
+def _(spark, d):
+    return streams.session_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
