@@ -23,6 +23,8 @@ from .common import materialize
 
 #: Distinct words whose hashes a task remembers. Bounds memory only.
 REMEMBERED = 400_000
+#: Narrow rows that a task takes at least where their number is counted; 4 tasks share fewer.
+ROWS_A_TASK = 250_000
 #: How many centres of a bucket are held against its other nodes before all pairs are.
 CENTRES = 2
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -99,28 +101,37 @@ def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def tasks(rows: int) -> int:
+    """How many tasks take so many narrow rows. Each task that feeds an exchange writes files of
+    its own, so hundreds for a few rows cost more disk than the rows."""
+    return max(4, -(-rows // ROWS_A_TASK))
+
+
 def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], info: DataFrame, plausible: Callable[[str, str], Column], percent: int) -> DataFrame:
     """(node, component) of all nodes with links, from members (sig, node, center, many).
 
     fetch(nodes) gives (node, shingles) of these nodes. info has node and what plausible, a
     condition without false negatives on the columns of two sides, needs.
     """
+    few = tasks(members.count())
+    members = members.coalesce(few)
+    put = lambda df, times=1: materialize(df.coalesce(times * few))
     side = lambda df, s: df.select([F.col(c).alias(f"{s}{c}") for c in df.columns])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        return materialize(alike(pairs, materialize(fetch(nodes)), percent))
+        nodes = put(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        return put(alike(pairs, put(fetch(nodes), 4), percent))
 
     spokes = members.where("node <> center").groupBy(F.col("center").alias("x_node"), F.col("node").alias("y_node")).agg(F.count("*").alias("n"))
-    spokes = spokes.join(side(info, "x_"), "x_node").join(side(info, "y_"), "y_node").where(plausible("x_", "y_"))
-    spokes = materialize(spokes.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "n"))
-    first = materialize(spokes.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
+    spokes = spokes.coalesce(few).join(side(info, "x_"), "x_node").coalesce(4 * few).join(side(info, "y_"), "y_node").where(plausible("x_", "y_"))
+    spokes = put(spokes.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "n"))
+    first = put(spokes.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
     edges = verify(first)
     part = connected_components(edges)
-    named = lambda df, node, name: df.join(side(part, "_"), F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", node)).drop("_node", "_component")
+    named = lambda df, node, name: df.join(side(part, "_"), F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", node)).drop("_node", "_component").coalesce(few)
     apart = lambda pairs: named(named(pairs, "a", "pa"), "b", "pb").where("pa <> pb")
-    one = lambda pairs: materialize(apart(pairs).groupBy("pa", "pb").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*"))
-    done, waiting, rest = first, spokes.select("a", "b"), members.where("many").select("sig", "node", "center").distinct()
+    one = lambda pairs: put(apart(pairs).groupBy("pa", "pb").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*"))
+    done, waiting, rest = first, spokes.select("a", "b"), members.where("many").select("sig", "node", "center").distinct().coalesce(few)
     for _ in range(CENTRES):
         # the centre has been held against all others of its bucket; the next one follows, where parts are left
         chosen = one(waiting.join(done, ["a", "b"], "left_anti"))
@@ -130,18 +141,18 @@ def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], info: Data
         placed = named(rest, "node", "part")
         mixed = placed.groupBy("sig").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.min("node").alias("center"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_all")).where("_low <> _high")
         # buckets of the same nodes are one
-        rest = materialize(rest.join(mixed.dropDuplicates(["_n", "_all"]).select("sig", "center"), "sig"))
+        rest = put(rest.join(mixed.dropDuplicates(["_n", "_all"]).select("sig", "center"), "sig"))
         more = rest.where("node <> center").select(F.col("center").alias("x_node"), F.col("node").alias("y_node")).distinct()
         more = more.join(side(info, "x_"), "x_node").join(side(info, "y_"), "y_node").where(plausible("x_", "y_")).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
-        waiting = materialize(apart(waiting.unionByName(more).distinct()).select("a", "b").join(done, ["a", "b"], "left_anti"))
+        waiting = put(apart(waiting.unionByName(more).distinct()).select("a", "b").join(done, ["a", "b"], "left_anti"))
     open_ = named(rest.where("node <> center"), "node", "part").drop("center").join(info, "node")
     across = side(open_, "x_").join(side(open_, "y_"), (F.col("x_sig") == F.col("y_sig")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & plausible("x_", "y_"))
-    late = materialize(waiting.unionByName(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))).distinct().join(done, ["a", "b"], "left_anti"))
+    late = put(waiting.unionByName(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))).distinct().join(done, ["a", "b"], "left_anti"))
     chosen = one(late)
     edges = edges.unionByName(verify(chosen))
     part = connected_components(edges)
     last = apart(late).select("a", "b").join(chosen, ["a", "b"], "left_anti")
-    return connected_components(edges.unionByName(verify(materialize(last))))
+    return connected_components(edges.unionByName(verify(put(last))))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,7 +170,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     smallest node, a few rounds even for long chains. All on the executors; a round's
     edges are checkpointed, and only their count and checksum come to the driver.
     """
-    larger = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    few = tasks(edges.count())
+    larger = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).coalesce(few).distinct().coalesce(few)
     now, mark = materialize(larger(edges)), None
     while True:
         state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()

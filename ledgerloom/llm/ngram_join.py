@@ -183,7 +183,7 @@ def plausible(percent: int):
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     rows = materialize(features(docs, k, doc_id, text))
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"))
+    nodes = materialize(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id")))
     members = crowded(signature_rows(docs, k, percent, common_shingles(docs, k, text), doc_id, text), 2 * partitions(docs.sparkSession))
     info = materialize(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     fetch = lambda asked: shingle_sets(docs, bounded(nodes.join(asked, "node").select(F.col("first_id").alias("doc_id"), "node")), k, doc_id, text)
