@@ -119,24 +119,33 @@ def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], info: Data
     side = lambda df, s: df.select([F.col(c).alias(f"{s}{c}") for c in df.columns])
 
     def verify(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
         nodes = put(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         return put(alike(pairs, put(fetch(nodes), 4), percent))
 
+    def joined(part: DataFrame, pairs: DataFrame) -> DataFrame:
+        """part, with the pairs that are verified; parts that are found stay stars."""
+        fresh = verify(pairs)
+        if fresh.isEmpty():
+            return part
+        return put(connected_components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh), few))
+
     spokes = members.where("node <> center").groupBy(F.col("center").alias("x_node"), F.col("node").alias("y_node")).agg(F.count("*").alias("n"))
     spokes = spokes.coalesce(few).join(side(info, "x_"), "x_node").coalesce(4 * few).join(side(info, "y_"), "y_node").where(plausible("x_", "y_"))
     spokes = put(spokes.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "n"))
     first = put(spokes.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
-    edges = verify(first)
-    part = connected_components(edges)
+    part = put(connected_components(verify(first), few))
     named = lambda df, node, name: df.join(side(part, "_"), F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", node)).drop("_node", "_component").coalesce(few)
     apart = lambda pairs: named(named(pairs, "a", "pa"), "b", "pb").where("pa <> pb")
     one = lambda pairs: put(apart(pairs).groupBy("pa", "pb").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*"))
-    done, waiting, rest = first, spokes.select("a", "b"), members.where("many").select("sig", "node", "center").distinct().coalesce(few)
+    done, waiting, rest = first, spokes.select("a", "b"), put(members.where("many").select("sig", "node", "center").distinct())
     for _ in range(CENTRES):
         # the centre has been held against all others of its bucket; the next one follows, where parts are left
         chosen = one(waiting.join(done, ["a", "b"], "left_anti"))
-        done, edges = done.unionByName(chosen), edges.unionByName(verify(chosen))
-        part = connected_components(edges)
+        done, part = done.unionByName(chosen), joined(part, chosen)
+        if rest.isEmpty():
+            break
         rest = rest.where("node <> center").drop("center")
         placed = named(rest, "node", "part")
         mixed = placed.groupBy("sig").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.min("node").alias("center"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_all")).where("_low <> _high")
@@ -144,15 +153,18 @@ def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], info: Data
         rest = put(rest.join(mixed.dropDuplicates(["_n", "_all"]).select("sig", "center"), "sig"))
         more = rest.where("node <> center").select(F.col("center").alias("x_node"), F.col("node").alias("y_node")).distinct()
         more = more.join(side(info, "x_"), "x_node").join(side(info, "y_"), "y_node").where(plausible("x_", "y_")).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+        if rest.isEmpty():
+            continue
         waiting = put(apart(waiting.unionByName(more).distinct()).select("a", "b").join(done, ["a", "b"], "left_anti"))
-    open_ = named(rest.where("node <> center"), "node", "part").drop("center").join(info, "node")
-    across = side(open_, "x_").join(side(open_, "y_"), (F.col("x_sig") == F.col("y_sig")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & plausible("x_", "y_"))
-    late = put(waiting.unionByName(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))).distinct().join(done, ["a", "b"], "left_anti"))
+    late = waiting
+    if not rest.isEmpty():
+        open_ = named(rest.where("node <> center"), "node", "part").drop("center").join(info, "node")
+        across = side(open_, "x_").join(side(open_, "y_"), (F.col("x_sig") == F.col("y_sig")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & plausible("x_", "y_"))
+        late = late.unionByName(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))).distinct()
+    late = put(late.join(done, ["a", "b"], "left_anti"))
     chosen = one(late)
-    edges = edges.unionByName(verify(chosen))
-    part = connected_components(edges)
-    last = apart(late).select("a", "b").join(chosen, ["a", "b"], "left_anti")
-    return connected_components(edges.unionByName(verify(put(last))))
+    part = joined(part, chosen)
+    return joined(part, put(apart(late).select("a", "b").join(chosen, ["a", "b"], "left_anti")))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,14 +175,14 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both * 100 >= union * percent).select("a", "b")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) from edges (a, b): the smallest node that links reach.
+def connected_components(edges: DataFrame, few: int | None = None) -> DataFrame:
+    """(node, component) from edges (a, b): the smallest node that links reach. few tasks take the edges.
 
     Alternates large stars and small stars until every edge points at its component's
     smallest node, a few rounds even for long chains. All on the executors; a round's
     edges are checkpointed, and only their count and checksum come to the driver.
     """
-    few = tasks(edges.count())
+    few = few or tasks(edges.count())
     larger = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).coalesce(few).distinct().coalesce(few)
     now, mark = materialize(larger(edges)), None
     while True:
