@@ -33,11 +33,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder all executors share.
 
     spark.checkpoint.dir of the session decides where; only a session without one
-    (tests) gets a folder of its own.
+    (tests) gets a folder of its own. The driver's JVM is asked to collect first: Spark removes
+    the shuffle files, plans and generated classes of frames that nobody holds only then, which in
+    a long chain of rounds would fill disks and the driver.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    df.sparkSession._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
