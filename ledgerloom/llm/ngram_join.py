@@ -78,8 +78,9 @@ def signatures(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.nda
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The parities of 2 to 4 times as many bits as the set has shingles, 128 at least."""
-    bits = 2 << max(len(shingles).bit_length(), 6)
+    """The parities of 2 to 4 times as many bits as the set has shingles, 4,096 at least: shingles
+    of short texts then seldom share a bit, and the screen is nearly exact."""
+    bits = 2 << max(len(shingles).bit_length(), 11)
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
