@@ -84,6 +84,30 @@ def digest(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def sketch(shingles: np.ndarray, least: int) -> np.ndarray:
+    """The parities of 2 to 4 times as many bits as the set has shingles, 2 << least at least: shingles
+    of short sets then seldom share a bit, and the screen by sketches is nearly exact."""
+    bits = 2 << max(len(shingles).bit_length(), least)
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def plausible(percent: int):
+    """Whether two sides' n_shingles and sketch allow percent; the wider sketch folds to the narrower.
+
+    The sketches' Hamming distance bounds the symmetric difference from below, so no link is lost.
+    """
+
+    def condition(x: str, y: str) -> Column:
+        n, m, s, t = F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles"), F.col(f"{x}sketch"), F.col(f"{y}sketch")
+        xor = lambda p, q: p.bitwiseXOR(q)
+        fold = lambda u, v: F.when(F.size(u) > F.size(v), F.zip_with(F.slice(u, F.lit(1), F.size(v)), F.slice(u, F.size(v) + 1, F.size(v)), xor)).otherwise(u)
+        apart = F.aggregate(F.zip_with(fold(s, t), fold(t, s), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
+        return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+
+    return condition
+
+
 def crowded(rows: DataFrame, parts: int) -> DataFrame:
     """(sig, node, center, many) of signatures that two or more nodes share, from (sig, node); materialized.
 

@@ -27,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
-from .near import Shingler, bounded, crowded, digest, link, mix
+from .near import Shingler, bounded, crowded, digest, link, mix, plausible, sketch
 
 #: Documents of the sample that tells common shingles, how often one is common, how many are listed.
 SAMPLE_ROWS, COMMON_IN, COMMON_MOST = 4_000, 6, 100_000
@@ -77,14 +77,6 @@ def signatures(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.nda
     return np.concatenate(out)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The parities of 2 to 4 times as many bits as the set has shingles, 4,096 at least: shingles
-    of short texts then seldom share a bit, and the screen is nearly exact."""
-    bits = 2 << max(len(shingles).bit_length(), 11)
-    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -96,7 +88,7 @@ def features(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "t
         shingler = Shingler(k)
         for batch in batches:
             sets = [shingler.shingles(t.as_py()) for t in batch["text"]]
-            sketches = [sketch(s) for s in sets]
+            sketches = [sketch(s, 11) for s in sets]
             flat = np.concatenate(sketches) if sets else np.zeros(0, dtype=np.int64)
             at = pa.array(np.cumsum([0, *map(len, sketches)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat))], ["doc_id", "n_shingles", "node", "sketch"])
@@ -168,19 +160,6 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str = "doc_
     return rows.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def plausible(percent: int):
-    """Whether two sides' n_shingles and sketch allow percent; the wider sketch folds to the narrower."""
-
-    def condition(x: str, y: str) -> Column:
-        n, m, s, t = F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles"), F.col(f"{x}sketch"), F.col(f"{y}sketch")
-        xor = lambda p, q: p.bitwiseXOR(q)
-        fold = lambda u, v: F.when(F.size(u) > F.size(v), F.zip_with(F.slice(u, F.lit(1), F.size(v)), F.slice(u, F.size(v) + 1, F.size(v)), xor)).otherwise(u)
-        apart = F.aggregate(F.zip_with(fold(s, t), fold(t, s), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
-        return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
-
-    return condition
-
-
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     rows = materialize(features(docs, k, doc_id, text))

@@ -2,7 +2,7 @@
 
 A paragraph is a line of MIN_WORDS words or more, and stands for its set of 5-word shingles.
 MinHash bands, tuned for high recall at the asked similarity, bring alike paragraphs into
-one bucket; exact Jaccard similarity verifies; components of the verified links are the
+one bucket; parity sketches screen them and exact Jaccard similarity verifies; components of the verified links are the
 clusters. Of each cluster the occurrence first in (doc_id, place) stays and all others are
 removals. Occurrences with equal shingle sets are one node, so a paragraph that stands in a
 third of all documents is one row for each task.
@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
-from .near import Shingler, bounded, crowded, digest, link, mix
+from .near import Shingler, bounded, crowded, digest, link, mix, plausible, sketch
 
 MIN_WORDS = 15
+#: A sketch has 2 << 9 bits at least, many for each shingle of a usual paragraph.
+SKETCH_LEAST = 9
 
 
 def tune(similarity: float, recall: float = 0.995, far: float = 0.3, far_most: float = 0.3) -> tuple[int, int]:
@@ -62,16 +64,25 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, k: int = 5, least: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, place, start, stop, n_words, n_shingles, node) of each paragraph."""
+    """(doc_id, place, start, stop, n_words, n_shingles, node, sketch) of each paragraph. Of equal
+    paragraphs that one task sees, the first alone has a sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
+        shingler, seen = Shingler(k), set()
         for batch in batches:
-            rows = [(d, *p[:4], len(p[4]), digest(p[4])) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for p in _paragraphs(shingler, t.as_py(), least)]
+            rows, sketches = [], []
+            for d, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                for *where, s in _paragraphs(shingler, t.as_py(), least):
+                    node = digest(s)
+                    sketches.append(None if node in seen else sketch(s, SKETCH_LEAST))
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(node)
+                    rows.append((d, *where, len(s), node))
             columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "place", "start", "stop", "n_words", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "place", "start", "stop", "n_words", "n_shingles", "node", "sketch"])
 
-    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, place long, start long, stop long, n_words long, n_shingles long, node long")
+    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, place long, start long, stop long, n_words long, n_shingles long, node long, sketch array<long>")
 
 
 def band_rows(docs: DataFrame, bands: int, rows: int, k: int, least: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,11 +141,11 @@ def repeats(docs: DataFrame, percent: int = 75, k: int = 5, least: int = MIN_WOR
     every = materialize(paragraphs(docs, k, least, doc_id, text))
     nodes = every.groupBy("node").agg(F.min(F.struct("doc_id", "place", "start")).alias("first"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"))
     members = crowded(band_rows(docs, bands, rows, k, least, doc_id, text), 2 * partitions(docs.sparkSession))
-    info = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", F.col("first.doc_id").alias("doc_id")))
-    sizes = info.select("node", "n_shingles")
+    asked = members.select("node").distinct()
+    sketches = every.where("sketch is not null").join(asked, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    info = materialize(nodes.select("node", "n_shingles", F.col("first.doc_id").alias("doc_id")).join(sketches, "node"))
     fetch = lambda asked: shingle_sets(docs, bounded(info.join(asked, "node").groupBy("doc_id").agg(F.collect_set("node").alias("nodes"))), k, least, doc_id, text)
-    alike_size = lambda x, y: (F.col(f"{x}n_shingles") * 100 >= F.col(f"{y}n_shingles") * percent) & (F.col(f"{y}n_shingles") * 100 >= F.col(f"{x}n_shingles") * percent)
-    parts = link(members, fetch, sizes, alike_size, percent)
+    parts = link(members, fetch, info.drop("doc_id"), plausible(percent), percent)
     named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     clusters = named.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("cluster_size")).where("cluster_size > 1")
     placed = materialize(named.drop("first", "n", "n_shingles").join(clusters, "component").select("node", "first", "cluster_size"))
