@@ -1,4 +1,4 @@
-"""Substring dedup of paragraphs by MinHash banding.
+"""Substring dedup of paragraphs by MinHash banding, and of passages inside and across them.
 
 A paragraph is a line of MIN_WORDS words or more, and stands for its set of 5-word shingles.
 MinHash bands, tuned for high recall at the asked similarity, bring alike paragraphs into
@@ -7,14 +7,23 @@ clusters. Of each cluster the occurrence first in (doc_id, place) stays and all
 removals. Occurrences with equal shingle sets are one node, so a paragraph that stands in a
 third of all documents is one row for each task.
 
+A passage is PASSAGE words or more that repeat anywhere in the words of a text, line ends
+included. Of every SEEDS 5-word shingles in a row the smallest hash, MinHash of one row over
+overlapping windows, is a seed; SPAN words from its start and SPAN words up to its end are
+windows, found by the seed and verified by exact Jaccard similarity of their 3-word shingles.
+Any PASSAGE equal words in a row hold a seed with one of its windows, so they are always found;
+changed words are found where a seed stays and its window is alike. Around found windows every
+place is then compared, for the whole extent.
+
 Defined results: null and empty texts have no paragraphs; shorter lines are neither kept
-track of nor removed; a repeated row repeats its paragraphs; a null doc_id comes first; an
-empty table gives an empty result; extra columns are ignored by repeats() and kept by
-without_repeats().
+track of nor removed but in passages; a repeated row repeats its
+paragraphs; a null doc_id comes first; an empty table gives an empty result; extra columns are
+ignored by repeats() and passages() and kept by without_repeats().
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +37,10 @@ from .near import Shingler, bounded, crowded, digest, link, mix, plausible, sket
 MIN_WORDS = 15
 #: A sketch has 2 << 9 bits at least, many for each shingle of a usual paragraph.
 SKETCH_LEAST = 9
+#: Words of a passage, of a window, and seeds of which the smallest is taken: SEEDS + 4 <= PASSAGE,
+#: and 2 * SPAN - 5 < PASSAGE, so that a window at any seed of a passage is inside it.
+PASSAGE, SPAN, SEEDS = 50, 25, 40
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def tune(similarity: float, recall: float = 0.995, far: float = 0.3, far_most: float = 0.3) -> tuple[int, int]:
@@ -155,8 +168,199 @@ def repeats(docs: DataFrame, percent: int = 75, k: int = 5, least: int = MIN_WOR
     )
 
 
+class _Words:
+    """The words of a text: their lines, seeds, windows by where they start, and which of them are in reported
+    paragraphs (told) and in those that are removed (gone)."""
+
+    def __init__(self, shingler: Shingler, small: Shingler, text: str | None, paragraphs: list[dict] | None = None):
+        parts = list(_lines(text))
+        lines = [shingler.words(line) for _, _, line in parts]
+        words = [w for line in lines for w in line]
+        self.n = len(words)
+        self.place = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
+        told, gone, starts = np.zeros(len(lines), dtype=bool), np.zeros(len(lines), dtype=bool), np.array([start for _, start, _ in parts])
+        for p in paragraphs or []:
+            inside = slice(*np.searchsorted(starts, [p["start"], p["stop"]]))
+            told[inside] = True
+            gone[inside] |= p["removed"]
+        self.told, self.gone = told[self.place], gone[self.place]
+        self.left = np.concatenate([[0], np.cumsum(~self.gone)])
+        if self.n >= SPAN:
+            self.seeds, self.parts = shingler.windows(words), small.windows(words)
+            self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(self.parts ^ np.uint64(0x5BD1E995)), dtype=np.uint64)])
+
+    def nodes(self, at: np.ndarray) -> np.ndarray:
+        """A signed 64-bit name of the 3-word shingles of the windows that start at at."""
+        return mix(self.sums[at + SPAN - 2] - self.sums[at]).view(np.int64)
+
+    def open(self, at: np.ndarray) -> np.ndarray:
+        """Whether windows have a word that is not removed with its paragraph."""
+        return self.left[at + SPAN] > self.left[at]
+
+    def seeded(self) -> tuple[np.ndarray, np.ndarray]:
+        """(signature, start) of each window at a seed."""
+        if self.n < SPAN:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        views = np.lib.stride_tricks.sliding_window_view(self.seeds, min(SEEDS, len(self.seeds)))
+        k = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+        after, before = k[k + SPAN <= self.n], k[k + 5 >= SPAN]
+        sigs = np.concatenate([mix(self.seeds[after] + np.uint64(1)), mix(self.seeds[before] + np.uint64(2))])
+        return sigs.view(np.int64), np.concatenate([after, before + 5 - SPAN])
+
+
+def _windows(rows: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(doc_id, at, place, node, sig) of the windows at seeds of rows (doc_id, text, paragraphs), or, without seeds,
+    of all that start PASSAGE words at most from those of near (doc_id, hits). Not of windows that are removed with
+    paragraphs: they do not stay, and nothing need be cut there."""
+    seeded = near is None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, small = Shingler(5), Shingler(3)
+        for batch in batches:
+            hits = batch["hits"].to_pylist() if not seeded else [None] * batch.num_rows
+            ids, parts = [], []
+            for d, t, p, places in zip(batch["doc_id"].to_pylist(), batch["text"], batch["paragraphs"], hits, strict=True):
+                words = _Words(shingler, small, t.as_py(), p.as_py())
+                if seeded:
+                    sigs, at = words.seeded()
+                else:
+                    at = np.unique(np.add.outer(np.array(places, dtype=np.int64), np.arange(-PASSAGE, PASSAGE + 1)))
+                    at = at[(at >= 0) & (at + SPAN <= words.n)]
+                    sigs = np.zeros(len(at), dtype=np.int64)
+                if len(at):
+                    stays = words.open(at)
+                    at, sigs = at[stays], sigs[stays]
+                    ids += [d] * len(at)
+                    parts.append((at, words.place[at], words.nodes(at), sigs))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c)) for c in zip(*parts, strict=True))], ["doc_id", "at", "place", "node", "sig"])
+
+    rows = rows if seeded else _with(rows, near).select("doc_id", "text", "paragraphs", "hits")
+    return rows.mapInArrow(run, "doc_id long, at long, place long, node long, sig long")
+
+
+def _with(docs: DataFrame, other: DataFrame) -> DataFrame:
+    return docs.join(other.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+
+
+def _window_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, n_shingles, sketch, shingles) of the wanted windows, (doc_id, hits) with hits of (at, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, small = Shingler(5), Shingler(3)
+        for batch in batches:
+            found = {}
+            for t, hits in zip(batch["text"], batch["hits"].to_pylist(), strict=True):
+                words = _Words(shingler, small, t.as_py())
+                for hit in hits:
+                    if hit["at"] + SPAN <= words.n and int(words.nodes(np.array([hit["at"]]))[0]) == hit["node"]:
+                        found[hit["node"]] = np.unique(words.parts[hit["at"] : hit["at"] + SPAN - 2])
+            sets, longs = list(found.values()), pa.list_(pa.int64())
+            columns = [pa.array(list(found), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, SKETCH_LEAST) for s in sets], longs), pa.array([s.view(np.int64) for s in sets], longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n_shingles", "sketch", "shingles"])
+
+    rows = _with(docs, wanted).select("text", "hits")
+    return rows.mapInArrow(run, "node long, n_shingles long, sketch array<long>, shingles array<long>").dropDuplicates(["node"])
+
+
+def _spans(text: str | None, hits: list[dict], paragraphs: list[dict]) -> list[tuple]:
+    """The passages of a text as rows of repeats(), without the doc_id. Windows that overlap make a run; one
+    that stays in a paragraph that is told is not said again."""
+    words = _Words(Shingler(5), Shingler(3), text, paragraphs)
+    chars = [m.span() for m in WORD.finditer(text or "")]
+    good = [h for h in hits if h["at"] + SPAN <= words.n and int(words.nodes(np.array([h["at"]]))[0]) == h["node"]]
+    runs: list[list[dict]] = []
+    for h in sorted(good, key=lambda h: h["at"]):
+        if runs and h["at"] <= runs[-1][-1]["at"] + SPAN:
+            runs[-1].append(h)
+        else:
+            runs.append([h])
+    out = []
+    for run in runs:
+        begin, end = run[0]["at"], run[-1]["at"] + SPAN
+        # removed words next to it are of the passage
+        while begin and words.gone[begin - 1]:
+            begin -= 1
+        while end < words.n and words.gone[end]:
+            end += 1
+        if end - begin < PASSAGE:
+            continue
+        last = None
+        for h in run:
+            at = h["at"]
+            if not h["removed"] and words.told[at : at + SPAN].all():
+                continue
+            if last and last["removed"] == h["removed"] and at <= last["stop"]:
+                last["stop"] = at + SPAN
+                last["size"] = max(last["size"], h["size"])
+            else:
+                last = {**h, "stop": at + SPAN}
+                out.append(last)
+    return [(int(words.place[x["at"]]), chars[x["at"]][0], chars[x["stop"] - 1][1], x["stop"] - x["at"], x["first_doc"], x["first_place"], x["size"], x["removed"]) for x in out]
+
+
+def passages(docs: DataFrame, found: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The passages that occur more than once and that found, rows of repeats(), does not have, in its columns.
+
+    start and stop need not be line ends; the cluster is named by where the first window of the passage stays.
+    """
+    lines = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "stop", "removed")).alias("paragraphs"))
+    rows = _rows(docs, doc_id, text).join(bounded(materialize(lines)), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    every = materialize(_windows(rows))
+    first = F.min(F.struct("doc_id", "at", "place")).alias("first")
+    nodes = materialize(every.groupBy("node").agg(first, F.count_distinct(F.struct("doc_id", "at")).alias("n")))
+    members = crowded(every.select("sig", "node"), 2 * partitions(docs.sparkSession))
+    asked = nodes.join(members.select("node").distinct(), "node").groupBy("first.doc_id").agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "node")).alias("hits"))
+    sets = materialize(_window_sets(_rows(docs, doc_id, text), bounded(asked)))
+    parts = link(members, lambda asked: sets.join(asked, "node").select("node", "shingles"), sets.select("node", "n_shingles", "sketch"), plausible(percent), percent)
+    parts = materialize(parts)
+    linked = nodes.where("n > 1").select("node").unionByName(parts.select("node")).distinct()
+    hits = every.join(linked, "node").groupBy("doc_id").agg(F.collect_set("at").alias("hits"))
+    seen = every.join(linked, "node").drop("sig").unionByName(_windows(rows, bounded(hits)).drop("sig")).distinct()
+    seen = materialize(seen.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    clusters = seen.groupBy("component").agg(first, F.count_distinct(F.struct("doc_id", "at")).alias("size")).where("size > 1")
+    # a window that overlaps the one that stays is part of it
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") < F.col("first.at") + SPAN)
+    hit = F.struct("at", "node", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place"), "size", (~same).alias("removed"))
+    placed = seen.join(clusters, "component").groupBy("doc_id").agg(F.collect_list(hit).alias("hits"))
+    joined = _with(rows, bounded(materialize(placed), 100_000)).select("doc_id", "text", "hits", "paragraphs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for d, t, h, p in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "hits", "paragraphs")), strict=True):
+                out += [(d, *row) for row in _spans(t, h, p or [])]
+            columns = list(zip(*out, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.bool_())], [*names, "removed"])
+
+    names = ("doc_id", "place", "start", "stop", "n_words", "cluster_doc", "cluster_place", "cluster_size")
+    return joined.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", removed boolean")
+
+
+def all_repeats(docs: DataFrame, percent: int = 75, k: int = 5, least: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of repeats() and of passages()."""
+    found = materialize(repeats(docs, percent, k, least, doc_id, text))
+    return found.unionByName(passages(docs, found, percent, doc_id, text))
+
+
+def _cut(text: str | None, gone: list | None) -> str | None:
+    """text without the spans; lines of which nothing is left go with their ends."""
+    if text is None or not gone:
+        return text
+    out = []
+    for _, start, line in _lines(text):
+        kept, at = "", 0
+        for a, b in sorted((max(x["start"] - start, 0), min(x["stop"] - start, len(line))) for x in gone if x["start"] <= start + len(line) and x["stop"] >= start):
+            if b >= a:
+                kept, at = kept + line[at : max(a, at)], max(at, b)
+        kept += line[at:]
+        if kept.strip() or not line.strip():
+            out.append(kept)
+    return "\n".join(out)
+
+
 def without_repeats(docs: DataFrame, percent: int = 75, k: int = 5, least: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the removed paragraphs cut out of text, line ends included."""
-    gone = repeats(docs, percent, k, least, doc_id, text).where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("place").alias("_gone"))
-    lines = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.coalesce(F.array_contains(F.col("_gone"), i.cast("long")), F.lit(False)))
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")), "left").withColumn(text, F.array_join(lines, "\n")).select(*docs.columns)
+    """docs with the removed paragraphs and passages cut out of text, line ends included where a line is empty then."""
+    gone = all_repeats(docs, percent, k, least, doc_id, text).where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "stop")).alias("_gone"))
+    cut = F.udf(_cut, "string")
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")), "left").withColumn(text, cut(F.col(text), F.col("_gone"))).select(*docs.columns)

@@ -259,6 +259,22 @@ def test_paragraphs_are_brute_force(spark, odd, none):
     assert substring_dedup.repeats(odd).count() > 0
 
 
+def test_passages_inside_unlike_lines(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passage = say(60).split()
+    edited = passage[:30] + ["other"] + passage[31:]
+    texts = [f"{say(80)} {' '.join(passage)} {say(70)}", f"{say(90)} {' '.join(passage[:25])}\n{' '.join(passage[25:])} {say(100)}", say(300), f"{say(75)} {' '.join(edited)} {say(90)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert substring_dedup.repeats(docs).count() == 0
+    got = {r["doc_id"]: r for r in substring_dedup.all_repeats(docs).collect()}
+    for i in (0, 1):
+        assert texts[i][got[i]["start"] : got[i]["stop"]].split() == passage and got[i]["n_words"] == 60
+    assert [got[i]["removed"] for i in (0, 1)] == [False, True] and got[1]["cluster_doc"] == 0 and 2 not in got
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs).collect()}
+    assert left[0] == texts[0] and left[2] == texts[2] and len(left[1].split()) == 190 and not set(passage) & set(left[1].split())
+
+
 def test_bands_are_tuned():
     bands, rows = substring_dedup.tune(0.75)
     assert 1 - (1 - 0.75**rows) ** bands >= 0.995
