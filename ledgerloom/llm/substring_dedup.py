@@ -1,6 +1,7 @@
 """Substring dedup of paragraphs by MinHash banding, and of passages inside and across them.
 
-A paragraph is a line of MIN_WORDS words or more, and stands for its set of 5-word shingles.
+A paragraph is a line of MIN_WORDS words or more, or consecutive shorter lines, to a blank or
+longer line or until they have MIN_WORDS, and stands for its set of 5-word shingles.
 MinHash bands, tuned for high recall at the asked similarity, bring alike paragraphs into
 one bucket; parity sketches screen them and exact Jaccard similarity verifies; components of the verified links are the
 clusters. Of each cluster the occurrence first in (doc_id, place) stays and all others are
@@ -15,8 +16,8 @@ Any PASSAGE equal words in a row hold a seed with one of its windows, so they ar
 changed words are found where a seed stays and its window is alike. Around found windows every
 place is then compared, for the whole extent.
 
-Defined results: null and empty texts have no paragraphs; shorter lines are neither kept
-track of nor removed but in passages; a repeated row repeats its
+Defined results: null and empty texts have no paragraphs; lines that come to fewer words than
+MIN_WORDS are neither kept track of nor removed but in passages; a repeated row repeats its
 paragraphs; a null doc_id comes first; an empty table gives an empty result; extra columns are
 ignored by repeats() and passages() and kept by without_repeats().
 """
@@ -63,12 +64,23 @@ def _lines(text: str | None) -> Iterator[tuple[int, int, str]]:
 
 
 def _paragraphs(shingler: Shingler, text: str | None, least: int) -> list[tuple[int, int, int, int, np.ndarray]]:
-    """(place, start, stop, words, shingles) of each paragraph."""
-    out = []
+    """(place, start, stop, words, shingles) of each paragraph; place is that of its first line."""
+    out, first, short = [], None, []
     for place, start, line in _lines(text):
         words = shingler.words(line)
-        if len(words) >= least:
-            out.append((place, start, start + len(line), len(words), np.unique(shingler.windows(words))))
+        if len(words) >= least or not words:
+            first, short = None, []
+        if not words:
+            continue
+        if len(words) < least:
+            first, short = first or (place, start), short + words
+            if len(short) < least:
+                continue
+            (at, begin), words = first, short
+            first, short = None, []
+        else:
+            at, begin = place, start
+        out.append((at, begin, start + len(line), len(words), np.unique(shingler.windows(words))))
     return out
 
 

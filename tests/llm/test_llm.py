@@ -275,6 +275,18 @@ def test_passages_inside_unlike_lines(spark):
     assert left[0] == texts[0] and left[2] == texts[2] and len(left[1].split()) == 190 and not set(passage) & set(left[1].split())
 
 
+def test_short_lines_make_paragraphs(spark):
+    rng = random.Random(6)
+    line = lambda n=11: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    block = [line(), line()]
+    texts = ["\n".join([line(40), "", *block, "", line(40)]), "\n".join([line(30), *block, "", line(20), line(3)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.repeats(docs).collect()}
+    assert [(texts[i][got[i]["start"] : got[i]["stop"]], got[i]["place"], got[i]["n_words"], got[i]["removed"]) for i in (0, 1)] == [("\n".join(block), 2, 22, False), ("\n".join(block), 1, 22, True)]
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs).collect()}
+    assert left[0] == texts[0] and left[1] == texts[1].replace("\n".join(block) + "\n", "")
+
+
 def test_bands_are_tuned():
     bands, rows = substring_dedup.tune(0.75)
     assert 1 - (1 - 0.75**rows) ** bands >= 0.995
