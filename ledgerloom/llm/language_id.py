@@ -8,7 +8,8 @@ language with the smallest cost wins. The score is its share of the languages' l
 
 Texts are lower-cased; letters stay and every run of anything else is one space. A parse
 starts anew every 512 characters, so that one step of all blocks and languages is a few
-array operations; every character of every text counts.
+array operations; every character of every text counts. Every letter of the training texts
+has a code of its own, of any script; with many of them transitions are sorted keys, not a table.
 
 The model is fitted on a bounded sample of labelled rows: of each language, the TRAIN_ROWS
 rows of smallest hash, TRAIN_CHARS characters in all.
@@ -35,6 +36,8 @@ from .near import bounded
 UNKNOWN = "und"
 TRAIN_ROWS, ROW_CHARS, TRAIN_CHARS = 60, 2_000, 40_000
 BLOCK = 512
+#: Codes up to which the transitions of all states are a table; more are kept sparse.
+DENSE = 256
 #: Characters parsed together; bounds memory only.
 GROUP_CHARS = 2_000_000
 #: Codes of anything but letters, and of letters that no training text has.
@@ -45,13 +48,14 @@ class Model(NamedTuple):
     languages: tuple[str, ...]
     codes: np.ndarray  # of each code point
     width: int
-    table: np.ndarray  # of all automata: the next state of state * width + code, 0 if none
+    keys: np.ndarray | None  # state * width + code of each transition, ascending; None if the table has all
+    table: np.ndarray  # of all automata: the next state of state * width + code, 0 if none; with keys, of each key
     roots: np.ndarray  # the state of each language after one code
     bits: np.ndarray  # of a place in each language's text
 
 
-def _automaton(text: list[int], width: int) -> np.ndarray:
-    """The transitions of the suffix automaton: row 0 the root, row 1 a dead end. No transition leads to the root."""
+def _automaton(text: list[int]) -> list[dict[int, int]]:
+    """The transitions of the suffix automaton: state 0 the root, 1 a dead end. No transition leads to the root."""
     nexts: list[dict[int, int]] = [{}, {}]
     links, lengths, last = [-1, -1], [0, 0], 0
     for c in text:
@@ -77,11 +81,7 @@ def _automaton(text: list[int], width: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[now] = clone
         last = now
-    table = np.zeros((len(nexts), width), dtype=np.int32)
-    for state, out in enumerate(nexts):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+    return nexts
 
 
 @lru_cache(maxsize=1)
@@ -92,21 +92,39 @@ def _letters() -> np.ndarray:
 @lru_cache(maxsize=2)
 def fit(samples: tuple[tuple[str, str], ...]) -> Model:
     """From (language, text) of each language, in order."""
-    codes = np.where(_letters(), FOREIGN, SPACE).astype(np.uint8)
-    seen = sorted({c for _, text in samples for c in text.lower() if c.isalpha()})[:253]
+    codes = np.where(_letters(), FOREIGN, SPACE).astype(np.uint32)
+    seen = sorted({c for _, text in samples for c in text.lower() if c.isalpha()})
     for k, c in enumerate(seen):
         codes[ord(c)] = k + 2
-    width, tables, roots, bits, base = len(seen) + 2, [], [], [], 0
-    for _, text in samples:
+    width, keys, to, bits, base = len(seen) + 2, [], [], [], 0
+    roots = np.zeros((len(samples), width), dtype=np.int32)
+    for k, (_, text) in enumerate(samples):
         coded = encode(text, codes)
-        table = _automaton(coded[coded != FOREIGN].tolist(), width)
-        table[table > 0] += base
-        first = table[0].copy()
-        first[first == 0] = base + 1
-        tables.append(table), roots.append(first), bits.append(np.log2(max(2, len(coded))))
-        base += len(table)
-    flat = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, dtype=np.int32)
-    return Model(tuple(name for name, _ in samples), codes, width, flat, np.array(roots, dtype=np.int32).reshape(len(samples), width), np.array(bits))
+        nexts = _automaton(coded[coded != FOREIGN].tolist())
+        keys.append(np.array([(base + state) * width + c for state, out in enumerate(nexts) for c in sorted(out)], dtype=np.int64))
+        to.append(np.array([base + out[c] for out in nexts for c in sorted(out)], dtype=np.int32))
+        roots[k] = base + 1
+        for c, first in nexts[0].items():
+            roots[k, c] = base + first
+        bits.append(np.log2(max(2, len(coded))))
+        base += len(nexts)
+    key, table = (np.concatenate(x) if x else np.zeros(0, dtype=np.int32) for x in (keys, to))
+    if width <= DENSE:
+        dense = np.zeros(base * width, dtype=np.int32)
+        dense[key] = table
+        key, table = None, dense
+    return Model(tuple(name for name, _ in samples), codes, width, key, table, roots, np.array(bits))
+
+
+def _step(model: Model, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The next states, 0 if none."""
+    asked = states * model.width + codes
+    if model.keys is None:
+        return model.table[asked]
+    if not len(model.keys):
+        return np.zeros_like(asked)
+    at = np.minimum(np.searchsorted(model.keys, asked), len(model.keys) - 1)
+    return np.where(model.keys[at] == asked, model.table[at], 0)
 
 
 def encode(text: str, codes: np.ndarray) -> np.ndarray:
@@ -135,7 +153,7 @@ def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     for step in range(1, len(grid)):
         n = active[step]
         codes, now = grid[step, :n], state[:, :n]
-        to = model.table[now * model.width + codes]
+        to = _step(model, now, codes)
         ends = to == 0
         found[:, :n] += ends
         state[:, :n] = np.where(ends, model.roots[:, codes], to)

@@ -193,6 +193,20 @@ def test_language_of_odd_rows_and_held_out_accuracy(spark, odd, none):
     assert right > 0.97
 
 
+def test_languages_of_more_letters_than_a_byte_has():
+    rng = random.Random(12)
+    scripts = {"hh": [chr(0x4E00 + i) for i in range(600)], "kk": [chr(0xAC00 + i) for i in range(600)], "la": list("abcdefghij")}
+    words = {name: ["".join(rng.choices(letters, k=3)) for _ in range(400)] for name, letters in scripts.items()}
+    # the last language has the shortest sample, so letters without a code would make it the cheapest
+    samples = tuple((name, " ".join(rng.choices(words[name], k=n))) for name, n in (("hh", 3000), ("kk", 2000), ("la", 300)))
+    model = language_id.fit(samples)
+    assert len({int(model.codes[ord(c)]) for letters in scripts.values() for c in letters if any(c in t for _, t in samples)} - {language_id.FOREIGN}) == model.width - 2 > 1000
+    texts = [(name, " ".join(rng.choices(words[name], k=30))) for name in scripts for _ in range(20)]
+    assert [found for found, _ in language_id.classify(model, [t for _, t in texts])] == [name for name, _ in texts]
+    for _, t in texts[::7]:
+        assert language_id.phrases(model, [language_id.encode(t, model.codes)])[0].tolist() == [longest_phrases(t, text) for _, text in samples]
+
+
 def components(sets):
     parent = list(range(len(sets)))
 
