@@ -11,7 +11,8 @@ The trees are fitted on the driver to pages that this module makes up, with menu
 headers, footers, sidebars, notices, adverts, forms and comments around an article.
 
 Defined results: a null or empty html has text "" and n_chars 0; broken markup is read as
-far as it goes; a page of any length is read whole; repeated rows get equal rows; an empty
+far as it goes, a head without an end tag ends at text or at the first tag that cannot stand in
+it, any other unseen element without one where a block begins; a page of any length is read whole; repeated rows get equal rows; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -35,6 +36,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("script style noscript template head title iframe object svg select textarea button".split())
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
+#: What a head can hold; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta title script style noscript template".split())
+#: Start tags that end an open unseen element whose own end tag is left out.
+ENDS_UNSEEN = ENDS_P | frozenset("body caption center dd details dialog dt figcaption hgroup li search summary tbody td tfoot th thead tr".split())
 #: An open element of these ends where a sibling begins.
 ENDS_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -61,10 +66,27 @@ class Page(NamedTuple):
     inner: list[int]  # inline marks directly in each node
 
 
+def _unclosed(tokens: list[re.Match]) -> set[int]:
+    """Where the unseen elements begin that have no end tag of their own; an end tag is that of the last open one."""
+    open_: dict[str, list[int]] = {}
+    for m in tokens:
+        tag = (m.group(3) or "").lower()
+        if tag not in UNSEEN:
+            continue
+        if not m.group(2):
+            if not m.group(4).endswith("/"):
+                open_.setdefault(tag, []).append(m.start())
+        elif open_.get(tag):
+            open_[tag].pop()
+    return {at for places in open_.values() for at in places}
+
+
 def parse(html: str | None) -> Page:
     tags, names, parents, linked, inner = ["#root"], [frozenset()], [-1], [0], [0]
     runs: list[tuple[int, str]] = []
     stack, hidden, links, pending, at, html = [0], 0, 0, [], 0, html or ""
+    tokens = list(TOKEN.finditer(html))
+    unclosed, loose = _unclosed(tokens), set()
 
     def flush() -> None:
         if pending:
@@ -79,12 +101,14 @@ def parse(html: str | None) -> Page:
         hidden -= tags[stack.pop()] in UNSEEN
 
     def say(text: str) -> None:
+        if tags[stack[-1]] == "head" and text and not text.isspace():
+            pop()
         if not hidden and text:
             pending.append(text)
             if links:
                 linked[stack[-1]] += len(text)
 
-    for m in TOKEN.finditer(html):
+    for m in tokens:
         say(html[at : m.start()])
         at, tag = m.end(), (m.group(3) or "").lower()
         if not tag:
@@ -98,6 +122,10 @@ def parse(html: str | None) -> Page:
                 pop()
                 links = 0
             continue
+        while hidden and loose and any(k in loose and (tag in ENDS_UNSEEN or tag == tags[k]) for k in stack):
+            pop()
+        if tags[stack[-1]] == "head" and tag not in IN_HEAD:
+            pop()
         if tag in INLINE:
             inner[stack[-1]] += 1
             if tag == "br":
@@ -126,6 +154,8 @@ def parse(html: str | None) -> Page:
         linked.append(0), inner.append(0)
         stack.append(len(tags) - 1)
         hidden += tag in UNSEEN
+        if m.start() in unclosed:
+            loose.add(stack[-1])
         if m.group(4).endswith("/") and tag in UNSEEN:
             pop()
     say(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", html[at:]))

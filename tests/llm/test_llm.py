@@ -345,6 +345,17 @@ def test_html_of_made_up_and_odd_pages(odd, none):
     assert html_extract.main_text(none).count() == 0
 
 
+def test_html_with_end_tags_left_out():
+    trees = html_extract.trained()
+    menu, article = "<nav><ul><li><a href=/>home</a></li></ul></nav>", "<article><h1>A b</h1><p>One two three, and four.</p><p>Five six seven.</p></article><footer>&copy; all</footer>"
+    want = "A b One two three, and four. Five six seven."
+    heads = ["<head><title>t</title></head><body>", "<head><title>t</title><body>", "<head><title>t</title><meta name=a><link rel=b>", "<head><title>t<body>", "<head><title>t</title><noscript><p>x</p></noscript><body>"]
+    assert html_extract.extract(trees, [f"<html>{h}{menu}{article}</html>" for h in heads]) == [want] * len(heads)
+    loose = ["<button>x", "<select><option>x", "<noscript>x", "<svg><path d=1>", "<button>x<button>y</button>"]
+    assert html_extract.extract(trees, [f"<html><head></head><body>{menu}{x}{article}</body></html>" for x in loose]) == [want] * len(loose)
+    assert html_extract.extract(trees, [f"<body>{menu}<template><p>x</p></template><svg><desc><p>x</p></desc></svg>{article}"]) == [want]
+
+
 def test_pipeline_is_its_stages(spark):
     import corpus_pipeline
 
