@@ -12,7 +12,9 @@ array operations; every character of every text counts. Every letter of the trai
 has a code of its own, of any script; with many of them transitions are sorted keys, not a table.
 
 The model is fitted on a bounded sample of labelled rows: of each language, the TRAIN_ROWS
-rows of smallest hash, TRAIN_CHARS characters in all.
+rows of smallest hash that have letters, TRAIN_CHARS characters in all. A language with fewer
+letters in its sample than 1 / LEAST_SHARE of the largest sample's is left out: its phrases
+would cost too few bits.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every
 text when no row is labelled; ties go to the language first in order; repeated rows get
@@ -35,6 +37,7 @@ from .near import bounded
 
 UNKNOWN = "und"
 TRAIN_ROWS, ROW_CHARS, TRAIN_CHARS = 60, 2_000, 40_000
+LEAST_SHARE = 16
 BLOCK = 512
 #: Codes up to which the transitions of all states are a table; more are kept sparse.
 DENSE = 256
@@ -179,14 +182,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def training_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[tuple[str, str], ...]:
     """(language, text) of each label, from rows that are not held out: at most rows rows and chars characters of each."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
+    labelled = docs.where(F.col(lang).isNotNull() & F.substring(text, 1, ROW_CHARS).rlike(r"\p{L}") & ~held_out(doc_id)).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
     chosen = labelled.withColumn("_rank", rank).where(F.col("_rank") <= rows)
     joined = docs.select(F.col(doc_id), F.col(lang), F.col(text)).join(bounded(chosen), (F.col(doc_id) == F.col("_id")) & (F.col(lang) == F.col("_lang")))
     texts: dict[str, str] = {}
     for name, part in joined.select("_lang", F.substring(text, 1, ROW_CHARS).alias("t")).orderBy("_lang", "_rank", "t").toLocalIterator():
         texts[name] = (texts.get(name, "") + " " + part)[:chars]
-    return tuple(sorted(texts.items()))
+    letters = {name: sum(map(str.isalpha, t)) for name, t in texts.items()}
+    most = max(letters.values(), default=0)
+    return tuple(sorted((name, t) for name, t in texts.items() if LEAST_SHARE * letters[name] >= most))
 
 
 def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -207,6 +207,18 @@ def test_languages_of_more_letters_than_a_byte_has():
         assert language_id.phrases(model, [language_id.encode(t, model.codes)])[0].tolist() == [longest_phrases(t, text) for _, text in samples]
 
 
+def test_labels_of_few_letters_win_nothing(spark):
+    rng = random.Random(3)
+    words = {name: ["".join(rng.choices(letters, k=5)) for _ in range(300)] for name, letters in (("aa", "abcdef"), ("bb", "cdefgh"))}
+    rows = [(name, " ".join(rng.choices(ws, k=200))) for name, ws in words.items() for _ in range(40)]
+    rows += [("xx", "123"), ("yy", "4 a"), *[("aa", "5 6")] * 400]
+    docs = spark.createDataFrame([(3 * i, t, name) for i, (name, t) in enumerate(rows)], "doc_id long, text string, lang string").where(~language_id.held_out())
+    samples = language_id.training_sample(docs, rows=4)
+    assert [name for name, _ in samples] == ["aa", "bb"] and all(len(t) > 4000 for _, t in samples)
+    found = {(r["lang"], r["lang_pred"]) for r in language_id.identify(docs.where("length(text) > 9")).join(docs, "doc_id").collect()}
+    assert found == {("aa", "aa"), ("bb", "bb")}
+
+
 def components(sets):
     parent = list(range(len(sets)))
 
