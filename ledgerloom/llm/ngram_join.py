@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
@@ -82,7 +82,7 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def features(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, sketch) for each row; node names the shingle set."""
+    """(doc_id, text_hash, n_shingles, node, sketch) for each row; node names the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
@@ -91,9 +91,10 @@ def features(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "t
             sketches = [sketch(s, 11) for s in sets]
             flat = np.concatenate(sketches) if sets else np.zeros(0, dtype=np.int64)
             at = pa.array(np.cumsum([0, *map(len, sketches)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat))], ["doc_id", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat))], ["doc_id", "text_hash", "n_shingles", "node", "sketch"])
 
-    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>")
+    rows = _rows(docs, doc_id, text).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, sketch array<long>")
 
 
 def common_shingles(docs: DataFrame, k: int, text: str = "text", rows: int = SAMPLE_ROWS) -> np.ndarray:
@@ -160,22 +161,34 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str = "doc_
     return rows.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
+def _placed(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The features of docs, and (node, component_id, kept) of each node; kept is the row that stays of a component."""
     rows = materialize(features(docs, k, doc_id, text))
-    nodes = materialize(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id")))
+    nodes = materialize(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(_row()).alias("first_row")))
     members = crowded(signature_rows(docs, k, percent, common_shingles(docs, k, text), doc_id, text), 2 * partitions(docs.sparkSession))
     info = materialize(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     fetch = lambda asked: shingle_sets(docs, bounded(nodes.join(asked, "node").select(F.col("first_id").alias("doc_id"), "node")), k, doc_id, text)
     parts = link(members, fetch, info, plausible(percent), percent)
     named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    placed = materialize(named.join(first, "component").select("node", "component_id"))
+    first = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min("first_row").alias("kept"))
+    return rows, materialize(named.join(first, "component").select("node", "component_id", "kept"))
+
+
+def _row() -> Column:
+    """What tells rows apart, in the order in which they stay: rows without a doc_id come last."""
+    return F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+
+
+def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs."""
+    rows, placed = _placed(docs, k, percent, doc_id, text)
     none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.where("n_shingles > 0").join(placed, "node").select("doc_id", "n_shingles", "component_id").unionByName(none)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id."""
-    gone = ngram_join(docs, k, percent, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """The rows of docs without those whose component has a row of smaller doc_id, then text hash. Rows
+    equal in both are told apart by nothing and stay or go together."""
+    rows, placed = _placed(docs, k, percent, doc_id, text)
+    gone = rows.where("n_shingles > 0").join(placed, "node").where(~_row().eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_hash"]), "left_anti")

@@ -271,6 +271,18 @@ def test_ngram_join_of_odd_rows(odd):
     assert {r["component_id"] for r in rows if r["doc_id"] in (5, 6, 7, 8)} == {5}
 
 
+def test_keep_one_decides_by_row(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    a, b, clean = say(100), say(100), say(100)
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (2, near(a)), (2, clean), (None, b), (None, near(b)), (None, say(50)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = [tuple(r) for r in ngram_join.keep_one(docs).collect()]
+    assert len(got) == 5 and len({(2, near(a))} & set(got)) == 0 and {(1, a), (2, clean), rows[5], rows[6]} < set(got)
+    assert len({(None, b), (None, near(b))} & set(got)) == 1
+
+
 def test_paragraphs_are_brute_force(spark, odd, none):
     texts = planted()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
