@@ -29,18 +29,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session (tests) gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="ledgerloom")
+
 
-    spark.checkpoint.dir of the session decides where; only a session without one
-    (tests) gets a folder of its own. The driver's JVM is asked to collect first: Spark removes
-    the shuffle files, plans and generated classes of frames that nobody holds only then, which in
-    a long chain of rounds would fill disks and the driver.
-    """
+def materialize(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the folder that all executors share."""
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    df.sparkSession._jvm.System.gc()
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -1,32 +1,40 @@
 """What the near-duplicate operators share: shingles, buckets, verification, components.
 
 Nodes are distinct shingle sets, named by a 64-bit digest, so exact copies are one node.
-Buckets hold nodes that share a signature. Links inside a bucket are found in rounds: each
-node against a centre of its bucket first; then, only where a bucket still spans several
-components, one pair for each two of them, with further centres, and last all other pairs
-between different components. A group of near copies of any size so
-costs a link for each member, not a pair for each two, and no link that joins different
-components is left out.
+Buckets hold nodes that share a signature; buckets of the same nodes are one. A bucket is
+searched from its first node on: nodes whose sketches allow a link to one that is reached are
+reached from it, and those not reached are the only ones that the next is held against. So a
+bucket gives a spanning forest of plausible links, fewer than it has nodes, and a group of near
+copies of any size costs a link for each member. The forest's links are verified exactly. Where
+one fails and leaves its two sides in different components, the bucket is searched once more,
+for every plausible pair across components, and those are verified too. So no link that joins
+different components is left out.
+
+A bucket of more than CHUNK nodes is dealt into chunks, which share its first node. Across
+chunks, every node outside the bucket's largest component then visits each chunk.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, partitions
 
 #: Distinct words whose hashes a task remembers. Bounds memory only.
 REMEMBERED = 400_000
 #: Narrow rows that a task takes at least where their number is counted; 4 tasks share fewer.
 ROWS_A_TASK = 250_000
-#: How many centres of a bucket are held against its other nodes before all pairs are.
-CENTRES = 2
+#: Nodes of a bucket that one search takes, about.
+CHUNK = 2048
+#: Words of sketches that are compared at once, and pairs that a task remembers. Bound memory only.
+AT_ONCE, PAIRS = 1_000_000, 500_000
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -85,43 +93,30 @@ def digest(shingles: np.ndarray) -> int:
 
 
 def sketch(shingles: np.ndarray, least: int) -> np.ndarray:
-    """The parities of 2 to 4 times as many bits as the set has shingles, 2 << least at least: shingles
+    """The parities of 1 to 2 times as many bits as the set has shingles, 2 << least at least: shingles
     of short sets then seldom share a bit, and the screen by sketches is nearly exact."""
-    bits = 2 << max(len(shingles).bit_length(), least)
+    bits = max(1 << len(shingles).bit_length(), 2 << least)
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def plausible(percent: int):
-    """Whether two sides' n_shingles and sketch allow percent; the wider sketch folds to the narrower.
-
-    The sketches' Hamming distance bounds the symmetric difference from below, so no link is lost.
-    """
-
-    def condition(x: str, y: str) -> Column:
-        n, m, s, t = F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles"), F.col(f"{x}sketch"), F.col(f"{y}sketch")
-        xor = lambda p, q: p.bitwiseXOR(q)
-        fold = lambda u, v: F.when(F.size(u) > F.size(v), F.zip_with(F.slice(u, F.lit(1), F.size(v)), F.slice(u, F.size(v) + 1, F.size(v)), xor)).otherwise(u)
-        apart = F.aggregate(F.zip_with(fold(s, t), fold(t, s), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
-        return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
-
-    return condition
-
-
 def crowded(rows: DataFrame, parts: int) -> DataFrame:
     """(sig, node, center, many) of signatures that two or more nodes share, from (sig, node); materialized.
 
-    One exchange of the rows. The centre is the bucket's smallest node; many tells buckets
-    that may have more than two nodes.
+    One exchange of the rows. The centre is the bucket's smallest node, many its number of nodes.
+    Of signatures with the same nodes one stays.
     """
-    dealt = rows.repartition(parts, "sig")
     bucket = Window.partitionBy("sig")
-    seen = dealt.withColumn("center", F.min("node").over(bucket)).withColumn("_last", F.max("node").over(bucket)).withColumn("many", F.count("*").over(bucket) > 2)
-    return materialize(seen.where("center <> _last").select("sig", "node", "center", "many"))
+    seen = rows.repartition(parts, "sig").select("sig", "node", F.min("node").over(bucket).alias("center"), F.max("node").over(bucket).alias("_last"))
+    shared = materialize(seen.where("center <> _last").select("sig", "node", "center").distinct())
+    same = shared.groupBy("sig").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("node")).alias("_all"), F.min("center").alias("center"))
+    kept = same.groupBy("center", "many", "_all").agg(F.min("sig").alias("sig")).select("sig", "many")
+    return materialize(shared.join(kept, "sig"))
 
 
 def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df, to be broadcast if it is counted to have a million narrow rows at most; else joined as the planner will."""
+    """df, of a few numbers a row, to be broadcast if it is counted to have a million rows at most; else joined as
+    the planner will."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
@@ -131,64 +126,185 @@ def tasks(rows: int) -> int:
     return max(4, -(-rows // ROWS_A_TASK))
 
 
-def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], info: DataFrame, plausible: Callable[[str, str], Column], percent: int) -> DataFrame:
+def allowed(apart: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m that differ in apart elements, or more, can be percent alike."""
+    return (apart * (100 + percent) <= (n + m) * (100 - percent)) & (n * 100 >= m * percent) & (m * 100 >= n * percent)
+
+
+def _apart(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(some[:, None] ^ others[None]).sum(axis=2, dtype=np.int64)
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """The sketches as rows of the narrowest one's width: half laid on half, which keeps the bound."""
+    width = min(map(len, sketches))
+    out = np.empty((len(sketches), width), dtype=np.uint64)
+    for row, x in zip(out, sketches, strict=True):
+        while len(x) > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        row[:] = x
+    return out
+
+
+def screens(sets: list[np.ndarray], bits: int = 512) -> np.ndarray:
+    """The parity sketches of sets, as rows of so many bits."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    spot = owner * bits + (np.concatenate(sets) & np.uint64(bits - 1)).astype(np.int64)
+    odd = np.bincount(spot, minlength=len(sets) * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), bits), axis=1).view(np.uint64)
+
+
+def same(sets: list[np.ndarray], percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether the pairs (x, y) of sets are percent alike, exactly. For sets of a few elements each."""
+    size = np.array([len(s) for s in sets])
+    grid, there = np.zeros((len(sets), size.max()), dtype=np.uint64), np.arange(size.max()) < size[:, None]
+    grid[there] = np.concatenate(sets)
+
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out, step = np.zeros(len(x), dtype=bool), max(1, AT_ONCE // grid.shape[1] ** 2)
+        for at in range(0, len(x), step):
+            p, q = x[at : at + step], y[at : at + step]
+            both = ((grid[p][:, :, None] == grid[q][:, None]) & there[p][:, :, None] & there[q][:, None]).sum(axis=(1, 2))
+            out[at : at + step] = both * 100 >= (size[p] + size[q] - both) * percent
+        return out
+
+    return alike
+
+
+def spanning(bits: np.ndarray, n: np.ndarray, percent: int, sure: Callable | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the plausible links among rows of bits, each from a row that is reached to a new one.
+    Only of those that are sure, if that can be told."""
+    out, reached, left = [], np.array([0]), np.arange(1, len(n))
+    while len(left):
+        if not len(reached):
+            reached, left = left[:1], left[1:]
+            continue
+        step = max(1, AT_ONCE // (len(left) * bits.shape[1]))
+        now, reached = reached[:step], reached[step:]
+        ok = allowed(_apart(bits[now], bits[left]), n[now][:, None], n[left][None], percent)
+        first = ok.argmax(axis=0)
+        while sure:  # the first that is not sure gives way to the next
+            asked = np.flatnonzero(ok[first, np.arange(len(left))])
+            wrong = asked[~sure(now[first[asked]], left[asked])]
+            if not len(wrong):
+                break
+            ok[first[wrong], wrong] = False
+            first[wrong] = ok[:, wrong].argmax(axis=0)
+        hit = ok.any(axis=0)
+        if hit.any():
+            new = left[hit]
+            out += zip(now[first[hit]].tolist(), new.tolist(), strict=True)
+            reached, left = np.concatenate([reached, new]), left[~hit]
+    return out
+
+
+def across(bits: np.ndarray, n: np.ndarray, part: np.ndarray, visits: np.ndarray, percent: int, sure: Callable | None = None) -> Iterator[tuple[int, int]]:
+    """All plausible links between different parts, but those between two visitors. Only those that are sure, if that
+    can be told."""
+    names, which, counts = np.unique(part, return_inverse=True, return_counts=True)
+    few = np.flatnonzero(which != counts.argmax())
+    step = max(1, AT_ONCE // bits.size)
+    for at in range(0, len(few), step):
+        now = few[at : at + step]
+        ok = allowed(_apart(bits[now], bits), n[now][:, None], n[None], percent)
+        ok &= (part[now][:, None] != part[None]) & ~(visits[now][:, None] & visits[None])
+        x, y = np.nonzero(ok)
+        if sure:
+            told = sure(now[x], y)
+            x, y = x[told], y[told]
+        yield from zip(now[x].tolist(), y.tolist(), strict=True)
+
+
+def searched(rows: DataFrame, percent: int, parts: int, every: bool, exact: bool) -> DataFrame:
+    """(sig, a, b) from (sig, chunk, node, n_shingles, sketch, part, visits): each bucket's spanning forest of plausible
+    links, or every plausible link across parts, each once for a task at least. With exact, sketches are sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+        held: pa.Table | None = None
+
+        def found(table: pa.Table) -> pa.RecordBatch:
+            sig, chunk, node, n, part, visits = (table[c].to_numpy() for c in ("sig", "chunk", "node", "n_shingles", "part", "visits"))
+            sketches, out = table["sketch"].combine_chunks(), []
+            at, flat = sketches.offsets.to_numpy(), sketches.values.to_numpy().view(np.uint64)
+            ends = np.append(np.flatnonzero((sig[1:] != sig[:-1]) | (chunk[1:] != chunk[:-1])) + 1, len(sig))
+            for start, stop in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+                here, sets = slice(start, stop), [flat[at[i] : at[i + 1]] for i in range(start, stop)]
+                bits, sure = (screens(sets), same(sets, percent)) if exact else (folded(sets), None)
+                pairs = across(bits, n[here], part[here], visits[here], percent, sure) if every else spanning(bits, n[here], percent, sure)
+                for x, y in pairs:
+                    a, b = int(node[start + x]), int(node[start + y])
+                    a, b = min(a, b), max(a, b)
+                    if every:
+                        if (a, b) in told:
+                            continue
+                        if len(told) > PAIRS:
+                            told.clear()
+                        told.add((a, b))
+                    out.append((int(sig[start]), a, b))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [()] * 3)], ["sig", "a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if not held.num_rows:
+                continue
+            sig, chunk = held["sig"].to_numpy(), held["chunk"].to_numpy()
+            last = int(np.flatnonzero((sig == sig[-1]) & (chunk == chunk[-1]))[0])
+            if last:
+                yield found(held.slice(0, last).combine_chunks())
+                held = held.slice(last).combine_chunks()
+        if held is not None and held.num_rows:
+            yield found(held.combine_chunks())
+
+    dealt = rows.select("sig", "chunk", "node", "n_shingles", "sketch", "part", "visits").repartition(parts, "sig", "chunk").sortWithinPartitions("sig", "chunk", "node")
+    return dealt.mapInArrow(run, "sig long, a long, b long")
+
+
+def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame] | None, info: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
     """(node, component) of all nodes with links, from members (sig, node, center, many).
 
-    fetch(nodes) gives (node, shingles) of these nodes. info has node and what plausible, a
-    condition without false negatives on the columns of two sides, needs.
+    fetch(nodes) gives (node, shingles) of these nodes, info (node, n_shingles, sketch) of all. Without fetch, the
+    sketches are the sets themselves, and what they allow is exact.
     """
-    few = tasks(members.count())
-    members = members.coalesce(few)
-    put = lambda df, times=1: materialize(df.coalesce(times * few))
-    side = lambda df, s: df.select([F.col(c).alias(f"{s}{c}") for c in df.columns])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        if pairs.isEmpty():
-            return pairs
-        nodes = put(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-        return put(alike(pairs, put(fetch(nodes), 4), percent))
-
-    def joined(part: DataFrame, pairs: DataFrame) -> DataFrame:
-        """part, with the pairs that are verified; parts that are found stay stars."""
-        fresh = verify(pairs)
-        if fresh.isEmpty():
-            return part
-        return put(connected_components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh), few))
-
-    spokes = members.where("node <> center").groupBy(F.col("center").alias("x_node"), F.col("node").alias("y_node")).agg(F.count("*").alias("n"))
-    spokes = spokes.coalesce(few).join(side(info, "x_"), "x_node").coalesce(4 * few).join(side(info, "y_"), "y_node").where(plausible("x_", "y_"))
-    spokes = put(spokes.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "n"))
-    first = put(spokes.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
-    part = put(connected_components(verify(first), few))
-    named = lambda df, node, name: df.join(side(part, "_"), F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", node)).drop("_node", "_component").coalesce(few)
-    apart = lambda pairs: named(named(pairs, "a", "pa"), "b", "pb").where("pa <> pb")
-    one = lambda pairs: put(apart(pairs).groupBy("pa", "pb").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*"))
-    done, waiting, rest = first, spokes.select("a", "b"), put(members.where("many").select("sig", "node", "center").distinct())
-    for _ in range(CENTRES):
-        # the centre has been held against all others of its bucket; the next one follows, where parts are left
-        chosen = one(waiting.join(done, ["a", "b"], "left_anti"))
-        done, part = done.unionByName(chosen), joined(part, chosen)
-        if rest.isEmpty():
-            break
-        rest = rest.where("node <> center").drop("center")
-        placed = named(rest, "node", "part")
-        mixed = placed.groupBy("sig").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.min("node").alias("center"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_all")).where("_low <> _high")
-        # buckets of the same nodes are one
-        rest = put(rest.join(mixed.dropDuplicates(["_n", "_all"]).select("sig", "center"), "sig"))
-        more = rest.where("node <> center").select(F.col("center").alias("x_node"), F.col("node").alias("y_node")).distinct()
-        more = more.join(side(info, "x_"), "x_node").join(side(info, "y_"), "y_node").where(plausible("x_", "y_")).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
-        if rest.isEmpty():
-            continue
-        waiting = put(apart(waiting.unionByName(more).distinct()).select("a", "b").join(done, ["a", "b"], "left_anti"))
-    late = waiting
-    if not rest.isEmpty():
-        open_ = named(rest.where("node <> center"), "node", "part").drop("center").join(info, "node")
-        across = side(open_, "x_").join(side(open_, "y_"), (F.col("x_sig") == F.col("y_sig")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_part") != F.col("y_part")) & plausible("x_", "y_"))
-        late = late.unionByName(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))).distinct()
-    late = put(late.join(done, ["a", "b"], "left_anti"))
-    chosen = one(late)
-    part = joined(part, chosen)
-    return joined(part, put(apart(late).select("a", "b").join(chosen, ["a", "b"], "left_anti")))
+    exact = fetch is None
+    parts = partitions(members.sparkSession)
+    chunks = F.ceil(F.col("many") / chunk).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.greatest(chunks, F.lit(1))).cast("int")
+    dealt = members.withColumn("chunk", F.explode(F.when(F.col("node") == F.col("center"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))))
+    rows = dealt.join(info, "node").withColumns({"part": F.lit(0).cast("long"), "visits": F.lit(False)})
+    edges = materialize(searched(rows, percent, parts, False, exact))
+    pairs = edges.select("a", "b").distinct()
+    part = materialize(connected_components(verified(pairs, fetch, percent)))
+
+    one, two = (part.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in "ab")
+    named = edges.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    failed = named.select("sig").unionByName(members.where(F.col("many") > chunk).select("sig")).distinct()
+    again = members.join(failed, "sig").join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    again = materialize(again)
+    mixed = again.groupBy("sig", "part").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("sig", "most")
+    if mixed.isEmpty():
+        return part
+    # the nodes outside a large bucket's largest part visit all of its chunks
+    others = F.array_except(F.sequence(F.lit(0), chunks - 1), F.array(own))
+    placed = again.join(mixed, "sig").withColumn("_home", F.array(F.struct(own.alias("chunk"), F.lit(False).alias("visits"))))
+    abroad = F.when(F.col("part") != F.col("most"), F.transform(others, lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("visits"))))
+    placed = placed.withColumn("_at", F.explode(F.concat("_home", F.coalesce(abroad, F.array().cast("array<struct<chunk:int,visits:boolean>>")))))
+    rows = placed.select("sig", "node", "part", "_at.chunk", "_at.visits").join(info, "node")
+    late = searched(rows, percent, parts, True, exact).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    fresh = verified(late, fetch, percent)
+    if fresh.isEmpty():
+        return part
+    return materialize(connected_components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)))
+
+
+def verified(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame] | None, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of percent or more; all, without fetch. Materialized."""
+    pairs = materialize(pairs)
+    if fetch is None or pairs.isEmpty():
+        return pairs
+    nodes = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    return materialize(alike(pairs, fetch(nodes), percent))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -5,12 +5,13 @@ the XOR of its shingles' hashes. A shingle that only one of two documents has ch
 block, so the number of blocks that differ is at most the symmetric difference, which a
 Jaccard similarity bounds by the sizes. Blocks are fixed for each band of sizes; two
 documents that link then agree in one of the first bound + 1 filled blocks of each, in any
-order that is the same for all. Those are the rows that are joined. Agreeing pairs are
+order that is the same for all. Those are the rows that are joined. Nodes that agree are
 screened by parity sketches of a few bits for each shingle, whose Hamming distance bounds the symmetric
 difference from below too, and verified by their shingles.
 
-The order puts blocks made of very common shingles last. Which ones are common is read
-from a sample; it changes which blocks are tried, never the result.
+The order puts blocks made of common shingles last. How common shingles are is counted over all
+rows, in a table of fixed size that each task fills and that is summed on the executors; the count
+changes which blocks are tried, never the result.
 
 Defined results: texts that are null or have no word have no shingles, n_shingles 0, and
 link with nothing; a text of fewer words than k is one shingle; repeated rows and equal
@@ -31,10 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
-from .near import Shingler, bounded, crowded, digest, link, mix, plausible, sketch
+from .near import Shingler, bounded, crowded, digest, link, mix, sketch
 
-#: Documents of the sample that tells common shingles, how often one is common, how many are listed.
-SAMPLE_ROWS, COMMON_IN, COMMON_MOST = 4_000, 6, 100_000
+#: Counters of the table in which shingles are counted, and how many rows of it are summed at once. A shingle is common
+#: if its counter has twice the mean and COMMON_IN more: in about one document of a thousand, at any size of the corpus.
+COUNTERS, SLICES, COMMON_IN = 1 << 19, 64, 8
+#: A sketch has 2 << 10 bits at least.
+SKETCH_LEAST = 10
 
 
 def most_apart(n: int, other: int, percent: int) -> int:
@@ -59,19 +63,23 @@ def n_blocks(band: int) -> int:
     return 1 << (band if band >= 7 else 16)
 
 
+def counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(40)) & np.uint64(COUNTERS - 1)
+
+
 def signatures(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The blocks by which a set is joined, as 64-bit numbers."""
-    out = []
-    rare = np.ones(len(shingles), dtype=bool)
-    if len(common):  # sorted
-        rare = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] != shingles
+    """The blocks by which a set is joined, as 64-bit numbers; common tells for each counter whether its shingles are."""
+    out = [np.zeros(0, dtype=np.uint64)]
+    often = common[counter(shingles)]
     for band, bound in bands(len(shingles), percent):
+        if not bound:  # only equal sets, which are one node
+            continue
         block = (shingles >> np.uint64(16)) & np.uint64(n_blocks(band) - 1)
         order = np.argsort(block, kind="stable")
         block = block[order]
         starts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
         value = np.bitwise_xor.reduceat(shingles[order], starts)
-        late = ~np.logical_or.reduceat(rare[order], starts)
+        late = np.logical_and.reduceat(often[order], starts)
         chosen = np.argsort(late, kind="stable")[: bound + 1]
         out.append(mix(value[chosen] + block[starts][chosen] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)))
     return np.concatenate(out)
@@ -82,43 +90,70 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def features(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_shingles, node, sketch) for each row; node names the shingle set."""
+    """(doc_id, text_hash, n_shingles, node, sketch) for each row; node names the shingle set. Of equal sets that one
+    task sees, the first alone has a sketch. And a row for each task with counts alone, how many sets have shingles
+    of each counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
+        shingler, seen = Shingler(k), set()
+        counts, waiting, size = np.zeros(COUNTERS, dtype=np.int64), [], 0
         for batch in batches:
-            sets = [shingler.shingles(t.as_py()) for t in batch["text"]]
-            sketches = [sketch(s, 11) for s in sets]
-            flat = np.concatenate(sketches) if sets else np.zeros(0, dtype=np.int64)
-            at = pa.array(np.cumsum([0, *map(len, sketches)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat))], ["doc_id", "text_hash", "n_shingles", "node", "sketch"])
+            sizes, names, sketches = [], [], []
+            for t in batch["text"]:
+                s = shingler.shingles(t.as_py())
+                sizes.append(len(s))
+                names.append(node := digest(s))
+                if node in seen or not len(s):
+                    sketches.append(None)
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(node)
+                sketches.append(sketch(s, SKETCH_LEAST))
+                waiting.append(counter(s).astype(np.int64))
+                size += len(s)
+                if size > 500_000:
+                    counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+                    waiting, size = [], 0
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(len(names), pa.binary())], FEATURES)
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+        if seen:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, kind) for kind in (*[pa.int64()] * 4, pa.list_(pa.int64()))), pa.array([counts.astype(np.uint32).tobytes()])], FEATURES)
 
     rows = _rows(docs, doc_id, text).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, sketch array<long>, counts binary")
 
 
-def common_shingles(docs: DataFrame, k: int, text: str = "text", rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Shingles that stand in 6 or more of about 4,000 sampled documents: 100,000 at most, an order's hint."""
-    total = docs.select(F.count("*")).first()[0]
-    sample = docs.select(F.col(text).alias("text")).sample(min(1.0, rows / max(1, total)), seed=11)
+FEATURES = ["doc_id", "text_hash", "n_shingles", "node", "sketch", "counts"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
+
+def common_counters(tables: DataFrame) -> np.ndarray:
+    """Which counters are common, from the tables (counts) of all tasks, summed in two steps on the executors."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            for t in batch["text"]:
-                yield pa.RecordBatch.from_arrays([pa.array(shingler.shingles(t.as_py()).view(np.int64))], ["shingle"])
+            for x in batch["counts"]:
+                total += np.frombuffer(x.as_py(), dtype=np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)])], ["slice", "counts"])
+
+    def added(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), dtype=np.int64) for x in part["counts"])
+        return pa.table({"slice": part["slice"][:1], "counts": pa.array([total.tobytes()])})
 
-    counted = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_IN)
-    listed = counted.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).select("shingle").toPandas()["shingle"]
-    return np.sort(listed.to_numpy(dtype=np.int64).view(np.uint64))
+    narrow = tables.coalesce(max(1, round(tables.rdd.getNumPartitions() ** 0.5)))
+    rows = narrow.mapInArrow(summed, "slice int, counts binary").groupBy("slice").applyInArrow(added, "slice int, counts binary").orderBy("slice").collect()
+    counts = np.concatenate([np.frombuffer(r["counts"], dtype=np.int64) for r in rows]) if rows else np.zeros(COUNTERS, dtype=np.int64)
+    return counts > 2 * counts.mean() + COMMON_IN
 
 
 def signature_rows(docs: DataFrame, k: int, percent: int, common: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(sig, node). Of equal sets that one task sees, the first alone gives rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen, often = Shingler(k), set(), shared.value
+        shingler, seen, often = Shingler(k), set(), np.unpackbits(shared.value).astype(bool)
         sigs, nodes, waiting = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -163,15 +198,22 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str = "doc_
 
 def _placed(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The features of docs, and (node, component_id, kept) of each node; kept is the row that stays of a component."""
-    rows = materialize(features(docs, k, doc_id, text))
+    if not 50 <= percent <= 100:
+        raise ValueError("bands of sizes hold partners of 50 to 100 percent")
+    every = materialize(features(docs, k, doc_id, text))
+    rows = every.where("n_shingles is not null").select("doc_id", "text_hash", "n_shingles", "node")
     nodes = materialize(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(_row()).alias("first_row")))
-    members = crowded(signature_rows(docs, k, percent, common_shingles(docs, k, text), doc_id, text), 2 * partitions(docs.sparkSession))
-    info = materialize(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    common = common_counters(every.where("counts is not null").select("counts"))
+    members = crowded(signature_rows(docs, k, percent, common, doc_id, text), 2 * partitions(docs.sparkSession))
+    sketches = every.where("sketch is not null").select("node", "n_shingles", "sketch")
+    info = materialize(sketches.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     fetch = lambda asked: shingle_sets(docs, bounded(nodes.join(asked, "node").select(F.col("first_id").alias("doc_id"), "node")), k, doc_id, text)
-    parts = link(members, fetch, info, plausible(percent), percent)
-    named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min("first_row").alias("kept"))
-    return rows, materialize(named.join(first, "component").select("node", "component_id", "kept"))
+    parts = link(members, fetch, info, percent)
+    linked = materialize(nodes.join(parts, "node"))
+    first = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min("first_row").alias("kept"))
+    found = linked.select("node", "component").join(bounded(materialize(first)), "component").select("node", F.col("component_id").alias("_id"), F.col("kept").alias("_kept"))
+    placed = nodes.join(found, "node", "left").select("node", F.when(F.col("_kept").isNull(), F.col("first_id")).otherwise(F.col("_id")).alias("component_id"), F.coalesce("_kept", "first_row").alias("kept"))
+    return rows, materialize(placed)
 
 
 def _row() -> Column:
