@@ -16,7 +16,7 @@ from .ngram_join import ngram_join
 from .quality import assess
 from .sentencepiece_codec import digest
 from .sharding import assign
-from .substring_dedup import all_repeats
+from .substring_dedup import repeats
 from .url_filter import judge
 
 URL_RULES = (
@@ -137,7 +137,7 @@ QUERIES["op6_language_id"] = op6_language_id
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_repeats(read_table(spark, sf_dir, "documents"))
+    return repeats(read_table(spark, sf_dir, "documents")).drop("doc")
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,366 +1,215 @@
-"""Substring dedup of paragraphs by MinHash banding, and of passages inside and across them.
+"""Substring dedup by MinHash banding of content-defined paragraphs.
 
-A paragraph is a line of MIN_WORDS words or more, or consecutive shorter lines, to a blank or
-longer line or until they have MIN_WORDS, and stands for its set of 5-word shingles.
-MinHash bands, tuned for high recall at the asked similarity, bring alike paragraphs into
-one bucket; parity sketches screen them and exact Jaccard similarity verifies; components of the verified links are the
+Paragraphs are cut where the words themselves say so, whatever lines they stand in. A band is a
+random order of 5-word shingles; in each band the first of every SEEDS shingles in a row, their
+MinHash, is a seed. A paragraph is the SPAN words from a seed on or the SPAN words up to a
+seed's end, and stands for its set of 3-word shingles. Paragraphs at the same seed share a
+bucket; within it exact Jaccard similarity verifies links, and components of the links are the
 clusters. Of each cluster the occurrence first in (doc_id, place) stays and all others are
-removals. Occurrences with equal shingle sets are one node, so a paragraph that stands in a
-third of all documents is one row for each task.
-
-A passage is PASSAGE words or more that repeat anywhere in the words of a text, line ends
-included. Of every SEEDS 5-word shingles in a row the smallest hash, MinHash of one row over
-overlapping windows, is a seed; SPAN words from its start and SPAN words up to its end are
-windows, found by the seed and verified by exact Jaccard similarity of their 3-word shingles.
-Any PASSAGE equal words in a row hold a seed with one of its windows, so they are always found;
-changed words are found where a seed stays and its window is alike. Around found windows every
-place is then compared, for the whole extent.
-
-Defined results: null and empty texts have no paragraphs; lines that come to fewer words than
-MIN_WORDS are neither kept track of nor removed but in passages; a repeated row repeats its
-paragraphs; a null doc_id comes first; an empty table gives an empty result; extra columns are
-ignored by repeats() and passages() and kept by without_repeats().
+removals; removals that overlap or adjoin are one span.
+
+Any PASSAGE equal words in a row hold a seed with one of its paragraphs, so they are always
+found. Two stretches of SEEDS shingles that are alike to a degree share a band's MinHash with
+that probability; tune() takes as many bands as make it high. A span may begin and end up to
+SPAN - 1 words inside the passage that is repeated.
+
+Defined results: null and empty texts, and those of fewer words than SPAN, have no paragraphs;
+rows equal in doc_id and text are one document, each with all its spans; repeats within one
+document alone are not reported; a null doc_id comes first; an empty table gives an empty result;
+extra columns are ignored by repeats() and kept by without_repeats().
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
-from .near import Shingler, bounded, crowded, digest, link, mix, plausible, sketch
+from .near import CHUNK, Shingler, bounded, crowded, link, mix
 
-MIN_WORDS = 15
-#: A sketch has 2 << 9 bits at least, many for each shingle of a usual paragraph.
-SKETCH_LEAST = 9
-#: Words of a passage, of a window, and seeds of which the smallest is taken: SEEDS + 4 <= PASSAGE,
-#: and 2 * SPAN - 5 < PASSAGE, so that a window at any seed of a passage is inside it.
+#: Words of a passage that is always found, words of a paragraph, and shingles of which the first is a seed:
+#: SEEDS + 4 <= PASSAGE, and 2 * SPAN - 5 < PASSAGE, so that a paragraph at any seed of a passage is inside it.
 PASSAGE, SPAN, SEEDS = 50, 25, 40
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def tune(similarity: float, recall: float = 0.995, far: float = 0.3, far_most: float = 0.3) -> tuple[int, int]:
-    """(bands, rows): the fewest bands by which a pair of the similarity meets with the recall
-    and a pair as unlike as far with a probability of far_most at most."""
-    met = lambda s, b, r: 1 - (1 - s**r) ** b
-    for bands in range(1, 257):
-        for rows in range(1, 17):
-            if met(similarity, bands, rows) >= recall and met(far, bands, rows) <= far_most:
-                return bands, rows
-    raise ValueError("no banding of up to 256 bands does that")
-
-
-def _lines(text: str | None) -> Iterator[tuple[int, int, str]]:
-    """(place, start, line) of each line, start in characters."""
-    start = 0
-    for place, line in enumerate((text or "").split("\n")):
-        yield place, start, line
-        start += len(line) + 1
-
-
-def _paragraphs(shingler: Shingler, text: str | None, least: int) -> list[tuple[int, int, int, int, np.ndarray]]:
-    """(place, start, stop, words, shingles) of each paragraph; place is that of its first line."""
-    out, first, short = [], None, []
-    for place, start, line in _lines(text):
-        words = shingler.words(line)
-        if len(words) >= least or not words:
-            first, short = None, []
-        if not words:
-            continue
-        if len(words) < least:
-            first, short = first or (place, start), short + words
-            if len(short) < least:
-                continue
-            (at, begin), words = first, short
-            first, short = None, []
-        else:
-            at, begin = place, start
-        out.append((at, begin, start + len(line), len(words), np.unique(shingler.windows(words))))
-    return out
-
-
-def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-
-def paragraphs(docs: DataFrame, k: int = 5, least: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, place, start, stop, n_words, n_shingles, node, sketch) of each paragraph. Of equal
-    paragraphs that one task sees, the first alone has a sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(k), set()
-        for batch in batches:
-            rows, sketches = [], []
-            for d, t in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                for *where, s in _paragraphs(shingler, t.as_py(), least):
-                    node = digest(s)
-                    sketches.append(None if node in seen else sketch(s, SKETCH_LEAST))
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(node)
-                    rows.append((d, *where, len(s), node))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "place", "start", "stop", "n_words", "n_shingles", "node", "sketch"])
-
-    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, place long, start long, stop long, n_words long, n_shingles long, node long, sketch array<long>")
-
-
-def band_rows(docs: DataFrame, bands: int, rows: int, k: int, least: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(sig, node) of each paragraph's bands. Of equal paragraphs that one task sees, the first alone gives rows."""
+#: Lengths of the shingles that are seeds, and of those that a paragraph is compared by.
+SEED_WORDS, PART_WORDS = 5, 3
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def tune(similarity: float, recall: float = 0.9) -> int:
+    """The fewest bands by which stretches of the similarity share a MinHash with the recall."""
+    bands = 1
+    while 1 - (1 - similarity) ** bands < recall:
+        bands += 1
+    return bands
+
+
+def places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends, in characters of text."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    blank = np.concatenate([[True], _BLANK[raw], [True]])
+    turns = np.flatnonzero(blank[1:] != blank[:-1])
+    if len(raw) != len(text):
+        turns = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[turns]
+    return turns[::2], turns[1::2]
+
+
+class Cutter:
+    """Cuts texts into paragraphs."""
+
+    def __init__(self, bands: int):
+        self.seeds, self.parts = Shingler(SEED_WORDS), Shingler(PART_WORDS)
+        self.parts.known = self.seeds.known
+        self.orders = [np.uint64(0)] + [mix(np.array([b], dtype=np.uint64))[0] for b in range(1, bands)]
+
+    def shingles(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The seed shingles and the part shingles of a text, by where they start."""
+        words = self.seeds.words(text)
+        if len(words) < SPAN:
+            return (np.zeros(0, dtype=np.uint64),) * 2
+        return self.seeds.windows(words), self.parts.windows(words)
+
+    def cut(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signature, name, first word) of each paragraph."""
+        seeds, parts = self.shingles(text)
+        if not len(seeds):
+            return (np.zeros(0, dtype=np.int64),) * 3
+        chosen, width = [], min(SEEDS, len(seeds))
+        for order in self.orders:
+            views = np.lib.stride_tricks.sliding_window_view(mix(seeds ^ order) if order else seeds, width)
+            chosen.append(views.argmin(axis=1) + np.arange(len(views)))
+        k = np.unique(np.concatenate(chosen))
+        after, upto = k[k + SPAN <= len(seeds) + SEED_WORDS - 1], k[k + SEED_WORDS >= SPAN]
+        sig = np.concatenate([mix(seeds[after] + np.uint64(1)), mix(seeds[upto] + np.uint64(2))])
+        at = np.concatenate([after, upto + SEED_WORDS - SPAN])
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(parts ^ np.uint64(0x5BD1E995)), dtype=np.uint64)])
+        # the two sides have names of their own: a cluster holds paragraphs that are laid out alike
+        side = np.repeat(np.array([1, 2], dtype=np.uint64), [len(after), len(upto)])
+        return sig.view(np.int64), mix(sums[at + SPAN - PART_WORDS + 1] - sums[at] + side).view(np.int64), at
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.withColumn("doc", F.xxhash64("doc_id", "text"))
+
+
+def paragraphs(docs: DataFrame, bands: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(sig, node, doc, doc_id, at, span) of each paragraph: doc names the document, node the set of shingles, at is the
+    first word, and span holds the characters from and to, in 32 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(k), set()
-        random = np.random.default_rng(20240501)
-        times = random.integers(1, 1 << 62, (bands * rows, 1), dtype=np.uint64) | np.uint64(1)
-        joined = random.integers(1, 1 << 62, (rows, 1), dtype=np.uint64) | np.uint64(1)
+        cutter = Cutter(bands)
         for batch in batches:
-            sigs, nodes = [], []
-            for t in batch["text"]:
-                new = []
-                for *_, s in _paragraphs(shingler, t.as_py(), least):
-                    if (node := digest(s)) not in seen:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        seen.add(node)
-                        new.append((node, s))
-                if new:
-                    starts = np.cumsum([0, *(len(s) for _, s in new[:-1])])
-                    x = np.concatenate([s for _, s in new])[None, :] * times
-                    least_ = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts, axis=1).reshape(bands, rows, -1)
-                    sig = mix((least_ * joined[None]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)[:, None])
-                    sigs.append(sig.reshape(-1))
-                    nodes.append(np.tile(np.array([n for n, _ in new], dtype=np.int64), bands))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
-
-    return _rows(docs, doc_id, text).select("text").mapInArrow(run, "sig long, node long")
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, least: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, shingles) of the wanted (doc_id, nodes)."""
+            out, rows, size = [], [], 0
+            for row, t in enumerate(batch["text"]):
+                t = t.as_py() or ""
+                sig, node, at = cutter.cut(t)
+                if not len(at):
+                    continue
+                starts, ends = places(t)
+                out.append((sig, node, at, starts[at] << 32 | ends[at + SPAN - 1]))
+                rows.append(np.full(len(at), row))
+                size += len(at)
+                if size > 100_000:
+                    yield told(batch, out, rows)
+                    out, rows, size = [], [], 0
+            if out:
+                yield told(batch, out, rows)
+
+    def told(batch: pa.RecordBatch, out: list, rows: list) -> pa.RecordBatch:
+        sig, node, at, span = (pa.array(np.concatenate(c)) for c in zip(*out, strict=True))
+        row = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([sig, node, batch["doc"].take(row), batch["doc_id"].take(row), at, span], ["sig", "node", "doc", "doc_id", "at", "span"])
+
+    return _keyed(docs, doc_id, text).mapInArrow(run, "sig long, node long, doc long, doc_id long, at long, span long")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, n_shingles, sketch) of the wanted (doc, at, node); the sketch is the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
+        cutter = Cutter(1)
         for batch in batches:
-            for t, nodes in zip(batch["text"], batch["nodes"], strict=True):
-                asked = set(nodes.as_py())
-                found = {d: s for *_, s in _paragraphs(shingler, t.as_py(), least) if (d := digest(s)) in asked}
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64()))], ["node", "shingles"])
-
-    rows = _rows(docs, doc_id, text).join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "nodes")
-    return rows.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
-
-
-def repeats(docs: DataFrame, percent: int = 75, k: int = 5, least: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The paragraphs that occur more than once, near copies included:
-    (doc_id, place, start, stop, n_words, cluster_doc, cluster_place, cluster_size, removed).
-
-    start and stop are characters of the text; the cluster is named by the occurrence that stays.
-    """
-    bands, rows = tune(percent / 100)
-    every = materialize(paragraphs(docs, k, least, doc_id, text))
-    nodes = every.groupBy("node").agg(F.min(F.struct("doc_id", "place", "start")).alias("first"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"))
-    members = crowded(band_rows(docs, bands, rows, k, least, doc_id, text), 2 * partitions(docs.sparkSession))
-    asked = members.select("node").distinct()
-    sketches = every.where("sketch is not null").join(asked, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    info = materialize(nodes.select("node", "n_shingles", F.col("first.doc_id").alias("doc_id")).join(sketches, "node"))
-    fetch = lambda asked: shingle_sets(docs, bounded(info.join(asked, "node").groupBy("doc_id").agg(F.collect_set("node").alias("nodes"))), k, least, doc_id, text)
-    parts = link(members, fetch, info.drop("doc_id"), plausible(percent), percent)
-    named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    clusters = named.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("cluster_size")).where("cluster_size > 1")
-    placed = materialize(named.drop("first", "n", "n_shingles").join(clusters, "component").select("node", "first", "cluster_size"))
-    return every.join(placed, "node").select(
-        "doc_id", "place", "start", "stop", "n_words", F.col("first.doc_id").alias("cluster_doc"), F.col("first.place").alias("cluster_place"), "cluster_size",
-        (~F.struct("doc_id", "place", "start").eqNullSafe(F.col("first"))).alias("removed"),
-    )
-
-
-class _Words:
-    """The words of a text: their lines, seeds, windows by where they start, and which of them are in reported
-    paragraphs (told) and in those that are removed (gone)."""
-
-    def __init__(self, shingler: Shingler, small: Shingler, text: str | None, paragraphs: list[dict] | None = None):
-        parts = list(_lines(text))
-        lines = [shingler.words(line) for _, _, line in parts]
-        words = [w for line in lines for w in line]
-        self.n = len(words)
-        self.place = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
-        told, gone, starts = np.zeros(len(lines), dtype=bool), np.zeros(len(lines), dtype=bool), np.array([start for _, start, _ in parts])
-        for p in paragraphs or []:
-            inside = slice(*np.searchsorted(starts, [p["start"], p["stop"]]))
-            told[inside] = True
-            gone[inside] |= p["removed"]
-        self.told, self.gone = told[self.place], gone[self.place]
-        self.left = np.concatenate([[0], np.cumsum(~self.gone)])
-        if self.n >= SPAN:
-            self.seeds, self.parts = shingler.windows(words), small.windows(words)
-            self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(self.parts ^ np.uint64(0x5BD1E995)), dtype=np.uint64)])
-
-    def nodes(self, at: np.ndarray) -> np.ndarray:
-        """A signed 64-bit name of the 3-word shingles of the windows that start at at."""
-        return mix(self.sums[at + SPAN - 2] - self.sums[at]).view(np.int64)
-
-    def open(self, at: np.ndarray) -> np.ndarray:
-        """Whether windows have a word that is not removed with its paragraph."""
-        return self.left[at + SPAN] > self.left[at]
-
-    def seeded(self) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, start) of each window at a seed."""
-        if self.n < SPAN:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        views = np.lib.stride_tricks.sliding_window_view(self.seeds, min(SEEDS, len(self.seeds)))
-        k = np.unique(views.argmin(axis=1) + np.arange(len(views)))
-        after, before = k[k + SPAN <= self.n], k[k + 5 >= SPAN]
-        sigs = np.concatenate([mix(self.seeds[after] + np.uint64(1)), mix(self.seeds[before] + np.uint64(2))])
-        return sigs.view(np.int64), np.concatenate([after, before + 5 - SPAN])
-
-
-def _windows(rows: DataFrame, near: DataFrame | None = None) -> DataFrame:
-    """(doc_id, at, place, node, sig) of the windows at seeds of rows (doc_id, text, paragraphs), or, without seeds,
-    of all that start PASSAGE words at most from those of near (doc_id, hits). Not of windows that are removed with
-    paragraphs: they do not stay, and nothing need be cut there."""
-    seeded = near is None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, small = Shingler(5), Shingler(3)
-        for batch in batches:
-            hits = batch["hits"].to_pylist() if not seeded else [None] * batch.num_rows
-            ids, parts = [], []
-            for d, t, p, places in zip(batch["doc_id"].to_pylist(), batch["text"], batch["paragraphs"], hits, strict=True):
-                words = _Words(shingler, small, t.as_py(), p.as_py())
-                if seeded:
-                    sigs, at = words.seeded()
-                else:
-                    at = np.unique(np.add.outer(np.array(places, dtype=np.int64), np.arange(-PASSAGE, PASSAGE + 1)))
-                    at = at[(at >= 0) & (at + SPAN <= words.n)]
-                    sigs = np.zeros(len(at), dtype=np.int64)
-                if len(at):
-                    stays = words.open(at)
-                    at, sigs = at[stays], sigs[stays]
-                    ids += [d] * len(at)
-                    parts.append((at, words.place[at], words.nodes(at), sigs))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c)) for c in zip(*parts, strict=True))], ["doc_id", "at", "place", "node", "sig"])
-
-    rows = rows if seeded else _with(rows, near).select("doc_id", "text", "paragraphs", "hits")
-    return rows.mapInArrow(run, "doc_id long, at long, place long, node long, sig long")
-
-
-def _with(docs: DataFrame, other: DataFrame) -> DataFrame:
-    return docs.join(other.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-
-
-def _window_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n_shingles, sketch, shingles) of the wanted windows, (doc_id, hits) with hits of (at, node)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, small = Shingler(5), Shingler(3)
-        for batch in batches:
-            found = {}
+            nodes, sets = [], []
             for t, hits in zip(batch["text"], batch["hits"].to_pylist(), strict=True):
-                words = _Words(shingler, small, t.as_py())
+                _, parts = cutter.shingles(t.as_py())
                 for hit in hits:
-                    if hit["at"] + SPAN <= words.n and int(words.nodes(np.array([hit["at"]]))[0]) == hit["node"]:
-                        found[hit["node"]] = np.unique(words.parts[hit["at"] : hit["at"] + SPAN - 2])
-            sets, longs = list(found.values()), pa.list_(pa.int64())
-            columns = [pa.array(list(found), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, SKETCH_LEAST) for s in sets], longs), pa.array([s.view(np.int64) for s in sets], longs)]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n_shingles", "sketch", "shingles"])
-
-    rows = _with(docs, wanted).select("text", "hits")
-    return rows.mapInArrow(run, "node long, n_shingles long, sketch array<long>, shingles array<long>").dropDuplicates(["node"])
-
-
-def _spans(text: str | None, hits: list[dict], paragraphs: list[dict]) -> list[tuple]:
-    """The passages of a text as rows of repeats(), without the doc_id. Windows that overlap make a run; one
-    that stays in a paragraph that is told is not said again."""
-    words = _Words(Shingler(5), Shingler(3), text, paragraphs)
-    chars = [m.span() for m in WORD.finditer(text or "")]
-    good = [h for h in hits if h["at"] + SPAN <= words.n and int(words.nodes(np.array([h["at"]]))[0]) == h["node"]]
-    runs: list[list[dict]] = []
-    for h in sorted(good, key=lambda h: h["at"]):
-        if runs and h["at"] <= runs[-1][-1]["at"] + SPAN:
-            runs[-1].append(h)
-        else:
-            runs.append([h])
-    out = []
-    for run in runs:
-        begin, end = run[0]["at"], run[-1]["at"] + SPAN
-        # removed words next to it are of the passage
-        while begin and words.gone[begin - 1]:
-            begin -= 1
-        while end < words.n and words.gone[end]:
-            end += 1
-        if end - begin < PASSAGE:
-            continue
-        last = None
-        for h in run:
-            at = h["at"]
-            if not h["removed"] and words.told[at : at + SPAN].all():
-                continue
-            if last and last["removed"] == h["removed"] and at <= last["stop"]:
-                last["stop"] = at + SPAN
-                last["size"] = max(last["size"], h["size"])
-            else:
-                last = {**h, "stop": at + SPAN}
-                out.append(last)
-    return [(int(words.place[x["at"]]), chars[x["at"]][0], chars[x["stop"] - 1][1], x["stop"] - x["at"], x["first_doc"], x["first_place"], x["size"], x["removed"]) for x in out]
-
-
-def passages(docs: DataFrame, found: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The passages that occur more than once and that found, rows of repeats(), does not have, in its columns.
-
-    start and stop need not be line ends; the cluster is named by where the first window of the passage stays.
+                    nodes.append(hit["node"])
+                    sets.append(np.unique(parts[hit["at"] : hit["at"] + SPAN - PART_WORDS + 1]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n_shingles", "sketch"])
+
+    # the names alone choose the texts, so that only those are moved
+    lists = materialize(wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "node")).alias("hits")))
+    some = _keyed(docs, doc_id, text).join(bounded(lists.select("doc")), "doc", "left_semi")
+    rows = some.join(lists, "doc").select("text", "hits")
+    return rows.mapInArrow(run, "node long, n_shingles long, sketch array<long>").dropDuplicates(["node"])
+
+
+def narrowed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members, with buckets of more than CHUNK nodes dealt anew: such a bucket holds a passage that is common in unlike
+    surroundings. Nodes that link share one of the rarest elements of each, as counted in the bucket, so many that fewer
+    are left than a link must share; those are the new buckets."""
+    large = materialize(members.where(F.col("many") > CHUNK).select("sig", "node"))
+    if large.isEmpty():
+        return members
+    each = large.join(sets, "node").select("sig", "node", "n_shingles", F.explode("sketch").alias("e"))
+    counts = materialize(each.groupBy("sig", "e").agg(F.count("*").alias("n")))
+    rank = F.row_number().over(Window.partitionBy("sig", "node").orderBy("n", "e"))
+    least = F.ceil(F.col("n_shingles") * percent / 100)
+    chosen = each.join(counts, ["sig", "e"]).withColumn("_rank", rank).where(F.col("_rank") <= F.col("n_shingles") - least + 1)
+    dealt = crowded(chosen.select(F.xxhash64("sig", "e").alias("sig"), "node"), partitions(members.sparkSession))
+    return members.where(F.col("many") <= CHUNK).unionByName(dealt)
+
+
+def repeats(docs: DataFrame, percent: int = 75, bands: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The passages that more than one document has, near copies included:
+    (doc_id, start, stop, n_words, cluster_doc, cluster_start, cluster_size, removed), and doc, the document's name.
+
+    start and stop are characters of the text; the cluster is that of the passage's first paragraph, named by where
+    it stays, and cluster_size counts its occurrences.
     """
-    lines = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "stop", "removed")).alias("paragraphs"))
-    rows = _rows(docs, doc_id, text).join(bounded(materialize(lines)), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    every = materialize(_windows(rows))
-    first = F.min(F.struct("doc_id", "at", "place")).alias("first")
-    nodes = materialize(every.groupBy("node").agg(first, F.count_distinct(F.struct("doc_id", "at")).alias("n")))
-    members = crowded(every.select("sig", "node"), 2 * partitions(docs.sparkSession))
-    asked = nodes.join(members.select("node").distinct(), "node").groupBy("first.doc_id").agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "node")).alias("hits"))
-    sets = materialize(_window_sets(_rows(docs, doc_id, text), bounded(asked)))
-    parts = link(members, lambda asked: sets.join(asked, "node").select("node", "shingles"), sets.select("node", "n_shingles", "sketch"), plausible(percent), percent)
-    parts = materialize(parts)
-    linked = nodes.where("n > 1").select("node").unionByName(parts.select("node")).distinct()
-    hits = every.join(linked, "node").groupBy("doc_id").agg(F.collect_set("at").alias("hits"))
-    seen = every.join(linked, "node").drop("sig").unionByName(_windows(rows, bounded(hits)).drop("sig")).distinct()
-    seen = materialize(seen.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    clusters = seen.groupBy("component").agg(first, F.count_distinct(F.struct("doc_id", "at")).alias("size")).where("size > 1")
-    # a window that overlaps the one that stays is part of it
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") < F.col("first.at") + SPAN)
-    hit = F.struct("at", "node", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place"), "size", (~same).alias("removed"))
-    placed = seen.join(clusters, "component").groupBy("doc_id").agg(F.collect_list(hit).alias("hits"))
-    joined = _with(rows, bounded(materialize(placed), 100_000)).select("doc_id", "text", "hits", "paragraphs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for d, t, h, p in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "hits", "paragraphs")), strict=True):
-                out += [(d, *row) for row in _spans(t, h, p or [])]
-            columns = list(zip(*out, strict=True)) or [()] * 9
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.bool_())], [*names, "removed"])
-
-    names = ("doc_id", "place", "start", "stop", "n_words", "cluster_doc", "cluster_place", "cluster_size")
-    return joined.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", removed boolean")
-
-
-def all_repeats(docs: DataFrame, percent: int = 75, k: int = 5, least: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of repeats() and of passages()."""
-    found = materialize(repeats(docs, percent, k, least, doc_id, text))
-    return found.unionByName(passages(docs, found, percent, doc_id, text))
+    parts = partitions(docs.sparkSession)
+    every = paragraphs(docs, bands or tune(percent / 100), doc_id, text)
+    bucket = Window.partitionBy("sig")
+    shared = every.repartition(2 * parts, "sig").withColumns({"_low": F.min("doc").over(bucket), "_high": F.max("doc").over(bucket)})
+    shared = materialize(shared.where("_low <> _high").drop("_low", "_high"))
+    members = crowded(shared.select("sig", "node"), parts)
+    nodes = shared.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "at")).alias("one"))
+    sets = materialize(shingle_sets(docs, nodes.select("one.doc", "one.at", "node"), doc_id, text))
+    linked = link(narrowed(members, sets, percent), None, sets, percent)
+    named = shared.drop("sig").join(bounded(linked), "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("node", "component")
+    first = F.min(F.struct("doc_id", "doc", "at", "span"))
+    clusters = named.groupBy("cluster").agg(first.alias("first"), F.min("doc").alias("_low"), F.max("doc").alias("_high"), F.count("*").alias("size"))
+    clusters = materialize(clusters.where("_low <> _high").select("cluster", "first", "size"))
+    hits = named.join(clusters, "cluster")
+    # a paragraph that overlaps the one that stays is part of it
+    stays = (F.col("doc") == F.col("first.doc")) & (F.abs(F.col("at") - F.col("first.at")) < SPAN)
+    hits = hits.select("doc", "doc_id", "at", "span", F.col("first.doc_id").alias("cluster_doc"), F.col("first.span").alias("_first"), "size", (~stays).alias("removed"))
+    return _spans(hits.groupBy("doc", "doc_id", "at", "span").agg(F.max(F.struct("removed", "size", "cluster_doc", "_first")).alias("of")).select("doc", "doc_id", "at", "span", "of.*"))
+
+
+def _spans(hits: DataFrame) -> DataFrame:
+    """Paragraphs of one document that overlap or adjoin, and are of the same document's clusters, as one row."""
+    start, stop = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(2**32 - 1))
+    key = Window.partitionBy("doc", "removed", "cluster_doc").orderBy("at")
+    rows = hits.withColumn("_new", F.coalesce(F.col("at") - F.lag("at").over(key) > SPAN, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(key))
+    spans = rows.groupBy("doc", "doc_id", "removed", "cluster_doc", "_run").agg(
+        F.min(start).alias("start"), F.max(stop).alias("stop"), (F.max("at") - F.min("at") + SPAN).alias("n_words"),
+        F.shiftright(F.min_by("_first", "at"), 32).alias("cluster_start"), F.max("size").alias("cluster_size"),
+    )
+    return spans.select("doc_id", "start", "stop", "n_words", "cluster_doc", "cluster_start", "cluster_size", "removed", "doc")
 
 
 def _cut(text: str | None, gone: list | None) -> str | None:
     """text without the spans; lines of which nothing is left go with their ends."""
     if text is None or not gone:
         return text
-    out = []
-    for _, start, line in _lines(text):
+    out, start = [], 0
+    for line in text.split("\n"):
         kept, at = "", 0
         for a, b in sorted((max(x["start"] - start, 0), min(x["stop"] - start, len(line))) for x in gone if x["start"] <= start + len(line) and x["stop"] >= start):
             if b >= a:
@@ -368,11 +217,15 @@ def _cut(text: str | None, gone: list | None) -> str | None:
         kept += line[at:]
         if kept.strip() or not line.strip():
             out.append(kept)
+        start += len(line) + 1
     return "\n".join(out)
 
 
-def without_repeats(docs: DataFrame, percent: int = 75, k: int = 5, least: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the removed paragraphs and passages cut out of text, line ends included where a line is empty then."""
-    gone = all_repeats(docs, percent, k, least, doc_id, text).where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "stop")).alias("_gone"))
-    cut = F.udf(_cut, "string")
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")), "left").withColumn(text, cut(F.col(text), F.col("_gone"))).select(*docs.columns)
+def without_repeats(docs: DataFrame, percent: int = 75, bands: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the removed passages cut out of text, line ends included where a line is empty then."""
+    gone = repeats(docs, percent, bands, doc_id, text).where("removed").groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    name = lambda c: F.col("row").getField(c)
+    found = rows.withColumn("doc", F.xxhash64(name(doc_id).cast("long"), name(text))).join(gone, "doc", "left")
+    cut: Column = F.udf(_cut, "string")(name(text), F.col("gone"))
+    return found.select(*(cut.alias(c) if c == text else name(c).alias(c) for c in docs.columns))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, html_extract, language_id, mixing, ngram_join, quality, sentencepiece_codec, sharding, substring_dedup, url_filter
+from ledgerloom.llm import exact_dedup, html_extract, language_id, mixing, near, ngram_join, quality, sentencepiece_codec, sharding, substring_dedup, url_filter
 from ledgerloom.llm.near import connected_components
 from ledgerloom.llm.queries import ORACLES, QUERIES
 
@@ -283,51 +283,119 @@ def test_keep_one_decides_by_row(spark):
     assert len({(None, b), (None, near(b))} & set(got)) == 1
 
 
-def test_paragraphs_are_brute_force(spark, odd, none):
+def test_buckets_in_chunks_lose_no_link(spark, monkeypatch):
     texts = planted()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    places = [(i, k, line) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if len(line.split()) >= substring_dedup.MIN_WORDS]
-    root = components([shingles(line) for *_, line in places])
-    size = Counter(root)
-    want = {(i, k, *places[r][:2], size[r], r != n) for n, ((i, k, _), r) in enumerate(zip(places, root, strict=True)) if size[r] > 1}
-    got = substring_dedup.repeats(docs).collect()
-    assert {tuple(r[c] for c in ("doc_id", "place", "cluster_doc", "cluster_place", "cluster_size", "removed")) for r in got} == want
-    assert all(len(texts[r["doc_id"]][r["start"] : r["stop"]].split()) == r["n_words"] for r in got)
-    assert substring_dedup.repeats(none).count() == 0
+    monkeypatch.setattr(ngram_join, "link", lambda members, fetch, info, percent: near.link(members, fetch, info, percent, 4))
+    want = components([shingles(t) for t in texts])
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(docs).collect()} == dict(enumerate(want))
+    with pytest.raises(ValueError):
+        ngram_join.ngram_join(docs, percent=40)
+
+
+def test_a_search_gives_every_component():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(15, 24), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 4)).astype(np.uint64)])) for _ in range(80)]
+    sets += [np.unique(np.append(sets[i][1:], np.uint64(i))) for i in range(40)]
+    as_sets = [set(x.tolist()) for x in sets]
+    want = components(as_sets)
+    parent = list(range(len(sets)))
+    sure = near.same(sets, 75)
+    for x, y in near.spanning(near.screens(sets), np.array([len(s) for s in sets]), 75, sure):
+        assert 100 * len(as_sets[x] & as_sets[y]) >= 75 * len(as_sets[x] | as_sets[y])
+        parent = [min(parent[x], parent[y]) if p in (parent[x], parent[y]) else p for p in parent]
+    assert [want.index(w) for w in want] == [parent.index(p) for p in parent] and len(set(want)) < len(sets)
+
+
+def runs_of(a, b, least):
+    """The places in a of the longest equal runs of words with b, of least words or more."""
+    at = {}
+    for j in range(len(b) - least + 1):
+        at.setdefault(tuple(b[j : j + least]), []).append(j)
+    return {i for i in range(len(a) - least + 1) if tuple(a[i : i + least]) in at}
+
+
+def test_passages_are_brute_force(spark, odd, none):
+    rng = random.Random(5)
+    say = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    shared = [say(rng.randint(50, 70)) for _ in range(12)]
+    texts = []
+    for i in range(60):
+        words = say(rng.randint(0, 90))
+        for passage in rng.sample(shared, rng.choice([0, 0, 1, 1, 2])):
+            words += [w.upper() if rng.random() < 0.1 else w for w in passage] + say(rng.randint(0, 90))
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", " \t\n"]) for w in words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = substring_dedup.repeats(docs).collect()
+    split = [fold(t).split() for t in texts]
+    covered = {}
+    for r in rows:
+        text = texts[r["doc_id"]]
+        first = len(text[: r["start"]].split())
+        assert len(text[r["start"] : r["stop"]].split()) == r["n_words"]
+        covered.setdefault(r["doc_id"], set()).update(range(first, first + r["n_words"]))
+        # near the words of the document that keeps it
+        own = {tuple(split[r["doc_id"]][i : i + 3]) for i in range(first, first + r["n_words"] - 2)}
+        kept = {tuple(split[r["cluster_doc"]][i : i + 3]) for i in range(len(split[r["cluster_doc"]]))}
+        assert len(own & kept) >= 0.6 * len(own)
+    found = set()
+    for i, a in enumerate(split):
+        for j, b in enumerate(split):
+            if i != j:
+                for at in runs_of(a, b, 50):
+                    found.add(i)
+                    assert len(covered.get(i, set()) & set(range(at, at + 50))) >= substring_dedup.SPAN
+    assert set(covered) == found and len(found) > 20
+    assert all(not r["removed"] for r in rows if r["doc_id"] == r["cluster_doc"]) and any(r["removed"] for r in rows)
+    assert substring_dedup.repeats(none).count() == substring_dedup.without_repeats(none).count() == 0
     assert substring_dedup.repeats(odd).count() > 0
+    left = substring_dedup.without_repeats(odd.withColumnRenamed("node", "gone").withColumnRenamed("size", "doc").withColumnRenamed("component", "row"))
+    assert left.count() == len(odd_rows()) and left.columns[5:8] == ["gone", "row", "doc"]
 
 
 def test_passages_inside_unlike_lines(spark):
     rng = random.Random(5)
     say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
     passage = say(60).split()
-    edited = passage[:30] + ["other"] + passage[31:]
-    texts = [f"{say(80)} {' '.join(passage)} {say(70)}", f"{say(90)} {' '.join(passage[:25])}\n{' '.join(passage[25:])} {say(100)}", say(300), f"{say(75)} {' '.join(edited)} {say(90)}"]
+    texts = [f"{say(80)} {' '.join(passage)} {say(70)}", f"{say(90)} {' '.join(passage[:25])}\n{' '.join(passage[25:])} {say(100)}", say(300), " ".join(passage)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    assert substring_dedup.repeats(docs).count() == 0
-    got = {r["doc_id"]: r for r in substring_dedup.all_repeats(docs).collect()}
-    for i in (0, 1):
-        assert texts[i][got[i]["start"] : got[i]["stop"]].split() == passage and got[i]["n_words"] == 60
-    assert [got[i]["removed"] for i in (0, 1)] == [False, True] and got[1]["cluster_doc"] == 0 and 2 not in got
-    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs).collect()}
-    assert left[0] == texts[0] and left[2] == texts[2] and len(left[1].split()) == 190 and not set(passage) & set(left[1].split())
-
-
-def test_short_lines_make_paragraphs(spark):
-    rng = random.Random(6)
-    line = lambda n=11: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
-    block = [line(), line()]
-    texts = ["\n".join([line(40), "", *block, "", line(40)]), "\n".join([line(30), *block, "", line(20), line(3)])]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in substring_dedup.repeats(docs).collect()}
-    assert [(texts[i][got[i]["start"] : got[i]["stop"]], got[i]["place"], got[i]["n_words"], got[i]["removed"]) for i in (0, 1)] == [("\n".join(block), 2, 22, False), ("\n".join(block), 1, 22, True)]
+    assert set(got) == {0, 1, 3} and [got[i]["removed"] for i in (0, 1, 3)] == [False, True, True] and got[1]["cluster_doc"] == 0
     left = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs).collect()}
-    assert left[0] == texts[0] and left[1] == texts[1].replace("\n".join(block) + "\n", "")
+    assert left[0] == texts[0] and left[2] == texts[2]
+    for i in (1, 3):
+        assert left[i].split() == texts[i][: got[i]["start"]].split() + texts[i][got[i]["stop"] :].split() and got[i]["n_words"] >= 36
+
+
+def test_edited_passages_are_mostly_found(spark):
+    rng = random.Random(15)
+    say = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    rows = []
+    for i in range(150):
+        passage = say(60)
+        edited = passage[:]
+        for at in rng.sample(range(60), 2):
+            edited[at] = say(1)[0]
+        rows += [(2 * i, " ".join(say(80) + passage + say(80))), (2 * i + 1, " ".join(say(60) + edited + say(90)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"] for r in substring_dedup.repeats(docs).collect()}
+    assert len(found) >= 0.9 * len(rows)
+
+
+def test_common_passages_in_unlike_texts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK", 8)
+    rng = random.Random(25)
+    say = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    passage = say(55)
+    docs = spark.createDataFrame([(i, " ".join(say(60) + passage + say(60) if i % 3 else say(150))) for i in range(90)], "doc_id long, text string").repartition(4)
+    got = substring_dedup.repeats(docs).collect()
+    assert {r["doc_id"] for r in got} == {i for i in range(90) if i % 3} and max(r["cluster_size"] for r in got) == 60
 
 
 def test_bands_are_tuned():
-    bands, rows = substring_dedup.tune(0.75)
-    assert 1 - (1 - 0.75**rows) ** bands >= 0.995
+    bands = substring_dedup.tune(0.75)
+    assert 1 - 0.25**bands >= 0.9 > 1 - 0.25 ** (bands - 1)
 
 
 def test_components_of_a_chain(spark):
