@@ -46,6 +46,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def joined(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each window of k of the hashes h; of fewer, that of all."""
+    if len(h) < k:
+        return mix((h * _MULTIPLIERS[: len(h)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))
+    n = len(h) - k + 1
+    total = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        total += h[j : j + n] * _MULTIPLIERS[j]
+    return mix(total)
+
+
 class Shingler:
     """Sets of 64-bit hashes of the k-word shingles of texts, A-Z lower-cased."""
 
@@ -71,16 +82,7 @@ class Shingler:
 
     def windows(self, words: list[bytes]) -> np.ndarray:
         """The hash of each window of k words; of fewer words, that of the whole sequence."""
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        h, k = self.hashes(words), self.k
-        if len(words) < k:
-            return mix((h * _MULTIPLIERS[: len(h)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))
-        n = len(h) - k + 1
-        total = np.zeros(n, dtype=np.uint64)
-        for j in range(k):
-            total += h[j : j + n] * _MULTIPLIERS[j]
-        return mix(total)
+        return joined(self.hashes(words), self.k) if words else np.zeros(0, dtype=np.uint64)
 
     def shingles(self, text: str | None) -> np.ndarray:
         """The distinct shingles, ascending."""
@@ -215,13 +217,28 @@ def across(bits: np.ndarray, n: np.ndarray, part: np.ndarray, visits: np.ndarray
         yield from zip(now[x].tolist(), y.tolist(), strict=True)
 
 
+def buckets(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of whole buckets, from batches sorted by keys."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if not held.num_rows:
+            continue
+        last = int(np.flatnonzero(np.logical_and.reduce([(x := held[k].to_numpy()) == x[-1] for k in keys]))[0])
+        if last:
+            yield held.slice(0, last).combine_chunks()
+            held = held.slice(last).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
 def searched(rows: DataFrame, percent: int, parts: int, every: bool, exact: bool) -> DataFrame:
     """(sig, a, b) from (sig, chunk, node, n_shingles, sketch, part, visits): each bucket's spanning forest of plausible
     links, or every plausible link across parts, each once for a task at least. With exact, sketches are sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
-        held: pa.Table | None = None
 
         def found(table: pa.Table) -> pa.RecordBatch:
             sig, chunk, node, n, part, visits = (table[c].to_numpy() for c in ("sig", "chunk", "node", "n_shingles", "part", "visits"))
@@ -244,18 +261,7 @@ def searched(rows: DataFrame, percent: int, parts: int, every: bool, exact: bool
                     out.append((int(sig[start]), a, b))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [()] * 3)], ["sig", "a", "b"])
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if not held.num_rows:
-                continue
-            sig, chunk = held["sig"].to_numpy(), held["chunk"].to_numpy()
-            last = int(np.flatnonzero((sig == sig[-1]) & (chunk == chunk[-1]))[0])
-            if last:
-                yield found(held.slice(0, last).combine_chunks())
-                held = held.slice(last).combine_chunks()
-        if held is not None and held.num_rows:
-            yield found(held.combine_chunks())
+        yield from map(found, buckets(batches, ("sig", "chunk")))
 
     dealt = rows.select("sig", "chunk", "node", "n_shingles", "sketch", "part", "visits").repartition(parts, "sig", "chunk").sortWithinPartitions("sig", "chunk", "node")
     return dealt.mapInArrow(run, "sig long, a long, b long")

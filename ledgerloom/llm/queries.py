@@ -137,7 +137,7 @@ QUERIES["op6_language_id"] = op6_language_id
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(read_table(spark, sf_dir, "documents")).drop("doc")
+    return repeats(read_table(spark, sf_dir, "documents")).drop("name")
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

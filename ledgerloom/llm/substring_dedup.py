@@ -2,21 +2,21 @@
 
 Paragraphs are cut where the words themselves say so, whatever lines they stand in. A band is a
 random order of 5-word shingles; in each band the first of every SEEDS shingles in a row, their
-MinHash, is a seed. A paragraph is the SPAN words from a seed on or the SPAN words up to a
-seed's end, and stands for its set of 3-word shingles. Paragraphs at the same seed share a
-bucket; within it exact Jaccard similarity verifies links, and components of the links are the
-clusters. Of each cluster the occurrence first in (doc_id, place) stays and all others are
-removals; removals that overlap or adjoin are one span.
+MinHash, is a seed. A paragraph is SPAN words around a seed and stands for its bag of 3-word
+shingles. Paragraphs at the same seed share a bucket; parity sketches screen them, exact Jaccard
+similarity of the bags verifies links, and components of the links are the clusters. Of each
+cluster the occurrence first in (doc_id, place) stays and all others are removals; removals that
+overlap or adjoin are one span. Equal texts are one text; of their documents the first stays.
 
-Any PASSAGE equal words in a row hold a seed with one of its paragraphs, so they are always
-found. Two stretches of SEEDS shingles that are alike to a degree share a band's MinHash with
-that probability; tune() takes as many bands as make it high. A span may begin and end up to
-SPAN - 1 words inside the passage that is repeated.
+Any PASSAGE equal words in a row hold a whole paragraph, so they are always found. Two stretches
+of SEEDS shingles that are alike to a degree share a band's MinHash with that probability; tune()
+takes as many bands as make it high. A span may begin and end up to SPAN - 1 words inside the
+passage that is repeated.
 
 Defined results: null and empty texts, and those of fewer words than SPAN, have no paragraphs;
-rows equal in doc_id and text are one document, each with all its spans; repeats within one
-document alone are not reported; a null doc_id comes first; an empty table gives an empty result;
-extra columns are ignored by repeats() and kept by without_repeats().
+rows equal in doc_id and text are one document; repeats within one text alone are not reported;
+a null doc_id comes first; an empty table gives an empty result; extra columns are ignored by
+repeats() and kept by without_repeats().
 """
 
 from __future__ import annotations
@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
-from .near import CHUNK, Shingler, bounded, crowded, link, mix
+from .common import WORD, materialize, partitions
+from .near import CHUNK, Shingler, bounded, buckets, crowded, joined, link, mix
 
-#: Words of a passage that is always found, words of a paragraph, and shingles of which the first is a seed:
-#: SEEDS + 4 <= PASSAGE, and 2 * SPAN - 5 < PASSAGE, so that a paragraph at any seed of a passage is inside it.
-PASSAGE, SPAN, SEEDS = 50, 25, 40
-#: Lengths of the shingles that are seeds, and of those that a paragraph is compared by.
+#: Words of a passage that is always found, words of a paragraph, how many of them stand before its seed, and shingles
+#: of which the first is a seed. PASSAGE words hold SEEDS paragraphs, so the one at their seed is among them.
+PASSAGE, SPAN, BEFORE = 50, 25, 10
+SEEDS = PASSAGE - SPAN + 1
+#: Lengths of the shingles that are seeds, and of those that a paragraph is compared by; how many of these it has.
 SEED_WORDS, PART_WORDS = 5, 3
+PARTS = SPAN - PART_WORDS + 1
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -62,91 +64,113 @@ class Cutter:
     """Cuts texts into paragraphs."""
 
     def __init__(self, bands: int):
-        self.seeds, self.parts = Shingler(SEED_WORDS), Shingler(PART_WORDS)
-        self.parts.known = self.seeds.known
+        self.words = Shingler(SEED_WORDS)
         self.orders = [np.uint64(0)] + [mix(np.array([b], dtype=np.uint64))[0] for b in range(1, bands)]
 
-    def shingles(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The seed shingles and the part shingles of a text, by where they start."""
-        words = self.seeds.words(text)
-        if len(words) < SPAN:
-            return (np.zeros(0, dtype=np.uint64),) * 2
-        return self.seeds.windows(words), self.parts.windows(words)
+    def hashes(self, text: str) -> np.ndarray:
+        words = self.words.words(text)
+        return self.words.hashes(words) if len(words) >= SPAN else np.zeros(0, dtype=np.uint64)
+
+    def bags(self, text: str, at: list[int]) -> np.ndarray:
+        """The bags of the paragraphs that begin at at, PARTS elements each: a shingle's second place in a paragraph is
+        an element of its own."""
+        parts = np.sort(np.lib.stride_tricks.sliding_window_view(joined(self.hashes(text), PART_WORDS), PARTS)[at], axis=1)
+        again = np.zeros(parts.shape, dtype=np.uint64)
+        for k in range(1, PARTS):
+            again[:, k] = np.where(parts[:, k] == parts[:, k - 1], again[:, k - 1] + np.uint64(1), 0)
+        return np.where(again > 0, mix(parts + again), parts)
 
     def cut(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(signature, name, first word) of each paragraph."""
-        seeds, parts = self.shingles(text)
-        if not len(seeds):
+        """(signature, name, first word) of each paragraph. The lower half of a name is a parity sketch of the bag."""
+        h = self.hashes(text)
+        if not len(h):
             return (np.zeros(0, dtype=np.int64),) * 3
-        chosen, width = [], min(SEEDS, len(seeds))
+        seeds, parts = joined(h, SEED_WORDS)[BEFORE : len(h) - SPAN + BEFORE + 1], joined(h, PART_WORDS)
+        chosen, width = np.zeros(len(seeds), dtype=bool), min(SEEDS, len(seeds))
         for order in self.orders:
             views = np.lib.stride_tricks.sliding_window_view(mix(seeds ^ order) if order else seeds, width)
-            chosen.append(views.argmin(axis=1) + np.arange(len(views)))
-        k = np.unique(np.concatenate(chosen))
-        after, upto = k[k + SPAN <= len(seeds) + SEED_WORDS - 1], k[k + SEED_WORDS >= SPAN]
-        sig = np.concatenate([mix(seeds[after] + np.uint64(1)), mix(seeds[upto] + np.uint64(2))])
-        at = np.concatenate([after, upto + SEED_WORDS - SPAN])
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(parts ^ np.uint64(0x5BD1E995)), dtype=np.uint64)])
-        # the two sides have names of their own: a cluster holds paragraphs that are laid out alike
-        side = np.repeat(np.array([1, 2], dtype=np.uint64), [len(after), len(upto)])
-        return sig.view(np.int64), mix(sums[at + SPAN - PART_WORDS + 1] - sums[at] + side).view(np.int64), at
+            chosen[views.argmin(axis=1) + np.arange(len(views))] = True
+        at = np.flatnonzero(chosen)
+        sums, odd = np.zeros(len(parts) + 1, dtype=np.uint64), np.zeros(len(parts) + 1, dtype=np.uint64)
+        np.cumsum(mix(parts ^ np.uint64(0x5BD1E995)), out=sums[1:])
+        np.bitwise_xor.accumulate(np.uint64(1) << (parts & np.uint64(31)), out=odd[1:])
+        names = mix(sums[at + PARTS] - sums[at]) & np.uint64(0xFFFFFFFF00000000) | odd[at + PARTS] ^ odd[at]
+        return mix(seeds[at]).view(np.int64), names.view(np.int64), at
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.withColumn("doc", F.xxhash64("doc_id", "text"))
+def paragraphs(docs: DataFrame, bands: int, text: str = "text") -> DataFrame:
+    """(sig, node, name, at, span) of each paragraph: name is of the text, node of the bag, at is the first word, and span
+    holds the first character and the number of characters, in 32 bits each. Of equal texts that one task sees, the
+    first alone gives rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, seen = Cutter(bands), set()
+        out, names, size = [], [], 0
 
-def paragraphs(docs: DataFrame, bands: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(sig, node, doc, doc_id, at, span) of each paragraph: doc names the document, node the set of shingles, at is the
-    first word, and span holds the characters from and to, in 32 bits each."""
+        def told() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+            name = pa.array(np.repeat(np.array(names, dtype=np.int64), [len(x[0]) for x in out]))
+            return pa.RecordBatch.from_arrays([*columns[:2], name, *columns[2:]], ["sig", "node", "name", "at", "span"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(bands)
         for batch in batches:
-            out, rows, size = [], [], 0
-            for row, t in enumerate(batch["text"]):
+            for name, t in zip(batch["name"].to_pylist(), batch["text"], strict=True):
+                if name in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(name)
                 t = t.as_py() or ""
                 sig, node, at = cutter.cut(t)
                 if not len(at):
                     continue
                 starts, ends = places(t)
-                out.append((sig, node, at, starts[at] << 32 | ends[at + SPAN - 1]))
-                rows.append(np.full(len(at), row))
+                out.append((sig, node, at, starts[at] << 32 | ends[at + SPAN - 1] - starts[at]))
+                names.append(name)
                 size += len(at)
                 if size > 100_000:
-                    yield told(batch, out, rows)
-                    out, rows, size = [], [], 0
-            if out:
-                yield told(batch, out, rows)
-
-    def told(batch: pa.RecordBatch, out: list, rows: list) -> pa.RecordBatch:
-        sig, node, at, span = (pa.array(np.concatenate(c)) for c in zip(*out, strict=True))
-        row = pa.array(np.concatenate(rows))
-        return pa.RecordBatch.from_arrays([sig, node, batch["doc"].take(row), batch["doc_id"].take(row), at, span], ["sig", "node", "doc", "doc_id", "at", "span"])
+                    yield told()
+                    out, names, size = [], [], 0
+        if out:
+            yield told()
 
-    return _keyed(docs, doc_id, text).mapInArrow(run, "sig long, node long, doc long, doc_id long, at long, span long")
+    return docs.select(F.xxhash64(text).alias("name"), F.col(text).alias("text")).mapInArrow(run, "sig long, node long, name long, at long, span long")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, n_shingles, sketch) of the wanted (doc, at, node); the sketch is the set itself."""
+def bags(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """(node, n_shingles, sketch) of the wanted (name, at, node); the sketch is the bag itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(1)
         for batch in batches:
-            nodes, sets = [], []
             for t, hits in zip(batch["text"], batch["hits"].to_pylist(), strict=True):
-                _, parts = cutter.shingles(t.as_py())
-                for hit in hits:
-                    nodes.append(hit["node"])
-                    sets.append(np.unique(parts[hit["at"] : hit["at"] + SPAN - PART_WORDS + 1]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n_shingles", "sketch"])
+                found = cutter.bags(t.as_py(), [h["at"] for h in hits]).view(np.int64)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(hits) + 1, dtype=np.int32) * PARTS), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([h["node"] for h in hits], pa.int64()), pa.array([PARTS] * len(hits), pa.int64()), flat], ["node", "n_shingles", "sketch"])
 
     # the names alone choose the texts, so that only those are moved
-    lists = materialize(wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "node")).alias("hits")))
-    some = _keyed(docs, doc_id, text).join(bounded(lists.select("doc")), "doc", "left_semi")
-    rows = some.join(lists, "doc").select("text", "hits")
-    return rows.mapInArrow(run, "node long, n_shingles long, sketch array<long>").dropDuplicates(["node"])
+    lists = materialize(wanted.groupBy("name").agg(F.collect_list(F.struct("at", "node")).alias("hits")))
+    some = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("name")).join(bounded(lists.select("name")), "name", "left_semi")
+    rows = some.dropDuplicates(["name"]).join(lists, "name").select("text", "hits")
+    return rows.mapInArrow(run, "node long, n_shingles long, sketch array<long>")
+
+
+def hopeful(members: DataFrame, percent: int) -> DataFrame:
+    """The members without those whose sketch allows no link in their bucket. Members of large buckets all stay."""
+    most = 2 * PARTS * (100 - percent) // (100 + percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in buckets(batches, ("sig",)):
+            sig, node, many = (table[c].to_numpy() for c in ("sig", "node", "many"))
+            bits, keep = node.view(np.uint64) & np.uint64(0xFFFFFFFF), many > CHUNK
+            ends = np.append(np.flatnonzero(sig[1:] != sig[:-1]) + 1, len(sig))
+            for start, stop in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+                if not keep[start]:
+                    x = bits[start:stop]
+                    keep[start:stop] = (np.bitwise_count(x[:, None] ^ x[None]) <= most).sum(axis=1) > 1
+            yield from table.filter(pa.array(keep)).to_batches()
+
+    dealt = members.repartition(partitions(members.sparkSession), "sig").sortWithinPartitions("sig")
+    return dealt.mapInArrow(run, members.schema)
 
 
 def narrowed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,41 +191,53 @@ def narrowed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def repeats(docs: DataFrame, percent: int = 75, bands: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The passages that more than one document has, near copies included:
-    (doc_id, start, stop, n_words, cluster_doc, cluster_start, cluster_size, removed), and doc, the document's name.
+    (doc_id, start, stop, n_words, cluster_doc, cluster_start, cluster_size, removed), and name, that of the text.
 
-    start and stop are characters of the text; the cluster is that of the passage's first paragraph, named by where
-    it stays, and cluster_size counts its occurrences.
+    start and stop are characters of the text; cluster_doc and cluster_start name the place that stays, and cluster_size
+    counts the documents' occurrences. A document whose text a document before it has is one passage; the passages
+    inside it are told of the first alone.
     """
     parts = partitions(docs.sparkSession)
-    every = paragraphs(docs, bands or tune(percent / 100), doc_id, text)
     bucket = Window.partitionBy("sig")
-    shared = every.repartition(2 * parts, "sig").withColumns({"_low": F.min("doc").over(bucket), "_high": F.max("doc").over(bucket)})
-    shared = materialize(shared.where("_low <> _high").drop("_low", "_high"))
-    members = crowded(shared.select("sig", "node"), parts)
-    nodes = shared.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "at")).alias("one"))
-    sets = materialize(shingle_sets(docs, nodes.select("one.doc", "one.at", "node"), doc_id, text))
+    every = paragraphs(docs, bands or tune(percent / 100), text).repartition(2 * parts, "sig")
+    shared = every.withColumns({"_low": F.min("name").over(bucket), "_high": F.max("name").over(bucket)}).where("_low <> _high")
+    shared = materialize(shared.select("sig", "node", "name", "at", "span"))
+    members = materialize(hopeful(crowded(shared.select("sig", "node"), parts), percent))
+    nodes = shared.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("name", "at")).alias("one"))
+    sets = materialize(bags(docs, nodes.select("one.name", "one.at", "node"), text))
     linked = link(narrowed(members, sets, percent), None, sets, percent)
-    named = shared.drop("sig").join(bounded(linked), "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("node", "component")
-    first = F.min(F.struct("doc_id", "doc", "at", "span"))
-    clusters = named.groupBy("cluster").agg(first.alias("first"), F.min("doc").alias("_low"), F.max("doc").alias("_high"), F.count("*").alias("size"))
+
+    keys = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("name")).where("name is not null").distinct()
+    texts = materialize(keys.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    named = shared.join(bounded(linked), "node", "left").select(F.coalesce("component", "node").alias("cluster"), "name", "at", "span").distinct()
+    named = named.join(bounded(texts), "name")
+    first = F.min(F.struct("doc_id", "name", "at", "span")).alias("first")
+    clusters = named.groupBy("cluster").agg(first, F.min("name").alias("_low"), F.max("name").alias("_high"), F.sum("copies").alias("size"))
     clusters = materialize(clusters.where("_low <> _high").select("cluster", "first", "size"))
-    hits = named.join(clusters, "cluster")
     # a paragraph that overlaps the one that stays is part of it
-    stays = (F.col("doc") == F.col("first.doc")) & (F.abs(F.col("at") - F.col("first.at")) < SPAN)
-    hits = hits.select("doc", "doc_id", "at", "span", F.col("first.doc_id").alias("cluster_doc"), F.col("first.span").alias("_first"), "size", (~stays).alias("removed"))
-    return _spans(hits.groupBy("doc", "doc_id", "at", "span").agg(F.max(F.struct("removed", "size", "cluster_doc", "_first")).alias("of")).select("doc", "doc_id", "at", "span", "of.*"))
+    stays = (F.col("name") == F.col("first.name")) & (F.abs(F.col("at") - F.col("first.at")) < SPAN)
+    hits = named.join(clusters, "cluster").select("name", "doc_id", "at", "span", "size", (~stays).alias("removed"), F.col("first.doc_id").alias("cluster_doc"), F.col("first.span").alias("_first"))
+    hits = hits.groupBy("name", "doc_id", "at", "span").agg(F.max(F.struct("removed", "size", "cluster_doc", "_first")).alias("of")).select("name", "doc_id", "at", "span", "of.*")
+
+    again = bounded(materialize(texts.where("copies > 1").select("name", F.col("doc_id").alias("cluster_doc"), F.col("copies").alias("cluster_size"))))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("name")).join(again, "name")
+    whole = rows.select(
+        "doc_id", F.lit(0).cast("long").alias("start"), F.char_length("_text").cast("long").alias("stop"), F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"),
+        "cluster_doc", F.lit(0).cast("long").alias("cluster_start"), "cluster_size", (~F.col("doc_id").eqNullSafe(F.col("cluster_doc"))).alias("removed"), "name",
+    ).where(F.col("n_words") >= SPAN)
+    return _spans(hits).unionByName(whole.distinct())
 
 
 def _spans(hits: DataFrame) -> DataFrame:
-    """Paragraphs of one document that overlap or adjoin, and are of the same document's clusters, as one row."""
-    start, stop = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(2**32 - 1))
-    key = Window.partitionBy("doc", "removed", "cluster_doc").orderBy("at")
+    """Paragraphs of one text that overlap or adjoin, and are of the same document's clusters, as one row."""
+    start, length = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(2**32 - 1))
+    key = Window.partitionBy("name", "removed", "cluster_doc").orderBy("at")
     rows = hits.withColumn("_new", F.coalesce(F.col("at") - F.lag("at").over(key) > SPAN, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(key))
-    spans = rows.groupBy("doc", "doc_id", "removed", "cluster_doc", "_run").agg(
-        F.min(start).alias("start"), F.max(stop).alias("stop"), (F.max("at") - F.min("at") + SPAN).alias("n_words"),
+    spans = rows.groupBy("name", "doc_id", "removed", "cluster_doc", "_run").agg(
+        F.min(start).alias("start"), F.max(start + length).alias("stop"), (F.max("at") - F.min("at") + SPAN).alias("n_words"),
         F.shiftright(F.min_by("_first", "at"), 32).alias("cluster_start"), F.max("size").alias("cluster_size"),
     )
-    return spans.select("doc_id", "start", "stop", "n_words", "cluster_doc", "cluster_start", "cluster_size", "removed", "doc")
+    return spans.select("doc_id", "start", "stop", "n_words", "cluster_doc", "cluster_start", "cluster_size", "removed", "name")
 
 
 def _cut(text: str | None, gone: list | None) -> str | None:
@@ -223,9 +259,11 @@ def _cut(text: str | None, gone: list | None) -> str | None:
 
 def without_repeats(docs: DataFrame, percent: int = 75, bands: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the removed passages cut out of text, line ends included where a line is empty then."""
-    gone = repeats(docs, percent, bands, doc_id, text).where("removed").groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    found = repeats(docs, percent, bands, doc_id, text).where("removed")
+    gone = found.groupBy("doc_id", "name").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    name = lambda c: F.col("row").getField(c)
-    found = rows.withColumn("doc", F.xxhash64(name(doc_id).cast("long"), name(text))).join(gone, "doc", "left")
-    cut: Column = F.udf(_cut, "string")(name(text), F.col("gone"))
-    return found.select(*(cut.alias(c) if c == text else name(c).alias(c) for c in docs.columns))
+    of = lambda c: F.col("row").getField(c)
+    rows = rows.withColumns({"_id": of(doc_id).cast("long"), "_name": F.xxhash64(of(text))})
+    placed = rows.join(gone, (F.col("_name") == F.col("name")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left")
+    cut: Column = F.udf(_cut, "string")(of(text), F.col("gone"))
+    return placed.select(*(cut.alias(c) if c == text else of(c).alias(c) for c in docs.columns))

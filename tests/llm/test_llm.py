@@ -350,8 +350,8 @@ def test_passages_are_brute_force(spark, odd, none):
     assert all(not r["removed"] for r in rows if r["doc_id"] == r["cluster_doc"]) and any(r["removed"] for r in rows)
     assert substring_dedup.repeats(none).count() == substring_dedup.without_repeats(none).count() == 0
     assert substring_dedup.repeats(odd).count() > 0
-    left = substring_dedup.without_repeats(odd.withColumnRenamed("node", "gone").withColumnRenamed("size", "doc").withColumnRenamed("component", "row"))
-    assert left.count() == len(odd_rows()) and left.columns[5:8] == ["gone", "row", "doc"]
+    left = substring_dedup.without_repeats(odd.withColumnRenamed("node", "gone").withColumnRenamed("size", "name").withColumnRenamed("component", "row"))
+    assert left.count() == len(odd_rows()) and left.columns[5:8] == ["gone", "row", "name"]
 
 
 def test_passages_inside_unlike_lines(spark):
