@@ -31,8 +31,9 @@ from .common import materialize, partitions
 REMEMBERED = 400_000
 #: Narrow rows that a task takes at least where their number is counted; 4 tasks share fewer.
 ROWS_A_TASK = 250_000
-#: Nodes of a bucket that one search takes, about.
-CHUNK = 2048
+#: Nodes of a bucket that one search takes, about; of a bucket of small sets, of which those that share rare elements are
+#: held against each other if there are more than RARE.
+CHUNK, SETS_CHUNK, RARE = 2048, 65_536, 128
 #: Words of sketches that are compared at once, and pairs that a task remembers. Bound memory only.
 AT_ONCE, PAIRS = 1_000_000, 500_000
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -116,8 +117,8 @@ def crowded(rows: DataFrame, parts: int) -> DataFrame:
     return materialize(shared.join(kept, "sig"))
 
 
-def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df, of a few numbers a row, to be broadcast if it is counted to have a million rows at most; else joined as
+def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, of a few numbers a row, to be broadcast if it is counted to have so many rows at most; else joined as
     the planner will."""
     return F.broadcast(df) if df.count() <= rows else df
 
@@ -148,29 +149,43 @@ def folded(sketches: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def screens(sets: list[np.ndarray], bits: int = 512) -> np.ndarray:
-    """The parity sketches of sets, as rows of so many bits."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    spot = owner * bits + (np.concatenate(sets) & np.uint64(bits - 1)).astype(np.int64)
-    odd = np.bincount(spot, minlength=len(sets) * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(sets), bits), axis=1).view(np.uint64)
+class Sets:
+    """Small sets, to be compared exactly."""
 
+    def __init__(self, at: np.ndarray, flat: np.ndarray):
+        self.sizes = np.diff(at)
+        self.flat = flat[at[0] : at[-1]]
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.there = np.arange(self.sizes.max(initial=0)) < self.sizes[:, None]
+        self.grid = np.zeros(self.there.shape, dtype=np.uint64)
+        self.grid[self.there] = self.flat
 
-def same(sets: list[np.ndarray], percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Whether the pairs (x, y) of sets are percent alike, exactly. For sets of a few elements each."""
-    size = np.array([len(s) for s in sets])
-    grid, there = np.zeros((len(sets), size.max()), dtype=np.uint64), np.arange(size.max()) < size[:, None]
-    grid[there] = np.concatenate(sets)
+    def sketches(self, bits: int = 512) -> np.ndarray:
+        """Parity sketches, as rows of so many bits."""
+        odd = np.bincount(self.owner * bits + (self.flat & np.uint64(bits - 1)).astype(np.int64), minlength=len(self.sizes) * bits) & 1
+        return np.packbits(odd.astype(np.uint8).reshape(len(self.sizes), bits), axis=1).view(np.uint64)
 
-    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out, step = np.zeros(len(x), dtype=bool), max(1, AT_ONCE // grid.shape[1] ** 2)
+    def alike(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the sets x are percent alike to the sets y, pair by pair."""
+        out, step = np.zeros(len(x), dtype=bool), max(1, AT_ONCE // max(1, self.grid.shape[1]) ** 2)
         for at in range(0, len(x), step):
             p, q = x[at : at + step], y[at : at + step]
-            both = ((grid[p][:, :, None] == grid[q][:, None]) & there[p][:, :, None] & there[q][:, None]).sum(axis=(1, 2))
-            out[at : at + step] = both * 100 >= (size[p] + size[q] - both) * percent
+            both = ((self.grid[p][:, :, None] == self.grid[q][:, None]) & self.there[p][:, :, None] & self.there[q][:, None]).sum(axis=(1, 2))
+            out[at : at + step] = both * 100 >= (self.sizes[p] + self.sizes[q] - both) * percent
         return out
 
-    return alike
+    def rare_groups(self, start: int, stop: int, percent: int) -> Iterator[np.ndarray]:
+        """The sets start to stop in groups that share one of the rarest elements of each, as counted there: so many that
+        fewer are left than a link must share, so no link is outside a group."""
+        here = (self.owner >= start) & (self.owner < stop)
+        owner, (_, which, counts) = self.owner[here], np.unique(self.flat[here], return_inverse=True, return_counts=True)
+        order = np.lexsort((which, counts[which], owner))
+        owner, which = owner[order], which[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        few = place < self.sizes[owner] + (-self.sizes[owner] * percent) // 100 + 1
+        order = np.lexsort((owner[few], which[few]))
+        owner, which = owner[few][order], which[few][order]
+        yield from (g for g in np.split(owner, np.flatnonzero(which[1:] != which[:-1]) + 1) if len(g) > 1)
 
 
 def spanning(bits: np.ndarray, n: np.ndarray, percent: int, sure: Callable | None = None) -> list[tuple[int, int]]:
@@ -200,6 +215,26 @@ def spanning(bits: np.ndarray, n: np.ndarray, percent: int, sure: Callable | Non
     return out
 
 
+def forest(bits: np.ndarray, n: np.ndarray, sets: Sets, start: int, stop: int, percent: int) -> list[tuple[int, int]]:
+    """spanning() of the sets start to stop, group of rare elements by group; sets that are joined are joined once."""
+    root, out = list(range(stop - start)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for g in sets.rare_groups(start, stop, percent):
+        if len({find(x) for x in (g - start).tolist()}) > 1:
+            for x, y in spanning(bits[g], n[g], percent, lambda x, y, g=g: sets.alike(g[x], g[y], percent)):
+                x, y = int(g[x]) - start, int(g[y]) - start
+                if find(x) != find(y):
+                    root[find(x)] = find(y)
+                    out.append((x, y))
+    return out
+
+
 def across(bits: np.ndarray, n: np.ndarray, part: np.ndarray, visits: np.ndarray, percent: int, sure: Callable | None = None) -> Iterator[tuple[int, int]]:
     """All plausible links between different parts, but those between two visitors. Only those that are sure, if that
     can be told."""
@@ -244,11 +279,28 @@ def searched(rows: DataFrame, percent: int, parts: int, every: bool, exact: bool
             sig, chunk, node, n, part, visits = (table[c].to_numpy() for c in ("sig", "chunk", "node", "n_shingles", "part", "visits"))
             sketches, out = table["sketch"].combine_chunks(), []
             at, flat = sketches.offsets.to_numpy(), sketches.values.to_numpy().view(np.uint64)
+            starts = None
             ends = np.append(np.flatnonzero((sig[1:] != sig[:-1]) | (chunk[1:] != chunk[:-1])) + 1, len(sig))
-            for start, stop in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
-                here, sets = slice(start, stop), [flat[at[i] : at[i + 1]] for i in range(start, stop)]
-                bits, sure = (screens(sets), same(sets, percent)) if exact else (folded(sets), None)
-                pairs = across(bits, n[here], part[here], visits[here], percent, sure) if every else spanning(bits, n[here], percent, sure)
+            if exact:
+                sets = Sets(at, flat)
+                screens = sets.sketches()
+                if not every:  # most buckets are pairs
+                    first = np.append(0, ends[:-1])
+                    pair = first[ends - first == 2]
+                    told_ = pair[sets.alike(pair, pair + 1, percent)]
+                    out += zip(sig[told_].tolist(), node[told_].tolist(), node[told_ + 1].tolist(), strict=True)
+                    ends = ends[ends - first != 2]
+                    starts = first[~np.isin(first, pair)]
+            for start, stop in zip((np.append(0, ends[:-1]) if starts is None else starts).tolist(), ends.tolist(), strict=True):
+                here = slice(start, stop)
+                bits = screens[here] if exact else folded([flat[at[i] : at[i + 1]] for i in range(start, stop)])
+                sure = (lambda x, y, start=start: sets.alike(start + x, start + y, percent)) if exact else None
+                if every:
+                    pairs = across(bits, n[here], part[here], visits[here], percent, sure)
+                elif exact and stop - start > RARE:
+                    pairs = forest(screens, n, sets, start, stop, percent)
+                else:
+                    pairs = spanning(bits, n[here], percent, sure)
                 for x, y in pairs:
                     a, b = int(node[start + x]), int(node[start + y])
                     a, b = min(a, b), max(a, b)

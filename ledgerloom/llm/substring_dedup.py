@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize, partitions
-from .near import CHUNK, Shingler, bounded, buckets, crowded, joined, link, mix
+from .near import AT_ONCE, CHUNK, SETS_CHUNK, Shingler, bounded, buckets, crowded, joined, link, mix
 
 #: Words of a passage that is always found, words of a paragraph, how many of them stand before its seed, and shingles
 #: of which the first is a seed. PASSAGE words hold SEEDS paragraphs, so the one at their seed is among them.
@@ -71,10 +71,11 @@ class Cutter:
         words = self.words.words(text)
         return self.words.hashes(words) if len(words) >= SPAN else np.zeros(0, dtype=np.uint64)
 
-    def bags(self, text: str, at: list[int]) -> np.ndarray:
-        """The bags of the paragraphs that begin at at, PARTS elements each: a shingle's second place in a paragraph is
-        an element of its own."""
-        parts = np.sort(np.lib.stride_tricks.sliding_window_view(joined(self.hashes(text), PART_WORDS), PARTS)[at], axis=1)
+    def bags(self, texts: list[str]) -> np.ndarray:
+        """The bags of paragraphs, PARTS elements each: a shingle's second place in a paragraph is an element of its own."""
+        h = self.words.hashes(self.words.words(" ".join(texts))).reshape(-1, SPAN)
+        parts = joined(h.ravel(), PART_WORDS)
+        parts = np.sort(np.lib.stride_tricks.sliding_window_view(parts, PARTS)[::SPAN], axis=1)
         again = np.zeros(parts.shape, dtype=np.uint64)
         for k in range(1, PARTS):
             again[:, k] = np.where(parts[:, k] == parts[:, k - 1], again[:, k - 1] + np.uint64(1), 0)
@@ -99,18 +100,19 @@ class Cutter:
 
 
 def paragraphs(docs: DataFrame, bands: int, text: str = "text") -> DataFrame:
-    """(sig, node, name, at, span) of each paragraph: name is of the text, node of the bag, at is the first word, and span
-    holds the first character and the number of characters, in 32 bits each. Of equal texts that one task sees, the
-    first alone gives rows."""
+    """(sig, node, name, at, span, more) of each paragraph: name is of the text, node of the bag, at is the first word, and
+    span holds the first character and the number of characters, in 32 bits each. more lists at and span of the other
+    places of the paragraph in the text, one after the other. Of equal texts that one task sees, the first alone gives rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, seen = Cutter(bands), set()
-        out, names, size = [], [], 0
+        out, names, more, size = [], [], {}, 0
 
         def told() -> pa.RecordBatch:
             columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
             name = pa.array(np.repeat(np.array(names, dtype=np.int64), [len(x[0]) for x in out]))
-            return pa.RecordBatch.from_arrays([*columns[:2], name, *columns[2:]], ["sig", "node", "name", "at", "span"])
+            others = pa.array([more.get(i) for i in range(len(name))] if more else pa.nulls(len(name)), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([*columns[:2], name, *columns[2:], others], ["sig", "node", "name", "at", "span", "more"])
 
         for batch in batches:
             for name, t in zip(batch["name"].to_pylist(), batch["text"], strict=True):
@@ -124,36 +126,52 @@ def paragraphs(docs: DataFrame, bands: int, text: str = "text") -> DataFrame:
                 if not len(at):
                     continue
                 starts, ends = places(t)
-                out.append((sig, node, at, starts[at] << 32 | ends[at + SPAN - 1] - starts[at]))
+                span = starts[at] << 32 | ends[at + SPAN - 1] - starts[at]
+                if len(np.unique(sig)) < len(sig):
+                    own: dict[tuple[int, int], int] = {}
+                    for i, key in enumerate(zip(sig.tolist(), node.tolist(), strict=True)):
+                        if key in own:
+                            more.setdefault(size + own[key], []).extend((int(at[i]), int(span[i])))
+                        else:
+                            own[key] = len(own)
+                    _, first = np.unique(np.stack([sig, node]), axis=1, return_index=True)
+                    first.sort()
+                    sig, node, at, span = sig[first], node[first], at[first], span[first]
+                out.append((sig, node, at, span))
                 names.append(name)
                 size += len(at)
                 if size > 100_000:
                     yield told()
-                    out, names, size = [], [], 0
+                    out, names, more, size = [], [], {}, 0
         if out:
             yield told()
 
-    return docs.select(F.xxhash64(text).alias("name"), F.col(text).alias("text")).mapInArrow(run, "sig long, node long, name long, at long, span long")
+    return docs.select(F.xxhash64(text).alias("name"), F.col(text).alias("text")).mapInArrow(run, "sig long, node long, name long, at long, span long, more array<long>")
 
 
 def bags(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(node, n_shingles, sketch) of the wanted (name, at, node); the sketch is the bag itself."""
+    """(node, n_shingles, sketch) of the wanted (name, span, node); the sketch is the bag itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(1)
         for batch in batches:
-            for t, hits in zip(batch["text"], batch["hits"].to_pylist(), strict=True):
-                found = cutter.bags(t.as_py(), [h["at"] for h in hits]).view(np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(hits) + 1, dtype=np.int32) * PARTS), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([h["node"] for h in hits], pa.int64()), pa.array([PARTS] * len(hits), pa.int64()), flat], ["node", "n_shingles", "sketch"])
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                found = cutter.bags(part["paragraph"].to_pylist()).view(np.int64)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * PARTS), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([part["node"], pa.array(np.full(len(found), PARTS)), flat], ["node", "n_shingles", "sketch"])
 
     # the names alone choose the texts, so that only those are moved
-    lists = materialize(wanted.groupBy("name").agg(F.collect_list(F.struct("at", "node")).alias("hits")))
-    some = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("name")).join(bounded(lists.select("name")), "name", "left_semi")
-    rows = some.dropDuplicates(["name"]).join(lists, "name").select("text", "hits")
+    some = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("name")).join(bounded(wanted.select("name").distinct()), "name", "left_semi")
+    start, length = _places(F.col("span"))
+    rows = some.dropDuplicates(["name"]).join(wanted, "name").select("node", F.substring("text", start + 1, length).alias("paragraph"))
     return rows.mapInArrow(run, "node long, n_shingles long, sketch array<long>")
 
 
+def _places(span: Column) -> tuple[Column, Column]:
+    return F.shiftright(span, 32).cast("int"), span.bitwiseAND(F.lit(2**32 - 1)).cast("int")
+
+
 def hopeful(members: DataFrame, percent: int) -> DataFrame:
     """The members without those whose sketch allows no link in their bucket. Members of large buckets all stay."""
     most = 2 * PARTS * (100 - percent) // (100 + percent)
@@ -163,10 +181,16 @@ def hopeful(members: DataFrame, percent: int) -> DataFrame:
             sig, node, many = (table[c].to_numpy() for c in ("sig", "node", "many"))
             bits, keep = node.view(np.uint64) & np.uint64(0xFFFFFFFF), many > CHUNK
             ends = np.append(np.flatnonzero(sig[1:] != sig[:-1]) + 1, len(sig))
-            for start, stop in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
-                if not keep[start]:
-                    x = bits[start:stop]
-                    keep[start:stop] = (np.bitwise_count(x[:, None] ^ x[None]) <= most).sum(axis=1) > 1
+            starts = np.append(0, ends[:-1])
+            pair = starts[ends - starts == 2]  # most buckets
+            keep[pair] = keep[pair + 1] = np.bitwise_count(bits[pair] ^ bits[pair + 1]) <= most
+            for start, stop in zip(starts.tolist(), ends.tolist(), strict=True):
+                if stop - start == 2 or keep[start]:
+                    continue
+                x, step = bits[start:stop], max(1, AT_ONCE // (stop - start))
+                for at in range(0, len(x), step):
+                    some = x[at : at + step]
+                    keep[start + at : start + at + len(some)] = (np.bitwise_count(some[:, None] ^ x[None]) <= most).sum(axis=1) > 1
             yield from table.filter(pa.array(keep)).to_batches()
 
     dealt = members.repartition(partitions(members.sparkSession), "sig").sortWithinPartitions("sig")
@@ -174,10 +198,10 @@ def hopeful(members: DataFrame, percent: int) -> DataFrame:
 
 
 def narrowed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members, with buckets of more than CHUNK nodes dealt anew: such a bucket holds a passage that is common in unlike
+    """members, with buckets of more than SETS_CHUNK nodes dealt anew: such a bucket holds a passage that is common in unlike
     surroundings. Nodes that link share one of the rarest elements of each, as counted in the bucket, so many that fewer
     are left than a link must share; those are the new buckets."""
-    large = materialize(members.where(F.col("many") > CHUNK).select("sig", "node"))
+    large = materialize(members.where(F.col("many") > SETS_CHUNK).select("sig", "node"))
     if large.isEmpty():
         return members
     each = large.join(sets, "node").select("sig", "node", "n_shingles", F.explode("sketch").alias("e"))
@@ -186,7 +210,7 @@ def narrowed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     least = F.ceil(F.col("n_shingles") * percent / 100)
     chosen = each.join(counts, ["sig", "e"]).withColumn("_rank", rank).where(F.col("_rank") <= F.col("n_shingles") - least + 1)
     dealt = crowded(chosen.select(F.xxhash64("sig", "e").alias("sig"), "node"), partitions(members.sparkSession))
-    return members.where(F.col("many") <= CHUNK).unionByName(dealt)
+    return members.where(F.col("many") <= SETS_CHUNK).unionByName(dealt)
 
 
 def repeats(docs: DataFrame, percent: int = 75, bands: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,28 +225,31 @@ def repeats(docs: DataFrame, percent: int = 75, bands: int | None = None, doc_id
     bucket = Window.partitionBy("sig")
     every = paragraphs(docs, bands or tune(percent / 100), text).repartition(2 * parts, "sig")
     shared = every.withColumns({"_low": F.min("name").over(bucket), "_high": F.max("name").over(bucket)}).where("_low <> _high")
-    shared = materialize(shared.select("sig", "node", "name", "at", "span"))
+    shared = materialize(shared.select("sig", "node", "name", "at", "span", "more"))
     members = materialize(hopeful(crowded(shared.select("sig", "node"), parts), percent))
-    nodes = shared.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("name", "at")).alias("one"))
-    sets = materialize(bags(docs, nodes.select("one.name", "one.at", "node"), text))
-    linked = link(narrowed(members, sets, percent), None, sets, percent)
+    nodes = shared.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("name", "span")).alias("one"))
+    sets = materialize(bags(docs, materialize(nodes.select("one.name", "one.span", "node")), text))
+    linked = link(narrowed(members, sets, percent), None, sets, percent, SETS_CHUNK)
 
     keys = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("name")).where("name is not null").distinct()
     texts = materialize(keys.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
-    named = shared.join(bounded(linked), "node", "left").select(F.coalesce("component", "node").alias("cluster"), "name", "at", "span").distinct()
+    named = shared.join(bounded(linked), "node", "left").select(F.coalesce("component", "node").alias("cluster"), "name", "at", "span", "more")
     named = named.join(bounded(texts), "name")
     first = F.min(F.struct("doc_id", "name", "at", "span")).alias("first")
-    clusters = named.groupBy("cluster").agg(first, F.min("name").alias("_low"), F.max("name").alias("_high"), F.sum("copies").alias("size"))
+    clusters = named.groupBy("cluster").agg(first, F.min("name").alias("_low"), F.max("name").alias("_high"), F.sum(F.col("copies") * (1 + F.coalesce(F.size("more"), F.lit(0)) / 2)).cast("long").alias("size"))
     clusters = materialize(clusters.where("_low <> _high").select("cluster", "first", "size"))
     # a paragraph that overlaps the one that stays is part of it
     stays = (F.col("name") == F.col("first.name")) & (F.abs(F.col("at") - F.col("first.at")) < SPAN)
-    hits = named.join(clusters, "cluster").select("name", "doc_id", "at", "span", "size", (~stays).alias("removed"), F.col("first.doc_id").alias("cluster_doc"), F.col("first.span").alias("_first"))
+    others = F.transform(F.sequence(F.lit(0), F.size("more") - 2, F.lit(2)), lambda i: F.struct(F.get("more", i).alias("at"), F.get("more", i + 1).alias("span")))
+    each = F.concat(F.array(F.struct("at", "span")), F.when(F.col("more").isNull(), F.array().cast("array<struct<at:bigint,span:bigint>>")).otherwise(others))
+    found = named.join(clusters, "cluster").withColumn("_at", F.explode(each)).select("name", "doc_id", "first", "size", "_at.at", "_at.span")
+    hits = found.select("name", "doc_id", "at", "span", "size", (~stays).alias("removed"), F.col("first.doc_id").alias("cluster_doc"), F.col("first.span").alias("_first"))
     hits = hits.groupBy("name", "doc_id", "at", "span").agg(F.max(F.struct("removed", "size", "cluster_doc", "_first")).alias("of")).select("name", "doc_id", "at", "span", "of.*")
 
     again = bounded(materialize(texts.where("copies > 1").select("name", F.col("doc_id").alias("cluster_doc"), F.col("copies").alias("cluster_size"))))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("name")).join(again, "name")
     whole = rows.select(
-        "doc_id", F.lit(0).cast("long").alias("start"), F.char_length("_text").cast("long").alias("stop"), F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"),
+        "doc_id", F.lit(0).cast("long").alias("start"), F.char_length("_text").cast("long").alias("stop"), F.when(F.col("cluster_size") > 1, F.regexp_count("_text", F.lit(WORD))).cast("long").alias("n_words"),
         "cluster_doc", F.lit(0).cast("long").alias("cluster_start"), "cluster_size", (~F.col("doc_id").eqNullSafe(F.col("cluster_doc"))).alias("removed"), "name",
     ).where(F.col("n_words") >= SPAN)
     return _spans(hits).unionByName(whole.distinct())
@@ -230,7 +257,7 @@ def repeats(docs: DataFrame, percent: int = 75, bands: int | None = None, doc_id
 
 def _spans(hits: DataFrame) -> DataFrame:
     """Paragraphs of one text that overlap or adjoin, and are of the same document's clusters, as one row."""
-    start, length = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(2**32 - 1))
+    start, length = (c.cast("long") for c in _places(F.col("span")))
     key = Window.partitionBy("name", "removed", "cluster_doc").orderBy("at")
     rows = hits.withColumn("_new", F.coalesce(F.col("at") - F.lag("at").over(key) > SPAN, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(key))
     spans = rows.groupBy("name", "doc_id", "removed", "cluster_doc", "_run").agg(

@@ -300,12 +300,14 @@ def test_a_search_gives_every_component():
     sets += [np.unique(np.append(sets[i][1:], np.uint64(i))) for i in range(40)]
     as_sets = [set(x.tolist()) for x in sets]
     want = components(as_sets)
-    parent = list(range(len(sets)))
-    sure = near.same(sets, 75)
-    for x, y in near.spanning(near.screens(sets), np.array([len(s) for s in sets]), 75, sure):
-        assert 100 * len(as_sets[x] & as_sets[y]) >= 75 * len(as_sets[x] | as_sets[y])
-        parent = [min(parent[x], parent[y]) if p in (parent[x], parent[y]) else p for p in parent]
-    assert [want.index(w) for w in want] == [parent.index(p) for p in parent] and len(set(want)) < len(sets)
+    n, held = np.array([len(s) for s in sets]), near.Sets(np.cumsum([0, *map(len, sets)]), np.concatenate(sets))
+    bits = held.sketches()
+    for links in (near.spanning(bits, n, 75, lambda x, y: held.alike(x, y, 75)), near.forest(bits, n, held, 0, len(n), 75)):
+        parent = list(range(len(sets)))
+        for x, y in links:
+            assert 100 * len(as_sets[x] & as_sets[y]) >= 75 * len(as_sets[x] | as_sets[y])
+            parent = [min(parent[x], parent[y]) if p in (parent[x], parent[y]) else p for p in parent]
+        assert [want.index(w) for w in want] == [parent.index(p) for p in parent] and len(set(want)) < len(sets)
 
 
 def runs_of(a, b, least):
@@ -384,7 +386,7 @@ def test_edited_passages_are_mostly_found(spark):
 
 
 def test_common_passages_in_unlike_texts(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK", 8)
+    monkeypatch.setattr(substring_dedup, "SETS_CHUNK", 8)
     rng = random.Random(25)
     say = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
     passage = say(55)
@@ -393,6 +395,20 @@ def test_common_passages_in_unlike_texts(spark, monkeypatch):
     assert {r["doc_id"] for r in got} == {i for i in range(90) if i % 3} and max(r["cluster_size"] for r in got) == 60
 
 
+def test_a_passage_many_times_in_one_text(spark):
+    rng = random.Random(35)
+    say = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    line = " ".join(say(60))
+    docs = spark.createDataFrame([(0, "\n".join([line] * 3)), (1, " ".join(say(70)) + "\n" + line), (2, "\n".join([" ".join(say(60))] * 3)), (3, line.upper()), (4, line)], "doc_id long, text string")
+    got = {}
+    for r in substring_dedup.repeats(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert set(got) == {0, 1, 3, 4} and {r["cluster_doc"] for rows in got.values() for r in rows} == {0}
+    assert sum(r["n_words"] for r in got[0]) >= 3 * 36 and max(r["cluster_size"] for r in got[1]) == 6
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs).collect()}
+    assert left[0].startswith(line[:200]) and left[2] == docs.collect()[2]["text"] and len(left[4].split()) < 25
+
+
 def test_bands_are_tuned():
     bands = substring_dedup.tune(0.75)
     assert 1 - 0.25**bands >= 0.9 > 1 - 0.25 ** (bands - 1)
