@@ -5,26 +5,137 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A date at the end of a model's name.
+DATED = r"-\d{4}-\d{2}-\d{2}$"
+#: Recorded service tiers and the tiers that they are priced by; the classes that days are split by.
+TIERS = {"default": "standard", "auto": "standard", "standard": "standard", "priority": "fast", "fast": "fast", "flex": "flex", "ultrafast": "ultrafast"}
+CLASSES = ("standard", "fast", "ultrafast")
+
 
 def session_hash(domain: str, session: Column) -> Column:
     """The first 16 hex digits of a domain-separated SHA-256."""
     return F.substring(F.sha2(F.concat(F.lit(domain), session.cast("string")), 256), 1, 16)
 
 
-def patch_tokens(width: Column, height: Column, patch: int = 32, most: int = 1536) -> Column:
-    """Patches that cover an image, at most most."""
-    return F.least(F.ceil(width / patch) * F.ceil(height / patch), F.lit(most)).cast("long")
+def patch_cost(width: Column, height: Column) -> Column:
+    """Tokens of an image that is paid by patches of 32 pixels, 1,536 at most: a larger image is first made smaller,
+    to a whole number of patches across."""
+    w, h = width.cast("double"), height.cast("double")
+    whole = F.ceil(w / 32) * F.ceil(h / 32)
+    shrink = F.sqrt(F.lit(1536.0 * 32 * 32) / (w * h))
+    across = F.greatest(F.floor(w * shrink / 32), F.lit(1))
+    down = F.greatest(F.ceil(h * shrink * (across * 32 / (w * shrink)) / 32), F.lit(1))
+    fitted = across * F.greatest(F.least(down, F.floor(F.lit(1536) / across)), F.lit(1))
+    return F.when((w <= 0) | (h <= 0), 0).when(whole <= 1536, whole).otherwise(fitted).cast("long")
 
 
-def tile_tokens(width: Column, height: Column, base: int = 85, per_tile: int = 170, tile: int = 512) -> Column:
-    return (F.lit(base) + F.lit(per_tile) * F.ceil(width / tile) * F.ceil(height / tile)).cast("long")
+def tile_cost(width: Column, height: Column) -> Column:
+    """Tokens of an image that is paid by tiles: fitted into 2,048 pixels, then its shorter side to 768, it costs 85 and
+    170 for each tile of 512."""
+    w, h = width.cast("double"), height.cast("double")
+    first = F.least(F.lit(1.0), F.lit(2048.0) / F.greatest(w, h))
+    w1, h1 = F.when(first < 1, w * first).otherwise(w), F.when(first < 1, h * first).otherwise(h)
+    short = F.least(w1, h1)
+    second = F.when(short > 768, F.lit(768.0) / short)
+    w2, h2 = F.when(second.isNotNull(), w1 * second).otherwise(w1), F.when(second.isNotNull(), h1 * second).otherwise(h1)
+    return F.when((w <= 0) | (h <= 0), 0).otherwise(85 + 170 * F.ceil(w2 / 512) * F.ceil(h2 / 512)).cast("long")
 
 
 def model_name(raw: Column) -> Column:
-    """Lower-cased and trimmed, without a trailing date."""
-    return F.regexp_replace(F.lower(F.trim(raw)), r"-\d{4}-\d{2}-\d{2}$", "")
+    """Lower-cased and trimmed; null where nothing is left."""
+    name = F.lower(F.trim(raw))
+    return F.when(name != "", name)
+
+
+def tier_name(raw: Column) -> Column:
+    """The tier by which a recorded one is priced: standard where none is recorded, null for one that is not known."""
+    known = F.create_map(*[F.lit(x) for pair in TIERS.items() for x in pair])
+    return F.when(raw.isNull(), "standard").otherwise(F.try_element_at(known, F.lower(F.trim(raw))))
+
+
+def tier_class(raw: Column) -> Column:
+    name = tier_name(raw)
+    return F.when(name.isin(*CLASSES[1:]), name).otherwise(CLASSES[0])
 
 
 def epoch_s(text: Column) -> Column:
-    """Seconds of an ISO time, null if it is none."""
+    """Seconds of an ISO time, null if it is none; a time without an offset is UTC."""
     return F.unix_micros(F.try_to_timestamp(text)) / 1e6
+
+
+def strict_epoch_s(text: Column) -> Column:
+    """Seconds of an ISO time with an offset; null without one, and for texts shorter than a time to the second."""
+    zoned = (F.char_length(text) >= 20) & text.rlike(r"T.*(?:Z|[+-]\d{2}:?\d{2})$")
+    return F.when(zoned, epoch_s(text))
+
+
+def local_day(text: Column, minutes: int | Column) -> Column:
+    """The calendar day of an ISO time at an offset of minutes, to the minute; without an offset of its own, the first
+    ten characters."""
+    zoned = text.rlike(r"T.*(?:Z|[+-]\d{2}:?\d{2})$")
+    shift = F.lit(minutes) if isinstance(minutes, int) else minutes
+    moved = F.timestamp_seconds(F.floor(epoch_s(text) / 60) * 60 + shift * 60)
+    return F.when(zoned, F.date_format(moved, "yyyy-MM-dd")).otherwise(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10)))
+
+
+def day_span(day: Column, zone: str) -> tuple[Column, Column]:
+    """The first second of a local day and of the next, so 23 or 25 hours where clocks change."""
+    at = lambda d: F.unix_seconds(F.to_utc_timestamp(d.cast("timestamp"), zone))
+    return at(day), at(F.date_add(day, 1))
+
+
+def local_minutes(epoch: Column, zone: str) -> Column:
+    """An epoch as local ISO time to the minute."""
+    return F.date_format(F.from_utc_timestamp(F.timestamp_seconds(epoch), zone), "yyyy-MM-dd'T'HH:mm")
+
+
+def count_of(raw: Column) -> Column:
+    """A count from a recorded number: 0 for nothing, NaN, infinity and what is negative; else cut to a whole one."""
+    value = raw.cast("double")
+    return F.when(value.isNull() | F.isnan(value) | (value <= 0) | (value >= 9.2e18), 0).otherwise(F.floor(value)).cast("long")
+
+
+def clamped(part: Column, whole: Column) -> tuple[Column, Column]:
+    """The part, whole at most, and whether it was more."""
+    return F.least(part, whole), part > whole
+
+
+def median_half_up(values: Column) -> Column:
+    """The rounded median of an array, halves up."""
+    ordered = F.sort_array(values)
+    n = F.size(values)
+    middle = (F.get(ordered, F.expr("CAST(0 AS INT)") + F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+    return F.floor(middle + 0.5).cast("long")
+
+
+def off_grid(reset: Column, anchor: Column, period: int = 604_800, near: int = 2) -> Column:
+    """Whether a reset departs from the anchor's grid of periods by more than near seconds."""
+    phase = F.pmod(reset - anchor, F.lit(period))
+    return F.least(phase, F.lit(period) - phase) > near
+
+
+def price_cell(text: Column) -> Column:
+    """The number of a price cell: $1.25, $1,000 or a dash for none."""
+    return F.regexp_extract(F.regexp_replace(text, ",", ""), r"^\s*\$\s*(\d+(?:\.\d+)?)\s*$", 1).try_cast("double")
+
+
+def preview(text: Column, most: int = 120) -> Column:
+    """The first characters of a text, runs of white space as one space."""
+    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)
+
+
+def digest(value: Column) -> Column:
+    """The SHA-256 of a struct's or map's JSON with its keys in order."""
+    return F.sha2(F.to_json(value), 256)
+
+
+def shown_count(value: Column) -> Column:
+    """A count for reading: 950, 1.2k, 3.40M, 5.67B."""
+    v = value.cast("double")
+    return F.when(v < 1000, F.format_string("%d", value.cast("long"))).when(v < 1e6, F.format_string("%.1fk", v / 1e3)).when(v < 1e9, F.format_string("%.2fM", v / 1e6)).otherwise(F.format_string("%.2fB", v / 1e9))
+
+
+def shown_seconds(value: Column) -> Column:
+    """Seconds for reading: 4.2s, 3m05s, 2h07m."""
+    v, whole = value.cast("double"), F.floor(value).cast("long")
+    return F.when(v < 60, F.format_string("%.1fs", v)).when(v < 3600, F.format_string("%dm%02ds", F.expr("0L") + F.floor(whole / 60), whole % 60)).otherwise(F.format_string("%dh%02dm", F.floor(whole / 3600), F.floor(whole % 3600 / 60)))

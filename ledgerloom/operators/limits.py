@@ -44,6 +44,42 @@ def in_intervals(rows: DataFrame, intervals: DataFrame, time: str, start: str, e
     return rows.withColumn("_b", F.expr(f"{time} div {width}")).join(cut, "_b").where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_b")
 
 
+def in_windows(rows: DataFrame, windows: DataFrame, time: str, start: str, end: str, width: int = 86_400) -> DataFrame:
+    """in_intervals() with windows of which some never end: the latest of those takes what is after its start."""
+    closed = in_intervals(rows, windows.where(f"{end} is not null"), time, start, end, width)
+    # one row at most: the open window that begins last
+    open_ = windows.where(f"{end} is null").orderBy(F.desc(start)).limit(1)
+    return closed.unionByName(rows.join(F.broadcast(open_), F.col(time) >= F.col(start)).select(*closed.columns))
+
+
+def overlaps(windows: DataFrame, key: str, start: str, end: str, width: int = 86_400) -> DataFrame:
+    """(a, b): pairs of windows [start, end) that share a moment, each once."""
+    cut = windows.withColumn("_b", F.explode(F.sequence(F.expr(f"{start} div {width}"), F.expr(f"greatest({start}, {end} - 1) div {width}"))))
+    side = lambda s: cut.select(F.col(key).alias(s), F.col(start).alias(f"{s}_start"), F.col(end).alias(f"{s}_end"), "_b")
+    met = side("a").join(side("b"), "_b").where((F.col("a") < F.col("b")) & (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")))
+    return met.select("a", "b").distinct()
+
+
+def span_clusters(merged: DataFrame, spread: int = 2) -> DataFrame:
+    """Resets within spread seconds of their cluster's least one; a cluster begins with the least that none holds.
+
+    Chains break first where a gap exceeds spread; inside a chain, a few seconds long, one pass assigns the clusters.
+    """
+    order = Window.orderBy("resets_at")
+    chains = merged.withColumn("_new", F.when(F.col("resets_at") - F.lag("resets_at").over(order) > spread, 1).otherwise(0)).withColumn("_chain", F.sum("_new").over(order))
+    listed = chains.groupBy("_chain").agg(F.sort_array(F.collect_list(F.struct("resets_at", "n"))).alias("x"))
+    begin = F.array(F.struct(F.get("x", F.lit(0))["resets_at"].alias("low"), F.lit(0).cast("long").alias("n"), F.get("x", F.lit(0))["resets_at"].alias("high")))
+
+    def add(done: Column, at: Column) -> Column:
+        last = F.element_at(done, -1)
+        fits = at["resets_at"] - last["low"] <= spread
+        grown = F.struct(last["low"].alias("low"), (last["n"] + at["n"]).alias("n"), at["resets_at"].alias("high"))
+        fresh = F.struct(at["resets_at"].alias("low"), at["n"].alias("n"), at["resets_at"].alias("high"))
+        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+
+    return listed.select(F.explode(F.aggregate("x", begin, add)).alias("c")).select(F.col("c.low").alias("reset_low"), F.col("c.high").alias("reset_high"), "c.n")
+
+
 def running(rows: DataFrame, keys: list[str], order: list[str], value: str) -> Column:
     return F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
@@ -52,12 +88,28 @@ def bucket_last(rows: DataFrame, keys: list[str], time: str, order: list[str], v
     return rows.groupBy(*keys, F.expr(f"({time} div {seconds}) * {seconds}").alias("bucket")).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def downsample(rows: DataFrame, keys: list[str], order: list[str], most: int = 120) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], time: str, order: list[str], width: int = 86_400) -> DataFrame:
+    """rows with _i, their number from 0 in the order of their group, which begins with time, and _n, how many it has.
+
+    Numbers are counted inside each width of time and added to the counts of the widths before, so a group with all
+    rows is spread over as many tasks as it spans widths.
+    """
+    placed = rows.withColumn("_w", F.expr(f"{time} div {width}"))
+    counts = placed.groupBy(*keys, "_w").agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*keys)
+    starts = counts.select(*keys, "_w", F.coalesce(F.sum("_c").over(group.orderBy("_w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"), F.sum("_c").over(group).alias("_n"))
+    inside = placed.withColumn("_within", F.row_number().over(Window.partitionBy(*keys, "_w").orderBy(*order)).cast("long") - 1)
+    names = {c: f"_k{i}" for i, c in enumerate([*keys, "_w"])}
+    starts = starts.withColumnsRenamed(names)
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return inside.join(starts, same).withColumn("_i", F.col("_within") + F.col("_ahead")).drop("_w", "_within", "_ahead", *names.values())
+
+
+def downsample(rows: DataFrame, keys: list[str], time: str, order: list[str], most: int = 120) -> DataFrame:
     """Of each group, most rows at even places, the first and the last among them."""
-    w = Window.partitionBy(*keys)
-    numbered = rows.withColumn("i", F.row_number().over(w.orderBy(*order)).cast("long") - 1).withColumn("n", F.count("*").over(w))
-    even = F.expr(f"i = (ceil(i * {most - 1} / n) * n) div {most - 1} AND ceil(i * {most - 1} / n) < {most - 1}")
-    return numbered.where((F.col("n") <= most) | even | (F.col("i") == F.col("n") - 1))
+    even = F.expr(f"_i = (ceil(_i * {most - 1} / _n) * _n) div {most - 1} AND ceil(_i * {most - 1} / _n) < {most - 1}")
+    kept = numbered(rows, keys, time, order).where((F.col("_n") <= most) | even | (F.col("_i") == F.col("_n") - 1))
+    return kept.withColumnsRenamed({"_i": "i", "_n": "n"})
 
 
 def observation_span(readings: DataFrame, key: str) -> DataFrame:

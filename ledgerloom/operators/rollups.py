@@ -27,7 +27,7 @@ def totals(ledger: DataFrame) -> DataFrame:
 def sessions(ledger: DataFrame) -> DataFrame:
     """Each stream's counts, first and last second, and dominant model: most input, then lexically first."""
     by_model = ledger.groupBy("stream", "model").agg(F.count("*").alias("n"), F.sum("input").alias("i"), F.min("t").alias("a"), F.max("t").alias("b"))
-    dominant = F.max_by("model", F.struct("i", F.transform(F.split("model", ""), lambda c: -F.ascii(c))))
+    dominant = F.min_by("model", F.struct(-F.col("i"), F.col("model")))
     return by_model.groupBy("stream").agg(F.sum("n").alias("responses"), F.sum("i").cast("long").alias("input"), F.min("a").alias("first_t"), F.max("b").alias("last_t"), dominant.alias("model"))
 
 
@@ -69,6 +69,12 @@ def in_view(series: DataFrame, low: int, high: int, seconds: int = 3600) -> Data
     return series.where((F.col("bucket") < high) & (F.col("bucket") + seconds > low)).groupBy("category").agg(F.sum("tokens").cast("long").alias("tokens"))
 
 
+def in_view_of_all(series: DataFrame, inset: int, seconds: int = 3600) -> DataFrame:
+    """in_view() of the whole range, less inset seconds at both ends; the range is a subquery of one row."""
+    ends = lambda f: series.agg(f("bucket")).scalar()
+    return series.where((F.col("bucket") < ends(F.max) - inset) & (F.col("bucket") + seconds > ends(F.min) + inset)).groupBy("category").agg(F.sum("tokens").cast("long").alias("tokens"))
+
+
 def violations(days: DataFrame) -> DataFrame:
     """Plausibility rules of day rows, and how many break each."""
     rules = {"zero_responses": F.col("responses") <= 0, "cached_over_input": F.col("cached") > F.col("input"), "reasoning_over_output": F.col("reasoning") > F.col("output"), "input_bound": F.col("input") > 20_000_000_000, "before_start": F.col("day") < F.lit("2025-04-01").cast("date")}

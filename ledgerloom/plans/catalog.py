@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar
 from ledgerloom.operators import latency, ledger, limits, pricing, rollups
-from ledgerloom.sources.carriers import BLOCKS_SQL, QUOTES_SQL, USAGE_SQL, blocks, quotes, table, usage
+from ledgerloom.sources.carriers import BLOCKS_SQL, QUOTES_SQL, USAGE_SQL, WEEK, blocks, quotes, table, usage
 from ledgerloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,9 +59,7 @@ def _(spark, d):
 
 @query("viewport_pie", f"WITH h AS ({_HOURLY}), lim AS (SELECT min(bucket) + 5000 AS lo, max(bucket) - 5000 AS hi FROM h) SELECT category, sum(tokens)::BIGINT AS tokens FROM h, lim WHERE bucket < hi AND bucket + 3600 > lo GROUP BY category", USAGE_SQL)
 def _(spark, d):
-    series = rollups.hourly(usage(spark, d), "model")
-    low, high = usage(spark, d).agg(F.expr("(min(t) div 3600) * 3600 + 5000"), F.expr("(max(t) div 3600) * 3600 - 5000")).first()
-    return rollups.in_view(series, low, high)
+    return rollups.in_view_of_all(rollups.hourly(usage(spark, d), "model"), 5000)
 
 
 @query("category_bytes", "SELECT role AS category, count(*) AS items, sum(strlen(text))::BIGINT AS bytes, count(DISTINCT sha256(text)) AS distinct_texts FROM conversations GROUP BY role")
@@ -100,7 +98,7 @@ def _(spark, d):
 
 @query("owner_choice", "WITH c AS (SELECT response, copy, arg_max(output, {'b': block, 'o': output}) AS output, max(block) AS block FROM b GROUP BY response, copy), r AS (SELECT *, count(*) OVER (PARTITION BY response) AS copies, row_number() OVER (PARTITION BY response ORDER BY output DESC, copy) AS n FROM c) SELECT response, copy, output, copies FROM r WHERE n = 1", BLOCKS_SQL)
 def _(spark, d):
-    return ledger.owners(ledger.terminal_blocks(blocks(spark, d)), [F.desc("output"), "copy"]).select("response", "copy", "output", "copies")
+    return ledger.owners(ledger.terminal_blocks(blocks(spark, d)), [-F.col("output"), F.col("copy")]).select("response", "copy", "output", "copies")
 
 
 @query("ancestor_chain", "WITH RECURSIVE n AS (SELECT DISTINCT user_id AS node, CASE WHEN user_id > 0 THEN user_id // 2 END AS parent FROM events UNION SELECT DISTINCT user_id // 2, CASE WHEN user_id // 2 > 0 THEN user_id // 4 END FROM events UNION SELECT 0, NULL), c AS (SELECT node, parent AS ancestor, 1::BIGINT AS distance FROM n WHERE parent IS NOT NULL AND parent <> node UNION ALL SELECT c.node, n.parent, c.distance + 1 FROM c JOIN n ON n.node = c.ancestor WHERE n.parent IS NOT NULL AND n.parent <> n.node) SELECT * FROM c")
@@ -161,11 +159,9 @@ def _(spark, d):
 @query("asof_window", f"WITH {_BOUNDS} SELECT response_id, cluster FROM u ASOF LEFT JOIN w ON u.t >= w.start_t", _Q)
 def _(spark, d):
     marks = limits.boundaries(_clusters(spark, d))
-    days = usage(spark, d).select("response_id", "t")
-    # windows are few: each one's interval is cut into days, so that no key holds all rows
-    spans = marks.select("cluster", "start_t", F.coalesce("end_t", F.lit(4_102_444_800)).alias("end_t"))
-    inside = limits.in_intervals(days, spans, "t", "start_t", "end_t", 86_400).select("response_id", "cluster")
-    return days.select("response_id").join(inside, "response_id", "left")
+    rows = usage(spark, d).select("response_id", "t")
+    spans = marks.select("cluster", "start_t", "end_t")
+    return rows.select("response_id").join(limits.in_windows(rows, spans, "t", "start_t", "end_t").select("response_id", "cluster"), "response_id", "left")
 
 
 @query("asof_tier", "WITH m AS (SELECT stream, t, arg_max(tier, response_id) AS tier FROM u WHERE tier IS NOT NULL GROUP BY stream, t) SELECT u.response_id, m.tier FROM u ASOF LEFT JOIN m ON u.stream = m.stream AND u.t >= m.t", USAGE_SQL)
@@ -194,7 +190,7 @@ def _(spark, d):
 
 @query("downsample_120", "WITH n AS (SELECT response_id, model, row_number() OVER (PARTITION BY model ORDER BY t, response_id) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM u), s AS (SELECT DISTINCT n.model, (j * n.n) // 119 AS i FROM (SELECT DISTINCT model, n FROM n) n, range(119) r(j) UNION SELECT DISTINCT model, n - 1 FROM n) SELECT n.model, n.response_id, n.i FROM n LEFT JOIN s USING (model, i) WHERE n.n <= 120 OR s.model IS NOT NULL", USAGE_SQL)
 def _(spark, d):
-    return limits.downsample(usage(spark, d), ["model"], ["t", "response_id"]).select("model", "response_id", "i")
+    return limits.downsample(usage(spark, d), ["model"], "t", ["t", "response_id"]).select("model", "response_id", "i")
 
 
 @query("observation_span", "WITH l AS (SELECT *, max(percent) OVER (PARTITION BY stream) AS pk, lag(percent) OVER w AS bp, lag(t) OVER w AS bt FROM q WINDOW w AS (PARTITION BY stream ORDER BY t, percent, response_id)) SELECT stream, min(t) AS first_t, max(percent) AS peak, min(t) FILTER (percent = pk) AS peak_t, max(t) AS last_t, count(*) FILTER (percent < bp AND t > bt) AS falls, count(*) FILTER (percent <> bp AND t = bt) AS conflicts FROM l GROUP BY stream", _Q)
@@ -202,12 +198,23 @@ def _(spark, d):
     return limits.observation_span(quotes(spark, d), "stream")
 
 
+@query("reset_cluster_span", f"WITH {_MERGED}, o AS (SELECT resets_at, n FROM g), k AS (SELECT (resets_at - {WEEK // 2}) // {WEEK} AS week, min(resets_at) AS low FROM o GROUP BY 1) SELECT k.low AS reset_low, max(o.resets_at) AS reset_high, sum(n)::BIGINT AS n FROM o JOIN k ON (o.resets_at - {WEEK // 2}) // {WEEK} = k.week GROUP BY k.low", _Q)
+def _(spark, d):
+    return limits.span_clusters(limits.merge_quotes(quotes(spark, d)))
+
+
+@query("window_overlaps", f"WITH {_CLUSTERS}, i AS (SELECT cluster, first_t AS s, greatest(reset_at, last_t + 1) AS e FROM c) SELECT a.cluster AS a, b.cluster AS b FROM i a, i b WHERE a.cluster < b.cluster AND a.s < b.e AND b.s < a.e", _Q)
+def _(spark, d):
+    spans = _clusters(spark, d).select("cluster", F.col("first_t").alias("s"), F.greatest("reset_at", F.col("last_t") + 1).alias("e"))
+    return limits.overlaps(spans, "cluster", "s", "e")
+
+
 @query("limit_events_daily", "SELECT day, count(*) AS n FROM u WHERE model = 'error' GROUP BY day", USAGE_SQL)
 def _(spark, d):
     return usage(spark, d).where("model = 'error'").groupBy("day").agg(F.count("*").alias("n"))
 
 
-_TIMED = "l0 AS (SELECT *, t - max(t) OVER (PARTITION BY stream ORDER BY t, response_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seconds FROM u), l AS (SELECT *, CASE WHEN seconds IS NULL THEN 'no_start' WHEN seconds <= 0 THEN 'not_positive' WHEN seconds > 3600 THEN 'too_long' END AS reason FROM l0)"
+_TIMED = "l00 AS (SELECT *, max(t) OVER (PARTITION BY stream ORDER BY t, response_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u), l0 AS (SELECT *, t - CASE WHEN req IS NOT NULL THEN CASE WHEN before > req THEN before ELSE req END END AS seconds FROM l00), l AS (SELECT *, CASE WHEN seconds IS NULL THEN 'no_start' WHEN seconds <= 0 THEN 'not_positive' WHEN seconds > 3600 THEN 'too_long' END AS reason FROM l0)"
 _STATS = "count(*) AS n, sum(seconds)::BIGINT AS total, quantile_cont(seconds, 0.5) AS median, quantile_cont(seconds, 0.9) AS p90"
 
 
@@ -230,23 +237,47 @@ def _(spark, d):
     return latency.pace_lines(latency.samples(usage(spark, d)), "model")
 
 
-_PRICES = "pr(model, tier, rate_in, rate_cached, rate_out, rate_long) AS (VALUES " + ", ".join(f"('{m}', '{t}', {a}, {b}, {c}, {'NULL' if x is None else x})" for m, t, a, b, c, x in pricing.PRICES) + ")"
-_PRICED = f"{_PRICES}, lg AS (SELECT DISTINCT model FROM pr WHERE rate_long IS NOT NULL), v0 AS (SELECT u.*, pr.rate_in, pr.rate_cached, pr.rate_out, pr.rate_long, u.model IN (SELECT model FROM lg) AND u.input > {pricing.LONG_FROM} AS is_long, u.model IN (SELECT model FROM pr) AS known FROM u LEFT JOIN pr ON pr.model = u.model AND pr.tier = coalesce(u.tier, 'standard')), v1 AS (SELECT *, CASE WHEN NOT known THEN 'model' WHEN rate_in IS NULL THEN 'tier' WHEN is_long AND rate_long IS NULL THEN 'long_context' END AS reason FROM v0), v AS (SELECT *, CASE WHEN reason IS NULL THEN (input - cached) * (CASE WHEN is_long THEN rate_long ELSE rate_in END) + cached * rate_cached + output * rate_out END AS micros FROM v1)"
+_TIER = "CASE WHEN tier IS NULL THEN 'standard' ELSE CASE lower(tier) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scalar.TIERS.items()) + " END END"
+_PRICED = (
+    f"pr({', '.join(pricing.NAMES)}) AS ({pricing.values()}), x AS (SELECT u.*, CASE WHEN k % 3 = 0 THEN upper(model) || '-2025-01-02' ELSE model END AS raw, {_TIER} AS pt FROM u), "
+    f"y AS (SELECT x.*, x.model IN (SELECT model FROM pr WHERE long_in IS NOT NULL) AND x.input > {pricing.LONG_FROM} AS is_long, x.model IN (SELECT model FROM pr) AS known, o AS own, f AS fast "
+    "FROM x LEFT JOIN pr o ON o.model = x.model AND o.tier = x.pt LEFT JOIN pr f ON f.model = x.model AND f.tier = 'fast'), "
+)
+for _side in ("own", "fast"):
+    _full = f"CASE WHEN is_long THEN {_side}.long_in ELSE {_side}.rate_in END"
+    _PRICED += f"y_{_side} AS (SELECT *, CASE WHEN NOT known THEN 'model' WHEN {_side}.rate_in IS NULL THEN 'tier' WHEN is_long AND {_side}.long_in IS NULL THEN 'long_context' END AS why_{_side}, (input - cached) * {_full} + cached * coalesce(CASE WHEN is_long THEN {_side}.long_cached ELSE {_side}.rate_cached END, {_full}) + output * CASE WHEN is_long THEN {_side}.long_out ELSE {_side}.rate_out END AS cost_{_side} FROM {'y' if _side == 'own' else 'y_own'}), "
+_PRICED += "v AS (SELECT *, why_own AS reason, CASE WHEN why_own IS NULL THEN cost_own END AS micros, CASE WHEN tier IS NULL AND why_fast IS NULL THEN greatest(coalesce(CASE WHEN why_own IS NULL THEN cost_own END, cost_fast), cost_fast) WHEN why_own IS NULL THEN cost_own END AS micros_high FROM y_fast)"
+
+
+def _priced(spark, d):
+    dated = F.when(F.col("k") % 3 == 0, F.concat(F.upper("model"), F.lit("-2025-01-02"))).otherwise(F.col("model"))
+    rows = usage(spark, d).withColumns({"name": F.col("model"), "model": dated})
+    return pricing.priced(rows, pricing.prices(spark))
+
+
+@query("price_rows", f"WITH {_PRICED} SELECT response_id, reason, micros::BIGINT AS micros, micros_high::BIGINT AS micros_high FROM v", USAGE_SQL)
+def _(spark, d):
+    return _priced(spark, d).select("response_id", "reason", "micros", "micros_high")
 
 
-@query("price_rows", f"WITH {_PRICED} SELECT response_id, reason, micros::BIGINT AS micros FROM v", USAGE_SQL)
+@query("price_by_model", f"WITH {_PRICED} SELECT model, count(*) AS responses, count(micros) AS priced, sum(micros)::BIGINT AS micros, sum(micros_high)::BIGINT AS micros_high FROM v GROUP BY model", USAGE_SQL)
 def _(spark, d):
-    return pricing.price(usage(spark, d), pricing.prices(spark)).select("response_id", "reason", "micros")
+    return _priced(spark, d).groupBy(F.col("name").alias("model")).agg(F.count("*").alias("responses"), F.count("micros").alias("priced"), F.sum("micros").alias("micros"), F.sum("micros_high").alias("micros_high"))
 
 
-@query("price_by_model", f"WITH {_PRICED} SELECT model, count(*) AS responses, count(micros) AS priced, sum(micros)::BIGINT AS micros FROM v GROUP BY model", USAGE_SQL)
+@query("price_by_tier", f"WITH {_PRICED} SELECT coalesce(pt, 'unknown') AS tier, count(*) AS responses, sum(micros)::BIGINT AS micros FROM v WHERE micros IS NOT NULL GROUP BY 1", USAGE_SQL)
 def _(spark, d):
-    return pricing.price(usage(spark, d), pricing.prices(spark)).groupBy("model").agg(F.count("*").alias("responses"), F.count("micros").alias("priced"), F.sum("micros").alias("micros"))
+    return _priced(spark, d).where("micros is not null").groupBy(F.coalesce(scalar.tier_name(F.col("tier")), F.lit("unknown")).alias("tier")).agg(F.count("*").alias("responses"), F.sum("micros").alias("micros"))
 
 
 @query("unpriced_reasons", f"WITH {_PRICED} SELECT reason, model, count(*) AS n FROM v WHERE reason IS NOT NULL GROUP BY ALL ORDER BY n DESC, reason, model LIMIT 20", USAGE_SQL)
 def _(spark, d):
-    return pricing.price(usage(spark, d), pricing.prices(spark)).where("reason is not null").groupBy("reason", "model").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason", "model").limit(20)
+    return _priced(spark, d).where("reason is not null").groupBy("reason", F.col("name").alias("model")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason", "model").limit(20)
+
+
+@query("tier_classes", f"SELECT day, CASE WHEN ({_TIER}) IN ('fast', 'ultrafast') THEN ({_TIER}) ELSE 'standard' END AS tier_class, count(*) AS responses, sum(input)::BIGINT AS input FROM u GROUP BY ALL", USAGE_SQL)
+def _(spark, d):
+    return usage(spark, d).groupBy("day", scalar.tier_class(F.col("tier")).alias("tier_class")).agg(F.count("*").alias("responses"), F.sum("input").alias("input"))
 
 
 @query("topk_sessions_month", "WITH g AS (SELECT strftime(day, '%Y-%m') AS month, stream, input, t - lag(t) OVER (PARTITION BY strftime(day, '%Y-%m'), stream ORDER BY t) AS gap FROM u), s AS (SELECT month, stream, coalesce(sum(gap) FILTER (gap BETWEEN 0 AND 1800), 0)::BIGINT AS active_s, sum(input)::BIGINT AS input FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY active_s DESC, stream) AS a, row_number() OVER (PARTITION BY month ORDER BY input DESC, stream) AS b FROM s) SELECT month, stream, active_s, input FROM r WHERE a <= 10 OR b <= 10", USAGE_SQL)
@@ -269,14 +300,21 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", scalar.session_hash("demo:", F.col("c_custkey")).alias("hash"))
 
 
-@query("image_patch_tokens", "SELECT p_partkey, least(ceil(p_partkey % 2000 / 32.0) * ceil(p_size * 37 / 32.0), 1536)::BIGINT AS tokens FROM part")
+_PART = "p AS (SELECT p_partkey, (p_partkey * 7 % 5000)::DOUBLE AS w, (p_size * 61)::DOUBLE AS h FROM part)"
+
+
+def _images(spark, d):
+    return table(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 7 % 5000).alias("w"), (F.col("p_size") * 61).alias("h"))
+
+
+@query("image_patch_cost", "WITH a AS (SELECT *, ceil(w / 32) * ceil(h / 32) AS whole, sqrt(1536.0::DOUBLE * 32 * 32 / (w * h)) AS s FROM p WHERE w > 0 AND h > 0), b AS (SELECT *, greatest(floor(w * s / 32), 1) AS pw FROM a), c AS (SELECT *, greatest(ceil(h * s * (pw * 32 / (w * s)) / 32), 1) AS ph FROM b) SELECT p_partkey, CASE WHEN whole <= 1536 THEN whole ELSE pw * greatest(least(ph, floor(1536 / pw)), 1) END::BIGINT AS tokens FROM c UNION ALL SELECT p_partkey, 0 FROM p WHERE w <= 0 OR h <= 0", _PART)
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", scalar.patch_tokens(F.col("p_partkey") % 2000, F.col("p_size") * 37).alias("tokens"))
+    return _images(spark, d).select("p_partkey", scalar.patch_cost(F.col("w"), F.col("h")).alias("tokens"))
 
 
-@query("image_tile_tokens", "SELECT p_partkey, (85 + 170 * ceil(p_partkey % 2000 / 512.0) * ceil(p_size * 37 / 512.0))::BIGINT AS tokens FROM part")
+@query("image_tile_cost", "WITH a AS (SELECT *, CASE WHEN greatest(w, h) > 2048 THEN 2048 / greatest(w, h) END AS s FROM p WHERE w > 0 AND h > 0), b AS (SELECT p_partkey, coalesce(w * s, w) AS w, coalesce(h * s, h) AS h FROM a), c AS (SELECT *, CASE WHEN least(w, h) > 768 THEN 768 / least(w, h) END AS s FROM b) SELECT p_partkey, (85 + 170 * ceil(coalesce(w * s, w) / 512) * ceil(coalesce(h * s, h) / 512))::BIGINT AS tokens FROM c UNION ALL SELECT p_partkey, 0 FROM p WHERE w <= 0 OR h <= 0", _PART)
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", scalar.tile_tokens(F.col("p_partkey") % 2000, F.col("p_size") * 37).alias("tokens"))
+    return _images(spark, d).select("p_partkey", scalar.tile_cost(F.col("w"), F.col("h")).alias("tokens"))
 
 
 _RULES = {"zero_responses": "responses <= 0", "cached_over_input": "cached > input", "reasoning_over_output": "reasoning > output", "input_bound": "input > 20000000000", "before_start": "day < DATE '2025-04-01'"}

@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The usage ledger: one row for each response, with its prompt, output, tier and effort."""
+    """The usage ledger: one row for each response, with its prompt, output, tier, effort and request stamp."""
     k = F.get_json_object("props", "$.k").cast("long")
     cents = F.round(F.col("value") * 100).cast("long")
     rows = table(spark, sf_dir, "events").select(
@@ -20,8 +20,9 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("input", F.col("output") * 10 + F.col("k") * 100)
     return rows.select(
         "*", F.expr("(input * (k % 10)) div 10").alias("cached"), F.expr("output div 3").alias("reasoning"),
-        F.expr("CASE k % 4 WHEN 0 THEN 'standard' WHEN 1 THEN 'fast' WHEN 2 THEN 'batch' END").alias("tier"),
+        F.expr("CASE k % 5 WHEN 0 THEN 'default' WHEN 1 THEN 'Priority' WHEN 2 THEN 'flex' WHEN 3 THEN 'batch' END").alias("tier"),
         F.expr("CASE k % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'high' END").alias("effort"),
+        F.expr("CASE WHEN k % 6 > 0 THEN t - (k * 37) % 4000 + 100 END").alias("req"),
     )
 
 
@@ -29,7 +30,8 @@ USAGE_SQL = """e AS (SELECT event_id AS response_id, user_id AS stream, event_ty
   json_extract_string(props, '$.k')::BIGINT AS k, round(value * 100)::BIGINT AS output FROM events),
 f AS (SELECT *, output * 10 + k * 100 AS input FROM e),
 u AS (SELECT *, (input * (k % 10)) // 10 AS cached, output // 3 AS reasoning,
-  CASE k % 4 WHEN 0 THEN 'standard' WHEN 1 THEN 'fast' WHEN 2 THEN 'batch' END AS tier, CASE k % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'high' END AS effort FROM f)"""
+  CASE k % 5 WHEN 0 THEN 'default' WHEN 1 THEN 'Priority' WHEN 2 THEN 'flex' WHEN 3 THEN 'batch' END AS tier, CASE k % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'high' END AS effort,
+  CASE WHEN k % 6 > 0 THEN t - (k * 37) % 4000 + 100 END AS req FROM f)"""
 
 WEEK = 604_800
 
