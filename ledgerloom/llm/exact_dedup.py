@@ -1,7 +1,7 @@
 """Exact dedup by content-defined chunk recipes (native DataFrame functions only).
 
-A text is cut where its own content says so, so equal passages give equal chunks. Chunks
-are deduplicated by their bytes, which verifies that one identifier stands for one chunk;
+A text is cut where its own content says so: after sentences whose hash meets a mask. Equal
+passages give equal chunks, but for the first and last of them. Chunks are deduplicated by their bytes, which verifies that one identifier stands for one chunk;
 a text is then its ordered list of identifiers, about 8 bytes for each KB, and only these
 lists are grouped and joined. A long text moves at most once, in distinct chunks.
 
@@ -15,11 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, let, materialize
 
-#: A chunk ends after a letter and white space, 1,024 characters or more from its start,
-#: and 8,192 at most.
-CHUNK = r"(?s).{1024,8192}?(?<=\p{L}\s)|.{1,8192}"
+#: Pieces end with sentences and lines, after 1,024 characters at most.
+PIECE = "[^.!?\\n\u3002\uff01\uff1f]{0,1023}[.!?\\n\u3002\uff01\uff1f]+|[^.!?\\n\u3002\uff01\uff1f]{1,1024}"
+#: A chunk ends after one of so many pieces, as the piece's hash says.
+ONE_OF = 8
 
 
 def normalized(text: str | Column) -> Column:
@@ -27,7 +28,21 @@ def normalized(text: str | Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
+    """The text in chunks. Whether a chunk ends after a piece depends on the piece alone, so equal passages are cut alike
+    wherever they stand, from the first cut in them on."""
+
+    def cut(pieces: Column) -> Column:
+        n = F.size(pieces)
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        ends = F.filter(places, lambda i: (F.pmod(F.xxhash64(F.get(pieces, i - 1)), F.lit(ONE_OF)) == 0) | (i == n))
+
+        def join(found: Column) -> Column:
+            begin = lambda k: F.coalesce(F.get(found, k - 1), F.lit(0))
+            return F.transform(found, lambda end, k: F.array_join(F.slice(pieces, begin(k) + 1, end - begin(k)), ""))
+
+        return let(ends, join)
+
+    return let(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), cut)
 
 
 def chunk_store(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -60,7 +75,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     same_row = Window.partitionBy("doc_id", "text_sha256").orderBy("doc_id")
     rows = materialize(recipes(docs, doc_id, text).withColumn("_nth", F.row_number().over(same_row)))
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, "recipe").select(
+    # materialized, so that the join deals the rows out by itself and a large group is split
+    return rows.join(materialize(groups), "recipe").select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_nth") == 1)).alias("kept"), "text_sha256"
     )
 
