@@ -72,7 +72,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, d
     """(page_id, host, path, rule, verdict) for each row of pages; rules are (verdict, host, path)."""
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+        listed = [F.struct(*(F.lit(x).cast("string").alias(n) for x, n in zip(r, ("verdict", "host", "path"), strict=True))) for r in rules]
+        rules = spark.range(1).select(F.inline(F.array(*listed).cast("array<struct<verdict:string,host:string,path:string>>")))
     known = rules.groupBy(F.translate("host", UPPER, LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path")).agg(F.max("verdict").alias("verdict"))
     known = known.where("rule_host <> ''").withColumn("host_key", host_key(F.col("rule_host")))
     pair_key = lambda host, path: F.concat(host, F.unhex(F.lit("FE")), path.cast("binary"))
@@ -86,6 +87,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, d
     hit = active.join(paths.where("pair_key is not null"), "key").join(known.select("pair_key", "rule_host", "rule_path", "verdict"), "pair_key")
     rule = F.concat("rule_host", "rule_path")
     best = hit.groupBy("host", "path").agg(F.max(F.struct(F.char_length(rule).alias("n"), F.char_length("rule_host").alias("h"), rule.alias("rule"), F.col("verdict").alias("verdict"))).alias("best"))
-    return rows.join(best, ["host", "path"], "left").select(
+    # materialized, so that the join deals the rows out by itself and a common page is split
+    return rows.join(materialize(best), ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
