@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as html_module
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -43,7 +44,8 @@ ENDS_UNSEEN = ENDS_P | frozenset("body caption center dd details dialog dt figca
 #: An open element of these ends where a sibling begins.
 ENDS_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
+#: A tag ends at ">", or where the next one begins if that comes first. No part of a page is read twice.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*+)((?:\"[^\"]*\"|'[^']*'|[^<>\"']++)*+)(?:>|(?=<))", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[A-Za-z]+")
 #: Word stems that class names use, by what they tell.
@@ -85,6 +87,7 @@ def parse(html: str | None) -> Page:
     tags, names, parents, linked, inner = ["#root"], [frozenset()], [-1], [0], [0]
     runs: list[tuple[int, str]] = []
     stack, hidden, links, pending, at, html = [0], 0, 0, [], 0, html or ""
+    open_ = Counter(["#root"])
     tokens = list(TOKEN.finditer(html))
     unclosed, loose = _unclosed(tokens), set()
 
@@ -98,7 +101,9 @@ def parse(html: str | None) -> Page:
     def pop() -> None:
         nonlocal hidden
         flush()
-        hidden -= tags[stack.pop()] in UNSEEN
+        tag = tags[stack.pop()]
+        open_[tag] -= 1
+        hidden -= tag in UNSEEN
 
     def say(text: str) -> None:
         if tags[stack[-1]] == "head" and text and not text.isspace():
@@ -116,7 +121,7 @@ def parse(html: str | None) -> Page:
         if m.group(2):
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag not in INLINE and tag not in VOID and any(tags[k] == tag for k in stack):
+            elif tag not in INLINE and tag not in VOID and open_[tag]:
                 while tags[stack[-1]] != tag:
                     pop()
                 pop()
@@ -137,10 +142,9 @@ def parse(html: str | None) -> Page:
         if tag in VOID:
             continue
         links = 0
-        if tag in ENDS_P and "p" in (open_ := [tags[k] for k in stack[1:]]):
-            while len(stack) > 1 + open_.index("p"):
-                pop()
-        if tag in ENDS_SELF:
+        while tag in ENDS_P and open_["p"]:
+            pop()
+        if tag in ENDS_SELF and any(open_[t] for t in ENDS_SELF[tag]):
             for depth in range(len(stack) - 1, 0, -1):
                 if tags[stack[depth]] in SCOPE[tag]:
                     break
@@ -153,6 +157,7 @@ def parse(html: str | None) -> Page:
         names.append(frozenset(p.lower() for x in NAMED.findall(m.group(4)) for p in PARTS.findall("".join(x))) if m.group(4) else frozenset())
         linked.append(0), inner.append(0)
         stack.append(len(tags) - 1)
+        open_[tag] += 1
         hidden += tag in UNSEEN
         if m.start() in unclosed:
             loose.add(stack[-1])
