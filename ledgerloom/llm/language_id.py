@@ -11,8 +11,10 @@ starts anew every 512 characters, so that one step of all blocks and languages i
 array operations; every character of every text counts. Every letter of the training texts
 has a code of its own, of any script; with many of them transitions are sorted keys, not a table.
 
-The model is fitted on a bounded sample of labelled rows: of each language, the TRAIN_ROWS
-rows of smallest hash that have letters, TRAIN_CHARS characters in all. A language with fewer
+The model is fitted on a bounded sample of labelled rows: of each language, of the rows with
+letters and ROW_CHARS characters at most, the TRAIN_ROWS of smallest hash, whole, until they have
+TRAIN_CHARS characters. It is fitted once, on the driver, and broadcast: a few bytes for each
+character of the samples. A language with fewer
 letters in its sample than 1 / LEAST_SHARE of the largest sample's is left out: its phrases
 would cost too few bits.
 
@@ -23,12 +25,12 @@ equal predictions; an empty table gives an empty result; extra columns are ignor
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,26 +38,39 @@ from pyspark.sql import functions as F
 from .near import bounded
 
 UNKNOWN = "und"
-TRAIN_ROWS, ROW_CHARS, TRAIN_CHARS = 60, 2_000, 40_000
+TRAIN_ROWS, ROW_CHARS, TRAIN_CHARS = 60, 4_000, 40_000
 LEAST_SHARE = 16
 BLOCK = 512
 #: Codes up to which the transitions of all states are a table; more are kept sparse.
 DENSE = 256
 #: Characters parsed together; bounds memory only.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS, GROUP_ROWS = 1_000_000, 500
 #: Codes of anything but letters, and of letters that no training text has.
 SPACE, FOREIGN = 0, 1
 
 
-class Model(NamedTuple):
+@dataclass
+class Model:
+    """The automata of all languages, with one numbering of states. It goes to the workers sparse."""
+
     languages: tuple[str, ...]
     codes: np.ndarray  # of each code point
     width: int
-    keys: np.ndarray | None  # state * width + code of each transition, ascending; None if the table has all
-    table: np.ndarray  # of all automata: the next state of state * width + code, 0 if none; with keys, of each key
+    states: int
+    keys: np.ndarray  # state * width + code of each transition, ascending
+    to: np.ndarray  # the next state of each key
     roots: np.ndarray  # the state of each language after one code
     bits: np.ndarray  # of a place in each language's text
 
+    @cached_property
+    def table(self) -> np.ndarray | None:
+        """The next state of each state and code, 0 if none; only where codes are few. It goes with the model."""
+        if self.width > DENSE:
+            return None
+        dense = np.zeros(self.states * self.width, dtype=np.int32)
+        dense[self.keys] = self.to
+        return dense
+
 
 def _automaton(text: list[int]) -> list[dict[int, int]]:
     """The transitions of the suffix automaton: state 0 the root, 1 a dead end. No transition leads to the root."""
@@ -89,14 +104,15 @@ def _automaton(text: list[int]) -> list[dict[int, int]]:
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+    """1 of letters, 2 of marks, which go with letters."""
+    kinds = map(unicodedata.category, map(chr, range(0x110000)))
+    return np.fromiter(({"L": 1, "M": 2}.get(k[0], 0) for k in kinds), dtype=np.uint8, count=0x110000)
 
 
-@lru_cache(maxsize=2)
 def fit(samples: tuple[tuple[str, str], ...]) -> Model:
     """From (language, text) of each language, in order."""
-    codes = np.where(_letters(), FOREIGN, SPACE).astype(np.uint32)
-    seen = sorted({c for _, text in samples for c in text.lower() if c.isalpha()})
+    codes = np.where(_letters() > 0, FOREIGN, SPACE).astype(np.uint32)
+    seen = sorted({c for _, text in samples for c in text.lower() if _letters()[ord(c)]})
     for k, c in enumerate(seen):
         codes[ord(c)] = k + 2
     width, keys, to, bits, base = len(seen) + 2, [], [], [], 0
@@ -112,22 +128,18 @@ def fit(samples: tuple[tuple[str, str], ...]) -> Model:
         bits.append(np.log2(max(2, len(coded))))
         base += len(nexts)
     key, table = (np.concatenate(x) if x else np.zeros(0, dtype=np.int32) for x in (keys, to))
-    if width <= DENSE:
-        dense = np.zeros(base * width, dtype=np.int32)
-        dense[key] = table
-        key, table = None, dense
-    return Model(tuple(name for name, _ in samples), codes, width, key, table, roots, np.array(bits))
+    return Model(tuple(name for name, _ in samples), codes, width, base, key, table, roots, np.array(bits))
 
 
 def _step(model: Model, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The next states, 0 if none."""
     asked = states * model.width + codes
-    if model.keys is None:
+    if model.table is not None:
         return model.table[asked]
     if not len(model.keys):
         return np.zeros_like(asked)
     at = np.minimum(np.searchsorted(model.keys, asked), len(model.keys) - 1)
-    return np.where(model.keys[at] == asked, model.table[at], 0)
+    return np.where(model.keys[at] == asked, model.to[at], 0)
 
 
 def encode(text: str, codes: np.ndarray) -> np.ndarray:
@@ -167,7 +179,7 @@ def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
 
 def classify(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     coded = [encode(t or "", model.codes) for t in texts]
-    known = np.array([bool((c != SPACE).any()) for c in coded])
+    known = [t is not None and (t.isalpha() or any(map(str.isalpha, t))) for t in texts]
     if not model.languages:
         return [(UNKNOWN, 0.0)] * len(texts)
     cost = phrases(model, coded) * model.bits
@@ -181,14 +193,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[tuple[str, str], ...]:
-    """(language, text) of each label, from rows that are not held out: at most rows rows and chars characters of each."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.substring(text, 1, ROW_CHARS).rlike(r"\p{L}") & ~held_out(doc_id)).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
+    """(language, text) of each label, from rows that are not held out: at most rows rows of each, until they have chars characters."""
+    whole = F.char_length(text) <= ROW_CHARS
+    labelled = docs.where(F.col(lang).isNotNull() & whole & F.col(text).rlike(r"\p{L}") & ~held_out(doc_id)).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
     chosen = labelled.withColumn("_rank", rank).where(F.col("_rank") <= rows)
-    joined = docs.select(F.col(doc_id), F.col(lang), F.col(text)).join(bounded(chosen), (F.col(doc_id) == F.col("_id")) & (F.col(lang) == F.col("_lang")))
+    joined = docs.where(whole).select(F.col(doc_id), F.col(lang), F.col(text)).join(bounded(chosen), (F.col(doc_id) == F.col("_id")) & (F.col(lang) == F.col("_lang")))
     texts: dict[str, str] = {}
-    for name, part in joined.select("_lang", F.substring(text, 1, ROW_CHARS).alias("t")).orderBy("_lang", "_rank", "t").toLocalIterator():
-        texts[name] = (texts.get(name, "") + " " + part)[:chars]
+    for name, part in joined.select("_lang", F.col(text).alias("t")).orderBy("_lang", "_rank", "t").toLocalIterator():
+        if len(texts.get(name, "")) < chars:
+            texts[name] = texts.get(name, "") + " " + part
     letters = {name: sum(map(str.isalpha, t)) for name, t in texts.items()}
     most = max(letters.values(), default=0)
     return tuple(sorted((name, t) for name, t in texts.items() if LEAST_SHARE * letters[name] >= most))
@@ -196,22 +210,28 @@ def training_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(samples))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = fit(shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, group, size = [], [], 0
-            for t in batch["text"]:
-                group.append(t)
-                size += len(t or "")
-                if size > GROUP_CHARS:
-                    out += classify(model, group)
-                    group, size = [], 0
-            out += classify(model, group) if group else []
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [x for x, _ in out], "score": [s for _, s in out]}).astype({"doc_id": "Int64"})
+            out = []
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                out += _classified(shared.value, batch["text"].slice(at, GROUP_ROWS).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double")
+def _classified(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
+    """classify(), some texts at a time."""
+    out, group, size = [], [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t or "")
+        if size > GROUP_CHARS:
+            out += classify(model, group)
+            group, size = [], 0
+    return out + (classify(model, group) if group else [])
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -221,15 +241,13 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.0) -> DataFrame:
     """The rows of docs without those whose text has no language, or a score below least."""
-    samples = training_sample(docs, doc_id, text, lang)
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, doc_id, text, lang)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = fit(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = classify(model, part[text].to_pylist())
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                part = batch.slice(at, GROUP_ROWS)
+                found = _classified(shared.value, part[text].to_pylist())
                 yield part.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
