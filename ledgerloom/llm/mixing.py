@@ -8,8 +8,9 @@ training position at which the mix needs it. training_order() range-sorts by pos
 
 Defined results: a null or wordless text has size 0 and takes 0 words at position null; a
 null source is a source of its own, last in order; equal rows are interchangeable; an empty
-table gives an empty result. plan() needs a table with unique or null-safe (doc_id) only
-for joining back; repeated rows each get their own place.
+table gives an empty result; repeated rows each get their own place; extra columns are ignored
+by plan() and kept by mix(), whatever their names. Sources are rows of one window, so they are
+thought to be thousands at most.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, stored
 
 #: Knots (time, weight) of the schedules dealt to the sources in order, again and again.
 #: Their integrals are 3, 1 and 2; the first falls, the second rises, the third is level.
@@ -102,8 +103,13 @@ def plan(docs: DataFrame, budget: float = 1.5, cap: float = 2.0, schedules=SCHED
     The running sum of a source is a window over (source, bucket), 4,096 rows or so each,
     on top of the sums of the buckets, so a source with a third of all rows is spread.
     """
+    return _plan(materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))), budget, cap, schedules, whole)
+
+
+def _plan(sizes: DataFrame, budget: float, cap: float, schedules, whole: bool) -> DataFrame:
+    """plan() of (doc_id, source, size); a column row is carried along."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")))
+    carried = [c for c in ("row",) if c in sizes.columns]
     targets = materialize(source_targets(sizes, budget, cap, schedules))
     rows = (
         sizes.withColumnRenamed("source", "_source").join(targets, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
@@ -113,7 +119,7 @@ def plan(docs: DataFrame, budget: float = 1.5, cap: float = 2.0, schedules=SCHED
     sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size", *carried).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("_within", F.sum("size").over(inside) - F.col("size"))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_offset", F.col("_within") + F.col("_ahead"))
     limit = F.floor(F.col("target") + 0.5).cast("long")
@@ -127,7 +133,7 @@ def plan(docs: DataFrame, budget: float = 1.5, cap: float = 2.0, schedules=SCHED
 
     last = F.greatest(F.ceil(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(1))
     passes = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(1)) - 1), at), lambda p: p["words"] > 0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", passes.alias("passes"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", passes.alias("passes"), *carried)
 
 
 def training_order(planned: DataFrame) -> DataFrame:
@@ -136,14 +142,16 @@ def training_order(planned: DataFrame) -> DataFrame:
     return each.orderBy("position", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "pass")
 
 
-def mix(docs: DataFrame, budget: float = 1.5, cap: float = 2.0, schedules=SCHEDULES, source: str = "source", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, budget: float = 1.5, cap: float = 2.0, schedules=SCHEDULES, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that the mix takes, once for each pass, range-sorted by training position.
 
-    Takes whole documents. Rows are told apart by doc_id, source and text, and should be
-    distinct in these; the plan is joined by a hash of the three.
+    Takes whole documents. The rows are numbered and written once, in the shared folder, and the plan is joined by
+    number: rows that are equal each have their own places. A source's order hangs on doc_id, source and text alone.
     """
-    key = F.xxhash64("doc_id", source, text)
-    marked = docs.withColumn("_row", key)
-    planned = plan(marked.drop("doc_id"), budget, cap, schedules, True, "_row", source, text)
-    each = materialize(training_order(planned).select(F.col("doc_id").alias("_row"), "pass", "position"))
-    return marked.join(each, "_row").orderBy("position", "_row", "pass").select(*docs.columns)
+    names = docs.columns
+    of = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.col(f"`{text}`"))
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), of.alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(text).alias("size"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc")))
+    planned = _plan(rows.select("row", "doc_id", "source", "size"), budget, cap, schedules, True)
+    each = planned.select("row", "doc_id", F.explode("passes").alias("p")).select("row", "doc_id", F.col("p.pass").alias("pass"), F.col("p.position").alias("position"))
+    placed = rows.select("row", "doc").join(each, "row").orderBy("position", "doc_id", "row", "pass")
+    return placed.select(*(F.col("doc").getField(c).alias(c) for c in names))
