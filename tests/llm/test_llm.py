@@ -65,11 +65,18 @@ def test_exact_dedup_of_odd_rows(odd, none):
     assert exact_dedup.exact_dedup(none).count() == exact_dedup.keep_first_copies(none).count() == 0
 
 
-def test_chunks_are_the_text(spark):
-    text = "Aa b. " * 3000 + "\n" + "x" * 20_000
-    df = spark.createDataFrame([(text,)], "text string").select(exact_dedup.chunks(F.col("text")).alias("c"))
-    chunks = df.first()["c"]
-    assert "".join(chunks) == text and len(chunks) > 5 and max(map(len, chunks)) <= 8192
+def test_chunks_are_the_text_and_realign(spark):
+    rng = random.Random(40)
+    sentence = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(rng.randint(4, 20))) + rng.choice(". . ? \n".split(" ")) + " "
+    body = "".join(sentence() for _ in range(400))
+    texts = [body, "xy " + body, "".join(sentence() for _ in range(9)) + body, body[:9000] + "new words. " + body[9000:], "Aa b. " * 3000 + "\n" + "x" * 20_000, "", "\u65e5\u672c\u3002" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", exact_dedup.chunks(F.col("text")).alias("c"))
+    cut = {r["i"]: r["c"] for r in df.collect()}
+    assert ["".join(cut[i]) for i in range(len(texts))] == texts and 30 < len(cut[0]) < 80
+    for i in (1, 2, 3):
+        assert len(set(cut[i]) & set(cut[0])) >= len(cut[0]) - 2
+    docs = spark.createDataFrame(list(enumerate(texts[:4])), "doc_id long, text string")
+    assert exact_dedup.chunk_store(docs).count() < 0.5 * sum(len(cut[i]) for i in range(4))
 
 
 def test_quality_of_odd_rows(odd, none):
@@ -104,6 +111,16 @@ def test_mix_meets_targets(odd, none):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.plan(odd.repartition(5)).collect()))
 
 
+def test_mix_gives_equal_rows_their_own_places(spark):
+    rows = [(1, "w " * 10, "a", "p")] * 3 + [(i, "w " * 10, "ab"[i % 2], "p") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, position string").withColumns({"pass": F.lit(1), "row": F.lit("r"), "_row": F.lit(2)})
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    counts = Counter(r["doc_id"] for r in got.collect())
+    assert counts[1] <= 6 and max(n for i, n in counts.items() if i != 1) <= 2 and abs(sum(counts.values()) - 1.5 * len(rows)) <= 2
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
 def test_positions_follow_the_schedule(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
     order = [r["source"] for r in mixing.training_order(mixing.plan(docs)).collect()]
@@ -215,6 +232,7 @@ def test_labels_of_few_letters_win_nothing(spark):
     docs = spark.createDataFrame([(3 * i, t, name) for i, (name, t) in enumerate(rows)], "doc_id long, text string, lang string").where(~language_id.held_out())
     samples = language_id.training_sample(docs, rows=4)
     assert [name for name, _ in samples] == ["aa", "bb"] and all(len(t) > 4000 for _, t in samples)
+    assert language_id.classify(language_id.fit(samples), ["\u0301\u0302 7", None, ""]) == [("und", 0.0)] * 3
     found = {(r["lang"], r["lang_pred"]) for r in language_id.identify(docs.where("length(text) > 9")).join(docs, "doc_id").collect()}
     assert found == {("aa", "aa"), ("bb", "bb")}
 
@@ -464,6 +482,18 @@ def test_html_with_end_tags_left_out():
     assert html_extract.extract(trees, [f"<body>{menu}<template><p>x</p></template><svg><desc><p>x</p></desc></svg>{article}"]) == [want]
 
 
+def test_html_is_read_in_linear_time():
+    import time
+
+    trees = html_extract.trained()
+    for page in ("<a " * 350_000, "<div>" * 20_000 + "x" + "</div>" * 20_000, "<p '" * 200_000, "<p>a<li>" * 60_000, "<!" * 400_000, '<b "' * 200_000):
+        began = time.monotonic()
+        html_extract.parse(page)
+        assert time.monotonic() - began < 4, page[:20]
+    page = "<body><div class=menu><a href=/>home</a></div><article><h1>A b</h1><p>One <b two <i>three</i>, and four.</p></article></body>"
+    assert html_extract.extract(trees, [page]) == ["A b One three, and four."]
+
+
 def test_pipeline_is_its_stages(spark):
     import corpus_pipeline
 
