@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, let, materialize
 
-#: Pieces end with sentences and lines, after 1,024 characters at most.
-PIECE = "[^.!?\\n\u3002\uff01\uff1f]{0,1023}[.!?\\n\u3002\uff01\uff1f]+|[^.!?\\n\u3002\uff01\uff1f]{1,1024}"
+#: Pieces end with sentences and lines; a stretch of 1,024 characters without a mark of one is a piece.
+PIECE = r"[^.!?\n]{0,1023}[.!?\n]+|[^.!?\n]{1,1024}"
 #: A chunk ends after one of so many pieces, as the piece's hash says.
 ONE_OF = 8
 
