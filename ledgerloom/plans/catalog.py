@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar
-from ledgerloom.operators import latency, ledger, limits, pricing, rollups
-from ledgerloom.sources.carriers import BLOCKS_SQL, QUOTES_SQL, USAGE_SQL, WEEK, blocks, quotes, table, usage
+from ledgerloom.operators import charge, latency, ledger, limits, pricing, rollups
+from ledgerloom.sources import rollout
+from ledgerloom.sources.carriers import BLOCKS_SQL, LOGGED_SQL, QUOTES_SQL, USAGE_SQL, WEEK, blocks, log_lines, quotes, table, usage
 from ledgerloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -336,6 +337,25 @@ def _(spark, d):
     return parsed.agg(F.count("*").alias("records"), F.count_if(F.col("k").isNull()).alias("damaged"), F.count_if(F.col("k") % 5 == 0).alias("suspect"))
 
 
+_LOGGED = f"{USAGE_SQL}, {LOGGED_SQL}"
+
+
+@query("log_charged", "SELECT 'rollout-' || stream || '.jsonl' AS path, count(*) AS responses, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, min(t)::DOUBLE AS first_t FROM x WHERE whole AND NOT context GROUP BY stream", _LOGGED)
+def _(spark, d):
+    rows = charge.judged(rollout.parse(log_lines(spark, d))).where("fate = 'charged'")
+    return rows.groupBy("path").agg(F.count("*").alias("responses"), F.sum("usage.input_tokens").alias("input"), F.sum("usage.output_tokens").alias("output"), F.min("t").alias("first_t"))
+
+
+@query("log_fates", "SELECT fate, count(*) AS n FROM (SELECT CASE WHEN context THEN 'context' ELSE 'charged' END AS fate FROM x WHERE whole UNION ALL SELECT 'repeat' FROM x WHERE whole AND twice) GROUP BY fate", _LOGGED)
+def _(spark, d):
+    return charge.judged(rollout.parse(log_lines(spark, d))).groupBy("fate").agg(F.count("*").alias("n"))
+
+
+@query("log_damage", "SELECT 'rollout-' || stream || '.jsonl' AS path, 1 + sum(CASE WHEN twice THEN 2 ELSE 1 END)::BIGINT AS records, sum(CASE WHEN whole THEN 0 WHEN twice THEN 2 ELSE 1 END)::BIGINT AS damaged, sum(CASE WHEN whole THEN 0 WHEN twice THEN 2 ELSE 1 END)::BIGINT AS damaged_usage FROM x GROUP BY stream", _LOGGED)
+def _(spark, d):
+    return rollout.damage(log_lines(spark, d))
+
+
 @query("stream_hourly", "SELECT (t // 3600) * 3600 AS bucket, model AS event_type, count(*) AS n FROM u GROUP BY ALL", USAGE_SQL)
 def _(spark, d):
     return streams.hourly_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))

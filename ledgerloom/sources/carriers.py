@@ -54,3 +54,26 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BLOCKS_SQL = "b AS (SELECT l_orderkey AS response, l_suppkey AS copy, l_linenumber::BIGINT AS block, l_quantity::BIGINT AS output, l_partkey AS prompt FROM lineitem)"
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollout log lines, (path, place, line), one file for each stream: a header, then a snapshot for each response. Some are
+    states of context, some are written twice, some are cut off."""
+    usage_ = lambda i, c, o, r, t: F.struct(i.alias("input_tokens"), c.alias("cached_input_tokens"), o.alias("output_tokens"), r.alias("reasoning_output_tokens"), t.alias("total_tokens"))
+    zero, context = F.lit(0).cast("long"), F.col("k") % 7 == 0
+    pick = lambda x: F.when(context, zero).otherwise(x)
+    last = usage_(pick(F.col("input")), pick(F.col("cached")), pick(F.col("output")), pick(F.col("reasoning")), F.col("input") + F.col("output") + 1)
+    whole = usage_(F.col("response_id"), zero, zero, zero, F.col("response_id"))
+    stamp = F.concat(F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    event = F.struct(stamp.alias("timestamp"), F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(last.alias("last_token_usage"), whole.alias("total_token_usage")).alias("info")).alias("payload"))
+    path = F.concat(F.lit("rollout-"), F.col("stream").cast("string"), F.lit(".jsonl"))
+    rows = usage(spark, sf_dir).withColumns({"path": path, "line": F.to_json(event)})
+    rows = rows.withColumn("line", F.when(F.col("k") % 13 == 0, F.expr("substring(line, 1, length(line) - 3)")).otherwise(F.col("line")))
+    body = rows.select("path", F.explode(F.when(F.col("k") % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"), "t", "response_id", "line")
+    head = F.to_json(F.struct(F.lit("2025-01-01T00:00:00Z").alias("timestamp"), F.lit("session_meta").alias("type"), F.struct(F.col("path").alias("session_id"), F.col("path").alias("id")).alias("payload")))
+    heads = rows.select("path").distinct().select("path", F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("id"), F.lit(0).alias("copy")).alias("place"), head.alias("line"))
+    return body.select("path", F.struct("t", F.col("response_id").alias("id"), "copy").alias("place"), "line").unionByName(heads)
+
+
+#: The snapshots that are charged of log_lines().
+LOGGED_SQL = "x AS (SELECT *, k % 13 <> 0 AS whole, k % 7 = 0 AS context, k % 11 = 0 AS twice FROM u)"
