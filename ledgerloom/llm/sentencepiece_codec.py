@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,43 +232,49 @@ def load(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, starts array<int>, ends array<int>): ids and their original byte spans."""
+    """(doc_id, ids array<int>, starts array<long>, ends array<long>): ids and their original byte spans."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(model)
         for batch in batches:
-            ids = codec.encode_all([t or "" for t in batch["text"]])
-            spans = [codec.spans(t or "", i) for t, i in zip(batch["text"], ids, strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "starts": [s[:, 0] for s in spans], "ends": [s[:, 1] for s in spans]})
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            ids = codec.encode_all(texts)
+            spans = [codec.spans(t, i) for t, i in zip(texts, ids, strict=True)]
+            lists = [pa.array(ids, pa.list_(pa.int32())), *(pa.array([s[:, k] for s in spans], pa.list_(pa.int64())) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *lists], ["doc_id", "ids", "starts", "ends"])
 
-    return _rows(docs, doc_id, text).mapInPandas(run, "doc_id long, ids array<int>, starts array<long>, ends array<long>")
+    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>, starts array<long>, ends array<long>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(model)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [codec.decode([int(x) for x in i]) for i in batch["ids"]]})
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([codec.decode(i or []) for i in batch["ids"].to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digest(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, n_spanned): n_spanned bytes of n_bytes lie in spans."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, n_spanned, spans_sha256): n_spanned bytes of n_bytes lie in
+    spans, and spans_sha256 is of all pieces' (from, to), 64 bits each."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(model)
-        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            rows, texts = [], [t or "" for t in batch["text"]]
-            for key, t, ids in zip(batch["doc_id"], texts, codec.encode_all(texts), strict=True):
-                spans, listed = codec.spans(t, ids), ids.tolist()
-                rows.append((key, len(ids), sha(",".join(map(codec.names.__getitem__, listed))), sha(codec.decode(listed)), len(t.encode()), int((spans[:, 1] - spans[:, 0]).sum())))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "n_spanned"]).astype({"doc_id": "Int64"})
-
-    return _rows(docs, doc_id, text).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, n_spanned long")
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rows, texts = [], [t or "" for t in part["text"].to_pylist()]
+                for t, ids in zip(texts, codec.encode_all(texts), strict=True):
+                    spans, listed = codec.spans(t, ids), ids.tolist()
+                    rows.append((len(ids), sha(",".join(map(codec.names.__getitem__, listed)).encode()), sha(codec.decode(listed).encode()), len(t.encode()), int((spans[:, 1] - spans[:, 0]).sum()), sha(np.ascontiguousarray(spans, dtype="<i8"))))
+                columns = zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(c, kind) for c, kind in columns)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "n_spanned", "spans_sha256"])
+
+    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, n_spanned long, spans_sha256 string")
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
