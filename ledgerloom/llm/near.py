@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions
 
 #: Distinct words whose hashes a task remembers. Bounds memory only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Narrow rows that a task takes at least where their number is counted; 4 tasks share fewer.
 ROWS_A_TASK = 250_000
 #: Nodes of a bucket that one search takes, about; of a bucket of small sets, of which those that share rare elements are

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 META = "▁"
 #: Distinct words whose ids a task remembers, twice over; older ones go. Bounds memory only.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Characters that are split and looked up together.
 GROUP_CHARS = 1_000_000
 #: Put before a word that follows no space; the vocabulary must not have it in a piece.
