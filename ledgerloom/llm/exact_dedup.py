@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, let, materialize
+from .near import bounded
 
 #: Pieces end with sentences and lines; a stretch of 1,024 characters without a mark of one is a piece.
 PIECE = r"[^.!?\n]{0,1023}[.!?\n]+|[^.!?\n]{1,1024}"
@@ -87,7 +88,8 @@ def keep_first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Only (doc_id, text_sha256) of the rows that go is joined; rows that repeat a kept one
     whole are told apart by their number, so one of them stays.
     """
-    gone = exact_dedup(docs, doc_id, text).where(~F.col("kept")).groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_repeated"))
+    gone = materialize(exact_dedup(docs, doc_id, text).where(~F.col("kept")).groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_repeated")))
+    gone = bounded(gone)
     marked = docs.withColumn("_sha", F.sha2(normalized(text), 256))
     hit = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha")), "left")
     single = hit.where(F.col("_gone_sha").isNull())
