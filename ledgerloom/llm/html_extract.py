@@ -3,9 +3,9 @@
 A page is cut into tags and text and made a tree of block nodes; inline markup belongs to
 the block around it. Trees score each node from its subtree's density of text, links and
 marks, the tokens of its tag, class, id and role, its depth and its siblings. Decoding
-then labels the whole tree at once: a node's label follows its parent's unless the scores
-below outweigh the price of a change, so no choice of an ancestor and a descendant
-contradict each other by accident. Text in nodes that are in is joined in page order.
+then labels the whole tree at once: from the root down a path enters the main text at most
+once and is cut out of it at most once, never to enter again, so the choices of an ancestor
+and of a descendant cannot contradict each other. Text in nodes that are in is joined in page order.
 
 The trees are fitted on the driver to pages that this module makes up, with menus,
 headers, footers, sidebars, notices, adverts, forms and comments around an article.
@@ -55,7 +55,8 @@ NOTICE_TOKENS = ("ad", "ads", "advert", "advertisement", "sponsor", "promo", "co
 REMARK_TOKENS = ("comment", "comments", "reply", "replies", "discussion", "respond", "disqus", "review", "reviews")
 TAG_GROUPS = (("article", "main"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "dialog"), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("div",), ("section",), ("table", "tbody", "tr", "td", "th"), ("blockquote", "pre", "figure"), ("body", "html", "#root"))
 _GROUP = {tag: k for k, tags in enumerate(TAG_GROUPS) for tag in tags}
-#: What a change of label from a node to its child costs, in log-odds.
+#: The states of a node, and what it costs to enter the main text and to cut a part out of it, in log-odds.
+ABOVE, IN, CUT = range(3)
 ENTER, LEAVE = 1.0, 1.5
 
 
@@ -262,19 +263,27 @@ def score(trees: Trees, x: np.ndarray) -> np.ndarray:
 
 
 def decode(page: Page, odds: np.ndarray) -> list[bool]:
-    """The labels of all nodes with the best sum of odds, less what changes of label cost."""
+    """Which nodes are of the main text, by the states of all nodes with the best sum of odds, less the prices.
+
+    A node is above the main text (its own text is not of it), in it, or cut. Below a node in the main text all is in
+    or cut; below a cut one all is cut. So nothing is kept under what was thrown away.
+    """
     n = len(page.tags)
-    # the weight of a node is how much text of its own depends on it
-    inside, outside = odds / 2, -odds / 2
+    above, inside, cut = np.zeros(n), odds / 2, -odds / 2
     for node in range(n - 1, 0, -1):
         up = page.parents[node]
-        inside[up] += max(inside[node], outside[node] - LEAVE)
-        outside[up] += max(outside[node], inside[node] - ENTER)
-    kept = [False] * n
+        above[up] += max(above[node], inside[node] - ENTER, cut[node])
+        inside[up] += max(inside[node], cut[node] - LEAVE)
+        cut[up] += cut[node]
+    states = [CUT] * n
     for node in range(n):
-        before = kept[page.parents[node]] if node else False
-        kept[node] = inside[node] > outside[node] - LEAVE if before else inside[node] - ENTER > outside[node]
-    return kept
+        before = states[page.parents[node]] if node else ABOVE
+        if before == ABOVE:
+            enters = inside[node] - ENTER > max(above[node], cut[node])
+            states[node] = IN if enters else ABOVE if above[node] > cut[node] else CUT
+        elif before == IN:
+            states[node] = IN if inside[node] > cut[node] - LEAVE else CUT
+    return [state == IN for state in states]
 
 
 def extract(trees: Trees, pages: list[str | None]) -> list[str]:

@@ -520,3 +520,25 @@ def test_pipeline_is_its_stages(spark):
     words = {r["doc_id"]: len(r["text"].split()) for r in rows}
     total = sum(words[i] for i in kept)
     assert abs(sum(words[r["doc_id"]] for r in got) - 1.5 * total) < 0.1 * total
+
+
+def test_html_decoding_never_keeps_what_stands_in_a_cut_part():
+    rng, noise = random.Random(4), np.random.default_rng(4)
+    for _ in range(60):
+        page = html_extract.parse(html_extract.made_up(rng)[0])
+        kept = html_extract.decode(page, noise.normal(0, 4, len(page.tags)))
+        changes = [0] * len(kept)
+        for node in range(1, len(kept)):
+            up = page.parents[node]
+            changes[node] = changes[up] + (kept[node] != kept[up])
+        # out of the text, in it, out of it: a third change would be a way back in
+        assert max(changes) <= 2 - kept[0]
+
+
+def test_quality_sample_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, f"word{i % 7} " * (i % 11) + ("!" * (i % 5) * 9)) for i in range(300)]
+    shares = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        shares.append([(rule.name, share) for rule, _, share in quality.estimate(docs, rows=100)])
+    assert shares[0] == shares[1]
