@@ -139,3 +139,23 @@ def shown_seconds(value: Column) -> Column:
     """Seconds for reading: 4.2s, 3m05s, 2h07m."""
     v, whole = value.cast("double"), F.floor(value).cast("long")
     return F.when(v < 60, F.format_string("%.1fs", v)).when(v < 3600, F.format_string("%dm%02ds", F.expr("0L") + F.floor(whole / 60), whole % 60)).otherwise(F.format_string("%dh%02dm", F.floor(whole / 3600), F.floor(whole % 3600 / 60)))
+
+
+def optional_count(raw: Column, ceiling: int = 10**12) -> tuple[Column, Column]:
+    """A recorded count as a whole number, and what is wrong with it: missing, invalid (not a whole number of 0 or more)
+    or ceiling (more than can be); null where it stands."""
+    value = raw.try_cast("double")
+    flaw = F.when(raw.isNull(), "missing").when(value.isNull() | F.isnan(value) | (value < 0) | (value != F.floor(value)), "invalid").when(value > ceiling, "ceiling")
+    return F.when(flaw.isNull(), value.try_cast("long")), flaw
+
+
+def split_holds(short: Column, long: Column, creation: Column) -> Column:
+    """Whether the two lifetimes of cache writes are there and give the writes in all."""
+    return F.coalesce((short >= 0) & (long >= 0) & (short + long == creation), F.lit(False))
+
+
+def reset_at(raw: Column, in_seconds: Column, t: Column) -> Column:
+    """When a limit resets: a number of seconds or an ISO time, else so many seconds from t; null if none is finite and 0 or more."""
+    number = F.coalesce(raw.try_cast("double"), epoch_s(raw))
+    good = lambda v: F.when(~F.isnan(v) & (v >= 0) & (v < 1e15), v)
+    return F.coalesce(good(number), t + good(in_seconds.cast("double")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar
-from ledgerloom.operators import charge, latency, ledger, limits, pricing, rollups
+from ledgerloom.operators import charge, evidence, latency, ledger, limits, pricing, prompts, rollups
 from ledgerloom.sources import rollout
 from ledgerloom.sources.carriers import BLOCKS_SQL, LOGGED_SQL, QUOTES_SQL, USAGE_SQL, WEEK, blocks, log_lines, quotes, table, usage
 from ledgerloom.streaming import streams
@@ -364,3 +364,71 @@ def _(spark, d):
 @query("stream_sessions", "WITH x AS (SELECT user_id, ts, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 1800 THEN 0 ELSE 1 END AS nw FROM events), y AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start_t, floor(epoch(max(ts)))::BIGINT + 1800 AS end_t, count(*) AS n FROM y GROUP BY user_id, s", "z AS (SELECT 1)")
 def _(spark, d):
     return streams.session_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+_CHAIN = 's0 AS (SELECT *, count(*) FILTER (k % 11 = 0) OVER (PARTITION BY stream ORDER BY t, response_id ROWS UNBOUNDED PRECEDING) AS segment FROM u), s1 AS (SELECT *, (sum(output) OVER (PARTITION BY stream, segment ORDER BY t, response_id ROWS UNBOUNDED PRECEDING))::BIGINT AS "end" FROM s0), s AS (SELECT *, CASE WHEN lag(segment) OVER w = segment THEN least(lag("end") OVER w, "end") ELSE 0 END AS stable FROM s1 WINDOW w AS (PARTITION BY stream ORDER BY t, response_id))'
+_ORDER = ["t", "response_id"]
+
+
+def _placed(spark, d):
+    return prompts.placed(usage(spark, d), "stream", _ORDER, "output", F.col("k") % 11 == 0)
+
+
+@query("prompt_chain", f'WITH {_CHAIN} SELECT response_id, segment, "end" - output AS start, "end", stable FROM s', USAGE_SQL)
+def _(spark, d):
+    return prompts.stable_prefix(_placed(spark, d), "stream", _ORDER).select("response_id", "segment", "start", "end", "stable")
+
+
+@query("divergence_leads", f"WITH {_CHAIN} SELECT response_id, stable - cached AS gap FROM s WHERE stable - cached >= 20000 ORDER BY gap DESC, response_id LIMIT 40", USAGE_SQL)
+def _(spark, d):
+    return prompts.divergence_leads(prompts.stable_prefix(_placed(spark, d), "stream", _ORDER), "response_id").select("response_id", "gap")
+
+
+@query("resends", f"WITH {_CHAIN} SELECT response_id, count(*) FILTER (req IS NOT NULL) OVER (PARTITION BY stream, segment ORDER BY t, response_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS resent FROM s", USAGE_SQL)
+def _(spark, d):
+    return prompts.resends(_placed(spark, d), "stream", _ORDER, F.col("req").isNotNull()).select("response_id", "resent")
+
+
+@query("turn_index", "SELECT response_id, count(*) FILTER (effort = 'low') OVER (PARTITION BY stream ORDER BY t, response_id ROWS UNBOUNDED PRECEDING) AS turn FROM u", USAGE_SQL)
+def _(spark, d):
+    return prompts.turns(usage(spark, d), "stream", _ORDER, F.col("effort") == "low").select("response_id", "turn")
+
+
+@query("drawable_runs", "WITH g AS (SELECT model, (t // 3600) * 3600 AS s, count(*) AS n FROM u GROUP BY ALL), o AS (SELECT *, coalesce(s - lag(s + 3600) OVER (PARTITION BY model ORDER BY s) > 3600, true) AS opens FROM g WHERE n >= 2), r AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY model ORDER BY s) AS run FROM o) SELECT model, min(s) AS first, max(s + 3600) AS last, count(*) AS spans FROM r GROUP BY model, run", USAGE_SQL)
+def _(spark, d):
+    series = rollups.hourly(usage(spark, d), "model").select(F.col("category").alias("model"), F.col("bucket").alias("s"), (F.col("bucket") + 3600).alias("e"), "items")
+    return prompts.runs(series, "model", "s", "e", "items", least=2)
+
+
+@query("tool_calls", "WITH ev AS (SELECT *, k % 4 AS id, k % 3 = 0 AS c FROM u), w AS (SELECT *, lag(c) OVER w AS b, lead(c) OVER w AS a, lag(t) OVER w AS bt FROM ev WINDOW w AS (PARTITION BY stream, id ORDER BY t, response_id)), o AS (SELECT *, CASE WHEN c THEN CASE WHEN a IS NULL THEN 'open' WHEN a THEN 'replaced' ELSE 'answered' END WHEN b THEN 'matched' ELSE 'orphan' END AS outcome FROM w) SELECT outcome, count(*) AS n, (sum(t - bt) FILTER (outcome = 'matched'))::BIGINT AS seconds FROM o GROUP BY outcome", USAGE_SQL)
+def _(spark, d):
+    calls = evidence.answered(usage(spark, d).withColumn("id", F.col("k") % 4), "stream", "id", _ORDER, F.col("k") % 3 == 0)
+    return calls.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("seconds").alias("seconds"))
+
+
+@query("tool_pairs", "WITH p AS (SELECT stream, k, count(*) FILTER (effort IS NULL) AS starts, count(*) FILTER (effort IS NOT NULL) AS results, max(t) FILTER (effort IS NULL) AS s, max(t) FILTER (effort IS NOT NULL) AS r FROM (SELECT stream, k // 2 AS k, effort, t FROM u) GROUP BY ALL) SELECT stream, k, starts, results, CASE WHEN starts = 1 AND results = 1 THEN r - s END AS seconds, starts > 1 OR results > 1 AS conflict FROM p", USAGE_SQL)
+def _(spark, d):
+    return evidence.single_pairs(usage(spark, d).withColumn("k", F.expr("k div 2")), ["stream", "k"], F.col("effort").isNull())
+
+
+@query("unique_facts", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY model, k ORDER BY req NULLS LAST, response_id) AS n, count(*) OVER (PARTITION BY model, k) - 1 AS copies FROM u) SELECT model, k, response_id, stream, copies FROM r WHERE n = 1", USAGE_SQL)
+def _(spark, d):
+    return evidence.unique_facts(usage(spark, d), ["model", "k"], ["req", "response_id"], ["response_id", "stream"])
+
+
+@query("split_budget", "WITH g AS (SELECT t // 86400 AS window_day, model, effort, sum(input)::BIGINT AS input FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY window_day ORDER BY input DESC, model, effort NULLS LAST) AS rank FROM g), c AS (SELECT window_day, sum(count(*)) OVER (ORDER BY window_day DESC) AS so_far FROM r WHERE rank <= 5 GROUP BY window_day) SELECT r.* FROM r JOIN c USING (window_day) WHERE rank <= 5 AND so_far <= 60", USAGE_SQL)
+def _(spark, d):
+    split = usage(spark, d).groupBy(F.expr("t div 86400").alias("window_day"), "model", "effort").agg(F.sum("input").cast("long").alias("input"))
+    return evidence.within_budget(split, "window_day", [F.desc("input"), "model", F.asc_nulls_last("effort")], 5, 60)
+
+
+_SESSION_RULES = "duplicate reversed long_span active_over_span active_bound day_missing".split()
+
+
+@query("session_rules", "WITH s AS (SELECT stream AS session, min(t) AS a, max(t) AS b, sum(k)::BIGINT AS c FROM u GROUP BY stream UNION ALL SELECT stream, max(t) + 1, min(t), 0 FROM u WHERE stream % 7 = 0 GROUP BY stream), k AS (SELECT *, count(*) OVER (PARTITION BY session) AS copies, NOT EXISTS (SELECT 1 FROM u WHERE u.day = make_timestamp(a * 1000000)::DATE AND u.k % 9 = 0) AS missing FROM s) " + " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) FILTER ({sql}) AS n FROM k" for name, sql in zip(_SESSION_RULES, ["copies > 1", "b < a", "b - a > 400 * 86400", "c > b - a + 1", "c > 30 * 86400", "missing"], strict=True)), USAGE_SQL)
+def _(spark, d):
+    rows = usage(spark, d)
+    by = rows.groupBy(F.col("stream").alias("session"))
+    good = by.agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sum("k").alias("active_s"))
+    turned = rows.where("stream % 7 = 0").groupBy(F.col("stream").alias("session")).agg((F.max("t") + 1).alias("first_t"), F.min("t").alias("last_t"), F.lit(0).cast("long").alias("active_s"))
+    return evidence.session_rules(good.unionByName(turned), rows.where("k % 9 = 0").select("day"))
