@@ -159,3 +159,49 @@ def reset_at(raw: Column, in_seconds: Column, t: Column) -> Column:
     number = F.coalesce(raw.try_cast("double"), epoch_s(raw))
     good = lambda v: F.when(~F.isnan(v) & (v >= 0) & (v < 1e15), v)
     return F.coalesce(good(number), t + good(in_seconds.cast("double")))
+
+
+def _number(data: Column, first: int, size: int, little: bool) -> Column:
+    """The whole number that size bytes from a 0-based place are."""
+    part = lambda i: F.conv(F.hex(F.substring(data, first + 1 + i, 1)), 16, 10).cast("long")
+    return sum((part(i) * (1 << 8 * (i if little else size - 1 - i)) for i in range(size)), F.lit(0).cast("long"))
+
+
+def image_header(encoded: Column) -> Column:
+    """(format, width, height) from the first bytes of an image in base64: PNG, GIF, BMP and the three kinds of WebP; null for others,
+    and for headers that are cut off. JPEG is named without its size, which stands behind a walk over markers."""
+    clean = F.substring(F.regexp_replace(encoded, r"[^A-Za-z0-9+/]", ""), 1, 64)
+    data = F.try_to_binary(F.substring(clean, F.lit(1), F.char_length(clean) - F.char_length(clean) % 4), F.lit("base64"))
+    head = F.hex(data)
+    at = lambda first, size, little=True: _number(data, first, size, little)
+    made = lambda name, w, h: F.struct(F.lit(name).alias("format"), w.cast("long").alias("width"), h.cast("long").alias("height"))
+    nothing, bits = F.lit(None).cast("long"), at(21, 4)
+    long = F.length(data)
+    webp = head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250")
+    kind = F.substring(head, 25, 8)
+    return (
+        F.when(head.startswith("89504E470D0A1A0A") & (long >= 24), made("png", at(16, 4, False), at(20, 4, False)))
+        .when(head.startswith("47494638") & (long >= 10), made("gif", at(6, 2), at(8, 2)))
+        .when(head.startswith("424D") & (long >= 26), made("bmp", at(18, 4), F.least(at(22, 4), F.lit(1 << 32) - at(22, 4))))
+        .when(webp & (kind == "56503858") & (long >= 30), made("webp", at(24, 3) + 1, at(27, 3) + 1))
+        .when(webp & (kind == "5650384C") & (long >= 25), made("webp", bits.bitwiseAND(F.lit(0x3FFF)) + 1, F.shiftright(bits, 14).bitwiseAND(F.lit(0x3FFF)) + 1))
+        .when(webp & (kind == "56503820") & (long >= 30), made("webp", at(26, 2).bitwiseAND(F.lit(0x3FFF)), at(28, 2).bitwiseAND(F.lit(0x3FFF))))
+        .when(head.startswith("FFD8"), made("jpeg", nothing, nothing))
+    )
+
+
+def claim(token: Column, name: str) -> Column:
+    """A claim of a signed token: the middle of its three parts is JSON in base64 for addresses. Null if there is none; the signature is not
+    checked."""
+    parts = F.split(token, r"\.")
+    body = F.translate(F.get(parts, F.lit(1)), "-_", "+/")
+    padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.char_length(body), F.lit(4))))
+    return F.when(F.size(parts) == 3, F.get_json_object(F.try_to_binary(padded, F.lit("base64")).cast("string"), f"$['{name}']"))
+
+
+def escaped(text: Column) -> Column:
+    """A text for HTML."""
+    out = text
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(raw), F.lit(safe))
+    return out

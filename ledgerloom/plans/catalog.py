@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar
-from ledgerloom.operators import charge, evidence, latency, ledger, limits, pricing, prompts, rollups
+from ledgerloom.operators import audit, charge, evidence, latency, ledger, limits, pricing, prompts, rollups
 from ledgerloom.sources import rollout
 from ledgerloom.sources.carriers import BLOCKS_SQL, LOGGED_SQL, QUOTES_SQL, USAGE_SQL, WEEK, blocks, log_lines, quotes, table, usage
 from ledgerloom.streaming import streams
@@ -432,3 +432,122 @@ def _(spark, d):
     good = by.agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sum("k").alias("active_s"))
     turned = rows.where("stream % 7 = 0").groupBy(F.col("stream").alias("session")).agg((F.max("t") + 1).alias("first_t"), F.min("t").alias("last_t"), F.lit(0).cast("long").alias("active_s"))
     return evidence.session_rules(good.unionByName(turned), rows.where("k % 9 = 0").select("day"))
+
+
+@query("snapshot_diagnostics", "WITH s AS (SELECT stream, t, response_id, CASE WHEN k % 4 > 0 THEN input END AS total, k % 3 AS a, k % 2 AS b, k % 3 + k % 2 + (k % 8 = 0)::BIGINT AS w FROM u), d AS (SELECT *, lag(a) OVER w IS NOT NULL AND lag(a) OVER w = a AND lag(b) OVER w = b AND lag(w) OVER w = s.w AS same, last_value(total IGNORE NULLS) OVER (PARTITION BY stream ORDER BY t, response_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s WINDOW w AS (PARTITION BY stream ORDER BY t, response_id)) SELECT stream, count(*) FILTER (same) AS repeats, count(*) FILTER (total < seen) AS decreases, count(*) FILTER (w <> a + b) AS violations FROM d GROUP BY stream", USAGE_SQL)
+def _(spark, d):
+    states = usage(spark, d).selectExpr("stream", "t", "response_id", "CASE WHEN k % 4 > 0 THEN input END AS total", "k % 3 AS a", "k % 2 AS b", "k % 3 + k % 2 + CAST(k % 8 = 0 AS BIGINT) AS w")
+    return audit.snapshot_diagnostics(states, "stream", _ORDER, "total", ["a", "b"], "w")
+
+
+@query("prompt_growth", "WITH r AS (SELECT *, lag(t) OVER w AS pt, lag(effort) OVER w AS pe, lag(input) OVER w AS pi FROM u WHERE model <> 'signup' WINDOW w AS (PARTITION BY stream ORDER BY t, response_id)), m AS (SELECT stream, t, response_id, max(t) FILTER (model = 'signup') OVER (PARTITION BY stream ORDER BY t RANGE UNBOUNDED PRECEDING) AS c FROM u), p AS (SELECT r.*, coalesce(c > pt, false) AS compacted, pe IS DISTINCT FROM effort AS changed FROM r JOIN m USING (response_id) WHERE pt IS NOT NULL) SELECT stream, count(*) AS pairs, count(*) FILTER (compacted) AS compacted, count(*) FILTER (NOT compacted AND changed) AS model_changed, count(*) FILTER (NOT compacted AND NOT changed AND input < pi) AS shrunk FROM p GROUP BY stream", USAGE_SQL)
+def _(spark, d):
+    rows = usage(spark, d)
+    return audit.prompt_growth(rows.where("model <> 'signup'"), rows.where("model = 'signup'"), "stream", "t", "response_id", "effort", "input")
+
+
+@query("window_lengths", "WITH g AS (SELECT CASE k % 3 WHEN 0 THEN 300 WHEN 1 THEN 10080 ELSE 43200 END AS minutes, count(*) AS n FROM u WHERE model = 'view' GROUP BY 1) SELECT minutes, n, minutes = coalesce((SELECT 10080 FROM g WHERE minutes = 10080), (SELECT max(minutes) FROM g)) AS chosen FROM g", USAGE_SQL)
+def _(spark, d):
+    return audit.window_lengths(usage(spark, d).where("model = 'view'").selectExpr("CASE k % 3 WHEN 0 THEN 300 WHEN 1 THEN 10080 ELSE 43200 END AS minutes"), "minutes")
+
+
+_READINGS = f"r AS (SELECT response_id, (t + k * 2000) // {WEEK} AS cluster, t, k % 101 AS percent FROM u WHERE model = 'view'), g AS (SELECT cluster, cluster * {WEEK} AS anchor, min(t) AS first_t, max(t) AS last_t, arg_min(percent, t * 100000000 + response_id) AS first_percent, arg_max(percent, t * 100000000 + response_id) AS last_percent FROM r GROUP BY cluster), o AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN least(anchor, first_t) ELSE first_t END AS opens_at, row_number() OVER w = 1 AS inferred, coalesce(lag(last_t) OVER w > first_t, false) AS overlaps, coalesce(first_percent >= lag(last_percent) OVER w, false) AS no_drop, lead(first_t) OVER w AS next_t FROM g WINDOW w AS (ORDER BY first_t, cluster))"
+
+
+def _readings(spark, d):
+    return usage(spark, d).where("model = 'view'").selectExpr("response_id", f"(t + k * 2000) div {WEEK} AS cluster", "t", "k % 101 AS percent")
+
+
+def _opened(spark, d):
+    at = F.struct("t", "response_id")
+    return audit.opened(_readings(spark, d).groupBy("cluster").agg((F.col("cluster") * WEEK).alias("anchor"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.min_by("percent", at).alias("first_percent"), F.max_by("percent", at).alias("last_percent")))
+
+
+@query("window_openings", f"WITH {_READINGS} SELECT * FROM o", USAGE_SQL)
+def _(spark, d):
+    return _opened(spark, d)
+
+
+@query("late_readings", f"WITH {_READINGS} SELECT cluster, count(*) FILTER (NOT coalesce(t > next_t, false)) AS drawn, count(*) FILTER (t > next_t) AS late, max(percent) FILTER (t > next_t) AS late_peak FROM r JOIN o USING (cluster) GROUP BY cluster", USAGE_SQL)
+def _(spark, d):
+    return audit.late_readings(_readings(spark, d), _opened(spark, d))
+
+
+@query("plan_attribution", "WITH s AS (SELECT t, CASE WHEN t < 1705190400 THEN 'pro' WHEN response_id % 970 > 0 OR t > 1705800000 THEN 'max' END AS plan, t - 20 * 86400 AS created FROM u WHERE response_id % 97 = 0), v AS (SELECT day, min(t) AS start_t, max(t) AS end_t FROM u GROUP BY day), a AS (SELECT v.*, (SELECT max(t) FROM s WHERE s.t < v.start_t) AS b FROM v), fl AS (SELECT a.*, (SELECT min(plan) FROM s WHERE t >= coalesce(b, start_t)) AS low, (SELECT max(plan) FROM s WHERE t >= coalesce(b, start_t)) AS high, (SELECT bool_or(plan IS NULL) FROM s WHERE t >= coalesce(b, start_t)) AS gap, (SELECT max_by(created, t) FROM s) AS created FROM a) SELECT day, start_t, end_t, CASE WHEN low = high AND NOT gap AND created <= start_t THEN low END AS plan, coalesce(low <> high, false) AS conflict FROM fl", USAGE_SQL)
+def _(spark, d):
+    rows = usage(spark, d)
+    looks = rows.where("response_id % 97 = 0").selectExpr("t", "CASE WHEN t < 1705190400 THEN 'pro' WHEN response_id % 970 > 0 OR t > 1705800000 THEN 'max' END AS plan", "t - 20 * 86400 AS created")
+    return audit.plans_of(rows.groupBy("day").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t")), looks)
+
+
+_SIDES = "a AS (SELECT response_id, stream, input, output FROM u WHERE k % 5 > 0), b AS (SELECT response_id, stream, input, output + (k % 7 = 0)::BIGINT AS output FROM u WHERE k % 3 > 0)"
+
+
+def _sides(spark, d):
+    rows = usage(spark, d)
+    return rows.where("k % 5 > 0").select("response_id", "stream", "input", "output"), rows.where("k % 3 > 0").selectExpr("response_id", "stream", "input", "output + CAST(k % 7 = 0 AS BIGINT) AS output")
+
+
+@query("history_merge", f"WITH {_SIDES} SELECT response_id, coalesce(b.stream, a.stream) AS stream, coalesce(b.input, a.input) AS input, coalesce(b.output, a.output) AS output, CASE WHEN b.stream IS NULL THEN 'kept' WHEN a.stream IS NULL THEN 'new' WHEN a.output = b.output THEN 'same' ELSE 'revised' END AS state FROM a FULL JOIN b USING (response_id)", USAGE_SQL)
+def _(spark, d):
+    return audit.reconciled(*_sides(spark, d), ["response_id"], ["stream", "input", "output"])
+
+
+@query("table_diff", f"WITH {_SIDES} SELECT response_id, CASE WHEN b.stream IS NULL THEN 'removed' WHEN a.stream IS NULL THEN 'added' ELSE 'changed' END AS change FROM a FULL JOIN b USING (response_id) WHERE b.stream IS NULL OR a.stream IS NULL OR a.output <> b.output", USAGE_SQL)
+def _(spark, d):
+    return audit.table_diff(*_sides(spark, d), ["response_id"], ["stream", "input", "output"])
+
+
+@query("frozen_calendar", "SELECT response_id, CASE WHEN k % 3 = 0 THEN day - 1 ELSE day END AS day FROM u", USAGE_SQL)
+def _(spark, d):
+    rows = usage(spark, d)
+    return audit.frozen(rows.select("response_id", "day"), rows.where("k % 3 = 0").select("response_id", F.date_sub("day", 1).alias("day")), "response_id", ["day"])
+
+
+@query("receipt_failures", "WITH n AS (SELECT stream, count(*) AS n, max(day) AS day FROM u WHERE k % 9 > 0 AND stream % 5 > 0 GROUP BY stream), r AS (SELECT stream, count(*) AS n, max(day) AS day FROM u WHERE k % 9 > 0 OR stream % 2 = 0 GROUP BY stream) SELECT * FROM (SELECT r.stream, CASE WHEN n.stream IS NULL THEN 'missing' WHEN n.n < r.n THEN 'decreased' WHEN n.day <> r.day THEN 'calendar' END AS reason FROM r LEFT JOIN n ON r.stream = n.stream) WHERE reason IS NOT NULL", USAGE_SQL)
+def _(spark, d):
+    of = lambda rows: rows.groupBy("stream").agg(F.count("*").alias("n"), F.max("day").alias("day"))
+    rows = usage(spark, d)
+    return audit.receipt_failures(of(rows.where("k % 9 > 0 OR stream % 2 = 0")), of(rows.where("k % 9 > 0 AND stream % 5 > 0")), "stream", "n", "day")
+
+
+@query("quality_counters", "SELECT model AS counter, CASE WHEN model IN ('view') THEN max(k) ELSE sum(k) END::BIGINT AS n FROM u GROUP BY model", USAGE_SQL)
+def _(spark, d):
+    return audit.counters(usage(spark, d).selectExpr("model AS counter", "k AS n"), "counter", "n", ["view"])
+
+
+@query("turn_profile", "WITH g AS (SELECT stream, k - 2 AS turn, model, sum(output)::BIGINT AS output FROM u WHERE k >= 2 GROUP BY ALL), r AS (SELECT *, dense_rank() OVER (PARTITION BY stream ORDER BY turn) AS n FROM g) SELECT stream, turn, model, output FROM r WHERE n <= 20", USAGE_SQL)
+def _(spark, d):
+    return audit.turn_profile(usage(spark, d).withColumn("turn", F.col("k") - 2), "stream", "turn", "model", "output", 20)
+
+
+@query("turn_aborts", "WITH fl AS (SELECT stream, CASE WHEN stream % 2 = 0 THEN min(t) + 86400 END AS burst_end FROM u GROUP BY stream) SELECT count(*) FILTER (NOT coalesce(t <= burst_end, false)) AS own, count(*) FILTER (t <= burst_end) AS replayed FROM u JOIN fl USING (stream) WHERE k % 4 = 0", USAGE_SQL)
+def _(spark, d):
+    rows = usage(spark, d)
+    files = rows.groupBy("stream").agg(F.when(F.col("stream") % 2 == 0, F.min("t") + 86_400).alias("burst_end"))
+    return audit.own_and_replayed(rows.where("k % 4 = 0"), files, "stream", "t")
+
+
+@query("searches_on_next", "WITH g AS (SELECT response_id, k % 3 = 0 AS charged, count(*) FILTER (k % 5 = 1) OVER (PARTITION BY stream ORDER BY t, response_id ROWS UNBOUNDED PRECEDING) AS n, stream, t FROM u) SELECT response_id, n - coalesce(lag(n) OVER (PARTITION BY stream ORDER BY t, response_id), 0) AS searches FROM g WHERE charged", USAGE_SQL)
+def _(spark, d):
+    return audit.searches_on_next(usage(spark, d), "stream", _ORDER, F.col("k") % 3 == 0, F.col("k") % 5 == 1).select("response_id", "searches")
+
+
+@query("first_cached", "WITH fl AS (SELECT stream, arg_min(cached, t * 100000000 + response_id) AS c FROM u GROUP BY stream) SELECT count(*) AS files, count(*) FILTER (c > 0) AS with_cached FROM fl", USAGE_SQL)
+def _(spark, d):
+    return audit.first_cached(usage(spark, d), "stream", _ORDER, "cached")
+
+
+@query("legend", "WITH g AS (SELECT model, effort, sum(output)::BIGINT AS output FROM u GROUP BY ALL), s AS (SELECT *, output / sum(output) OVER ()::DOUBLE AS share FROM g) SELECT * FROM s WHERE share >= 0.05", USAGE_SQL)
+def _(spark, d):
+    return audit.legend(usage(spark, d).groupBy("model", "effort").agg(F.sum("output").cast("long").alias("output")), "output", 0.05)
+
+
+@query("turn_numbers", "WITH o AS (SELECT stream, k AS key, min(req) AS req FROM u GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY stream ORDER BY req NULLS LAST, key) - 1 AS turn FROM o", USAGE_SQL)
+def _(spark, d):
+    return audit.renumbered(usage(spark, d).withColumnRenamed("k", "key"), "stream", "req", "key")
+
+
+@query("image_bounds", "WITH i AS (SELECT model, k AS lo, CASE WHEN k % 6 > 0 THEN k * 2 END AS hi, output AS bytes FROM u) SELECT model, count(*) AS images, sum(lo)::BIGINT AS lo, sum(hi)::BIGINT AS hi, count(*) FILTER (hi IS NULL) AS unknown, sum(bytes)::BIGINT AS bytes FROM i GROUP BY model", USAGE_SQL)
+def _(spark, d):
+    return audit.images(usage(spark, d).selectExpr("model", "k AS lo", "CASE WHEN k % 6 > 0 THEN k * 2 END AS hi", "output AS bytes"), "model")
