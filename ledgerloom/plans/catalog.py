@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar
-from ledgerloom.operators import audit, charge, evidence, latency, ledger, limits, pricing, prompts, rollups
+from ledgerloom.operators import audit, charge, evidence, latency, ledger, limits, pricing, prompts, records, rollups
 from ledgerloom.sources import rollout
 from ledgerloom.sources.carriers import BLOCKS_SQL, LOGGED_SQL, QUOTES_SQL, USAGE_SQL, WEEK, blocks, log_lines, quotes, table, usage
 from ledgerloom.streaming import streams
@@ -551,3 +551,49 @@ def _(spark, d):
 @query("image_bounds", "WITH i AS (SELECT model, k AS lo, CASE WHEN k % 6 > 0 THEN k * 2 END AS hi, output AS bytes FROM u) SELECT model, count(*) AS images, sum(lo)::BIGINT AS lo, sum(hi)::BIGINT AS hi, count(*) FILTER (hi IS NULL) AS unknown, sum(bytes)::BIGINT AS bytes FROM i GROUP BY model", USAGE_SQL)
 def _(spark, d):
     return audit.images(usage(spark, d).selectExpr("model", "k AS lo", "CASE WHEN k % 6 > 0 THEN k * 2 END AS hi", "output AS bytes"), "model")
+
+
+@query("month_coverage", "WITH r AS (SELECT (t // 604800)::BIGINT AS month, k FROM u), fl AS (SELECT DISTINCT month, 'missing' AS reason FROM r WHERE k = 17 UNION SELECT month, 'decreased' FROM r WHERE k IN (18, 19) UNION SELECT 1, 'calendar'), g AS (SELECT month, list(reason ORDER BY reason) AS reasons FROM fl GROUP BY month), m AS (SELECT month FROM r UNION SELECT month FROM fl) SELECT m.month, g.month IS NULL AS safe, coalesce(array_to_string(reasons, ','), '') AS reasons FROM m LEFT JOIN g USING (month)", USAGE_SQL)
+def _(spark, d):
+    rows = usage(spark, d).selectExpr("t div 604800 AS month", "k")
+    failed = rows.where("k IN (17, 18, 19)").selectExpr("month", "CASE WHEN k = 17 THEN 'missing' ELSE 'decreased' END AS reason").unionByName(spark.range(1).selectExpr("id + 1 AS month", "'calendar' AS reason"))
+    return records.month_coverage(rows, failed, "month").withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("cost_checks", "SELECT *, reported - captured AS difference FROM (SELECT response_id, stream, model, t, input AS reported, (SELECT coalesce(sum(output), 0)::BIGINT FROM u b WHERE b.stream = a.stream AND b.model = a.model AND b.t <= a.t AND b.k % 6 > 0) AS captured, (SELECT count(*) FILTER (b.k % 6 = 0) FROM u b WHERE b.stream = a.stream AND b.model = a.model AND b.t <= a.t) AS unpriced FROM u a WHERE k % 10 = 0)", USAGE_SQL)
+def _(spark, d):
+    rows = usage(spark, d)
+    checks = rows.where("k % 10 = 0").selectExpr("response_id", "stream", "model", "t", "input AS reported")
+    return records.cost_checks(checks, rows.selectExpr("stream", "model", "t", "CASE WHEN k % 6 > 0 THEN output END AS cost"), ["stream", "model"], "t", "reported", "cost")
+
+
+_WINDOW_RULES = {"window_duplicate": "copy > 1", "window_before": "start < 1704200000", "window_future": "start > 1706500000", "window_first_peak": "first_percent > peak", "window_cached": "cached > input", "window_no_responses": "input + output <> 0 AND responses = 0"}
+_SPLIT_RULES = {"split_duplicate": "copy > 1", "split_cached": "cached > input", "split_cache_write": "written > greatest(input - cached, 0)", "split_no_responses": "input + output <> 0 AND responses = 0"}
+_WINDOW_COUNTS = ("responses", "input", "cached", "output")
+
+
+@query("window_rules", f"WITH w AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY peak) AS copy FROM (SELECT t // 3600 * 3600 AS start, k AS first_percent, k + response_id % 5 - 1 AS peak, input * 9 AS input, cached * (9 + k % 2 * 4) AS cached, output * 9 AS output, k % 4 AS responses FROM u)), p AS (SELECT *, row_number() OVER (PARTITION BY start, model, tier ORDER BY input) AS copy FROM (SELECT t // 3600 * 3600 AS start, model, tier, input, cached * (1 + k % 2) AS cached, reasoning * 9 AS written, output, k % 3 AS responses FROM u)), j AS (SELECT {', '.join(f'w.{c}, s.{c} AS s_{c}' for c in _WINDOW_COUNTS)} FROM w JOIN (SELECT start, {', '.join(f'sum({c}) AS {c}' for c in _WINDOW_COUNTS)} FROM p GROUP BY start) s USING (start)) " + " UNION ALL ".join([f"SELECT '{n}' AS rule, count(*) FILTER ({c}) AS n FROM w" for n, c in _WINDOW_RULES.items()] + [f"SELECT '{n}', count(*) FILTER ({c}) FROM p" for n, c in _SPLIT_RULES.items()] + [f"SELECT 'split_{c}_total', count(*) FILTER (s_{c} > {c}) FROM j" for c in _WINDOW_COUNTS]), USAGE_SQL)
+def _(spark, d):
+    rows = usage(spark, d).withColumn("start", F.expr("t div 3600 * 3600"))
+    windows = rows.selectExpr("start", "k AS first_percent", "k + response_id % 5 - 1 AS peak", "input * 9 AS input", "cached * (9 + k % 2 * 4) AS cached", "output * 9 AS output", "k % 4 AS responses")
+    splits = rows.selectExpr("start", "model", "tier", "input", "cached * (1 + k % 2) AS cached", "reasoning * 9 AS written", "output", "k % 3 AS responses")
+    return records.window_rules(windows, splits, 1_704_200_000, 1_706_500_000)
+
+
+@query("plan_at_completion", f"WITH n AS (SELECT * FROM u WHERE response_id % 50 = 0), i AS (SELECT response_id AS interval, t AS s, lead(t) OVER (ORDER BY t, response_id) AS e FROM n) SELECT response_id, interval FROM u JOIN i ON u.t >= s AND u.t < e", USAGE_SQL)
+def _(spark, d):
+    rows = usage(spark, d)
+    # one row for each change of plan, a small table
+    changes = rows.where("response_id % 50 = 0").select(F.col("response_id").alias("interval"), F.col("t").alias("s"), F.lead("t").over(Window.orderBy("t", "response_id")).alias("e")).where("e > s")
+    return limits.in_intervals(rows.select("response_id", "t"), changes, "t", "s", "e", 86_400).select("response_id", "interval")
+
+
+@query("tool_times", "WITH c AS (SELECT model AS tool, t - req AS seconds FROM u WHERE t - req > 0 AND t - req <= 7200), g AS (SELECT tool, count(*) AS n, sum(seconds)::BIGINT AS total, round(quantile_cont(seconds::DOUBLE, 0.5), 3) AS median, round(quantile_cont(seconds::DOUBLE, 0.9), 3) AS p90 FROM c GROUP BY tool) SELECT * FROM g ORDER BY total DESC, tool LIMIT 3", USAGE_SQL)
+def _(spark, d):
+    return latency.tool_times(usage(spark, d).selectExpr("model AS tool", "req AS start_t", "t AS end_t"), 3).withColumns({c: F.round(c, 3) for c in ("median", "p90")})
+
+
+@query("turn_times", "WITH r AS (SELECT stream, t // 7200 AS turn, t, CASE WHEN req < t THEN t - req END AS seconds FROM u), xs AS (SELECT stream, turn, max(t) - turn * 7200 AS turn_s, coalesce(sum(seconds), 0)::BIGINT AS m FROM r GROUP BY stream, turn) SELECT stream, turn, turn_s, least(turn_s, m) / turn_s::DOUBLE AS model_share FROM xs WHERE turn_s > 0 AND turn_s <= 7200", USAGE_SQL)
+def _(spark, d):
+    timed = usage(spark, d).selectExpr("stream", "t div 7200 AS turn", "t", "CASE WHEN req < t THEN t - req END AS seconds", "CAST(NULL AS STRING) AS reason")
+    return latency.turn_times(timed.select("stream", "turn", (F.col("turn") * 7200).alias("start_t")).distinct(), timed)
