@@ -117,6 +117,14 @@ def crowded(rows: DataFrame, parts: int) -> DataFrame:
     return materialize(shared.join(kept, "sig"))
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """As crowded(), from distinct (sig, node) that are cheap to read twice: signatures are counted by an aggregate that
+    tasks combine, and those that nodes share are joined to the rows, so no task needs all rows of a signature."""
+    told = rows.groupBy("sig").agg(F.count("*").alias("many"), F.min("node").alias("center"), F.bit_xor(F.xxhash64("node")).alias("_all")).where("many > 1")
+    kept = materialize(told.groupBy("center", "many", "_all").agg(F.min("sig").alias("sig")).select("sig", "center", "many"))
+    return materialize(rows.join(bounded(kept), "sig").select("sig", "node", "center", "many"))
+
+
 def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df, of a few numbers a row, to be broadcast if it is counted to have so many rows at most; else joined as
     the planner will."""

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import clusters
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .html_extract import main_text
 from .language_id import identify
+from .minhash_join import minhash_join
 from .mixing import plan
 from .ngram_join import ngram_join
+from .phrases import collocations
 from .quality import assess
 from .sentencepiece_codec import digest
 from .sharding import assign
@@ -145,3 +148,74 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_substring_dedup": op4_substring_dedup, "op9_html_extract": op9_html_extract}
+
+
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join(read_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op11_centroids": op11_centroids, "op12_minhash_join": op12_minhash_join, "op13_collocations": op13_collocations}
+
+
+def _centroid_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """The rounds, written out one after the other."""
+    near = """SELECT vec_id, v, c.cluster, c.centroid, list_sum(list_transform(list_zip(v, c.centroid), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+         FROM {rows}, {centers} c"""
+    place = f"SELECT vec_id, v, arg_min({{{{'c': cluster, 'd': distance}}}}, distance * {k} + cluster) AS best FROM ({near}) GROUP BY vec_id, v"
+    out = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v AS centroid FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT {k}))",
+    ]
+    for n in range(rounds + 1):
+        out.append(f"a{n} AS MATERIALIZED ({place.format(rows='kept', centers=f'c{n}')})")
+        if n < rounds:
+            out.append(f"""c{n + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.centroid, c.centroid) AS centroid FROM c{n} c LEFT JOIN (
+      SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS centroid FROM (
+        SELECT best.c AS cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{n}, (SELECT unnest(range(1, {dims + 1})) AS i) GROUP BY best.c, i) GROUP BY cluster) m USING (cluster))""")
+    return f"""WITH {', '.join(out)}
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.centroid, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.cluster = best.c"""
+
+
+ORACLES["op11_centroids"] = _centroid_sql()
+ORACLES["op13_collocations"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT id, lang, generate_subscripts(pieces, 1) AS pc, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM d),
+i AS (SELECT id, lang, pc, generate_subscripts(w, 1) AS i, unnest(w) AS x1 FROM p),
+y AS (SELECT lang, x1, lead(x1, 1) OVER z AS x2, lead(x1, 2) OVER z AS x3, lead(x1, 3) OVER z AS x4, lead(x1, 4) OVER z AS x5 FROM i WINDOW z AS (PARTITION BY id, pc ORDER BY i)),
+g AS (SELECT lang, 1 AS k, x1 AS phrase FROM y UNION ALL SELECT lang, 2, x1 || ' ' || x2 FROM y WHERE x2 IS NOT NULL UNION ALL SELECT lang, 3, x1 || ' ' || x2 || ' ' || x3 FROM y WHERE x3 IS NOT NULL
+      UNION ALL SELECT lang, 4, x1 || ' ' || x2 || ' ' || x3 || ' ' || x4 FROM y WHERE x4 IS NOT NULL UNION ALL SELECT lang, 5, x1 || ' ' || x2 || ' ' || x3 || ' ' || x4 || ' ' || x5 FROM y WHERE x5 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+x AS (SELECT c.*, j FROM c, (SELECT unnest([1, 2, 3, 4]) AS j) WHERE j < k),
+s AS (SELECT x.lang, x.phrase, x.k, x.a, x.j, l.f AS l, r.f AS r, n.n, (1000 * x.a::HUGEINT * n.n::HUGEINT // (l.f::HUGEINT * r.f::HUGEINT))::BIGINT AS score
+      FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.j], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.j + 1:], ' ') JOIN n ON n.lang = x.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS i FROM s),
+e AS (SELECT lang, array_to_string(w[1:k - 1], ' ') AS phrase, a FROM c WHERE k > 2 UNION SELECT lang, array_to_string(w[2:], ' '), a FROM c WHERE k > 2),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank FROM b ANTI JOIN e ON e.lang = b.lang AND e.phrase = b.phrase AND e.a = b.a WHERE i = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000"""
+
+
+def _near_sql(percent: int) -> str:
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_WORD}) AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM w),
+n AS MATERIALIZED (SELECT w.doc_id, count(s.shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+l AS MATERIALIZED (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2) p
+      JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * m >= {percent} * (x.n + y.n - m)),
+r(doc_id, low) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, min(r.low) AS component_id, min(r.low) = n.doc_id AS kept FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n"""
+
+
+ORACLES["op12_minhash_join"] = _near_sql(85)
