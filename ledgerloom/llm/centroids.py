@@ -52,7 +52,7 @@ def seeds(vectors: DataFrame, k: int, seed: str = "2") -> np.ndarray:
     """The k vectors of smallest hash of seed and vec_id, in that order."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256)
     rows = vectors.select(order.alias("order"), "vector").orderBy(F.col("order").asc_nulls_last(), "vector").limit(k).collect()
-    return np.array([r["vector"] for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r["vector"] for r in rows], dtype=np.int64)
 
 
 def scan(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:

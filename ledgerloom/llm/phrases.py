@@ -36,6 +36,8 @@ _LOWER_BLANK = bytes(32 if b in ENDS or b == 9 else b + 32 if 65 <= b <= 90 else
 _KIND = np.array([2 if b in ENDS else 1 if b in b" \t" else 0 for b in range(256)], dtype=np.uint8)
 #: Bits of the filter that tells what may be frequent; the words of a chunk that a task counts at once. Bound memory only.
 FILTER_BITS, CHUNK_WORDS = 1 << 26, 500_000
+#: How often a phrase stands where chance would put it once, in thousandths; exact, as products may pass 64 bits.
+SCORE = "(cast(1000 * a as decimal(19)) * cast(n as decimal(19))) div (cast(l as decimal(19)) * cast(r as decimal(19)))"
 #: Parts of a language whose best phrases are found before those of the whole.
 RANK_PARTS = 64
 
@@ -198,7 +200,7 @@ def collocations(docs: DataFrame, max_n: int = 5, min_count: int = 100, top: int
     cut = cut.select("lang", "phrase", "a", "k", _part("w", 1, F.col("k")).alias("first"), _part("w", F.col("k") + 1, F.size("w") - F.col("k")).alias("rest"))
     one, two = (every.select("lang", F.col("phrase").alias(name), F.col("f").alias(count)) for name, count in (("first", "l"), ("rest", "r")))
     scored = cut.join(one, ["lang", "first"]).join(two, ["lang", "rest"]).join(totals, "lang")
-    scored = scored.withColumn("score", F.expr("(cast(1000 * a as decimal(19)) * cast(n as decimal(19))) div (cast(l as decimal(19)) * cast(r as decimal(19)))"))
+    scored = scored.withColumn("score", F.expr(SCORE))
     lowest = scored.groupBy("lang", "phrase", "a", "n").agg(F.min_by(F.struct("score", "l", "r"), F.struct("score", "k")).alias("low"))
 
     longer = parts.where(size > 2).select("lang", "f", F.explode(F.array(_part("w", 1, size - 1), _part("w", 2, size - 1))).alias("phrase"))
