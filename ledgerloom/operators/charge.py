@@ -26,10 +26,11 @@ def judged(records: DataFrame) -> DataFrame:
     neighbours count once, and states of context not at all. What of these begins a file as an unbroken run of an
     ancestor's snapshots is inherited from two records on; a single one is charged and marked replayed.
     """
-    files = rollout.headers(records)
+    records = ledger.cut(records)  # lines are parsed once, whatever branches need them
+    files = ledger.cut(rollout.headers(records))
     usage = rollout.carried(records).join(files, "path")
     by_file = Window.partitionBy("path")
-    usage = usage.withColumn("_explicit", F.max(F.col("kind") == "explicit").over(by_file))
+    usage = ledger.cut(usage.withColumn("_explicit", F.max(F.col("kind") == "explicit").over(by_file)))
     sidecar = usage.where("_explicit AND kind = 'legacy'").withColumn("fate", F.lit("sidecar"))
 
     told = usage.where("kind = 'explicit'").withColumn("_context", _is_context())
@@ -43,7 +44,7 @@ def judged(records: DataFrame) -> DataFrame:
     order = Window.partitionBy("path").orderBy("place")
     legacy = usage.where("NOT _explicit").withColumn("state", state).withColumn("_before", F.lag("state").over(order))
     legacy = legacy.withColumn("fate", F.when(F.col("state").eqNullSafe(F.col("_before")), "repeat").when(_is_context(), "context"))
-    states = _numbered(legacy.where("fate is null"))
+    states = ledger.cut(_numbered(legacy.where("fate is null")))
     matches = ledger.leading_replay(*_histories(files, states)).withColumnRenamed("child", "path")
     kept = states.join(matches, "path", "left")
     here = F.col("pos") <= F.coalesce("n", F.lit(0))
@@ -59,7 +60,7 @@ def _histories(files: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFram
     node = lambda thread: F.to_json(F.struct("session", F.col(thread).alias("thread")))
     threads = files.groupBy("session", "thread").agg(F.min_by(F.struct("path", "parent"), F.struct("started", "path")).alias("of")).select("session", "thread", "of.path", "of.parent")
     links = threads.select(node("thread").alias("node"), F.when(F.col("parent").isNotNull(), node("parent")).alias("parent"))
-    chain = ledger.ancestors(links, "node", "parent")
+    chain = ledger.ancestors(links, "node", "parent")  # materialized
     own = files.select("path", node("thread").alias("node"))
     first = threads.select(F.col("path").alias("ancestor_path"), node("thread").alias("ancestor"))
     pairs = own.join(chain, "node").join(first, "ancestor").where("path <> ancestor_path").select(F.col("path").alias("child"), F.col("ancestor_path").alias("path")).distinct()

@@ -39,7 +39,7 @@ def owners(copies: DataFrame, rank: list) -> DataFrame:
     return chosen.select("response", "own.*", "copies")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the folder of spark.checkpoint.dir; a local session without one gets its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -56,7 +56,7 @@ def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     Paths double: ways of up to n steps joined with themselves give those of up to 2 n, so a chain of any depth takes
     as many joins as its depth has binary digits.
     """
-    known = _cut(nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).cast("long").alias("distance")).where("ancestor is not null AND ancestor <> node").distinct())
+    known = cut(nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).cast("long").alias("distance")).where("ancestor is not null AND ancestor <> node").distinct())
     mark = None
     while True:
         state = known.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", "ancestor", "distance")).alias("x")).first()
@@ -65,7 +65,7 @@ def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
         mark = state
         onward = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_then"), F.col("distance").alias("_more"))
         longer = known.join(onward, "ancestor").select("node", F.col("_then").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance")).where("node <> ancestor")
-        known = _cut(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+        known = cut(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
 
 
 def families(links: DataFrame, child: str, parent: str) -> DataFrame:
