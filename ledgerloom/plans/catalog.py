@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar
-from ledgerloom.operators import audit, charge, evidence, latency, ledger, limits, pricing, prompts, records, rollups
+from ledgerloom.operators import audit, charge, evidence, history, latency, ledger, limits, pricing, prompts, records, requests, rollups, trees
 from ledgerloom.sources import rollout
-from ledgerloom.sources.carriers import BLOCKS_SQL, LOGGED_SQL, QUOTES_SQL, USAGE_SQL, WEEK, blocks, log_lines, quotes, table, usage
+from ledgerloom.sources.carriers import BLOCKS_SQL, COPIES_SQL, LOGGED_SQL, QUOTES_SQL, TIMED_SQL, TREE_SQL, USAGE_SQL, WEEK, blocks, captures, log_lines, quotes, table, timed_lines, tree_records, usage
 from ledgerloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -597,3 +597,60 @@ def _(spark, d):
 def _(spark, d):
     timed = usage(spark, d).selectExpr("stream", "t div 7200 AS turn", "t", "CASE WHEN req < t THEN t - req END AS seconds", "CAST(NULL AS STRING) AS reason")
     return latency.turn_times(timed.select("stream", "turn", (F.col("turn") * 7200).alias("start_t")).distinct(), timed)
+
+
+@query("copy_merge", f"""WITH {COPIES_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n) AS pos FROM b WHERE n % 3 <> 0), w AS (SELECT * FROM b WHERE n % 4 <> 1),
+c AS (SELECT o.r, o.n, o.pos, o.changed FROM o JOIN w USING (r, n)),
+k AS (SELECT r, n, pos, 1 AS side FROM o UNION ALL
+  SELECT w.r, w.n, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.r = w.r) THEN coalesce((SELECT min(c.pos) FROM c WHERE c.r = w.r AND c.n > w.n), (SELECT max(c.pos) FROM c WHERE c.r = w.r AND c.n < w.n),
+    (SELECT min(o.pos) FROM o WHERE o.r = w.r AND o.n > (SELECT min(x.n) FROM w x WHERE x.r = w.r)), 1000) ELSE 0 END,
+    CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.r = w.r AND c.n > w.n) THEN 0 WHEN EXISTS (SELECT 1 FROM c WHERE c.r = w.r AND c.n < w.n) THEN 2 ELSE 0 END FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.r = w.r AND o.n = w.n))
+SELECT r::VARCHAR AS response, string_agg(n::VARCHAR, ',' ORDER BY pos, side, n) AS lines, (SELECT count(*) FROM c WHERE c.r = k.r AND changed) AS revisions, r || '-' || max(n) AS terminal,
+  EXISTS (SELECT 1 FROM c WHERE c.r = k.r AND changed) AS conflict FROM k GROUP BY r""")
+def _(spark, d):
+    old, new = captures(spark, d)
+    rows = history.merged(history.copies(old), history.copies(new))
+    lines = F.array_join(F.transform("blocks", lambda b: F.split_part(b["record"], F.lit("-"), F.lit(2))), ",")
+    return rows.select("response", lines.alias("lines"), F.size("revisions").cast("long").alias("revisions"), "terminal", "conflict")
+
+
+@query("copy_charges", f"""WITH {COPIES_SQL},
+c AS (SELECT r, p, CASE WHEN n % 3 = 0 AND changed THEN q + 1 ELSE q END AS q, row_number() OVER (PARTITION BY r ORDER BY n DESC) AS i FROM b WHERE n % 3 <> 0 OR n % 4 <> 1)
+SELECT count(*) AS responses, sum(p)::BIGINT AS input, sum(q)::BIGINT AS output FROM c WHERE i = 1""")
+def _(spark, d):
+    old, new = captures(spark, d)
+    rows = history.charged(history.merged(history.copies(old), history.copies(new)))
+    return rows.agg(F.count("*").alias("responses"), F.sum("usage.input").alias("input"), F.sum("usage.output").alias("output"))
+
+
+@query("tree_state", f"""WITH RECURSIVE {USAGE_SQL}, {TREE_SQL},
+n AS MATERIALIZED (SELECT *, coalesce(side = 'turn' AND line > 20, false) AS opens, coalesce(side IN ('turn', 'input') AND line > 20, false) AS prompt,
+  count(*) FILTER (side = 'turn' AND line > 20) OVER (PARTITION BY path ORDER BY line ROWS UNBOUNDED PRECEDING) - 1 AS nth FROM r),
+w AS (SELECT path, line, CASE WHEN line <> 20 AND prompt THEN t END AS a, CASE WHEN line <> 20 AND side = 'summary' THEN t END AS c, CASE WHEN line <> 20 AND opens THEN nth END AS turn FROM n WHERE up < 0
+  UNION ALL SELECT n.path, n.line, CASE WHEN n.line = 20 THEN NULL WHEN n.prompt THEN n.t ELSE w.a END, CASE WHEN n.line = 20 THEN NULL WHEN n.side = 'summary' THEN n.t ELSE w.c END, CASE WHEN n.line = 20 THEN NULL WHEN n.opens THEN n.nth ELSE w.turn END
+  FROM w JOIN n ON n.path = w.path AND n.up = w.line)
+SELECT path, line, CASE WHEN a IS NOT NULL THEN greatest(a, c) END AS anchor, turn FROM w""")
+def _(spark, d):
+    return trees.request_state(tree_records(spark, d)).select("path", "line", "anchor", "turn")
+
+
+_REQUESTS = f"""{TIMED_SQL}, le AS (SELECT *, event = 'usage' AND step = 6 AND k % 7 <> 0 AS ends, event IN ('turn', 'abort') AS breaks FROM l),
+g AS (SELECT *, coalesce(sum((ends OR breaks)::INT) OVER (PARTITION BY stream ORDER BY stamp, response_id, step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS response,
+  last_value(CASE WHEN event IN ('turn', 'input') THEN t END IGNORE NULLS) OVER z AS given, last_value(CASE WHEN event = 'compact' THEN t END IGNORE NULLS) OVER z AS compact
+  FROM le WINDOW z AS (PARTITION BY stream ORDER BY stamp, response_id, step ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT *, first_value(CASE WHEN event = 'output' THEN coalesce(greatest(given, compact), -1) END IGNORE NULLS) OVER (PARTITION BY stream, response ORDER BY stamp, response_id, step ROWS UNBOUNDED PRECEDING) AS frozen FROM g),
+q AS (SELECT *, CASE WHEN frozen IS NULL THEN given WHEN frozen >= 0 THEN frozen END AS req FROM h WHERE ends)"""
+
+
+@query("request_start", "SELECT 'rollout-' || stream || '.jsonl' AS path, response_id AS id, t::DOUBLE AS t, req::DOUBLE AS req FROM q", f"{USAGE_SQL}, {_REQUESTS}")
+def _(spark, d):
+    return requests.request_starts(rollout.events(timed_lines(spark, d))).where("ends").select("path", F.col("place.id").alias("id"), "t", "req")
+
+
+@query("logged_latency", """WITH m AS (SELECT *, max(t) OVER (PARTITION BY stream ORDER BY t, response_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS floor FROM q),
+s AS (SELECT stream, t - greatest(req, coalesce(floor, req)) AS seconds FROM m WHERE req IS NOT NULL)
+SELECT 'rollout-' || stream || '.jsonl' AS stream, count(*) AS n, sum(seconds)::DOUBLE AS total, median(seconds)::DOUBLE AS median, quantile_cont(seconds, 0.9)::DOUBLE AS p90 FROM s WHERE seconds > 0 AND seconds <= 3600 GROUP BY stream""", f"{USAGE_SQL}, {_REQUESTS}")
+def _(spark, d):
+    rows = requests.request_starts(rollout.events(timed_lines(spark, d))).where("ends")
+    return latency.summary(latency.samples(rows.select(F.col("path").alias("stream"), F.col("place.id").alias("response_id"), "t", "req")), "stream")

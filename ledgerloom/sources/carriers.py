@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,60 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The snapshots that are charged of log_lines().
 LOGGED_SQL = "x AS (SELECT *, k % 13 <> 0 AS whole, k % 7 = 0 AS context, k % 11 = 0 AS twice FROM u)"
+
+
+def _copy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, order = F.col("_n"), F.col("l_orderkey").cast("string")
+    numbered = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_quantity")).cast("long")
+    usage_ = F.struct(F.col("l_partkey").alias("input"), F.lit(0).cast("long").alias("cached"), F.col("l_quantity").cast("long").alias("output"))
+    return table(spark, sf_dir, "lineitem").withColumn("_n", numbered).select(
+        order.alias("response"), F.lit("s").alias("source"), n.alias("line"), F.lit("m").alias("model"), F.lit(False).alias("aborted"), F.lit(False).alias("truncated"), F.lit(True).alias("stable"),
+        F.concat_ws("-", order, n.cast("string")).alias("record"), F.lit(None).cast("string").alias("parent"), F.when(F.col("l_orderkey") % 2 == 1, n).alias("index"), n.cast("double").alias("t"), usage_.alias("usage"),
+    )
+
+
+def captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of responses as two captures saw them: each misses some, and the later one has some that are changed."""
+    every = _copy_blocks(spark, sf_dir)
+    changed = F.when(F.col("usage.input") % 17 == 0, F.struct(F.col("usage.input").alias("input"), F.col("usage.cached").alias("cached"), (F.col("usage.output") + 1).alias("output"))).otherwise(F.col("usage"))
+    return every.where("line % 3 <> 0"), every.where("line % 4 <> 1").withColumn("usage", changed)
+
+
+def tree_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in five files whose parent links are chains as long as the files, with side ways: a parent is the record before
+    or the third before. Every file's first tenth is copied from where it was forked."""
+    rows = usage(spark, sf_dir).select(F.concat(F.lit("file-"), (F.col("response_id") % 5).cast("string")).alias("path"), F.expr("response_id div 5").alias("line"), F.col("t").cast("double").alias("t"), "k")
+    up = F.col("line") - F.when(F.col("k") % 8 == 0, 3).otherwise(1)
+    side = F.when(F.col("k") % 29 == 0, "turn").when(F.col("k") % 6 == 1, "input").when(F.col("k") % 53 == 2, "summary")
+    return rows.select("path", "line", F.concat(F.lit("n"), F.col("line").cast("string")).alias("uuid"), F.when(up >= 0, F.concat(F.lit("n"), up.cast("string"))).alias("parent"), side.alias("side"), "t", F.lit(20).cast("long").alias("fork_end"))
+
+
+TREE_SQL = """r AS (SELECT 'file-' || (response_id % 5) AS path, response_id // 5 AS line, (response_id // 5) - CASE WHEN k % 8 = 0 THEN 3 ELSE 1 END AS up,
+  CASE WHEN k % 29 = 0 THEN 'turn' WHEN k % 6 = 1 THEN 'input' WHEN k % 53 = 2 THEN 'summary' END AS side, t::DOUBLE AS t FROM u)"""
+
+
+#: The blocks of captures(), before they are missed or changed.
+COPIES_SQL = "b AS (SELECT l_orderkey AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_quantity) AS n, l_partkey AS p, l_quantity::BIGINT AS q, l_partkey % 17 = 0 AS changed FROM lineitem)"
+
+
+def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollout log lines, (path, place, line), one file for each stream: around each response's snapshot, some of a turn that
+    opens, a prompt, a compaction, the answer, a tool's output that comes while it streams, and an abort."""
+    item = lambda kind, role=None: F.struct(F.lit("response_item").alias("type"), F.struct(F.lit(kind).alias("type"), F.lit(role).cast("string").alias("role")).alias("payload"))
+    event = lambda kind: F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit(kind).alias("type"), F.lit(None).cast("string").alias("role")).alias("payload"))
+    bare = lambda kind: F.struct(F.lit(kind).alias("type"), F.struct(F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("role")).alias("payload"))
+    steps = [
+        ("k % 9 = 0", 30, bare("turn_context")), ("k % 4 <> 1", 20, item("message", "user")), ("k % 10 = 3", 15, bare("compacted")), ("k % 5 <> 2", 12, item("message", "assistant")),
+        ("k % 6 = 1", 6, item("function_call_output")), ("k % 8 = 5", 5, event("turn_aborted")),
+    ]
+    stamp = lambda t: F.concat(F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    rows = usage(spark, sf_dir).withColumn("path", F.concat(F.lit("rollout-"), F.col("stream").cast("string"), F.lit(".jsonl")))
+    around = F.filter(F.array(*(F.when(F.expr(c), F.struct(F.lit(i).alias("step"), F.to_json(F.struct(stamp(F.col("t") - back).alias("timestamp"), body["type"].alias("type"), body["payload"].alias("payload"))).alias("line"))) for i, (c, back, body) in enumerate(steps))), lambda x: x.isNotNull())
+    body = rows.select("path", "t", "response_id", F.explode(around).alias("x")).select("path", F.struct("t", F.col("response_id").alias("id"), "x.step").alias("place"), "x.line")
+    logged = log_lines(spark, sf_dir).select("path", F.struct("place.t", "place.id", (F.col("place.copy") + len(steps)).alias("step")).alias("place"), "line")
+    return body.unionByName(logged)
+
+
+#: The lines of timed_lines() by step, without what is cut off, and the events that they are.
+TIMED_SQL = """l AS (SELECT u.stream, u.t AS stamp, u.response_id, s.step, u.t - s.back AS t, s.event, u.k FROM u, (VALUES (0, 30, 'turn'), (1, 20, 'input'), (2, 15, 'compact'), (3, 12, 'output'), (4, 6, 'input'), (5, 5, 'abort'), (6, 0, 'usage'), (7, 0, 'usage')) s(step, back, event)
+  WHERE CASE s.step WHEN 0 THEN k % 9 = 0 WHEN 1 THEN k % 4 <> 1 WHEN 2 THEN k % 10 = 3 WHEN 3 THEN k % 5 <> 2 WHEN 4 THEN k % 6 = 1 WHEN 5 THEN k % 8 = 5 WHEN 6 THEN k % 13 <> 0 ELSE k % 13 <> 0 AND k % 11 = 0 END)"""

@@ -11,7 +11,7 @@ from ledgerloom.functions import scalar
 COUNTS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
 _USAGE = f"struct<{', '.join(f'{c}: double' for c in COUNTS)}>"
 LINE = (
-    "timestamp string, type string, payload struct<type: string, session_id: string, id: string, parent_thread_id: string, timestamp: string, model: string, effort: string, "
+    "timestamp string, type string, payload struct<type: string, role: string, session_id: string, id: string, parent_thread_id: string, timestamp: string, model: string, effort: string, "
     f"response_id: string, usage: {_USAGE}, info: struct<last_token_usage: {_USAGE}, total_token_usage: {_USAGE}>, thread_settings: struct<service_tier: string>>"
 )
 
@@ -102,3 +102,31 @@ def carried(records: DataFrame) -> DataFrame:
     tier = F.last(F.when(F.col("kind") == "settings", F.coalesce("tier", F.lit("default"))), ignorenulls=True).over(upto)
     held = records.select("path", "place", "kind", "t", "response_id", "usage", "cumulative", model.alias("model"), turn["effort"].alias("effort"), tier.alias("tier"))
     return held.where("kind IN ('explicit', 'legacy')")
+
+
+#: Items that a model gives out, beside those whose names end in _call.
+OUTPUT_ITEMS = ("reasoning", "function_call", "custom_tool_call", "local_shell_call", "compaction")
+
+
+def _side() -> Column:
+    """input or output, of a response_item that is known to be either."""
+    item, role = F.col("payload.type"), F.col("payload.role")
+    message = F.when(role == "assistant", "output").when(role.isin("user", "developer", "system"), "input")
+    return F.when(item == "message", message).when(item.endswith("_output") | (item == "agent_message"), "input").when(item.isin(*OUTPUT_ITEMS) | item.endswith("_call"), "output")
+
+
+def events(rows: DataFrame) -> DataFrame:
+    """(path, place, event, kind, t, response_id, usage, cumulative) of the lines that tell when a request went out.
+
+    event is turn, input, output, compact, abort or usage; kind, of usage, is explicit or legacy.
+    """
+    read = rows.select("path", "place", F.from_json("line", LINE).alias("r")).select("path", "place", "r.timestamp", "r.type", "r.payload")
+    legacy = (F.col("type") == "event_msg") & (F.col("payload.type") == "token_count") & F.col("payload.info.last_token_usage").isNotNull()
+    kind = F.when((F.col("type") == "token_usage_record") & F.col("payload.usage").isNotNull(), "explicit").when(legacy, "legacy")
+    event = (
+        F.when(kind.isNotNull(), "usage").when(F.col("type") == "turn_context", "turn").when(F.col("type") == "world_state", "input").when(F.col("type") == "compacted", "compact")
+        .when((F.col("type") == "event_msg") & (F.col("payload.type") == "turn_aborted"), "abort").when(F.col("type") == "response_item", _side())
+    )
+    usage = F.when(kind == "explicit", _usage("payload.usage")).when(kind == "legacy", _usage("payload.info.last_token_usage"))
+    told = read.select("path", "place", event.alias("event"), kind.alias("kind"), scalar.epoch_s(F.col("timestamp")).alias("t"), F.col("payload.response_id").alias("response_id"), usage.alias("usage"), F.when(kind == "legacy", _usage("payload.info.total_token_usage")).alias("cumulative"))
+    return told.where("event is not null")
