@@ -83,15 +83,15 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with their own columns.
+    """The rows of docs that exact_dedup keeps, with their own columns, whatever their names.
 
     Only (doc_id, text_sha256) of the rows that go is joined; rows that repeat a kept one
     whole are told apart by their number, so one of them stays.
     """
-    gone = materialize(exact_dedup(docs, doc_id, text).where(~F.col("kept")).groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_repeated")))
+    gone = materialize(exact_dedup(docs, doc_id, text).where(~F.col("kept")).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("repeated")))
     gone = bounded(gone)
-    marked = docs.withColumn("_sha", F.sha2(normalized(text), 256))
-    hit = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha")), "left")
-    single = hit.where(F.col("_gone_sha").isNull())
-    again = hit.where("_repeated").withColumn("_nth", F.row_number().over(Window.partitionBy("_gone_id", "_gone_sha").orderBy("_sha"))).where("_nth = 1")
-    return single.select(*docs.columns).unionByName(again.select(*docs.columns))
+    packed = docs.select(F.col(doc_id).alias("id"), F.sha2(normalized(text), 256).alias("sha"), F.struct("*").alias("row"))
+    hit = packed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left")
+    single = hit.where(F.col("gone_sha").isNull())
+    again = hit.where("repeated").withColumn("nth", F.row_number().over(Window.partitionBy("gone_id", "gone_sha").orderBy("sha"))).where("nth = 1")
+    return single.select("row.*").unionByName(again.select("row.*"))

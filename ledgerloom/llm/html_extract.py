@@ -1,14 +1,16 @@
 """Main-text extraction: gradient-boosted trees over DOM nodes, decoded along the tree.
 
-A page is cut into tags and text and made a tree of block nodes; inline markup belongs to
-the block around it. Trees score each node from its subtree's density of text, links and
-marks, the tokens of its tag, class, id and role, its depth and its siblings. Decoding
+A page is cut into tags and text and made a tree of block nodes, whose leaves are the runs of text
+between them; inline markup belongs to the run that it stands in. Trees score each node from its
+subtree's density of text, links and marks, the tokens of its tag, class, id and role, its depth, and the
+length and density of its parent and siblings. Decoding
 then labels the whole tree at once: from the root down a path enters the main text at most
 once and is cut out of it at most once, never to enter again, so the choices of an ancestor
 and of a descendant cannot contradict each other. Text in nodes that are in is joined in page order.
 
-The trees are fitted on the driver to pages that this module makes up, with menus,
-headers, footers, sidebars, notices, adverts, forms and comments around an article.
+The trees are fitted on the driver to pages that this module makes up, with menus, headers,
+footers, sidebars, notices, adverts, forms and comments around and inside an article, which stands in a
+marked or unmarked element, in a table's cell, in pre, or bare in the body.
 
 Defined results: a null or empty html has text "" and n_chars 0; broken markup is read as
 far as it goes, a head without an end tag ends at text or at the first tag that cannot stand in
@@ -53,7 +55,7 @@ MAIN_TOKENS = ("article", "articlebody", "content", "main", "post", "story", "en
 SIDE_TOKENS = ("nav", "menu", "header", "footer", "sidebar", "side", "aside", "breadcrumb", "toolbar", "banner", "masthead", "widget", "related", "share", "social", "tags", "meta", "pagination", "pager", "copyright", "site")
 NOTICE_TOKENS = ("ad", "ads", "advert", "advertisement", "sponsor", "promo", "cookie", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "alert", "gdpr", "form", "search", "login", "signup")
 REMARK_TOKENS = ("comment", "comments", "reply", "replies", "discussion", "respond", "disqus", "review", "reviews")
-TAG_GROUPS = (("article", "main"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "dialog"), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("div",), ("section",), ("table", "tbody", "tr", "td", "th"), ("blockquote", "pre", "figure"), ("body", "html", "#root"))
+TAG_GROUPS = (("article", "main"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "dialog"), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("div",), ("section",), ("table", "tbody", "tr", "td", "th"), ("blockquote", "pre", "figure"), ("body", "html", "#root"), ("#text",))
 _GROUP = {tag: k for k, tags in enumerate(TAG_GROUPS) for tag in tags}
 #: The states of a node, and what it costs to enter the main text and to cut a part out of it, in log-odds.
 ABOVE, IN, CUT = range(3)
@@ -64,8 +66,8 @@ class Page(NamedTuple):
     tags: list[str]
     names: list[frozenset[str]]
     parents: list[int]
-    runs: list[tuple[int, str]]  # (node, decoded text of a block), in page order
-    linked: list[int]  # characters of links directly in each node
+    runs: list[tuple[int, str]]  # (leaf, decoded text of a block), in page order
+    linked: list[int]  # characters of links in each run
     inner: list[int]  # inline marks directly in each node
 
 
@@ -87,17 +89,21 @@ def _unclosed(tokens: list[re.Match]) -> set[int]:
 def parse(html: str | None) -> Page:
     tags, names, parents, linked, inner = ["#root"], [frozenset()], [-1], [0], [0]
     runs: list[tuple[int, str]] = []
-    stack, hidden, links, pending, at, html = [0], 0, 0, [], 0, html or ""
+    stack, hidden, links, pending, in_links, at, html = [0], 0, 0, [], 0, 0, html or ""
     open_ = Counter(["#root"])
     tokens = list(TOKEN.finditer(html))
     unclosed, loose = _unclosed(tokens), set()
 
     def flush() -> None:
+        """What was said since the last block began or ended is a leaf of its own."""
+        nonlocal in_links
         if pending:
             text = " ".join(html_module.unescape("".join(pending)).split())
             if text:
-                runs.append((stack[-1], text))
+                runs.append((len(tags), text))
+                tags.append("#text"), names.append(frozenset()), parents.append(stack[-1]), linked.append(in_links), inner.append(0)
             pending.clear()
+            in_links = 0
 
     def pop() -> None:
         nonlocal hidden
@@ -107,12 +113,13 @@ def parse(html: str | None) -> Page:
         hidden -= tag in UNSEEN
 
     def say(text: str) -> None:
+        nonlocal in_links
         if tags[stack[-1]] == "head" and text and not text.isspace():
             pop()
         if not hidden and text:
             pending.append(text)
             if links:
-                linked[stack[-1]] += len(text)
+                in_links += len(text)
 
     for m in tokens:
         say(html[at : m.start()])
@@ -204,9 +211,20 @@ def features(page: Page) -> np.ndarray:
         above[node] = np.maximum(above[up], hints[up])
         held[node] = np.maximum(held[up], groups[up, :6])
     parent = np.maximum(np.array(page.parents), 0)
+    # of the siblings before and after, and of all: how long, how linked, how much like sentences
+    before, after, last = np.zeros(n, dtype=int), np.zeros(n, dtype=int), np.zeros(n, dtype=int)
+    for node in range(1, n):
+        up = page.parents[node]
+        before[node], after[last[up]], last[up] = last[up], node, node
+    after[0] = before[0] = 0
+    beside = []
+    for other in (before, after):
+        there = other > 0
+        beside += [np.where(there, np.log1p(chars[other]), -1), np.where(there, links[other] / np.maximum(chars[other], 1), -1), np.where(there, marks[other] / np.maximum(words[other], 1), -1)]
+    beside += [links[parent] / np.maximum(chars[parent], 1), marks[parent] / np.maximum(words[parent], 1), np.log1p(chars[parent] / np.maximum(children[parent], 1)), paragraphs[parent] / np.maximum(children[parent], 1)]
     whole, some = max(chars[0], 1.0), np.maximum(chars, 1.0)
     own = [np.log1p(chars), chars / whole, chars / np.maximum(chars[parent], 1.0), links / some, nodes * 100 / some, inner * 100 / some, marks / np.maximum(words, 1.0), chars / np.maximum(blocks, 1.0), paragraphs, depth, children, children[parent], place / np.maximum(children[parent], 1.0)]
-    return np.column_stack([*own, groups, hints, above, held])
+    return np.column_stack([*own, *beside, groups, hints, above, held])
 
 
 class Trees(NamedTuple):
@@ -216,10 +234,12 @@ class Trees(NamedTuple):
     leaf: np.ndarray  # (trees, leaves)
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.3, bins: int = 32) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 90, depth: int = 4, rate: float = 0.3, bins: int = 16) -> Trees:
     """Newton boosting of the logistic loss on histograms, trees of full depth."""
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)])
+    features, offset, rows = x.shape[1], np.arange(x.shape[1]) * bins, np.arange(len(y))
+    width, there = features * bins, np.arange(bins) < np.array([len(c) for c in cuts])[:, None]
     share = y.mean()
     base = float(np.log(share / (1 - share)))
     score, feature, limit, leaf = np.full(len(y), base), [], [], []
@@ -228,22 +248,18 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
         g, h = p - y, p * (1 - p)
         at, f, v = np.zeros(len(y), dtype=int), np.zeros(2**depth - 1, dtype=int), np.full(2**depth - 1, np.inf)
         for level in range(depth):
-            first = 2**level - 1
-            for node in range(first, 2 * first + 1):
-                mine = np.flatnonzero(at == node)
-                best = 1e-6
-                if len(mine) > 1:
-                    gm, hm = g[mine], h[mine]
-                    total = gm.sum() ** 2 / (hm.sum() + 1)
-                    for j, c in enumerate(cuts):
-                        if not len(c):
-                            continue
-                        gs, hs = (np.cumsum(np.bincount(binned[mine, j], weights=w, minlength=len(c) + 1))[:-1] for w in (gm, hm))
-                        gain = gs**2 / (hs + 1) + (gm.sum() - gs) ** 2 / (hm.sum() - hs + 1) - total
-                        k = int(gain.argmax())
-                        if gain[k] > best:
-                            best, f[node], v[node] = gain[k], j, c[k]
-                at[mine] = 2 * node + 1 + (x[mine, f[node]] > v[node])
+            first, many = 2**level - 1, 2**level
+            slot = ((at - first)[:, None] * width + offset + binned).ravel()
+            # of each node, feature and bin: what lies at or under its upper cut
+            gs, hs = (np.bincount(slot, weights=np.repeat(w, features), minlength=many * width).reshape(many, features, bins).cumsum(axis=2) for w in (g, h))
+            gm, hm = gs[:, :1, -1:], hs[:, :1, -1:]
+            gain = gs**2 / (hs + 1) + (gm - gs) ** 2 / (hm - hs + 1) - gm**2 / (hm + 1)
+            gain[:, ~there] = 0
+            gain = gain.reshape(many, -1)
+            best = gain.argmax(axis=1)
+            for k in np.flatnonzero(gain[np.arange(many), best] > 1e-6):
+                f[first + k], v[first + k] = best[k] // bins, cuts[best[k] // bins][best[k] % bins]
+            at = 2 * at + 1 + (x[rows, f[at]] > v[at])
         leaves = at - (2**depth - 1)
         value = -rate * np.bincount(leaves, weights=g, minlength=2**depth) / (np.bincount(leaves, weights=h, minlength=2**depth) + 1)
         score += value[leaves]
@@ -319,9 +335,22 @@ def made_up(rng: random.Random) -> tuple[str, set[str]]:
     remark = lambda: pick(f"<div{named('comment', 'reply')}><p>{say('x', 3, 60)}</p></div>", f"<li><p>{say('x', 3, 60)}</p></li>", f"<p>{say('x', 3, 60)}</p>")
     remarks = lambda: f"<{(t := pick('section', 'div', 'ol'))}{named('comments', 'discussion', 'replies', 'comment')}>{pick('', '<h3>' + say('x', 1, 3) + '</h3>')}{''.join(remark() for _ in range(rng.randint(1, 6)))}</{t}>"
     block = lambda: pick(*(5 * [f"<p>{say('m', 2, 120)}{pick('</p>', '</p>', '')}"]), f"<p><b>{say('m', 2, 15)}<br><p>", f"<h{(k := rng.randint(2, 4))}>{say('m', 1, 9)}</h{k}>", f"<ul><li>{say('m', 1, 20)}</li><li>{say('m', 1, 20)}</li></ul>", f"<blockquote>{say('m', 4, 40)}</blockquote>", f"<p>{say('m', 3, 30)} <a href='/q'>{say('m', 1, 3)}</a> {say('m', 3, 30)}</p>", f"<table><tr><td>{say('m', 1, 5)}</td><td>{say('m', 1, 5)}</td></tr></table>", f"<div>{say('m', 5, 60)}</div>")
-    body = pick(f"<h1>{say('m', 1, 12)}</h1>", f"<header><h1>{say('m', 1, 12)}</h1></header>", "") + "".join(block() + (pick(advert(), form(), notice()) if rng.random() < 0.06 else "") for _ in range(rng.randint(1, 14)))
-    body = pick(*(4 * [f"<article>{body}</article>"]), f"<main>{body}</main>", f"<main><article>{body}</article></main>", f"<article{named('post', 'story', 'entry')}>{body}</article>", f"<div{named('content', 'article', 'post', 'main', 'entry', 'story')}>{body}</div>", f"<section{named('content', 'article', 'main')}><div>{body}</div></section>")
-    if rng.random() < 0.2:
+    plain = lambda: pick(f"<p>{say('m', 8, 120)}</p>", f"<p>{say('m', 8, 120)}", f"{say('m', 15, 100)}<br><br>", f"<div>{say('m', 10, 100)}</div>", f"<h{(k := rng.randint(2, 4))}>{say('m', 1, 9)}</h{k}>", f"<ul><li>{say('m', 3, 20)}</li><li>{say('m', 3, 20)}</li></ul>")
+    strange = lambda rate: pick(advert(), form(), notice()) if rng.random() < rate else ""
+    body = pick(f"<h1>{say('m', 1, 12)}</h1>", f"<header><h1>{say('m', 1, 12)}</h1></header>", "") + "".join(block() + strange(0.06) for _ in range(rng.randint(1, 14))) + (remarks() if rng.random() < 0.15 else "")
+    unmarked = rng.random() < 0.5
+    if unmarked:
+        body = pick(f"<h1>{say('m', 1, 12)}</h1>", f"<h2>{say('m', 1, 12)}</h2>", "") + pick(
+            *(2 * ["".join(plain() + strange(0.05) for _ in range(rng.randint(1, 14)))]), "".join(f"<p>{say('m', 8, 120)}</p>" for _ in range(rng.randint(1, 12))), f"<pre>{say('m', 20, 300)}</pre>", say("m", 30, 400), "".join(f"{say('m', 10, 100)}<br><br>" for _ in range(rng.randint(1, 9)))
+        ) + (remarks() if rng.random() < 0.15 else "")
+        where, outer = rng.randint(0, 5), ""
+        if where == 4:
+            cell = pick("", f"<td>{menu()}</td>", f"<td>{say('x', 1, 8)}</td>")
+            outer = f"<table><tr>{cell}<td>{body}</td>{pick('', f'<td>{menu()}</td>')}</tr></table>"
+        body = (body, body, f"<div>{body}</div>", f"<div><div>{body}</div></div>", outer, f"<div class='{pick('wrap', 'page', 'container', 'col', 'row', 'inner')}'>{body}</div>")[where]
+    else:
+        body = pick(*(4 * [f"<article>{body}</article>"]), f"<main>{body}</main>", f"<main><article>{body}</article></main>", f"<article{named('post', 'story', 'entry')}>{body}</article>", f"<div{named('content', 'article', 'post', 'main', 'entry', 'story')}>{body}</div>", f"<section{named('content', 'article', 'main')}><div>{body}</div></section>")
+    if rng.random() < 0.2 and not unmarked:
         body = f"<div{named('wrap', 'page', 'container', 'layout')}>{pick('', side())}{body}{pick('', side(), remarks())}</div>"
     around = [x for x in (nav() if rng.random() < 0.8 else "", header(), notice() if rng.random() < 0.25 else "", advert() if rng.random() < 0.4 else "", form() if rng.random() < 0.2 else "", side() if rng.random() < 0.2 else "") if x]
     rng.shuffle(around)
@@ -331,7 +360,7 @@ def made_up(rng: random.Random) -> tuple[str, set[str]]:
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 500, seed: int = 5) -> Trees:
+def trained(pages: int = 900, seed: int = 5) -> Trees:
     """Fitted to made-up pages: a node is of the main text if most of its subtree's characters are."""
     rng, xs, ys = random.Random(seed), [], []
     for _ in range(pages):

@@ -11,9 +11,9 @@ starts anew every 512 characters, so that one step of all blocks and languages i
 array operations; every character of every text counts. Every letter of the training texts
 has a code of its own, of any script; with many of them transitions are sorted keys, not a table.
 
-The model is fitted on a bounded sample of labelled rows: of each language, of the rows with
-letters and ROW_CHARS characters at most, the TRAIN_ROWS of smallest hash, whole, until they have
-TRAIN_CHARS characters. It is fitted once, on the driver, and broadcast: a few bytes for each
+The model is fitted on a bounded sample of labelled rows: of each language, of the rows with letters,
+the TRAIN_ROWS of smallest hash, each from its first letter on for ROW_CHARS characters at most, until
+they have TRAIN_CHARS characters. Rows without a doc_id are not of the sample. It is fitted once, on the driver, and broadcast: a few bytes for each
 character of the samples. A language with fewer
 letters in its sample than 1 / LEAST_SHARE of the largest sample's is left out: its phrases
 would cost too few bits.
@@ -194,13 +194,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def training_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[tuple[str, str], ...]:
     """(language, text) of each label, from rows that are not held out: at most rows rows of each, until they have chars characters."""
-    whole = F.char_length(text) <= ROW_CHARS
-    labelled = docs.where(F.col(lang).isNotNull() & whole & F.col(text).rlike(r"\p{L}") & ~held_out(doc_id)).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(doc_id)).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
     chosen = labelled.withColumn("_rank", rank).where(F.col("_rank") <= rows)
-    joined = docs.where(whole).select(F.col(doc_id), F.col(lang), F.col(text)).join(bounded(chosen), (F.col(doc_id) == F.col("_id")) & (F.col(lang) == F.col("_lang")))
+    joined = docs.select(F.col(doc_id), F.col(lang), F.col(text)).join(bounded(chosen), (F.col(doc_id) == F.col("_id")) & (F.col(lang) == F.col("_lang")))
+    start = F.substring(F.regexp_replace(F.col(text), r"\A\P{L}+", ""), 1, ROW_CHARS)
     texts: dict[str, str] = {}
-    for name, part in joined.select("_lang", F.col(text).alias("t")).orderBy("_lang", "_rank", "t").toLocalIterator():
+    for name, part in joined.select("_lang", start.alias("t")).orderBy("_lang", "_rank", "t").toLocalIterator():
         if len(texts.get(name, "")) < chars:
             texts[name] = texts.get(name, "") + " " + part
     letters = {name: sum(map(str.isalpha, t)) for name, t in texts.items()}

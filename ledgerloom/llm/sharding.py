@@ -51,14 +51,17 @@ def table_frame(spark: SparkSession, shards: Sequence[str], size: int = TABLE_SI
 
 
 def assign(df: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE) -> DataFrame:
-    """df with shard_slot, shard and shard_name. The broadcast holds size rows, however large df is."""
+    """df with shard_slot, shard and shard_name. The broadcast holds size rows, however large df is. Columns of df that have
+    these names stay as given_shard_slot, given_shard and given_shard_name."""
     slot = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long"), F.lit(size)).cast("int")
+    own = {"shard_slot", "shard", "shard_name"}
+    df = df.withColumn("_given_slot", slot).withColumnsRenamed({c: f"given_{c}" for c in df.columns if c in own}).withColumnRenamed("_given_slot", "shard_slot")
     table = table_frame(df.sparkSession, shards, size).select(F.col("slot").alias("shard_slot"), "shard", "shard_name")
-    return df.withColumn("shard_slot", slot).join(F.broadcast(table), "shard_slot")
+    return df.join(F.broadcast(table), "shard_slot")
 
 
-def write_shards(df: DataFrame, key: str, shards: Sequence[str], path: str, files_per_shard: int = 16, size: int = TABLE_SIZE) -> None:
-    """Writes df as Parquet under path/shard=N, each shard by files_per_shard tasks."""
+def write_shards(df: DataFrame, key: str, shards: Sequence[str], path: str, size: int = TABLE_SIZE) -> None:
+    """Writes df as Parquet under path/shard=N. Rows are rebalanced by shard, so a shard of any size takes as many tasks, and
+    files, as its bytes need."""
     placed = assign(df, key, shards, size)
-    part = F.pmod(F.xxhash64(F.col(key)), F.lit(files_per_shard))
-    placed.repartition(len(shards) * files_per_shard, "shard", part).write.partitionBy("shard").mode("overwrite").parquet(path)
+    placed.hint("rebalance", "shard").write.partitionBy("shard").mode("overwrite").parquet(path)
