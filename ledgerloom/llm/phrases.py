@@ -34,8 +34,8 @@ from .near import joined, mix
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _LOWER_BLANK = bytes(32 if b in ENDS or b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _KIND = np.array([2 if b in ENDS else 1 if b in b" \t" else 0 for b in range(256)], dtype=np.uint8)
-#: Bits of the filter that tells what may be frequent; the words of a chunk that a task counts at once. Bound memory only.
-FILTER_BITS, CHUNK_WORDS = 1 << 26, 500_000
+#: Bits of the filter that tells what may be frequent; the words of a chunk that a task counts at once, and rows that go out together. Bound memory only.
+FILTER_BITS, CHUNK_WORDS, SLICE_ROWS = 1 << 26, 1_500_000, 50_000
 #: How often a phrase stands where chance would put it once, in thousandths; exact, as products may pass 64 bits.
 SCORE = "(cast(1000 * a as decimal(19)) * cast(n as decimal(19))) div (cast(l as decimal(19)) * cast(r as decimal(19)))"
 #: Parts of a language whose best phrases are found before those of the whole.
@@ -78,14 +78,16 @@ class Chunk:
         self.last += int(piece[-1]) + 1
         self.size += len(ids)
 
-    def counted(self, least: int, most: int, filters: list[np.ndarray]) -> tuple[list[bytes], list[bytes], list[int]]:
-        """(langs, phrases, counts) of phrases of least to most words, all whose words and pairs may be frequent."""
-        langs, phrases, counts = [], [], []
+    def counted(self, least: int, most: int, filters: list[np.ndarray]) -> Iterator[tuple[list[bytes], list[bytes], list[int]]]:
+        """(langs, phrases, counts) of phrases of least to most words, all whose words and pairs may be frequent, in slices."""
         if not self.size:
-            return langs, phrases, counts
+            return
         ids, piece, hashes = np.concatenate(self.ids), np.concatenate(self.pieces), np.array(self.hashes, dtype=np.uint64)
         if least == 1:
-            return self.langs, self.words, np.bincount(ids, minlength=len(self.words)).tolist()
+            many = np.bincount(ids, minlength=len(self.words))
+            for k in range(0, len(many), SLICE_ROWS):
+                yield self.langs[k : k + SLICE_ROWS], self.words[k : k + SLICE_ROWS], many[k : k + SLICE_ROWS].tolist()
+            return
         pair_ok = piece[1:] == piece[:-1]
         if filters:
             word_ok = may_have(filters[0], mix(hashes))[ids]
@@ -106,13 +108,9 @@ class Chunk:
             if not len(at):
                 break
             _, first, name, many = np.unique(name * len(self.words) + ids[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
-            if n >= least:
-                rows = ids[at[first][:, None] + np.arange(n)].tolist()
-                words = self.words
-                langs += [self.langs[r[0]] for r in rows]
-                phrases += [b" ".join([words[i] for i in r]) for r in rows]
-                counts += many.tolist()
-        return langs, phrases, counts
+            for k in range(0, len(first), SLICE_ROWS) if n >= least else ():
+                rows, words = ids[at[first[k : k + SLICE_ROWS]][:, None] + np.arange(n)].tolist(), self.words
+                yield [self.langs[r[0]] for r in rows], [b" ".join([words[i] for i in r]) for r in rows], many[k : k + SLICE_ROWS].tolist()
 
 
 def pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -131,17 +129,17 @@ def exploded(docs: DataFrame, least: int, most: int, filters: list, lang: str, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told, chunk = [x.value for x in sent], Chunk()
 
-        def flush() -> pa.RecordBatch:
-            langs, phrases, counts = chunk.counted(least, most, told)
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.binary()).cast(pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for langs, phrases, counts in chunk.counted(least, most, told):
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.binary()).cast(pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
 
         for batch in batches:
             for one, t in zip(batch["lang"], batch["text"], strict=True):
                 chunk.add(one.as_py(), t.as_py())
                 if chunk.size >= CHUNK_WORDS:
-                    yield flush()
+                    yield from flush()
                     chunk = Chunk()
-        yield flush()
+        yield from flush()
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).cast("binary").alias("lang"), F.col(text).cast("binary").alias("text")).where("text is not null")
     return rows.mapInArrow(run, "lang string, phrase string, f long")
