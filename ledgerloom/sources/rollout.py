@@ -39,7 +39,15 @@ def in_days(files: DataFrame, since: str | None = None, until: str | None = None
 def lines(spark: SparkSession, root: str) -> DataFrame:
     """(path, place, line) of the complete lines below root, place in file order. What follows a file's last line end is
     still being written and is left out."""
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "rollout-*.jsonl").option("lineSep", "\n").text(root)
+    return _complete(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "rollout-*.jsonl").option("lineSep", "\n").text(root))
+
+
+def lines_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """lines() of these files alone."""
+    return _complete(spark.read.option("lineSep", "\n").text(paths))
+
+
+def _complete(read: DataFrame) -> DataFrame:
     rows = read.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"), F.col("value").alias("line"),
