@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar
-from ledgerloom.operators import audit, charge, evidence, history, latency, ledger, limits, pricing, prompts, records, requests, rollups, trees
+from ledgerloom.operators import anchors, audit, charge, evidence, history, latency, ledger, limits, prefixes, pricing, prompts, records, requests, rollups, trees
 from ledgerloom.sources import rollout
 from ledgerloom.sources.carriers import BLOCKS_SQL, COPIES_SQL, LOGGED_SQL, QUOTES_SQL, TIMED_SQL, TREE_SQL, USAGE_SQL, WEEK, blocks, captures, log_lines, quotes, table, timed_lines, tree_records, usage
 from ledgerloom.streaming import streams
@@ -654,3 +654,69 @@ SELECT 'rollout-' || stream || '.jsonl' AS stream, count(*) AS n, sum(seconds)::
 def _(spark, d):
     rows = requests.request_starts(rollout.events(timed_lines(spark, d))).where("ends")
     return latency.summary(latency.samples(rows.select(F.col("path").alias("stream"), F.col("place.id").alias("response_id"), "t", "req")), "stream")
+
+
+_READINGS = f"{USAGE_SQL}, {QUOTES_SQL}, rd AS (SELECT 'acct-' || (stream % 4) AS account, response_id, t, resets_at::DOUBLE AS resets_at FROM q)"
+
+
+def _readings(spark, d):
+    account = F.concat(F.lit("acct-"), (F.col("stream") % 4).cast("string"))
+    return quotes(spark, d).select(account.alias("account"), F.lit("weekly_all").alias("kind"), F.lit("").alias("scope"), F.col("response_id").cast("string").alias("reading_key"), F.col("resets_at").cast("double").alias("resets_at"), "t", "percent")
+
+
+@query("reset_anchors", f"""WITH w AS (SELECT account, response_id, resets_at, (resets_at::BIGINT // {WEEK}) * {WEEK} AS week FROM rd),
+c AS (SELECT account, week, floor(median(resets_at) + 0.5) AS reset_at FROM w WHERE response_id % 2 = 0 GROUP BY ALL),
+k AS (SELECT * FROM c UNION ALL SELECT w.account, w.week, floor(median(w.resets_at) + 0.5) FROM w ANTI JOIN c ON c.account = w.account AND c.week = w.week GROUP BY ALL)
+SELECT account, reset_at::DOUBLE AS reset_at, (SELECT count(*) FROM w WHERE w.account = k.account AND w.week = k.week) AS readings FROM k""", _READINGS)
+def _(spark, d):
+    """Anchors of the even readings are captured; those of the odd ones join them or make new ones."""
+    rows = _readings(spark, d)
+    even = F.col("reading_key").cast("long") % 2 == 0
+    none = spark.createDataFrame([], anchors.ANCHOR)
+    before, first = anchors.captured(rows.where(even), none)
+    after, every = anchors.captured(rows.where(~even), first)
+    counts = before.select("account", "window_key").unionByName(after.select("account", "window_key")).groupBy("account", "window_key").agg(F.count("*").alias("readings"))
+    return every.join(counts, ["account", "window_key"]).select("account", "reset_at", "readings")
+
+
+@query("window_union", f"SELECT 'acct-' || (stream % 4) AS account, (resets_at // {WEEK}) * {WEEK} AS start, count(*) AS responses, sum(percent)::BIGINT AS input, max(percent) AS peak FROM q GROUP BY ALL", f"{USAGE_SQL}, {QUOTES_SQL}")
+def _(spark, d):
+    """Windows as an earlier run published them, from two thirds of the readings, and as they are now."""
+    rows = _readings(spark, d).withColumn("start", F.expr(f"(CAST(resets_at AS BIGINT) div {WEEK}) * {WEEK}")).withColumn("id", F.col("reading_key").cast("long"))
+    empty = F.array().cast("array<struct<model: string, tier: string, responses: bigint, input: bigint, output: bigint>>")
+    build = lambda df: df.groupBy("account", "start").agg(F.count("*").alias("responses"), F.sum("percent").alias("input"), F.sum("id").alias("output"), F.max("percent").alias("peak")).withColumns({"first_percent": F.lit(0), "split": empty})
+    return anchors.published(build(rows.where("id % 3 > 0")), build(rows)).select("account", "start", "responses", "input", "peak")
+
+
+_ITEMS = """i0 AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY t, response_id) AS n, k % 11 = 0 AS reset FROM u),
+i1 AS (SELECT *, count(*) FILTER (reset) OVER (PARTITION BY stream ORDER BY n ROWS UNBOUNDED PRECEDING) AS segment FROM i0),
+i2 AS (SELECT *, count(*) FILTER (NOT reset) OVER (PARTITION BY stream, segment ORDER BY n ROWS UNBOUNDED PRECEDING) AS place, coalesce(sum(output) FILTER (NOT reset) OVER (PARTITION BY stream, segment ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS upto FROM i1),
+it AS (SELECT *, CASE WHEN k % 7 = 3 THEN -n ELSE place END AS content FROM i2),
+rq AS (SELECT *, last_value(CASE WHEN charged THEN {'s': segment, 'l': place} END IGNORE NULLS) OVER (PARTITION BY stream ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM (SELECT *, k % 3 > 0 AS charged FROM it WHERE k % 2 = 1))"""
+
+
+def _items_requests(spark, d):
+    """Rows as items of a prompt's log, some of which compact it; what is logged anew repeats the old prompt's beginning but
+    for the rows that changed. Every other row is a request."""
+    order = Window.partitionBy("stream").orderBy("t", "response_id")
+    rows = usage(spark, d).withColumn("n", F.row_number().over(order).cast("long")).withColumn("reset", F.col("k") % 11 == 0)
+    upto = Window.partitionBy("stream").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("s0", F.count_if("reset").over(upto))
+    rows = rows.withColumn("p0", F.count_if(~F.col("reset")).over(Window.partitionBy("stream", "s0").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("content", F.when(F.col("k") % 7 == 3, -F.col("n")).otherwise(F.col("p0")))
+    chain = prefixes.chained(rows, "stream", ["n"], F.col("reset"), F.col("content"), "output")
+    asked = chain.where("k % 2 = 1").select("stream", F.col("n").alias("request"), (F.col("k") % 3 > 0).alias("charged"), "segment", F.col("place").alias("length"))
+    return chain, asked
+
+
+@query("stable_prefixes", "SELECT stream, n AS request, CASE WHEN base.s = segment THEN least(place, base.l) ELSE 0 END AS stable_items FROM rq", f"{USAGE_SQL}, {_ITEMS}")
+def _(spark, d):
+    return prefixes.stable_prefix(*_items_requests(spark, d), "stream").select("stream", "request", "stable_items")
+
+
+@query("equal_prefixes", """WITH df AS (SELECT r.stream, r.n, min(a.place) AS first FROM rq r JOIN it a ON a.stream = r.stream AND a.segment = r.segment AND NOT a.reset AND a.place <= least(r.place, r.base.l)
+  JOIN it b ON b.stream = r.stream AND b.segment = r.base.s AND NOT b.reset AND b.place = a.place WHERE a.content <> b.content GROUP BY ALL),
+ln AS (SELECT r.*, coalesce(df.first - 1, CASE WHEN r.base IS NULL THEN 0 ELSE least(r.place, r.base.l) END) AS same FROM rq r LEFT JOIN df ON df.stream = r.stream AND df.n = r.n)
+SELECT ln.stream, ln.n AS request, ln.same AS stable_items, coalesce(it.upto, 0)::BIGINT AS stable FROM ln LEFT JOIN it ON it.stream = ln.stream AND it.segment = ln.segment AND it.place = ln.same AND NOT it.reset""", f"{USAGE_SQL}, {_ITEMS}")
+def _(spark, d):
+    return prefixes.stable_prefix(*_items_requests(spark, d), "stream", across=True).select("stream", "request", "stable_items", "stable")
