@@ -11,7 +11,7 @@ from ledgerloom.functions import scalar
 from ledgerloom.operators import anchors, audit, charge, evidence, history, latency, ledger, limits, prefixes, pricing, prompts, records, requests, rollups, trees
 from ledgerloom.sources import rollout
 from ledgerloom.sources.carriers import BLOCKS_SQL, COPIES_SQL, LOGGED_SQL, QUOTES_SQL, TIMED_SQL, TREE_SQL, USAGE_SQL, WEEK, blocks, captures, log_lines, quotes, table, timed_lines, tree_records, usage
-from ledgerloom.streaming import streams
+from ledgerloom.streaming import evidence as late, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -720,3 +720,12 @@ ln AS (SELECT r.*, coalesce(df.first - 1, CASE WHEN r.base IS NULL THEN 0 ELSE l
 SELECT ln.stream, ln.n AS request, ln.same AS stable_items, coalesce(it.upto, 0)::BIGINT AS stable FROM ln LEFT JOIN it ON it.stream = ln.stream AND it.segment = ln.segment AND it.place = ln.same AND NOT it.reset""", f"{USAGE_SQL}, {_ITEMS}")
 def _(spark, d):
     return prefixes.stable_prefix(*_items_requests(spark, d), "stream", across=True).select("stream", "request", "stable_items", "stable")
+
+
+@query("terminal_evidence", """WITH b AS (SELECT l_orderkey::VARCHAR AS response, l_linenumber::BIGINT AS i, l_quantity::BIGINT AS q FROM lineitem),
+r AS (SELECT response, i, max(q) AS q, count(DISTINCT q) AS n FROM b GROUP BY response, i)
+SELECT response, max(i) AS terminal, arg_max(q, i) AS output, count(*) AS blocks, max(n) > 1 AS conflict FROM r GROUP BY response""")
+def _(spark, d):
+    """The state that the stream of late evidence ends with, whatever order blocks arrive in."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("response"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("record"), F.col("l_linenumber").cast("long").alias("index"), F.col("l_quantity").cast("long").alias("output"))
+    return late.terminals(rows)
