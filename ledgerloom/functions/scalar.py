@@ -205,3 +205,40 @@ def escaped(text: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(raw), F.lit(safe))
     return out
+
+
+#: Pixels of a patch of the 28-pixel fit, and steps that find any edge below 2 ** EDGE_STEPS.
+PATCH, EDGE_STEPS = 28, 13
+
+
+def image_limits(model: Column, newer: tuple[int, int] = (4, 7)) -> Column:
+    """(max_edge, max_tokens) by the version that a model's name ends with, compared number by number: higher from newer on.
+    Null for a name without a version."""
+    found = F.regexp_extract(F.lower(model), r"-(\d{1,3})(?:-(\d{1,3}))?$", 1)
+    minor = F.regexp_extract(F.lower(model), r"-(\d{1,3})(?:-(\d{1,3}))?$", 2)
+    version = F.struct(found.try_cast("int").alias("major"), F.coalesce(minor.try_cast("int"), F.lit(-1)).alias("minor"))  # a shorter version comes before its own minors
+    least = F.struct(F.lit(newer[0]).alias("major"), F.lit(newer[1]).alias("minor"))
+    limits = lambda edge, tokens: F.struct(F.lit(edge).cast("long").alias("max_edge"), F.lit(tokens).cast("long").alias("max_tokens"))
+    return F.when(found != "", F.when(version >= least, limits(2576, 4784)).otherwise(limits(1568, 1568)))
+
+
+def patch_fit(width: Column, height: Column, max_edge: Column, max_tokens: Column) -> Column:
+    """(width, height, tokens) of the largest image of the same shape whose patches fit: its sides, padded to whole patches, are
+    max_edge at most and its patches max_tokens. Null where a size is not positive or not one patch fits.
+
+    The longer side is found by bisection, in a fixed number of steps, as fewer pixels never need more patches.
+    """
+    long_, short = F.greatest(width, height).cast("long"), F.least(width, height).cast("long")
+    other = lambda edge: F.greatest(F.lit(1).cast("long"), F.bround(short.cast("double") * edge / long_).cast("long"))
+    patches = lambda side: ((side + (PATCH - 1)) / PATCH).cast("long")
+    fits = lambda edge: (patches(edge) * PATCH <= max_edge) & (patches(other(edge)) * PATCH <= max_edge) & (patches(edge) * patches(other(edge)) <= max_tokens)
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = ((at["low"] + at["high"] + 1) / 2).cast("long")
+        ok = fits(middle) | (at["low"] >= at["high"])
+        return F.struct(F.when(ok, F.greatest(at["low"], F.least(middle, at["high"]))).otherwise(at["low"]).alias("low"), F.when(ok, at["high"]).otherwise(middle - 1).alias("high"))
+
+    start = F.struct(F.lit(0).cast("long").alias("low"), F.least(long_, max_edge.cast("long")).alias("high"))
+    edge = F.aggregate(F.sequence(F.lit(1), F.lit(EDGE_STEPS)), start, halve)["low"]
+    sized = F.transform(F.array(edge), lambda e: F.struct(F.when(width >= height, e).otherwise(other(e)).alias("width"), F.when(width >= height, other(e)).otherwise(e).alias("height"), (patches(e) * patches(other(e))).alias("tokens")))
+    return F.when((width > 0) & (height > 0) & (edge > 0), F.get(sized, F.lit(0)))
