@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar
-from ledgerloom.operators import anchors, audit, charge, evidence, history, latency, ledger, limits, prefixes, pricing, prompts, records, requests, rollups, trees
-from ledgerloom.sources import rollout
+from ledgerloom.operators import anchors, audit, charge, evidence, history, latency, ledger, limits, payload, prefixes, pricing, prompts, records, requests, rollups, trees
+from ledgerloom.sources import census, rollout
 from ledgerloom.sources.carriers import BLOCKS_SQL, COPIES_SQL, LOGGED_SQL, QUOTES_SQL, TIMED_SQL, TREE_SQL, USAGE_SQL, WEEK, blocks, captures, log_lines, quotes, table, timed_lines, tree_records, usage
 from ledgerloom.streaming import evidence as late, streams
 
@@ -729,3 +729,38 @@ def _(spark, d):
     """The state that the stream of late evidence ends with, whatever order blocks arrive in."""
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("response"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("record"), F.col("l_linenumber").cast("long").alias("index"), F.col("l_quantity").cast("long").alias("output"))
     return late.terminals(rows)
+
+
+@query("image_patch_fit", """WITH p AS (SELECT p_partkey, (p_partkey * 7919) % 6000 + 1 AS w, (p_size * 5099) % 5000 + 1 AS h, CASE WHEN p_partkey % 2 = 0 THEN 2576 ELSE 1568 END AS me, CASE WHEN p_partkey % 2 = 0 THEN 4784 ELSE 1568 END AS mt FROM part),
+e AS (SELECT *, unnest(range(1, least(greatest(w, h), me) + 1)) AS edge FROM p), o AS (SELECT *, greatest(1, round_even(least(w, h)::DOUBLE * edge / greatest(w, h), 0))::BIGINT AS other FROM e),
+f AS (SELECT * FROM o WHERE ceil(edge / 28) * 28 <= me AND ceil(other / 28) * 28 <= me AND ceil(edge / 28) * ceil(other / 28) <= mt)
+SELECT p_partkey, max(edge)::BIGINT AS edge, arg_max(ceil(edge / 28) * ceil(other / 28), edge)::BIGINT AS tokens FROM f GROUP BY p_partkey""")
+def _(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", ((F.col("p_partkey") * 7919) % 6000 + 1).alias("w"), ((F.col("p_size") * 5099) % 5000 + 1).alias("h"), F.when(F.col("p_partkey") % 2 == 0, "m-x-4-7").otherwise("m-x-4").alias("model"))
+    limits = scalar.image_limits(F.col("model"))
+    fitted = rows.select("p_partkey", scalar.patch_fit(F.col("w"), F.col("h"), limits["max_edge"], limits["max_tokens"]).alias("x"))
+    return fitted.select("p_partkey", F.greatest("x.width", "x.height").alias("edge"), "x.tokens")
+
+
+@query("key_census", """WITH kn AS (SELECT sum(CASE WHEN twice THEN 2 ELSE 1 END) FILTER (whole)::BIGINT AS n, count(DISTINCT stream) FILTER (whole) AS f, count(DISTINCT stream) AS h FROM x),
+ke(key, type) AS (VALUES ('.payload.info', 'object'), ('.payload.info.last_token_usage', 'object'), ('.payload.info.total_token_usage', 'object'), ('.payload.type', 'string')),
+kc(key) AS (SELECT '.payload.info.' || a || '.' || b FROM (VALUES ('last_token_usage'), ('total_token_usage')) x(a), (VALUES ('input_tokens'), ('cached_input_tokens'), ('output_tokens'), ('reasoning_output_tokens'), ('total_tokens')) y(b))
+SELECT '$' || key AS key, type, n + CASE WHEN common THEN h ELSE 0 END AS n, CASE WHEN common THEN h ELSE f END AS files FROM kn, (SELECT *, false AS common FROM ke UNION ALL SELECT key, 'number', false FROM kc UNION ALL VALUES ('', 'object', true), ('.timestamp', 'string', true), ('.type', 'string', true), ('.payload', 'object', true))
+UNION ALL SELECT '$' || key, 'string', h, h FROM kn, (VALUES ('.payload.session_id'), ('.payload.id')) v(key)""", _LOGGED)
+def _(spark, d):
+    return census.key_census(log_lines(spark, d))
+
+
+@query("payload_months", """WITH y AS (SELECT 'acct-' || (stream % 4) AS account, date_trunc('week', day)::DATE::VARCHAR AS month, day::VARCHAR AS date, sum(input)::BIGINT AS input FROM u GROUP BY ALL),
+z AS (SELECT 'acct-' || (stream % 4) AS account, date_trunc('week', day)::DATE::VARCHAR AS month, stream::VARCHAR AS stream, count(*) AS n FROM u GROUP BY ALL),
+a AS (SELECT account, month, count(*) AS days, sum(length('{"date":"' || date || '","input":' || input || '}') + 1)::BIGINT AS own, bool_or(date < '2024-01-03') AS broken FROM y GROUP BY ALL),
+b AS (SELECT account, month, sum(length('{"stream":"' || stream || '","n":' || n || '}') + 1)::BIGINT AS more FROM z GROUP BY ALL),
+c AS (SELECT a.*, own + coalesce(more, 0) AS bytes, CASE WHEN broken THEN 'rule' WHEN days > 18 OR own + 200 > 6000 THEN 'alone' END AS why FROM a LEFT JOIN b USING (account, month)),
+s AS (SELECT *, sum(days) OVER w > 18 OR sum(bytes) OVER w + 200 > 6000 AS over FROM (SELECT *, why IS NULL AS ok FROM c) WINDOW w AS (PARTITION BY account, ok ORDER BY month DESC ROWS UNBOUNDED PRECEDING))
+SELECT account, month, days, bytes, coalesce(why, CASE WHEN over THEN 'budget' END) AS reason FROM s""", USAGE_SQL)
+def _(spark, d):
+    """The tables span one month, so weeks stand for months here."""
+    rows = usage(spark, d).withColumns({"account": F.concat(F.lit("acct-"), (F.col("stream") % 4).cast("string")), "month": F.to_date(F.date_trunc("week", "day")).cast("string"), "date": F.col("day").cast("string"), "stream": F.col("stream").cast("string")})
+    days = rows.groupBy("account", "month", "date").agg(F.sum("input").alias("input"))
+    sessions = rows.groupBy("account", "month", "stream").agg(F.count("*").alias("n"))
+    return payload.months_within(days, sessions, "2999-12-31", most_days=18, most_bytes=6000, earliest="2024-01-03")
