@@ -451,26 +451,26 @@ def _(spark, d):
     return audit.window_lengths(usage(spark, d).where("model = 'view'").selectExpr("CASE k % 3 WHEN 0 THEN 300 WHEN 1 THEN 10080 ELSE 43200 END AS minutes"), "minutes")
 
 
-_READINGS = f"r AS (SELECT response_id, (t + k * 2000) // {WEEK} AS cluster, t, k % 101 AS percent FROM u WHERE model = 'view'), g AS (SELECT cluster, cluster * {WEEK} AS anchor, min(t) AS first_t, max(t) AS last_t, arg_min(percent, t * 100000000 + response_id) AS first_percent, arg_max(percent, t * 100000000 + response_id) AS last_percent FROM r GROUP BY cluster), o AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN least(anchor, first_t) ELSE first_t END AS opens_at, row_number() OVER w = 1 AS inferred, coalesce(lag(last_t) OVER w > first_t, false) AS overlaps, coalesce(first_percent >= lag(last_percent) OVER w, false) AS no_drop, lead(first_t) OVER w AS next_t FROM g WINDOW w AS (ORDER BY first_t, cluster))"
+_ANNOUNCED = f"r AS (SELECT response_id, (t + k * 2000) // {WEEK} AS cluster, t, k % 101 AS percent FROM u WHERE model = 'view'), g AS (SELECT cluster, cluster * {WEEK} AS anchor, min(t) AS first_t, max(t) AS last_t, arg_min(percent, t * 100000000 + response_id) AS first_percent, arg_max(percent, t * 100000000 + response_id) AS last_percent FROM r GROUP BY cluster), o AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN least(anchor, first_t) ELSE first_t END AS opens_at, row_number() OVER w = 1 AS inferred, coalesce(lag(last_t) OVER w > first_t, false) AS overlaps, coalesce(first_percent >= lag(last_percent) OVER w, false) AS no_drop, lead(first_t) OVER w AS next_t FROM g WINDOW w AS (ORDER BY first_t, cluster))"
 
 
-def _readings(spark, d):
+def _announced(spark, d):
     return usage(spark, d).where("model = 'view'").selectExpr("response_id", f"(t + k * 2000) div {WEEK} AS cluster", "t", "k % 101 AS percent")
 
 
 def _opened(spark, d):
     at = F.struct("t", "response_id")
-    return audit.opened(_readings(spark, d).groupBy("cluster").agg((F.col("cluster") * WEEK).alias("anchor"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.min_by("percent", at).alias("first_percent"), F.max_by("percent", at).alias("last_percent")))
+    return audit.opened(_announced(spark, d).groupBy("cluster").agg((F.col("cluster") * WEEK).alias("anchor"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.min_by("percent", at).alias("first_percent"), F.max_by("percent", at).alias("last_percent")))
 
 
-@query("window_openings", f"WITH {_READINGS} SELECT * FROM o", USAGE_SQL)
+@query("window_openings", f"WITH {_ANNOUNCED} SELECT * FROM o", USAGE_SQL)
 def _(spark, d):
     return _opened(spark, d)
 
 
-@query("late_readings", f"WITH {_READINGS} SELECT cluster, count(*) FILTER (NOT coalesce(t > next_t, false)) AS drawn, count(*) FILTER (t > next_t) AS late, max(percent) FILTER (t > next_t) AS late_peak FROM r JOIN o USING (cluster) GROUP BY cluster", USAGE_SQL)
+@query("late_readings", f"WITH {_ANNOUNCED} SELECT cluster, count(*) FILTER (NOT coalesce(t > next_t, false)) AS drawn, count(*) FILTER (t > next_t) AS late, max(percent) FILTER (t > next_t) AS late_peak FROM r JOIN o USING (cluster) GROUP BY cluster", USAGE_SQL)
 def _(spark, d):
-    return audit.late_readings(_readings(spark, d), _opened(spark, d))
+    return audit.late_readings(_announced(spark, d), _opened(spark, d))
 
 
 @query("plan_attribution", "WITH s AS (SELECT t, CASE WHEN t < 1705190400 THEN 'pro' WHEN response_id % 970 > 0 OR t > 1705800000 THEN 'max' END AS plan, t - 20 * 86400 AS created FROM u WHERE response_id % 97 = 0), v AS (SELECT day, min(t) AS start_t, max(t) AS end_t FROM u GROUP BY day), a AS (SELECT v.*, (SELECT max(t) FROM s WHERE s.t < v.start_t) AS b FROM v), fl AS (SELECT a.*, (SELECT min(plan) FROM s WHERE t >= coalesce(b, start_t)) AS low, (SELECT max(plan) FROM s WHERE t >= coalesce(b, start_t)) AS high, (SELECT bool_or(plan IS NULL) FROM s WHERE t >= coalesce(b, start_t)) AS gap, (SELECT max_by(created, t) FROM s) AS created FROM a) SELECT day, start_t, end_t, CASE WHEN low = high AND NOT gap AND created <= start_t THEN low END AS plan, coalesce(low <> high, false) AS conflict FROM fl", USAGE_SQL)
@@ -656,10 +656,10 @@ def _(spark, d):
     return latency.summary(latency.samples(rows.select(F.col("path").alias("stream"), F.col("place.id").alias("response_id"), "t", "req")), "stream")
 
 
-_READINGS = f"{USAGE_SQL}, {QUOTES_SQL}, rd AS (SELECT 'acct-' || (stream % 4) AS account, response_id, t, resets_at::DOUBLE AS resets_at FROM q)"
+_ANNOUNCED = f"{USAGE_SQL}, {QUOTES_SQL}, rd AS (SELECT 'acct-' || (stream % 4) AS account, response_id, t, resets_at::DOUBLE AS resets_at FROM q)"
 
 
-def _readings(spark, d):
+def _announced(spark, d):
     account = F.concat(F.lit("acct-"), (F.col("stream") % 4).cast("string"))
     return quotes(spark, d).select(account.alias("account"), F.lit("weekly_all").alias("kind"), F.lit("").alias("scope"), F.col("response_id").cast("string").alias("reading_key"), F.col("resets_at").cast("double").alias("resets_at"), "t", "percent")
 
@@ -667,10 +667,10 @@ def _readings(spark, d):
 @query("reset_anchors", f"""WITH w AS (SELECT account, response_id, resets_at, (resets_at::BIGINT // {WEEK}) * {WEEK} AS week FROM rd),
 c AS (SELECT account, week, floor(median(resets_at) + 0.5) AS reset_at FROM w WHERE response_id % 2 = 0 GROUP BY ALL),
 k AS (SELECT * FROM c UNION ALL SELECT w.account, w.week, floor(median(w.resets_at) + 0.5) FROM w ANTI JOIN c ON c.account = w.account AND c.week = w.week GROUP BY ALL)
-SELECT account, reset_at::DOUBLE AS reset_at, (SELECT count(*) FROM w WHERE w.account = k.account AND w.week = k.week) AS readings FROM k""", _READINGS)
+SELECT account, reset_at::DOUBLE AS reset_at, (SELECT count(*) FROM w WHERE w.account = k.account AND w.week = k.week) AS readings FROM k""", _ANNOUNCED)
 def _(spark, d):
     """Anchors of the even readings are captured; those of the odd ones join them or make new ones."""
-    rows = _readings(spark, d)
+    rows = _announced(spark, d)
     even = F.col("reading_key").cast("long") % 2 == 0
     none = spark.createDataFrame([], anchors.ANCHOR)
     before, first = anchors.captured(rows.where(even), none)
@@ -682,7 +682,7 @@ def _(spark, d):
 @query("window_union", f"SELECT 'acct-' || (stream % 4) AS account, (resets_at // {WEEK}) * {WEEK} AS start, count(*) AS responses, sum(percent)::BIGINT AS input, max(percent) AS peak FROM q GROUP BY ALL", f"{USAGE_SQL}, {QUOTES_SQL}")
 def _(spark, d):
     """Windows as an earlier run published them, from two thirds of the readings, and as they are now."""
-    rows = _readings(spark, d).withColumn("start", F.expr(f"(CAST(resets_at AS BIGINT) div {WEEK}) * {WEEK}")).withColumn("id", F.col("reading_key").cast("long"))
+    rows = _announced(spark, d).withColumn("start", F.expr(f"(CAST(resets_at AS BIGINT) div {WEEK}) * {WEEK}")).withColumn("id", F.col("reading_key").cast("long"))
     empty = F.array().cast("array<struct<model: string, tier: string, responses: bigint, input: bigint, output: bigint>>")
     build = lambda df: df.groupBy("account", "start").agg(F.count("*").alias("responses"), F.sum("percent").alias("input"), F.sum("id").alias("output"), F.max("percent").alias("peak")).withColumns({"first_percent": F.lit(0), "split": empty})
     return anchors.published(build(rows.where("id % 3 > 0")), build(rows)).select("account", "start", "responses", "input", "peak")
