@@ -1,4 +1,4 @@
-"""Rollout logs against golden cases that were calculated by hand."""
+"""Rollout logs: small corpora with own figures, one for each rule of charging, and the counters that the rules give them."""
 
 import json
 
@@ -32,28 +32,33 @@ def explicit(second, response, given):
     return {"timestamp": stamp(second), "type": "token_usage_record", "payload": {"response_id": response, "usage": counts(given, 10, given + 10)}}
 
 
-PARENT = [snapshot(1, 100, 100), snapshot(2, 200, 300), snapshot(3, 300, 600)]
-WITH_CONTEXT = [PARENT[0], PARENT[1], context(2, 300), PARENT[2]]
-#: Files of records, and the counters that they give; others are not looked at.
-GOLDEN = [
-    ([[head("root"), snapshot(1, 1000, 1000), snapshot(2, 1000, 2000)]], {"responses": 2}),
-    ([[head("root")], [head("a", 1), snapshot(2, 1000, 1000)], [head("b", 3), snapshot(4, 1000, 1000)]], {"responses": 2}),
-    ([[head("root"), snapshot(1, 1000, 1000), snapshot(1, 1000, 1000)]], {"responses": 1, "legacy_repeat": 1}),
-    ([[head("p"), *PARENT], [head("c", 9, "p"), *PARENT, snapshot(9, 400, 1000)]], {"responses": 4, "inherited": 3}),
-    ([[head("p"), *WITH_CONTEXT], [head("c", 9, "p"), *WITH_CONTEXT, snapshot(9, 400, 1000)]], {"responses": 4, "inherited": 3}),
-    ([[head("root"), snapshot(1, 100, 100), context(2, 5000)]], {"responses": 1, "context_snapshots": 1}),
-    ([[head("root"), explicit(1, "r1", 500), snapshot(1, 500, 500), explicit(2, "r1", 500), explicit(3, "r2", 900), snapshot(3, 900, 1400)]], {"responses": 2, "files_explicit": 1, "files_legacy": 0}),
-    ([[head("p"), explicit(1, "r1", 1), explicit(2, "r2", 2)], [head("q", 5), explicit(6, "r1", 1), explicit(7, "r2", 2), explicit(8, "r3", 3)]], {"responses": 3, "cross_file_response_id": 2}),
-    ([[head("p", session="A"), explicit(1, "r1", 1)], [head("q", 5, session="B"), explicit(6, "r2", 1)]], {"responses": 2, "cross_file_response_id": 0}),
-    ([[head("p"), snapshot(1, 100, 100), snapshot(2, 777, 877)], [head("c", 9, "p"), snapshot(9, 777, 877), snapshot(9, 400, 1277)]], {"responses": 4, "inherited": 0, "ambiguous": 1}),
-    ([[head("a"), snapshot(1, 100, 100), snapshot(2, 200, 300)], [head("b", 3), snapshot(4, 100, 100), snapshot(5, 200, 300)]], {"responses": 4, "inherited": 0}),
-    ([[head("p"), *PARENT[:2]], [head("c", 5, "p"), *PARENT[:2], snapshot(6, 300, 600)], [head("g", 8, "c"), *PARENT[:2], snapshot(6, 300, 600), snapshot(9, 400, 1000)]], {"responses": 4, "inherited": 5}),
-    ([[head("x"), snapshot(1, 100, 100)]], {"responses": 1, "input": 100, "output": 10}),
-    ([[head("x"), snapshot(1, 100, 100), context(2, 50), snapshot(3, 100, 100)]], {"responses": 2, "legacy_repeat": 0, "context_snapshots": 1}),
-]
-
-
-@pytest.mark.parametrize("case", range(len(GOLDEN)))
+def grown(*sizes, start=1):
+    """Snapshots of responses of these sizes, the running total beside each."""
+    return [snapshot(start + i, n, sum(sizes[: i + 1])) for i, n in enumerate(sizes)]
+
+
+TRUNK = grown(37, 52, 61, 18)
+NOTED = [*TRUNK[:3], context(3, 150), TRUNK[3]]
+#: A rule, files of records, and the counters that they give; others are not looked at.
+GOLDEN = {
+    "explicit records silence the snapshots beside them": ([[head("solo"), explicit(1, "k-1", 44), snapshot(1, 44, 44), explicit(2, "k-2", 29), snapshot(2, 29, 73), explicit(3, "k-2", 29)]], {"responses": 2, "input": 73, "files_explicit": 1, "files_legacy": 0}),
+    "one response id is charged once in a session, in the file that started first": ([[head("late", 9), explicit(9, "k-1", 6), explicit(10, "k-4", 8)], [head("early", 2), explicit(3, "k-1", 6), explicit(4, "k-2", 7), explicit(5, "k-3", 5)]], {"responses": 4, "cross_file_response_id": 1, "input": 26}),
+    "and once in each of two sessions": ([[head("one", session="north"), explicit(1, "k-1", 6)], [head("two", 4, session="south"), explicit(5, "k-1", 6)]], {"responses": 2, "cross_file_response_id": 0}),
+    "a state that is written again is one response": ([[head("solo"), *grown(23, 64), snapshot(2, 64, 87), snapshot(2, 64, 87)]], {"responses": 2, "legacy_repeat": 2, "input": 87}),
+    "an equal size with another total is a response": ([[head("solo"), *grown(64, 64, 64)]], {"responses": 3, "legacy_repeat": 0}),
+    "a context state between two equal ones parts them": ([[head("solo"), snapshot(1, 23, 23), context(2, 9), snapshot(3, 23, 23)]], {"responses": 2, "legacy_repeat": 0, "context_snapshots": 1}),
+    "a context state is no response": ([[head("solo"), context(1, 812), *grown(90, start=2)]], {"responses": 1, "input": 90, "output": 10, "context_snapshots": 1}),
+    "a child that begins as its parent did inherits that": ([[head("trunk"), *TRUNK], [head("twig", 20, "trunk"), *TRUNK[:3], snapshot(21, 5, 155), snapshot(22, 6, 161)]], {"responses": 6, "inherited": 3, "input": 179}),
+    "context states do not break what is inherited": ([[head("trunk"), *NOTED], [head("twig", 20, "trunk"), *NOTED, snapshot(21, 5, 173)]], {"responses": 5, "inherited": 4}),
+    "a run out of the parent's middle is inherited": ([[head("trunk"), *TRUNK], [head("twig", 20, "trunk"), *TRUNK[1:3], snapshot(21, 5, 155)]], {"responses": 5, "inherited": 2}),
+    "one equal state alone is charged and ambiguous": ([[head("trunk"), *TRUNK], [head("twig", 20, "trunk"), TRUNK[2], snapshot(21, 5, 155)]], {"responses": 6, "inherited": 0, "ambiguous": 1}),
+    "files without a declared parent inherit nothing": ([[head("trunk"), *TRUNK[:2]], [head("other", 20), *TRUNK[:2]]], {"responses": 4, "inherited": 0}),
+    "a grandchild inherits from its parent, which inherited": ([[head("trunk"), *TRUNK[:2]], [head("bough", 10, "trunk"), *TRUNK[:3]], [head("twig", 20, "bough"), *TRUNK[:3], snapshot(21, 5, 155)]], {"responses": 4, "inherited": 5}),
+    "siblings inherit each for itself": ([[head("trunk"), *TRUNK[:2]], [head("left", 10, "trunk"), *TRUNK[:2], snapshot(11, 3, 92)], [head("right", 12, "trunk"), *TRUNK[:2], snapshot(13, 4, 93)]], {"responses": 4, "inherited": 4}),
+}
+
+
+@pytest.mark.parametrize("case", GOLDEN)
 def test_golden_ledgers(spark, case):
     files, want = GOLDEN[case]
     rows = [(f"f{i}", n, json.dumps(record)) for i, file in enumerate(files) for n, record in enumerate(file)]
