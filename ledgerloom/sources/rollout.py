@@ -58,6 +58,13 @@ def _complete(read: DataFrame) -> DataFrame:
     return rows.select("path", "place", "line").join(open_, ["path", "place"], "left_anti")
 
 
+def _read(rows: DataFrame) -> DataFrame:
+    """(path, place, timestamp, type, payload). A generator stands between, so that a line is parsed once and not again for
+    each field or filter that the optimizer would move below."""
+    once = rows.select("path", "place", F.explode(F.array(F.from_json("line", LINE))).alias("r"))
+    return once.select("path", "place", "r.timestamp", "r.type", "r.payload")
+
+
 def _usage(at: str) -> Column:
     return F.when(F.col(at).isNotNull(), F.struct(*(scalar.count_of(F.col(f"{at}.{c}")).alias(c) for c in COUNTS)))
 
@@ -68,7 +75,7 @@ def parse(rows: DataFrame) -> DataFrame:
     kind is meta, context, settings, explicit or legacy. A line that is no record, or of another kind, gives no row; a
     field of the wrong type is null, and a count of the wrong type 0.
     """
-    read = rows.select("path", "place", F.from_json("line", LINE).alias("r")).select("path", "place", "r.timestamp", "r.type", "r.payload")
+    read = _read(rows)
     legacy = (F.col("type") == "event_msg") & (F.col("payload.type") == "token_count") & F.col("payload.info.last_token_usage").isNotNull()
     kind = (
         F.when(F.col("type") == "session_meta", "meta").when(F.col("type") == "turn_context", "context")
@@ -128,7 +135,7 @@ def events(rows: DataFrame) -> DataFrame:
 
     event is turn, input, output, compact, abort or usage; kind, of usage, is explicit or legacy.
     """
-    read = rows.select("path", "place", F.from_json("line", LINE).alias("r")).select("path", "place", "r.timestamp", "r.type", "r.payload")
+    read = _read(rows)
     legacy = (F.col("type") == "event_msg") & (F.col("payload.type") == "token_count") & F.col("payload.info.last_token_usage").isNotNull()
     kind = F.when((F.col("type") == "token_usage_record") & F.col("payload.usage").isNotNull(), "explicit").when(legacy, "legacy")
     event = (
