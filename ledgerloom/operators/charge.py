@@ -45,7 +45,7 @@ def judged(records: DataFrame) -> DataFrame:
     legacy = usage.where("NOT _explicit").withColumn("state", state).withColumn("_before", F.lag("state").over(order))
     legacy = legacy.withColumn("fate", F.when(F.col("state").eqNullSafe(F.col("_before")), "repeat").when(_is_context(), "context"))
     states = ledger.cut(_numbered(legacy.where("fate is null")))
-    matches = ledger.leading_replay(*_histories(files, states)).withColumnRenamed("child", "path")
+    matches = ledger.cut(ledger.leading_replay(*_histories(files, states)).withColumnRenamed("child", "path"))
     kept = states.join(matches, "path", "left")
     here = F.col("pos") <= F.coalesce("n", F.lit(0))
     kept = kept.withColumn("fate", F.when(here & (F.col("n") >= 2), "inherited").otherwise("charged")).withColumn("replayed", here & (F.col("n") == 1))
@@ -63,7 +63,7 @@ def _histories(files: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFram
     chain = ledger.ancestors(links, "node", "parent")  # materialized
     own = files.select("path", node("thread").alias("node"))
     first = threads.select(F.col("path").alias("ancestor_path"), node("thread").alias("ancestor"))
-    pairs = own.join(chain, "node").join(first, "ancestor").where("path <> ancestor_path").select(F.col("path").alias("child"), F.col("ancestor_path").alias("path")).distinct()
+    pairs = ledger.cut(own.join(chain, "node").join(first, "ancestor").where("path <> ancestor_path").select(F.col("path").alias("child"), F.col("ancestor_path").alias("path")).distinct())
     children = states.join(pairs.select(F.col("child").alias("path")).distinct(), "path", "left_semi").select(F.col("path").alias("child"), "pos", "state")
     past = pairs.join(states.select("path", "pos", "state"), "path").select("child", F.col("path").alias("ancestor"), "pos", "state")
     return children, past

@@ -91,3 +91,13 @@ def test_models_tiers_and_efforts_hold_until_the_next(spark):
     records = rollout.parse(spark.createDataFrame([("f", n, json.dumps(r)) for n, r in enumerate(file)], "path string, place long, line string"))
     got = {r["response_id"]: (r["model"], r["effort"], r["tier"]) for r in rollout.carried(records).collect()}
     assert got == {"a": (None, None, None), "b": ("m", "high", "fast"), "c": ("m", None, "fast"), "d": ("m", None, "default")}
+
+
+def test_charging_has_a_small_plan_and_parses_lines_once(spark, capsys):
+    rows = [(f"f{i}", n, json.dumps(r)) for i, file in enumerate(GOLDEN["siblings inherit each for itself"][0]) for n, r in enumerate(file)]
+    records = rollout.parse(spark.createDataFrame(rows, "path string, place long, line string"))
+    records.explain()
+    assert capsys.readouterr().out.count("from_json") == 1
+    charge.judged(records).explain()
+    plan = capsys.readouterr().out
+    assert "from_json" not in plan and plan.count("Exchange ") + plan.count("Exchange(") <= 10
