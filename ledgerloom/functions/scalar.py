@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: A date at the end of a model's name.
 DATED = r"-\d{4}-\d{2}-\d{2}$"
@@ -207,8 +210,8 @@ def escaped(text: Column) -> Column:
     return out
 
 
-#: Pixels of a patch of the 28-pixel fit, and steps that find any edge below 2 ** EDGE_STEPS.
-PATCH, EDGE_STEPS = 28, 13
+#: Pixels of a patch of the 28-pixel fit.
+PATCH = 28
 
 
 def image_limits(model: Column, newer: tuple[int, int] = (4, 7)) -> Column:
@@ -222,23 +225,30 @@ def image_limits(model: Column, newer: tuple[int, int] = (4, 7)) -> Column:
     return F.when(found != "", F.when(version >= least, limits(2576, 4784)).otherwise(limits(1568, 1568)))
 
 
+@F.pandas_udf(LongType())
+def _fitted_edge(long_: pd.Series, short: pd.Series, max_edge: pd.Series, max_tokens: pd.Series) -> pd.Series:
+    """The longest side whose patches fit, 0 where none does: all rows of a batch are halved together until each has its side."""
+    long_, short, max_edge, max_tokens = (x.to_numpy() for x in (long_, short, max_edge, max_tokens))
+    low, high = np.zeros_like(long_), np.maximum(np.minimum(long_, max_edge), 0)
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        other = np.maximum(np.rint(short.astype("float64") * middle / np.maximum(long_, 1)).astype("int64"), 1)
+        across, down = -(-middle // PATCH), -(-other // PATCH)
+        fits = (across * PATCH <= max_edge) & (down * PATCH <= max_edge) & (across * down <= max_tokens)
+        low, high = np.where(fits & (low < high), middle, low), np.where(fits | (low >= high), high, middle - 1)
+    return pd.Series(low)
+
+
 def patch_fit(width: Column, height: Column, max_edge: Column, max_tokens: Column) -> Column:
     """(width, height, tokens) of the largest image of the same shape whose patches fit: its sides, padded to whole patches, are
     max_edge at most and its patches max_tokens. Null where a size is not positive or not one patch fits.
 
-    The longer side is found by bisection, in a fixed number of steps, as fewer pixels never need more patches.
+    The longer side is found by bisection, as fewer pixels never need more patches. It is an argument's value that is halved, so
+    that what the arguments are made from is computed once for a row.
     """
     long_, short = F.greatest(width, height).cast("long"), F.least(width, height).cast("long")
     other = lambda edge: F.greatest(F.lit(1).cast("long"), F.bround(short.cast("double") * edge / long_).cast("long"))
     patches = lambda side: ((side + (PATCH - 1)) / PATCH).cast("long")
-    fits = lambda edge: (patches(edge) * PATCH <= max_edge) & (patches(other(edge)) * PATCH <= max_edge) & (patches(edge) * patches(other(edge)) <= max_tokens)
-
-    def halve(at: Column, _: Column) -> Column:
-        middle = ((at["low"] + at["high"] + 1) / 2).cast("long")
-        ok = fits(middle) | (at["low"] >= at["high"])
-        return F.struct(F.when(ok, F.greatest(at["low"], F.least(middle, at["high"]))).otherwise(at["low"]).alias("low"), F.when(ok, at["high"]).otherwise(middle - 1).alias("high"))
-
-    start = F.struct(F.lit(0).cast("long").alias("low"), F.least(long_, max_edge.cast("long")).alias("high"))
-    edge = F.aggregate(F.sequence(F.lit(1), F.lit(EDGE_STEPS)), start, halve)["low"]
-    sized = F.transform(F.array(edge), lambda e: F.struct(F.when(width >= height, e).otherwise(other(e)).alias("width"), F.when(width >= height, other(e)).otherwise(e).alias("height"), (patches(e) * patches(other(e))).alias("tokens")))
-    return F.when((width > 0) & (height > 0) & (edge > 0), F.get(sized, F.lit(0)))
+    edge = _fitted_edge(*(F.coalesce(x.cast("long"), F.lit(0).cast("long")) for x in (long_, short, max_edge, max_tokens)))
+    sized = F.struct(F.when(width >= height, edge).otherwise(other(edge)).alias("width"), F.when(width >= height, other(edge)).otherwise(edge).alias("height"), (patches(edge) * patches(other(edge))).alias("tokens"))
+    return F.when((width > 0) & (height > 0) & (edge > 0), sized)

@@ -736,7 +736,8 @@ e AS (SELECT *, unnest(range(1, least(greatest(w, h), me) + 1)) AS edge FROM p),
 f AS (SELECT * FROM o WHERE ceil(edge / 28) * 28 <= me AND ceil(other / 28) * 28 <= me AND ceil(edge / 28) * ceil(other / 28) <= mt)
 SELECT p_partkey, max(edge)::BIGINT AS edge, arg_max(ceil(edge / 28) * ceil(other / 28), edge)::BIGINT AS tokens FROM f GROUP BY p_partkey""")
 def _(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", ((F.col("p_partkey") * 7919) % 6000 + 1).alias("w"), ((F.col("p_size") * 5099) % 5000 + 1).alias("h"), F.when(F.col("p_partkey") % 2 == 0, "m-x-4-7").otherwise("m-x-4").alias("model"))
+    dealt = table(spark, d, "part").select("p_partkey", "p_size").repartition("p_partkey")  # a file of one row group is one task
+    rows = dealt.select("p_partkey", ((F.col("p_partkey") * 7919) % 6000 + 1).alias("w"), ((F.col("p_size") * 5099) % 5000 + 1).alias("h"), F.when(F.col("p_partkey") % 2 == 0, "m-x-4-7").otherwise("m-x-4").alias("model"))
     limits = scalar.image_limits(F.col("model"))
     fitted = rows.select("p_partkey", scalar.patch_fit(F.col("w"), F.col("h"), limits["max_edge"], limits["max_tokens"]).alias("x"))
     return fitted.select("p_partkey", F.greatest("x.width", "x.height").alias("edge"), "x.tokens")

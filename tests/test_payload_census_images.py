@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar
 from ledgerloom.operators import payload
+from ledgerloom.plans.catalog import QUERIES
 from ledgerloom.sources import census
 
 
@@ -33,6 +34,20 @@ def test_fits_are_the_largest_of_all_edges(spark):
         assert (tuple(r["x"]) if r["x"] else None) == largest(r["w"], r["h"], r["e"], r["t"]), tuple(r)
 
 
+def test_fits_of_long_sides(spark):
+    """30,000 pixels take more halvings than 8,192."""
+    df = spark.createDataFrame([(40_000, 3, 30_000, 10**9), (7, 65_000, 60_001, 10**9), (None, 5, 99, 99), (5, 5, None, 99), (5, 5, 99, None)], "w long, h long, e long, t long")
+    found = [r["x"] and tuple(r["x"]) for r in df.select(scalar.patch_fit(F.col("w"), F.col("h"), F.col("e"), F.col("t")).alias("x")).collect()]
+    assert found == [(29_988, 2, 1071), (6, 59_976, 2142), None, None, None]
+
+
+def test_arguments_of_fits_are_computed_once(spark):
+    """The limits come from a pattern over the model's name, which no step of the search may match again."""
+    df = QUERIES["image_patch_fit"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "ArrowEvalPython" in plan and plan.count("_fitted_edge(") == 1
+
+
 def test_limits_by_version(spark):
     names = {"m-x-4": 1568, "m-x-4-6": 1568, "m-x-4-7": 2576, "M-X-4-10": 2576, "m-x-5": 2576, "m-x-3-9": 1568, "m": None, None: None}
     df = spark.createDataFrame([(n,) for n in names], "n string")
