@@ -89,6 +89,25 @@ def test_census_is_a_walk(spark):
     assert census.key_census(spark.createDataFrame([], "path string, line string")).count() == 0
 
 
+def test_census_moves_a_row_for_each_shape_in_a_file(spark, monkeypatch):
+    moved = []
+    monkeypatch.setattr(census, "cut", lambda df, cut=census.cut: moved.append((x := cut(df)).count()) or x)
+    odd = {"`": 1, "a`b": {"``": None}, "a.b": "", "a: b": {"c>": True}, "BIGINT": "s", "OBJECT<": {"x": {}}, "(1,2)": {"12": 1, "": "DECIMAL(1,2)"}, "é\n": 0, "_": "ARRAY<", "VOID": {"STRING": {"k": 1e300}}}
+    rows = [(f"f{i % 3}", json.dumps({**odd, "i": i + 0.5 * 10 ** -(i % 9)})) for i in range(300)] + [(f"f{i % 3}", json.dumps({"t": str(i)})) for i in range(300)] + [("f0", "[" + x) for x in ("", "}")]
+    nested = [("f1", json.dumps({"a": [{"ARRAY<": [1, "s", {"b": i}]}, odd], "c": {"d": []}})) for i in range(40)]
+    for more, most in (([], 6), (nested, None)):
+        count, files = Counter(), defaultdict(set)
+        for file, line in rows[:600] + more:
+            walk(json.loads(line), "$", out := [])
+            count.update(out)
+            for x in out:
+                files[x].add(file)
+        moved.clear()
+        found = census.key_census(spark.createDataFrame(rows + more, "path string, line string").repartition(3))
+        assert {(r["key"], r["type"]): (r["n"], r["files"]) for r in found.collect()} == {x: (n, len(files[x])) for x, n in count.items()}
+        assert most is None or sum(moved) <= most
+
+
 def test_months_are_dropped_from_the_oldest(spark):
     draw = random.Random(1)
     days, sessions = [], []
